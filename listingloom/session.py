@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of a key-only side up to which it is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="listingloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        _own.append(_own[0] if _own else "file://" + tempfile.mkdtemp(prefix="listingloom-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
