@@ -1,4 +1,69 @@
-STAGES = []
+"""A corpus pipeline of five of the operators: each stage reads the rows that the stage before it kept.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
+columns of documents; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from listingloom.llm import decontaminate, language, minhash, packing, toxicity
+from listingloom.session import hinted, materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose doc_id isn't among rejected; rows without a doc_id stay."""
+    ids = materialize(rejected.where("doc_id is not null").select(F.col("doc_id").alias("rejected_id")).distinct(), name)
+    kept = docs.join(hinted(ids), F.col("doc_id") == F.col("rejected_id"), "left_anti")
+    return kept.select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that could be told (no letters, null) go."""
+    found = language.identify(docs, language.labelled_sample(docs))
+    return _without(docs, found.where(F.col("lang_pred") == language.UNKNOWN), "no-language")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(*toxicity.labelled_sample(docs, labels))
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1"), "toxic")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    return _without(docs, minhash.near_duplicates(docs).where(~F.col("kept")), "copies")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences."""
+    return packing.pack(docs, packing.default_path())
+
+
+STAGES = [
+    ("language", language_stage),
+    ("toxicity", toxicity_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models, near-duplicate groups and a tokenizer can't be said in SQL; tests/llm/test_pipeline.py checks run().
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from listingloom.llm import minhash
+from listingloom.llm import decontaminate, language, minhash, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_compression_toxicity": toxicity.op1,
+        "op3_cross_parsing_language": language.op3,
         "op5_minhash_near_dedup": minhash.op5,
+        "op7_spaced_seed_decontamination": decontaminate.op7,
+        "op10_pattern_packing": packing.op10,
     }
 
 
