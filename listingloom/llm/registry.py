@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from listingloom.llm import decontaminate, language, minhash, packing, toxicity
+from listingloom.llm import decontaminate, fingerprints, language, minhash, packing, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_compression_toxicity": toxicity.op1,
+        "op2_warc_normaliser": warc.op2,
         "op3_cross_parsing_language": language.op3,
+        "op4_merkle_fingerprints": fingerprints.op4,
         "op5_minhash_near_dedup": minhash.op5,
         "op7_spaced_seed_decontamination": decontaminate.op7,
+        "op8_transducer_token_counts": token_counts.op8,
         "op10_pattern_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_normaliser": warc.ORACLE}
