@@ -106,7 +106,7 @@ def phrases(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarra
     rows = -(-sizes // WINDOW)
     first = np.concatenate([[0], np.cumsum(rows)])
     counts = np.zeros((len(model["names"]), len(texts)))
-    if first[-1] == 0:
+    if first[-1] == 0 or not len(counts):
         return counts.T, sizes
     flat = np.zeros(first[-1] * WINDOW, np.uint8)
     flat[np.arange(sizes.sum()) + np.repeat(first[:-1] * WINDOW - (np.cumsum(sizes) - sizes), sizes)] = np.concatenate(own)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingloom.llm import decontaminate, fingerprints, language, minhash, packing, token_counts, toxicity, warc
+from listingloom.llm import chat, decontaminate, fingerprints, html_text, language, minhash, packing, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_cross_parsing_language": language.op3,
         "op4_merkle_fingerprints": fingerprints.op4,
         "op5_minhash_near_dedup": minhash.op5,
+        "op6_chat_role_repair": chat.op6,
         "op7_spaced_seed_decontamination": decontaminate.op7,
         "op8_transducer_token_counts": token_counts.op8,
+        "op9_crf_html_extraction": html_text.op9,
         "op10_pattern_packing": packing.op10,
     }
 
