@@ -2,25 +2,27 @@
 
 Two permutations give all coordinates: the first scatters a shingle over the universe, the second, shifted circularly by
 k, gives coordinate k. Exact copies collapse into classes before banding. Classes that share a band are compared with the
-smallest member of their bucket first; after these links are merged, only pairs of one bucket that still lie in different
-components are compared, so a group of copies costs a number of pairs in proportion to its size and no link is given up.
+most central members of their bucket first. Where a bucket still holds several components after that, its members are
+joined by their rarest shingles, enough of them that no similar pair is missed (prefix and positional filter), and only pairs
+of different components are compared. So a group of copies costs a number of pairs in proportion to its size, and no link
+between components is given up.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from listingloom.llm.shingles import mix, shingle_sets
-from listingloom.session import BROADCAST_ROWS, hinted, materialize
+from listingloom.llm.shingles import shingle_sets
+from listingloom.session import hinted, materialize
 
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
+PIVOTS = 3
 UNIVERSE_BITS = 22
 #: Pairs whose estimate from 128 coordinates is lower aren't verified; at a true 0.75 that is 6.5 standard deviations off.
 LEAST_ESTIMATE = 0.5
@@ -119,21 +121,75 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges, root the smallest node reachable: alternating large-star and small-star steps."""
+    """(node, root) for every node of the edges but the roots, root the smallest node reachable.
+
+    Alternating large-star and small-star steps, until every node points at one that points nowhere.
+    """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    before = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), F.col("u") == F.col("k")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), F.col("u") == F.col("k")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least.hint("merge"), F.col("u") == F.col("k"))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.*").where("u > v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if not open_.limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            sets = list(shingle_sets(part.column("text").to_pylist()))
+            sizes = [len(x) for x in sets]
+            ids = np.repeat(part.column("doc_id").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["rep", "n", "shingle"])
+
+
+def _prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of members (rep, root) of different components that the prefix filter can't rule out.
+
+    With shingles ordered from the rarest, similar sets share one among their first n - ceil(0.75 n) + 1; from the places
+    of the first shared one follows how many can be shared at most. Shingles of a single component are left out first, so
+    what all copies of a text have in common joins nothing.
+    """
+    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(hinted(ids), "doc_id", "left_semi")
+    rows = materialize(texts.mapInArrow(_shingle_rows, "rep long, n long, shingle long"), "shingles")
+    known = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    prefix = known.withColumn("place", place).where("df > 1 and 4 * place <= 4 * n - 3 * n + 4")
+    prefix = materialize(prefix.join(members.select("rep", "root").distinct().hint("merge"), "rep").select("shingle", "rep", "root", "n", "place"), "prefixes")
+    mixed = prefix.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
+    prefix = prefix.join(mixed.hint("merge"), "shingle")
+    one, other = (prefix.select("shingle", *(F.col(c).alias(c + side) for c in ("rep", "root", "n", "place"))) for side in "ab")
+    # Shared at most: this shingle and all after it; needed: 3/7 of both sizes together.
+    able = (F.col("roota") < F.col("rootb")) & F.expr("7 * (1 + least(na - placea, nb - placeb)) >= 3 * (na + nb) and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    found = one.join(other.hint("merge"), (one.shingle == other.shingle) & able)
+    return found.select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct()
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(key, pivots): up to PIVOTS members of each bucket, one of each hash class, the most central first.
+
+    A member is the more central the more others share its buckets: of copies of one text, the least changed stands out.
+    """
+    central = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    ranked = members.select("key", "rep").join(central.hint("merge"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)))
+    best = ranked.groupBy("key", "part").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("m"))
+    return best.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["rep"]).alias("pivots"))
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their component, of the buckets that hold more than one component."""
+    placed = members.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    return materialize(placed.join(mixed.hint("merge"), "key"), "mixed")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -145,22 +201,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(digests(docs), "shingle-digests")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
-    keys = [F.xxhash64(F.lit(b), F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS)) for b in range(BANDS)]
-    bands = classes.select("rep", F.explode(F.array(*keys)).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    members = materialize(bands.join(buckets.hint("merge"), "key"), "members")
-    star = members.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    links = _links(star, classes, docs)
-    roots = _components(links)
-    placed = members.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    placed = materialize(placed.join(mixed.hint("merge"), "key"), "mixed")
-    one, other = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra")), placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(other.hint("merge"), "key").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = rest.join(star.hint("merge"), ["a", "b"], "left_anti")
-    more = _links(rest, classes, docs)
-    if more.limit(1).count():
-        roots = _components(links.unionAll(more))
+    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS)) for b in range(BANDS)))
+    bands = classes.select("rep", F.explode(keys).alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(shared.hint("merge"), "key"), "members")
+    pivots = _pivots(members)
+    members = materialize(members.select("key", "rep").join(pivots.hint("merge"), "key"), "pivoted")
+    pairs = members.select(F.col("rep").alias("x"), F.explode("pivots").alias("y")).where("x != y")
+    tested = materialize(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pivot-pairs")
+    links = _links(tested, classes, docs)
+    members = _mixed(members, _components(links))
+    rest = _prefix_pairs(members, docs).join(tested.hint("merge"), ["a", "b"], "left_anti")
+    roots = _components(links.unionAll(_links(rest, classes, docs)))
     roots = classes.select("low", "high", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("low", "high", F.coalesce("root", "rep").alias("root"))
     found = sets.join(roots.hint("merge"), ["low", "high"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))
