@@ -74,7 +74,7 @@ SELECT 's' || CAST(s_suppkey AS STRING) AS id, s_name AS title, 'https://' || lo
        s_suppkey % 4 <> 0 AS enabled, CASE WHEN s_suppkey % 8 = 0 THEN 'paused' ELSE '' END AS disabled_reason,
        CASE WHEN s_suppkey % 13 = 0 THEN 'gone' WHEN s_suppkey % 2 = 0 THEN 'page' ELSE 'feed' END AS profile,
        CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'adapter' || CAST(s_suppkey % 3 AS STRING) END AS adapter
-FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 9
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_acctbal > 0
 """
 
 INBOX = """
@@ -100,7 +100,7 @@ SELECT o_orderkey AS n, CASE WHEN o_orderkey % 10 = 0 THEN 'o' || CAST(o_orderke
        CASE WHEN o_orderkey % 4 = 0 THEN 'http://tickets.example.org/event?id=' || CAST(o_orderkey % 500 AS STRING) ELSE '' END AS signup_url,
        CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T' || lpad(CAST(o_orderkey % 24 AS STRING), 2, '0') || ':'
          || lpad(CAST((o_orderkey * 7) % 60 AS STRING), 2, '0') || ':00-04:00' AS start
-FROM {orders} WHERE o_orderkey % 2 = 0
+FROM {orders}
 """
 
 ALL = {"discoveries": DISCOVERIES, "source_runs": SOURCE_RUNS, "runs": RUNS, "event_store": EVENT_STORE, "catalog": CATALOG, "inbox": INBOX, "sightings": SIGHTINGS, "incoming": INCOMING}

@@ -36,7 +36,7 @@ def _state_fix(s, d):
 
 
 def _discovery_rows(s, d):
-    events = bound(s, d, "event_store").where("length(id) <= 4").select(F.concat(F.lit("e"), F.substring("id", 2, 9)).alias("id"), "title", "start")
+    events = bound(s, d, "event_store").select(F.concat(F.lit("e"), F.substring("id", 2, 9)).alias("id"), "title", "start")
     return a.discoveries_with_event(bound(s, d, "discoveries"), events).select("discovery_id", "display_title", "display_start")
 
 
@@ -122,7 +122,7 @@ QUERIES = {
         _discovery_rows,
         f"""{cte('discoveries', 'event_store')} SELECT discovery_id, coalesce(nullif(e.title, ''), nullif(raw_title, ''), 'Untitled candidate') AS display_title,
         coalesce(nullif(e.start, ''), nullif(raw_start, ''), '') AS display_start
-        FROM discoveries d LEFT JOIN event_store e ON d.event_id = 'e' || substr(e.id, 2) AND length(e.id) <= 4""",
+        FROM discoveries d LEFT JOIN event_store e ON d.event_id = 'e' || substr(e.id, 2)""",
     ),
     "view7_run_rows": (
         lambda s, d: a.previous_states(bound(s, d, "source_runs"), bound(s, d, "runs")).where(F.col("state").isin(*a.PROBLEM_STATES)).select("run_id", "source_id", "state", "state_changed"),

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from listingloom.plans import queries_events, queries_runs
+from listingloom.plans import queries_events, queries_runs, queries_store
 
-ALL = {**queries_runs.QUERIES, **queries_events.QUERIES}
+ALL = {**queries_runs.QUERIES, **queries_events.QUERIES, **queries_store.QUERIES}
