@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listingloom.functions import events as e
 from listingloom.functions import text as t
 from listingloom.operators import accounting as a
 from listingloom.operators import checks as c
+from listingloom.operators import contract
 from listingloom.operators import resolve as r
 from listingloom.operators import updates as u
 from listingloom.plans import views as v
 from listingloom.plans.bindings import bound, cte
+from listingloom.sources import tables
 
 _GENERIC = "('','calendar','calendars','events','event','upcoming','index','home','schedule','programs','program','tastingevents','film','films','whats-on','listings','shop','tickets')"
 _KEYS = "('eid','event','event_id','eventid','id','p','post','vista_film_id','wfea_eb_id')"
@@ -46,6 +49,14 @@ def _incoming(s, d):
     return bound(s, d, "incoming")
 
 
+def _finalized(s, d):
+    """A run whose staged rows are a second crawl of the store's listings under other URLs."""
+    events = bound(s, d, "event_store")
+    staged = _incoming(s, d).join(events.drop("url", "signup_url", "start", "id", "last_seen", "first_seen").withColumn("n", events.id.substr(2, 20).cast("long")), "n")
+    staged = staged.withColumn("raw_keys", F.array(F.lit("is_free"))).withColumn("first_seen", F.lit("2026-08-01")).withColumn("last_seen", F.lit("2026-08-01"))
+    return r.finalize(staged, events, _aliases(s, d), "2026-08-01")
+
+
 def _upsert(s, d):
     store = bound(s, d, "event_store").select("id", "title", "status", "last_seen")
     new = _incoming(s, d).select("n", "id", F.concat(F.lit("Renamed "), "id").alias("title"), F.lit("active").alias("status"), F.lit("2026-01-01").alias("last_seen"))
@@ -281,6 +292,63 @@ QUERIES = {
         lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", t.norm_text(F.col("text")).alias("normed")),
         "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS normed FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')",
     ),
+    "upd4_finalize_run": (
+        lambda s, d: _finalized(s, d)[2],
+        None,
+    ),
+    "upd4_finalized_store": (
+        lambda s, d: _finalized(s, d)[0].select("id", "url", "title", "venue", "status", "is_free", "last_seen"),
+        None,
+    ),
+    "scl10_normalise": (
+        lambda s, d: bound(s, d, "event_store").select(F.to_json(F.struct("id", F.concat(F.lit(" "), "url").alias("url"), "title", F.col("start").alias("start_datetime"), F.col("venue").alias("venue_name"), F.col("rank"), F.col("is_free"), F.lit("21").alias("explicit_age_min"), F.lit(True).alias("explicit_age_max"))).alias("raw")).select(*e.normalised("raw", "2026-08-01")).select("id", "url", "title", "start", "venue", "rank", "is_free", "age_min", "age_max", "status", "first_seen"),
+        f"""{cte('event_store')} SELECT id, url, title, start, venue, rank, is_free, CAST(21 AS INT) AS age_min, CAST(NULL AS INT) AS age_max, 'active' AS status, '2026-08-01' AS first_seen FROM event_store""",
+    ),
+    "scl2_series_key": (
+        lambda s, d: bound(s, d, "event_store").select("id", t.series_key(F.col("source_id"), F.col("host"), F.col("title")).alias("series")),
+        f"""{cte('event_store')} SELECT id, source_id || '|' || trim(regexp_replace(lower(host), '[^a-z0-9]+', ' ', 'g')) || '|' ||
+        trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '\\b\\d+(st|nd|rd|th)?\\b', ' ', 'g'), '\\bpart\\s+([ivxlcdm]+|\\d+)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS series FROM event_store""",
+    ),
+    "scl14_to_local_iso": (
+        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", e.to_local_iso(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "America/New_York").alias("local")),
+        "SELECT event_id, strftime(timezone('America/New_York', timezone('UTC', date_trunc('second', CAST(ts AS TIMESTAMP)))), '%Y-%m-%dT%H:%M:%S') || CASE (epoch(timezone('America/New_York', timezone('UTC', date_trunc('second', CAST(ts AS TIMESTAMP))))) - epoch(date_trunc('second', CAST(ts AS TIMESTAMP)))) WHEN -14400 THEN '-04:00' ELSE '-05:00' END AS local FROM events",
+    ),
+    "scl20_offer_price_range": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.offer_price_range(F.array(F.col("p_size").cast("string"), F.lit("x"), (F.col("p_size") + 5).cast("string")), F.lit("USD")).alias("price")),
+        "SELECT p_partkey, '$' || CAST(p_size AS STRING) || '–$' || CAST(p_size + 5 AS STRING) AS price FROM part",
+    ),
+    "scl24_format_address": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.format_address(F.col("p_brand"), F.lit(""), F.lit("NY"), F.col("p_size").cast("string"), F.lit(None).cast("string")).alias("address")),
+        "SELECT p_partkey, p_brand || ', NY ' || CAST(p_size AS STRING) AS address FROM part",
+    ),
+    "scl25_age_range": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", t.age_range(F.concat(F.lit("Ages "), F.col("p_size"), F.lit("-"), F.col("p_size") + 9)).alias("a")).select("p_partkey", "a.low", "a.high"),
+        "SELECT p_partkey, CASE WHEN p_size >= 18 THEN CAST(p_size AS INT) END AS low, CASE WHEN p_size >= 18 THEN CAST(p_size + 9 AS INT) END AS high FROM part",
+    ),
+    "scl29_theme": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.theme(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "wine").when(F.col("p_size") % 3 == 1, "jazz band")), e.THEMES, "other").alias("theme")),
+        "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'drink' WHEN 1 THEN 'music' ELSE 'other' END AS theme FROM part",
+    ),
+    "scl30_source_event_id": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.source_event_id(F.col("p_name"), F.col("p_brand")).alias("made")),
+        "SELECT p_partkey, left(sha256(p_name || '|' || p_brand), 20) AS made FROM part",
+    ),
+    "scl33_source_row": (
+        lambda s, d: e.source_row(bound(s, d, "source_runs").select("run_id", "source_id", F.to_json(F.struct(F.regexp_replace("state", "empty_verified", "empty").alias("state"), F.col("found_count").alias("found"), F.col("parsed_count").cast("string").alias("parsed_count"), F.lit(True).alias("new"))).alias("body"))),
+        f"{cte('source_runs')} SELECT run_id, source_id, state, found_count, parsed_count, CAST(0 AS BIGINT) AS rejected_count, CAST(1 AS BIGINT) AS new_count, '' AS detail FROM source_runs",
+    ),
+    "src4_decode_responses": (
+        lambda s, d: tables.decode_responses(s.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("html").cast("binary").alias("body"), F.lit("text/html").alias("content_type"))).select("page_id", F.length("text").alias("n"), "content_hash"),
+        "SELECT page_id, CAST(length(html) AS INT) AS n, sha256(html) AS content_hash FROM pages",
+    ),
+    "src5_evidence": (
+        lambda s, d: tables.artifact_at(bound(s, d, "source_runs").withColumn("artifacts", F.transform(F.sequence(F.lit(1), F.least(F.col("found_count"), F.lit(3)).cast("int")), lambda k: F.struct(k.alias("n"), F.concat_ws("/", F.lit("run"), "run_id", k).alias("path")))), 1).select("run_id", "source_id", "path"),
+        f"{cte('source_runs')} SELECT run_id, source_id, 'run/' || run_id || '/2' AS path FROM source_runs WHERE found_count >= 2",
+    ),
+    "val1_check_raw_events": (
+        lambda s, d: contract.check_raw_events(bound(s, d, "event_store").select("id", F.to_json(F.struct("title", "start", "status", "is_free", F.col("price").alias("cost"))).alias("raw"))).select("id", F.array_join("problems", ";").alias("problems")),
+        f"{cte('event_store')} SELECT id, 'source_id: missing;source_event_id: missing;end: missing;url: missing;signup_url: missing' AS problems FROM event_store",
+    ),
     "ext36_redact_contacts": (
         lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", t.redact_contacts(F.col("text")).alias("redacted")),
         None,

@@ -381,9 +381,10 @@ def near_date_hint(text: Column, at: Column) -> Column:
     return F.coalesce(F.try_element_at(before, F.lit(-1)), F.nullif(around, F.lit("")))
 
 
-def labelled_field(text: Column, label: str) -> Column:
-    """What follows 'label:' up to the next label or line end."""
-    return F.trim(F.regexp_extract(text, rf"(?i)\b{re.escape(label)}:\s*(.*?)(?=\s+[A-Z][A-Za-z ]{{2,20}}:|[\r\n]|$)", 1))
+def labelled_field(text: Column, label: str, others: tuple[str, ...] = ()) -> Column:
+    """What follows 'label:' up to another of the labels or the line's end."""
+    stop = "|".join(re.escape(x) for x in others) or r"(?!)"
+    return F.trim(F.regexp_extract(text, rf"(?i)\b{re.escape(label)}:\s*(.*?)(?=\s+(?:{stop}):|[\r\n]|$)", 1))
 
 
 def explicit_empty(text: Column) -> Column:
