@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -19,12 +20,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from listingloom.llm.shingles import hash_spans
 from listingloom.session import materialize
 
 LIMIT = 4096
 END_ID = 1
-#: Words kept by a task; then it starts anew.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Ids kept for words by a task; then it starts anew.
+CACHE_IDS = 8_000_000
+#: Words of Latin letters that normalisation leaves whole, and the bytes behind which a full stop is a word of its own.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,40}").fullmatch
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _loaded: dict = {}
 
 
@@ -37,43 +43,111 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def token_ids(texts: list[str | None], path: str, cache: dict[str, bytes]) -> Iterator[bytes]:
-    """Each text's ids, packed as little-endian 32-bit numbers.
-
-    The tokenizer removes white space before it looks at words, so a text's ids are those of its parts between spaces and
-    line feeds, and each part is encoded once as long as it stays in the cache.
-    """
-    tokenizer = _tokenizer(path)
-    for start in range(0, len(texts), 64):
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts[start : start + 64]]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for p in parts for w in p if w not in cache})
-        encoded = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        cache.update((w, ids) for w, ids in encoded.items() if len(w) <= CACHE_CHARS)
-        for p in parts:
-            if any(len(w) > CACHE_CHARS for w in new):
-                yield b"".join([cache[w] if w in cache else encoded[w] for w in p])
-            else:
-                yield b"".join(map(cache.__getitem__, p))
+def _ends_word(tokenizer) -> np.ndarray:
+    """For each id, whether a word ends with it."""
+    key = ("ends", id(tokenizer))
+    if key not in _loaded:
+        _loaded[key] = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
+    return _loaded[key]
+
+
+class Words:
+    """Ids of the words met so far, by a 64-bit hash of the word, in one array."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.ends = _ends_word(self.tokenizer)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        """Plain words are encoded together, as one text, and told apart by the ids that end a word; others alone."""
+        while len(self.known) + len(words) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        plain = [k for k, w in enumerate(words) if _PLAIN(w)]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k] for k in plain)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(plain):
+                raise ValueError("a word was taken apart")
+            at, n = self._append(ids), len(self.known)
+            self.size[n : n + len(plain)] = np.diff(stops, prepend=0)
+            self.first[n : n + len(plain)] = at + stops - self.size[n : n + len(plain)]
+            self.known.update(zip((hashes[k] for k in plain), range(n, n + len(plain)), strict=True))
+        odd = [k for k, w in enumerate(words) if not _PLAIN(w)]
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+            n = len(self.known)
+            self.first[n], self.size[n] = self._append(np.array(e.ids, np.uint32)), len(e.ids)
+            self.known[hashes[k]] = n
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Words lie between spaces and line feeds, which the tokenizer removes before it looks at words;
+        a full stop or comma that ends a word behind a letter or digit is a word of its own, as it is to the tokenizer."""
+        if self.used > CACHE_IDS:
+            self.clear()
+        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        apart = (data == 0x20) | (data == 0x0A)
+        stop = np.zeros(len(data), bool)
+        stop[1:-1] = ((data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)) & _ALNUM[data[:-2]] & apart[2:]
+        starts = np.flatnonzero(~apart[1:] & (apart[:-1] | stop[1:])) + 1
+        ends = np.flatnonzero(~apart[:-1] & (apart[1:] | stop[1:])) + 1
+        hashes, where, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        keys, get = hashes.tolist(), self.known.get
+        slots = [get(k, -1) for k in keys]
+        new = [i for i, x in enumerate(slots) if x < 0]
+        if new:
+            raw = data.tobytes()
+            self._learn([keys[i] for i in new], [raw[starts[k] : ends[k]].decode("utf-8", "surrogatepass") for k in where[new].tolist()])
+            for i in new:
+                slots[i] = self.known[keys[i]]
+        slot = np.array(slots, np.int64)[inverse]
+        size = self.size[slot]
+        last = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[slot] - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.concatenate([[0], last])[np.searchsorted(starts, at + 1)]
+        return [ids[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def token_ids(texts: list[str | None], words: Words) -> Iterator[np.ndarray]:
+    """Each text's ids."""
+    block: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        block.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(block[-1])
+        if size >= 1 << 20 or i + 1 == len(texts):
+            yield from words.encode(block)
+            block, size = [], 0
 
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, and its rank among the pieces of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, bytes] = {}
+        words = Words(path)
         ranks: Counter = Counter()
         task = TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], np.uint32)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), path, cache), strict=True):
-                ids += end
-                for k in range(0, len(ids), 4 * limit):
-                    own = ids[k : k + 4 * limit]
-                    n = len(own) // 4
-                    for column, x in zip(rows, (doc_id, k // (4 * limit), k // 4, n, zlib.crc32(own), task, ranks[n]), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), words), strict=True):
+                ids = np.concatenate([ids, end])
+                for k in range(0, len(ids), limit):
+                    own = ids[k : k + limit]
+                    n = len(own)
+                    for column, x in zip(rows, (doc_id, k // limit, k, n, zlib.crc32(own.astype("<u4").tobytes()), task, ranks[n]), strict=True):
                         column.append(x)
                     ranks[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])

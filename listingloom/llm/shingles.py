@@ -34,15 +34,20 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, from prefix sums of a polynomial modulo 2^64."""
+    powers, inverse = _powers(len(data))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * powers[: len(data)], dtype=_U)])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and where each text's words begin (one entry more than texts)."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    powers, inverse = _powers(len(data))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * powers[: len(data)], dtype=_U)])
-    words = mix((sums[ends] - sums[starts]) * inverse[starts])
+    words = hash_spans(data, starts, ends)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return words, np.searchsorted(starts, at + 1)
 

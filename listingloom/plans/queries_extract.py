@@ -190,4 +190,48 @@ QUERIES = {f"ext_feed_{family}": _feed(family) for family in _FAMILIES} | {
         lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", t.clock12(F.expr("concat(p_size % 12 + 1, if(p_partkey % 2 = 0, ':15', ''), if(p_partkey % 3 = 0, ' PM', 'am'))")).alias("time")),
         "SELECT p_partkey, lpad(CAST((p_size % 12 + 1) % 12 + CASE WHEN p_partkey % 3 = 0 THEN 12 ELSE 0 END AS STRING), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN ':15' ELSE ':00' END AS time FROM part",
     ),
+    "ext7_breadcrumb": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").withColumn("node", F.to_json(F.expr("named_struct('itemListElement', array(named_struct('name', 'Home', 'item', 'https://a.org/'), named_struct('name', p_brand, 'item', 'https://a.org/venues/' || p_size)))"))).select("p_partkey", x.breadcrumb("node", "/venues/").alias("venue")),
+        "SELECT p_partkey, p_brand AS venue FROM part",
+    ),
+    "ext9_calendar_records": (
+        lambda s, d: x.calendar_records(s.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "case p_size % 3 when 0 then 'program' when 1 then 'class' else 'exhibition' end as kind", "p_size % 5 = 0 as hidden", f"substr({_START}, 1, 10) as start_date", "if(p_size % 7 = 0, '', '19:00') as start_time", "cast(null as string) as end_date"), FIRST, 5).select("p_partkey", "start", "reason"),
+        f"""SELECT p_partkey, substr({_START}, 1, 10) || CASE WHEN p_size % 7 = 0 THEN '' ELSE 'T19:00' END AS start,
+        CASE WHEN substr({_START}, 1, 10) > '2026-08-15' THEN 'outside_date_window' WHEN p_size % 7 = 0 THEN 'missing_explicit_time' END AS reason
+        FROM part WHERE p_size % 3 <> 2 AND p_size % 5 <> 0 AND substr({_START}, 1, 10) >= '{FIRST}'""",
+    ),
+    "ext24_text_occurrences": (
+        lambda s, d: x.text_occurrences(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr("concat(p_name, ' Saturday, September ', p_size % 28 + 1, ', 2026 7 PM and 9:30 pm ', if(p_size % 2 = 0, 'Friday, October 2, 2026 - Sunday, October 4, 2026', ''))").alias("text"))).select("p_partkey", "mention", "start", "reason"),
+        """SELECT p_partkey, CAST(0 AS INT) AS mention, '2026-09-' || lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0') || t AS start, NULL AS reason FROM part, (SELECT unnest(['T19:00:00', 'T21:30:00']) AS t)
+        UNION ALL SELECT p_partkey, 1, NULL, 'missing_explicit_time' FROM part WHERE p_size % 2 = 0""",
+    ),
+    "ext25_fixed_time_occurrences": (
+        lambda s, d: x.fixed_time_occurrences(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr("concat('On Monday, March ', p_size % 28 + 1, ', 2026 and Tuesday, April 7, 2026')").alias("text")), "15:00").select("p_partkey", "mention", "start"),
+        """SELECT p_partkey, CAST(0 AS INT) AS mention, '2026-03-' || lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0') || 'T15:00:00' AS start FROM part UNION ALL SELECT p_partkey, 1, '2026-04-07T15:00:00' FROM part""",
+    ),
+    "ext27_marker_groups": (
+        lambda s, d: x.marker_groups(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("section"), F.posexplode(F.split(F.expr("concat('7:30 PM\\n', p_name, '\\nHall - Tickets\\n*note\\n9 PM\\n', p_brand, if(p_size % 2 = 0, '\\nTickets', ''))"), "\n")).alias("pos", "line"))).select("section", "record", "title", "note", "reason"),
+        """SELECT CAST(p_partkey AS STRING) AS section, 1 AS record, p_name AS title, '*note' AS note, NULL AS reason FROM part
+        UNION ALL SELECT CAST(p_partkey AS STRING), 2, p_brand, '', CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'unresolved' END FROM part""",
+    ),
+    "ext29_weekly_occurrences": (
+        lambda s, d: x.weekly_occurrences(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("source_id"), F.expr("if(s_suppkey % 2 = 0, 'Every Friday at 7 pm', 'Closed')").alias("text")), ["(?i)every friday"], "FR", "19:00", FIRST, DAYS).select("source_id", "start"),
+        "SELECT s_name AS source_id, d AS start FROM supplier, (SELECT unnest(['2026-08-14T19:00:00', '2026-08-21T19:00:00']) AS d) WHERE s_suppkey % 2 = 0",
+    ),
+    "ext30_labelled_fields": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.labelled_field(F.concat(F.lit("Date: today Place: "), "p_name", F.lit(", "), "p_brand", F.lit(" For a fee: $5")), "Place", ("For a fee",)).alias("place")),
+        "SELECT p_partkey, p_name || ', ' || p_brand AS place FROM part",
+    ),
+    "ext31_near_date_hint": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr("concat('2026-01-05 ', p_name, if(p_size % 2 = 0, ' 2026-02-06 ', ' '))").alias("before")).select("p_partkey", x.near_date_hint(F.concat("before", F.lit("LINK 2026-03-07")), F.length("before") + 1).alias("hint")),
+        "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '2026-02-06' ELSE '2026-01-05' END AS hint FROM part",
+    ),
+    "ext32_explicit_empty": (
+        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", x.explicit_empty(F.when(F.col("event_type") == "view", "Sorry, no upcoming events").otherwise(F.col("event_type"))).alias("empty")),
+        "SELECT event_id, event_type = 'view' AS empty FROM events",
+    ),
+    "ext34_failure_state": (
+        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", x.failure_state(F.when(F.col("event_type") == "error", "RobotsDenied").when(F.col("event_type") == "click", "ContractError").otherwise(F.col("event_type"))).alias("state")),
+        "SELECT event_id, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'click' THEN 'parse_failed' ELSE 'fetch_failed' END AS state FROM events",
+    ),
 }

@@ -146,6 +146,25 @@ QUERIES = {
         lambda s, d: r.match_occurrence(_incoming(s, d).join(bound(s, d, "event_store").select(F.expr("cast(substr(id, 2) as bigint)").alias("n"), "title", "host", "venue", "address", "neighborhood"), "n"), bound(s, d, "event_store"), t.norm_ascii),
         None,
     ),
+    "res4_resolve": (
+        lambda s, d: r.resolve(_incoming(s, d).join(bound(s, d, "event_store").select(F.expr("cast(substr(id, 2) as bigint)").alias("n"), "title", "host", "venue", "address", "neighborhood"), "n"), _aliases(s, d), bound(s, d, "event_store"), t.norm_ascii),
+        None,
+    ),
+    "upd7_upsert_source_runs": (
+        lambda s, d: u.upsert_source_runs(bound(s, d, "source_runs").select("run_id", "source_id", "state"), bound(s, d, "source_runs").where("state = 'not_due'").select("run_id", "source_id", F.lit("ok").alias("state"))),
+        f"{cte('source_runs')} SELECT run_id, source_id, CASE WHEN state = 'not_due' THEN 'ok' ELSE state END AS state FROM source_runs",
+    ),
+    "view8_event_detail": (
+        lambda s, d: bound(s, d, "event_store").select("id", "title").join(u.event_aliases(bound(s, d, "event_store"), _aliases(s, d)).withColumnRenamed("event_id", "id"), "id", "left").join(bound(s, d, "discoveries").groupBy(F.concat(F.lit("o"), F.substring("event_id", 2, 20)).alias("id")).agg(F.max("discovery_id").alias("newest"), F.count("*").alias("seen")), "id", "left").select("id", "title", "canonical_url", "newest", "seen"),
+        f"{cte('event_store', 'discoveries')}, {_BACKFILL}, x AS (SELECT 'o' || substr(event_id, 2) AS id, max(discovery_id) AS newest, count(*) AS seen FROM discoveries GROUP BY 1) SELECT e.id, e.title, a.canonical_url, newest, seen FROM event_store e LEFT JOIN aliases a ON a.event_id = e.id LEFT JOIN x ON x.id = e.id",
+    ),
+    "view9_source_detail": (
+        lambda s, d: _all_sources(s, d).select("id", "kind").unionByName(v.historical_sources(_all_sources(s, d), bound(s, d, "source_runs"), bound(s, d, "event_store")).select("id", "kind")).join(a.source_history(bound(s, d, "source_runs"), bound(s, d, "runs")).where("place = 1").select(F.col("source_id").alias("id"), "run_id", "state"), "id", "left"),
+        f"""{cte('catalog', 'inbox', 'runs', 'source_runs', 'event_store')}, k AS (SELECT id, 'website' AS kind FROM catalog UNION ALL SELECT id, 'inbox' FROM inbox),
+        al AS (SELECT * FROM k UNION ALL SELECT x, 'historical' FROM (SELECT source_id AS x FROM source_runs UNION SELECT source_id FROM event_store) WHERE x NOT IN (SELECT id FROM k)),
+        h AS (SELECT source_id, sr.run_id, sr.state FROM source_runs sr JOIN runs r ON r.run_id = sr.run_id QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, sr.run_id DESC) = 1)
+        SELECT id, kind, run_id, state FROM al LEFT JOIN h ON source_id = id""",
+    ),
     "res5_pair_similarity": (
         lambda s, d: r.score_pairs(bound(s, d, "event_store"), bound(s, d, "event_store"), "id", "id", t.norm_ascii, distinct=True),
         None,

@@ -362,6 +362,23 @@ def text_occurrences(rows: DataFrame, text: str = "text") -> DataFrame:
     return spread.withColumn("start", F.concat("day", F.lit("T"), t.clock12(F.col("time")), F.lit(":00"))).withColumn("reason", F.when(F.col("time").isNull(), "missing_explicit_time"))
 
 
+def fixed_time_occurrences(rows: DataFrame, clock: str, text: str = "text") -> DataFrame:
+    """Every dated mention of a text with one start time."""
+    dates = F.regexp_extract_all(text, F.lit(_DATE), F.lit(0))
+    one = rows.select(*rows.columns, F.posexplode(dates).alias("mention", "date"))
+    day = F.try_to_timestamp(F.regexp_replace("date", r"^\w+, ", ""), F.lit("MMMM d, yyyy")).cast("date").cast("string")
+    return one.withColumn("start", F.concat(day, F.lit(f"T{clock}:00"))).drop("date")
+
+
+def calendar_records(records: DataFrame, first: str, days: int) -> DataFrame:
+    """Typed calendar records (kind, hidden, start_date, start_time, end_date): programs and classes that are shown, dated
+    and not over; outside the window or without a time they carry a reason."""
+    last = F.date_add(F.lit(first).cast("date"), days).cast("string")
+    rows = records.where(F.col("kind").isin("program", "class") & ~F.coalesce("hidden", F.lit(False)) & F.col("start_date").isNotNull() & (F.coalesce("end_date", "start_date") >= first))
+    reason = F.when(F.col("start_date") > last, "outside_date_window").when(F.coalesce("start_time", F.lit("")) == "", "missing_explicit_time")
+    return rows.withColumn("start", F.concat_ws("T", "start_date", F.nullif("start_time", F.lit("")))).withColumn("reason", reason)
+
+
 def weekly_occurrences(evidence: DataFrame, patterns: list[str], weekday: str, clock: str, first: str, days: int) -> DataFrame:
     """Dates of a weekly event in a window, for sources whose text shows every pattern (source_id, text)."""
     last = F.date_add(F.lit(first).cast("date"), days)
