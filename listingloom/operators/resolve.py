@@ -12,8 +12,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listingloom.functions import text as t
@@ -203,20 +204,36 @@ _RESULT = "kind string, n long, event_id string, outcome string, body string"
 
 
 def _replayed(seen: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bodies = [(k, n, json.loads(b)) for k, n, b in zip(rows["kind"], rows["n"], rows["body"], strict=True)]
+    """Rows come ordered by root; each component is replayed in memory."""
+
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        bodies = [(k, n, json.loads(b)) for _, k, n, b in rows]
         store = Replay([b for k, _, b in bodies if k == "event"], [b for k, _, b in bodies if k == "alias"])
-        out = []
         for n, new in sorted(((n, b) for k, n, b in bodies if k == "staged"), key=lambda x: x[0]):
-            event, outcome = store.take(new, seen)
-            out.append(("outcome", n, event, outcome, ""))
-        out += [("event", 0, i, "", json.dumps(store.events[i], ensure_ascii=False)) for i in store.touched]
-        out += [("alias", 0, i, "", json.dumps(a, ensure_ascii=False)) for (i, _), a in store.aliases.items()]
-        return pd.DataFrame(out, columns=["kind", "n", "event_id", "outcome", "body"])
+            yield "outcome", n, *store.take(new, seen), ""
+        for i in sorted(store.touched):
+            yield "event", 0, i, "", json.dumps(store.events[i], ensure_ascii=False)
+        for (i, _), a in store.aliases.items():
+            yield "alias", 0, i, "", json.dumps(a, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            out += one(list(own))
+            if len(out) > 5000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
 
     return run
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["kind", "n", "event_id", "outcome", "body"])
+
+
 def prepared(rows: DataFrame) -> DataFrame:
     """FIELDS (missing ones null) with canonical URLs, null where they don't name one event."""
     have = {c: F.col(c) if c in rows.columns else F.lit(None) for c in FIELDS}
@@ -249,7 +266,7 @@ def finalize(staged: DataFrame, events: DataFrame, aliases: DataFrame, seen: str
     staged has n (the order of discovery, unique), raw_keys (the keys its source gave) and FIELDS; events FIELDS; aliases
     event_id, canonical_url, url, source_id, first_seen, last_seen. whole: replay everything as one component (for tests).
     """
-    staged, events = materialize(prepared(staged), "staged"), prepared(events)
+    staged, events = materialize(prepared(staged), "staged"), materialize(prepared(events), "stored")
     nodes = components(_edges(staged, events, aliases)) if not whole else None
 
     def body(rows: DataFrame, kind: str, node: Column, n: Column) -> DataFrame:
@@ -264,7 +281,9 @@ def finalize(staged: DataFrame, events: DataFrame, aliases: DataFrame, seen: str
         # Components without a staged row pass by: their events and aliases stay as they are.
         busy = grouped.where("kind = 'staged'").select("root").distinct()
         grouped = grouped.join(busy.hint("merge"), "root", "left_semi")
-    result = materialize(grouped.groupBy("root").applyInPandas(_replayed(seen), _RESULT), "replayed")
+    parts = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = grouped.select("root", "kind", "n", "body").repartition(parts, "root").sortWithinPartitions("root")
+    result = materialize(dealt.mapInArrow(_replayed(seen), _RESULT), "replayed")
     event_type, alias_type = events.schema, aliases.select("event_id", "canonical_url", "url", "source_id", "first_seen", "last_seen").schema
     changed = result.where("kind = 'event'").select(F.from_json("body", event_type).alias("e")).select("e.*")
     kept = events.join(changed.select("id").hint("merge"), "id", "left_anti").select(*changed.columns)

@@ -52,7 +52,7 @@ def _incoming(s, d):
 def _finalized(s, d):
     """A run whose staged rows are a second crawl of the store's listings under other URLs."""
     events = bound(s, d, "event_store")
-    staged = _incoming(s, d).join(events.drop("url", "signup_url", "start", "id", "last_seen", "first_seen").withColumn("n", events.id.substr(2, 20).cast("long")), "n")
+    staged = _incoming(s, d).join(events.withColumn("n", F.expr("cast(substr(id, 2) as bigint)")).drop("url", "signup_url", "start", "id", "last_seen", "first_seen"), "n")
     staged = staged.withColumn("raw_keys", F.array(F.lit("is_free"))).withColumn("first_seen", F.lit("2026-08-01")).withColumn("last_seen", F.lit("2026-08-01"))
     return r.finalize(staged, events, _aliases(s, d), "2026-08-01")
 
