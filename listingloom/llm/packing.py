@@ -20,35 +20,30 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from listingloom.llm.held import held
 from listingloom.llm.shingles import hash_spans
 from listingloom.session import materialize
 
 LIMIT = 4096
 END_ID = 1
 #: Ids kept for words by a task; then it starts anew.
-CACHE_IDS = 8_000_000
+CACHE_IDS = 6_000_000
 #: Words of Latin letters that normalisation leaves whole, and the bytes behind which a full stop is a word of its own.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,40}").fullmatch
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_loaded: dict = {}
 
 
 def _tokenizer(path: str):
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+    return held("packing", path, lambda: Tokenizer.from_file(path))
 
 
 def _ends_word(tokenizer) -> np.ndarray:
     """For each id, whether a word ends with it."""
-    key = ("ends", id(tokenizer))
-    if key not in _loaded:
-        _loaded[key] = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
-    return _loaded[key]
+    return np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
 
 
 class Words:
@@ -56,40 +51,39 @@ class Words:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.ends = _ends_word(self.tokenizer)
+        self.ends = held("packing", (path, "ends"), lambda: _ends_word(self.tokenizer))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
     def _append(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(ids)), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        """Plain words are encoded together, as one text, and told apart by the ids that end a word; others alone."""
-        while len(self.known) + len(words) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Slots of new words. Plain ones are encoded together, as one text, and told apart by the ids that end a word; others alone."""
+        n = len(self.keys)
+        while n + len(words) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(len(x) // 2, np.int32)]) for x in (self.first, self.size))
         plain = [k for k, w in enumerate(words) if _PLAIN(w)]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k] for k in plain)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(plain):
                 raise ValueError("a word was taken apart")
-            at, n = self._append(ids), len(self.known)
-            self.size[n : n + len(plain)] = np.diff(stops, prepend=0)
-            self.first[n : n + len(plain)] = at + stops - self.size[n : n + len(plain)]
-            self.known.update(zip((hashes[k] for k in plain), range(n, n + len(plain)), strict=True))
+            at, own = self._append(ids), n + np.array(plain)
+            self.size[own] = np.diff(stops, prepend=0)
+            self.first[own] = at + stops - self.size[own]
         odd = [k for k, w in enumerate(words) if not _PLAIN(w)]
         for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
-            n = len(self.known)
-            self.first[n], self.size[n] = self._append(np.array(e.ids, np.uint32)), len(e.ids)
-            self.known[hashes[k]] = n
+            self.first[n + k], self.size[n + k] = self._append(np.array(e.ids, np.uint32)), len(e.ids)
+        return np.arange(n, n + len(words), dtype=np.int32)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text. Words lie between spaces and line feeds, which the tokenizer removes before it looks at words;
@@ -103,16 +97,17 @@ class Words:
         starts = np.flatnonzero(~apart[1:] & (apart[:-1] | stop[1:])) + 1
         ends = np.flatnonzero(~apart[:-1] & (apart[1:] | stop[1:])) + 1
         hashes, where, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        keys, get = hashes.tolist(), self.known.get
-        slots = [get(k, -1) for k in keys]
-        new = [i for i, x in enumerate(slots) if x < 0]
-        if new:
+        at = np.searchsorted(self.keys, hashes)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[k] : ends[k]].decode("utf-8", "surrogatepass") for k in where[new].tolist()])
-            for i in new:
-                slots[i] = self.known[keys[i]]
-        slot = np.array(slots, np.int64)[inverse]
-        size = self.size[slot]
+            slots = self._learn([raw[starts[k] : ends[k]].decode("utf-8", "surrogatepass") for k in where[new].tolist()])
+            self.keys, self.slots = np.insert(self.keys, at[new], hashes[new]), np.insert(self.slots, at[new], slots)
+            at = np.searchsorted(self.keys, hashes)
+        slot = self.slots[at][inverse]
+        size = self.size[slot].astype(np.int64)
         last = np.cumsum(size)
         ids = self.ids[np.repeat(self.first[slot] - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -142,7 +137,8 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), words), strict=True):
+            parts = (batch.slice(i, 512) for i in range(0, batch.num_rows, 512))
+            for doc_id, ids in ((d, x) for p in parts for d, x in zip(p.column(0).to_pylist(), token_ids(p.column(1).to_pylist(), words), strict=True)):
                 ids = np.concatenate([ids, end])
                 for k in range(0, len(ids), limit):
                     own = ids[k : k + limit]

@@ -29,7 +29,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * _BLOCK)
+        size = max(n, _BLOCK + (1 << 18))
         _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(size, b, _U)])) for b in (_BASE, _BASE_INVERSE)]
     return _POWERS
 
