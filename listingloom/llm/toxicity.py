@@ -20,6 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from listingloom.llm.held import held
+from listingloom.llm.shingles import shingle_sets
+
 WINDOW = 64
 #: Bounds of the labelled sample that is read to the driver: documents of each class.
 TOXIC_DOCS, ORDINARY_DOCS = 1500, 3000
@@ -27,7 +30,6 @@ GRAM, LEAST_DOCS, LEAST_LLR = 5, 6, 20.0
 WORD_BYTES, SHARED_BYTES = 3072, 32768
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
-_loaded: dict = {}
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -45,17 +47,16 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def _compressors(model: dict) -> list:
-    key = id(model)
-    if key not in _loaded:
-        _loaded.clear()
+    def build() -> list:
         options = zstandard.ZstdCompressionParameters.from_level(5, min_match=5, strategy=4, search_log=6, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         made = []
         for content in (model["ordinary"], model["toxic"]):
             words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=options)
             made.append(zstandard.ZstdCompressor(dict_data=words, compression_params=options).compress)
-        _loaded[key] = (made, model)
-    return _loaded[key][0]
+        return made
+
+    return held("toxicity", (model["ordinary"], model["toxic"]), build)
 
 
 def features(text: str | None, model: dict) -> list[float]:
@@ -84,11 +85,23 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
 
 
+def distinct(texts: list[str]) -> list[str]:
+    """The texts of which no large part was in one before: copies would pass for evidence."""
+    seen: set[int] = set()
+    out = []
+    for text, own in zip(texts, map(np.ndarray.tolist, shingle_sets(texts)), strict=True):
+        if sum(x in seen for x in own) <= 0.3 * len(own):
+            out.append(text)
+            seen.update(own)
+    return out
+
+
 def train(toxic: list[str], ordinary: list[str], seed: int = 11) -> dict:
-    """Dictionaries from one half of the texts, weights of the logistic model from the other."""
+    """Dictionaries from two thirds of the distinct texts, weights of the logistic model from the rest."""
     rng = random.Random(seed)
+    toxic, ordinary = distinct(toxic), distinct(ordinary)
     toxic, ordinary = rng.sample(toxic, len(toxic)), rng.sample(ordinary, len(ordinary))
-    t, o = len(toxic) // 2, len(ordinary) // 2
+    t, o = 2 * len(toxic) // 3, 2 * len(ordinary) // 3
     words = [[Counter(_WORD.findall(x.lower())) for x in own] for own in (toxic[:t], ordinary[:o])]
     docs: list[Counter] = [Counter(), Counter()]
     for tally, own in zip(docs, words, strict=True):
@@ -166,8 +179,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([probability(t, model) for t in batch.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                scores = pa.array([probability(t, model) for t in part.column(1).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), scores], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
