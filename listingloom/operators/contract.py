@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 # Field -> kinds its JSON value may have.
 REQUIRED = {
-    "source_id": "STRING", "source_event_id": "STRING", "title": "STRING", "start": "STRING", "end": "STRING|VOID", "url": "STRING", "signup_url": "STRING", "host": "STRING",
-    "venue": "STRING", "neighborhood": "STRING", "address": "STRING", "price": "STRING", "is_free": "BOOLEAN|VOID", "explicit_age_min": "BIGINT|VOID", "explicit_age_max": "BIGINT|VOID",
-    "age_label": "STRING", "capacity_flag": "STRING|VOID", "description": "STRING", "status": "STRING", "retrieved_at": "STRING", "source_url": "STRING", "content_hash": "STRING",
+    "title": "STRING", "start": "STRING", "end": "STRING|VOID", "url": "STRING", "signup_url": "STRING", "host": "STRING",
+    "venue": "STRING", "neighborhood": "STRING", "address": "STRING", "price": "STRING", "is_free": "BOOLEAN|VOID",
+    "description": "STRING", "capacity_flag": "STRING|VOID", "status": "STRING", "source_id": "STRING",
+    "source_listing_url": "STRING", "source_url": "STRING", "source_event_id": "STRING", "fetched_at": "STRING",
+    "parser_version": "STRING", "content_hash": "STRING", "extracted_json": "[A-Z]+",
 }
-OPTIONAL = {"format_tags": "ARRAY", "fit_note": "STRING", "raw": "OBJECT", "detail_url": "STRING"}
+OPTIONAL = {"explicit_age_min": "BIGINT|VOID", "explicit_age_max": "BIGINT|VOID", "explicit_age_label": "STRING|VOID", "orientation_scope": "STRING|VOID"}
+METHOD = "python_adapter"
 STATUSES = ("active", "cancelled", "postponed")
 _AWARE = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|[+-]\d\d:\d\d)$"
 
@@ -26,7 +29,7 @@ def check_raw_events(rows: DataFrame, raw: str = "raw", most: int = 5) -> DataFr
         if name in REQUIRED:
             checks.append(F.when(~there, f"{name}: missing"))
         checks.append(F.when(there & ~kind.rlike(f"^({kinds})$"), f"{name}: wrong kind"))
-    for name in ("start", "end", "retrieved_at"):
+    for name in ("start", "end", "fetched_at"):
         text = F.get_json_object(raw, f"$.{name}")
         checks.append(F.when(text.isNotNull() & ~text.rlike(_AWARE), f"{name}: not a time with offset"))
     checks.append(F.when(~F.get_json_object(raw, "$.status").isin(*STATUSES), "status: unknown"))
@@ -40,7 +43,7 @@ def check_source_results(rows: DataFrame, states: tuple[str, ...]) -> DataFrame:
     """rows (state, method, fetched_at, reasons) with problems of a source result's own fields."""
     checks = [
         F.when(~F.coalesce(F.col("state").isin(*states), F.lit(False)), "state: unknown"),
-        F.when(F.coalesce(F.trim("method"), F.lit("")) == "", "method: missing"),
+        F.when(~F.coalesce(F.col("method") == METHOD, F.lit(False)), "method: unknown"),
         F.when(~F.coalesce(F.col("fetched_at").rlike(_AWARE), F.lit(False)), "fetched_at: not a time with offset"),
         F.when(F.exists(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: F.coalesce(F.trim(r), F.lit("")) == ""), "rejection: no reason"),
     ]

@@ -366,7 +366,7 @@ QUERIES = {
     ),
     "val1_check_raw_events": (
         lambda s, d: contract.check_raw_events(bound(s, d, "event_store").select("id", F.to_json(F.struct("title", "start", "status", "is_free", F.col("price").alias("cost"))).alias("raw"))).select("id", F.array_join("problems", ";").alias("problems")),
-        f"{cte('event_store')} SELECT id, 'source_id: missing;source_event_id: missing;end: missing;url: missing;signup_url: missing' AS problems FROM event_store",
+        f"{cte('event_store')} SELECT id, 'end: missing;url: missing;signup_url: missing;host: missing;venue: missing' AS problems FROM event_store",
     ),
     "ext36_redact_contacts": (
         lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", t.redact_contacts(F.col("text")).alias("redacted")),

@@ -117,7 +117,7 @@ def test_page_contents(spark):
 
 
 def test_contract(spark):
-    good = {k: ("x" if v.startswith("STRING") else None) for k, v in contract.REQUIRED.items()} | {"start": "2026-08-01T20:00:00-04:00", "retrieved_at": "2026-08-01T20:00:00Z", "status": "active", "end": None, "capacity_flag": None}
+    good = {k: ("x" if v.startswith("STRING") else None) for k, v in contract.REQUIRED.items()} | {"start": "2026-08-01T20:00:00-04:00", "fetched_at": "2026-08-01T20:00:00Z", "status": "active", "end": None, "capacity_flag": None}
     rows = [good, {k: v for k, v in good.items() if k != "title"} | {"extra": 1}, good | {"title": 5, "start": "2026-08-01T20:00:00", "status": "odd"}, [1]]
     got = [r.problems for r in contract.check_raw_events(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i int, raw string")).orderBy("i").collect()]
     assert got == [[], ["title: missing", "unknown: extra"], ["title: wrong kind", "start: not a time with offset", "status: unknown"], ["not an object"]]
