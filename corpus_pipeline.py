@@ -17,8 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
     """The rows of docs whose doc_id isn't among rejected; rows without a doc_id stay."""
     ids = materialize(rejected.where("doc_id is not null").select(F.col("doc_id").alias("rejected_id")).distinct(), name)
-    kept = docs.join(hinted(ids), F.col("doc_id") == F.col("rejected_id"), "left_anti")
-    return kept.select(*COLUMNS)
+    return docs.select(*COLUMNS).join(hinted(ids), F.col("doc_id") == F.col("rejected_id"), "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
