@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from listingloom.llm.held import held, tidied
+
 #: Bounds of the labelled sample: documents of a language, and code points of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 64, 512
+SAMPLE_DOCS, SAMPLE_CHARS = 64, 320
 #: Letters told apart; rarer ones share a symbol.
 LETTERS = 93
 #: A phrase begins anew at every window of so many symbols, so that long texts are walked in parallel.
@@ -25,7 +27,6 @@ WINDOW = 512
 UNKNOWN = "und"
 _PAD, _OTHER, _GAP = 0, 1, 2
 _LETTER = re.compile(r"[^\W\d_]")
-_loaded: dict = {}
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -82,7 +83,7 @@ def compile_model(sample: dict[str, list[str]]) -> dict:
     for name in names:
         text = np.concatenate([symbols(f" {t} ", table) for t in sample[name]]).tolist()
         edges = suffix_automaton(text)
-        own = np.zeros((len(edges), width), np.int64)
+        own = np.zeros((len(edges), width), np.int32)
         own[:] = (base * width) << 2 | 2
         own[0] = (base * width) << 2 | 1
         for symbol, target in edges[0].items():
@@ -92,7 +93,7 @@ def compile_model(sample: dict[str, list[str]]) -> dict:
         for state, out in enumerate(edges):
             for symbol, target in out.items():
                 own[state, symbol] = (base + target) * width << 2
-        tables.append(own.astype(np.int32).ravel())
+        tables.append(own.ravel())
         starts.append(base * width)
         logs.append(np.log(max(len(text), 2)))
         base += len(edges)
@@ -171,12 +172,9 @@ def identify(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
     read whole. Ties go to the language that sorts first; repeated rows are predicted each; a null doc_id isn't held out.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = repr(sample)
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = compile_model(sample)
-        model = _loaded[key]
+        model = held("language", repr(sample), lambda: compile_model(sample))
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

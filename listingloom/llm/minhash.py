@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from listingloom.llm.held import held, tidied
 from listingloom.llm.shingles import shingle_sets
 from listingloom.session import hinted, materialize
 
@@ -26,15 +27,16 @@ PIVOTS = 3
 UNIVERSE_BITS = 22
 #: Pairs whose estimate from 128 coordinates is lower aren't verified; at a true 0.75 that is 6.5 standard deviations off.
 LEAST_ESTIMATE = 0.5
-_tables: list[np.ndarray] = []
 
 
 def _shifted() -> np.ndarray:
     """Row i holds the second permutation at i, i+1, ..., i+127 (circular): all coordinates of one element."""
-    if not _tables:
+
+    def build() -> np.ndarray:
         second = np.random.default_rng(20_240_117).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-        _tables.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:COORDINATES]]), COORDINATES))
-    return _tables[0]
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:COORDINATES]]), COORDINATES)
+
+    return held("minhash", "shifted", build)
 
 
 def _scatter(shingles: np.ndarray) -> np.ndarray:
@@ -60,6 +62,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+@tidied
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
@@ -83,6 +86,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_digests, "doc_id long, n_shingles long, low long, high long, signature binary")
 
 
+@tidied
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep pairs whose signatures agree in enough coordinates."""
     for batch in batches:
@@ -92,6 +96,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
 
 
+@tidied
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep pairs with 100 * intersection >= 75 * union of the full shingle sets."""
     for batch in batches:
@@ -140,6 +145,7 @@ def _components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+@tidied
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):

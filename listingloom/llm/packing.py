@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from listingloom.llm.held import held
+from listingloom.llm.held import held, tidied
 from listingloom.llm.shingles import hash_spans
 from listingloom.session import materialize
 
 LIMIT = 4096
 END_ID = 1
 #: Ids kept for words by a task; then it starts anew.
-CACHE_IDS = 6_000_000
+CACHE_IDS = 4_000_000
 #: Words of Latin letters that normalisation leaves whole, and the bytes behind which a full stop is a word of its own.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,40}").fullmatch
 _ALNUM = np.zeros(256, bool)
@@ -130,6 +130,7 @@ def token_ids(texts: list[str | None], words: Words) -> Iterator[np.ndarray]:
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, and its rank among the pieces of its length in its task."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(path)
         ranks: Counter = Counter()
@@ -279,6 +280,7 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         counts[r.length] = r.n
     keys, sequences, offsets = places(plan(counts, limit))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = (batch.column("length").to_numpy() << 40) + batch.column("rank").to_numpy()

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from listingloom.llm.held import held, tidied
+
 LIMIT = 4096
 CHUNK = 256
 SPACE = "▁"
@@ -25,7 +27,6 @@ SPACE = "▁"
 COLUMNS, MOST_COLUMNS, ENTRIES = 128, 256, 1 << 25
 _BITS, _ZERO = 5, 16
 _PAD = 0
-_loaded: dict = {}
 
 
 class Transducer:
@@ -213,13 +214,15 @@ class Transducer:
 
 
 def load(path: str) -> Transducer:
-    """The transducer of a sentencepiece BPE model file; kept for the life of the Python worker."""
-    if path not in _loaded:
+    """The transducer of a sentencepiece BPE model file, kept between tasks."""
+
+    def build() -> Transducer:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        _loaded[path] = Transducer({model.id_to_piece(i): model.get_score(i) for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))})
-    return _loaded[path]
+        return Transducer({model.id_to_piece(i): model.get_score(i) for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))})
+
+    return held("token_counts", path, build)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -228,6 +231,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     Null texts count as empty, with no bytes and no tokens; repeated rows and null ids are counted each.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = load(path)
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listingloom.llm.held import held
+from listingloom.llm.held import held, tidied
 from listingloom.llm.shingles import shingle_sets
 
 WINDOW = 64
@@ -177,6 +177,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     doc_id isn't held out. Without labels of both classes nothing is learned and every score is the prior.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
