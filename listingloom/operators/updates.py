@@ -8,6 +8,11 @@ from listingloom.functions import text as t
 from listingloom.operators.accounting import rejection_counts
 
 
+def with_canonical(rows: DataFrame) -> DataFrame:
+    """rows with canonical_url of url; exploded from an array of one, so that a filter on it doesn't repeat its making."""
+    return rows.select("*", F.explode(F.array(t.canon_url(F.col("url")))).alias("canonical_url"))
+
+
 def upsert_events(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace the stored ones of their id, all columns; others stay. The last of repeated ids wins by n."""
     last = incoming.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc()))).where("k = 1").select(*store.columns)
@@ -20,7 +25,7 @@ def upsert_aliases(aliases: DataFrame, sightings: DataFrame) -> DataFrame:
     Only URLs that name an event count. The newest URL text that isn't blank stays, the oldest source that isn't blank,
     the earliest first_seen and the latest last_seen. is_new tells aliases that weren't there.
     """
-    new = sightings.withColumn("canonical_url", t.canon_url(F.col("url"))).where(t.is_event_url(F.col("canonical_url")))
+    new = with_canonical(sightings).where(t.is_event_url(F.col("canonical_url")))
     new = new.select("event_id", "canonical_url", "url", F.coalesce("source_id", F.lit("")).alias("source_id"), F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"), F.lit(1).alias("age"))
     both = aliases.select("event_id", "canonical_url", "url", "source_id", "first_seen", "last_seen", F.lit(0).alias("age")).unionByName(new)
     said = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.struct("age", "first_seen", c))
@@ -34,7 +39,7 @@ def upsert_aliases(aliases: DataFrame, sightings: DataFrame) -> DataFrame:
 
 def backfill_aliases(events: DataFrame) -> DataFrame:
     """The alias of every stored event's own URL."""
-    own = events.withColumn("canonical_url", t.canon_url(F.col("url"))).where(t.is_event_url(F.col("canonical_url")))
+    own = with_canonical(events).where(t.is_event_url(F.col("canonical_url")))
     return own.select(F.col("id").alias("event_id"), "canonical_url", "url", "source_id", "first_seen", "last_seen")
 
 
