@@ -1,21 +1,71 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Fixed masks choose eight of twelve consecutive tokens; the rest may differ. Seeds of benchmark items and of documents are
-joined by hash; each hit names a diagonal (document position minus item position), on which all tokens are compared, so a
-passage with substituted words still counts. Items of 5 to 11 tokens are searched as a whole; shorter ones are not.
+Spaced masks choose tokens of a short window; the rest may differ. Seeds of benchmark items and of documents are joined by
+hash; each hit names a diagonal (document position minus item position). The masks lose nothing: a passage that keeps the
+least overlap has, wherever its tokens are substituted, a number of hits on its diagonal that is known for each item length
+(`least_hits`). Diagonals with so many are verified token by token. Items under 5 tokens aren't searched.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listingloom.session import hinted, materialize
 
-MASKS = ("110110100111", "111001011011", "101101110101")
-SPAN = len(MASKS[0])
+#: (weight, span): all masks of so many tokens within the span. An item takes the first family that can't miss it.
+FAMILIES = ((3, 4), (3, 5), (3, 7), (2, 3), (2, 5), (1, 1))
 LEAST_TOKENS = 5
 #: Share of an item's tokens that must stand on one diagonal of a document.
 LEAST_OVERLAP = 0.6
+#: Longer items are taken as pieces of half this to this many tokens, one of which keeps the overlap.
+LONG = 512
+
+
+def masks(family: tuple[int, int]) -> list[tuple[int, ...]]:
+    """Offsets of the chosen tokens, each mask beginning at 0."""
+    weight, span = family
+    return [(0, *rest) for rest in combinations(range(1, span), weight - 1)]
+
+
+def least_hits(family: tuple[int, int], longest: int, least: float) -> list[int]:
+    """By item length 0 to longest: the fewest hits on a diagonal where a share of at least least of the tokens agree."""
+    span, unmet = family[1], 1 << 30
+    ends = [sum(1 << (m[-1] - k) for k in m) for m in masks(family)]  # bits of a mask, the newest token lowest
+    new = [sum(w & e == e for e in ends if e & 1) for w in range(1 << span)]
+    states = 1 << (span - 1)
+    fewest = np.full((states, longest + 1), unmet)  # by the last span - 1 tokens (bit: agrees) and the tokens agreed
+    fewest[0, 0] = 0
+    out = [0]
+    for n in range(1, longest + 1):
+        after = np.full_like(fewest, unmet)
+        for state in range(states):
+            for bit in (0, 1):
+                window = state << 1 | bit
+                to = after[window & (states - 1)]
+                gained = fewest[state, : longest + 1 - bit] + (new[window] if bit else 0)
+                np.minimum(to[bit:], gained, out=to[bit:])
+        fewest = after
+        agreed = np.arange(n + 1) >= least * n
+        out.append(int(fewest[:, : n + 1].min(axis=0)[agreed].min()) if agreed.any() else 1)
+    return out
+
+
+def plan(longest: int, least: float) -> tuple[list[int], list[int]]:
+    """By item length (from 1; the last entry stands for all longer ones): number of the family, hits it can't go below."""
+    longest = min(longest, LONG)
+    tables = [least_hits(f, longest, least) for f in FAMILIES]
+    first = [next((i for i, t in enumerate(tables) if t[n]), len(FAMILIES) - 1) for n in range(1, longest + 1)]
+    hits = [max(tables[i][n], 1) for n, i in enumerate(first, 1)]
+    if longest == LONG:
+        pieces = [t[LONG // 2 :] for t in tables]
+        i = next((i for i, t in enumerate(pieces) if min(t)), len(FAMILIES) - 1)
+        first.append(i)
+        hits.append(max(min(pieces[i]), 1))
+    return first, hits
 
 
 def words(text: Column) -> Column:
@@ -23,14 +73,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """keep, pos, seed for each position and mask of rows.h, an array of token hashes."""
-    span = len(masks[0])
-    used = [k for k in range(span) if any(m[k] == "1" for m in masks)]
-    count = F.size("h") - (span - 1)
-    windows = F.arrays_zip(*(F.slice("h", F.lit(k + 1), F.greatest(count, F.lit(0))).alias(f"t{k}") for k in used))
-    at = rows.where(F.size("h") >= span).select(*keep, F.posexplode(windows).alias("pos", "w"))
-    hashed = [F.xxhash64(F.lit(i), *(F.col(f"w.t{k}") for k in used if m[k] == "1")) for i, m in enumerate(masks)]
+def seeds(rows: DataFrame, keep: list[str], chosen: list[tuple[int, ...]]) -> DataFrame:
+    """keep, pos, seed for each position and mask of rows.h, an array of token hashes; null where a mask leaves the array."""
+    used = sorted({k for m in chosen for k in m})
+    shifted = F.arrays_zip(*(F.slice("h", F.lit(k + 1), F.greatest(F.size("h") - k, F.lit(0))).alias(f"t{k}") for k in used))
+    at = rows.select(*keep, F.posexplode(shifted).alias("pos", "w"))
+    hashed = [F.when(F.col(f"w.t{m[-1]}").isNotNull(), F.xxhash64(F.lit(sum(1 << k for k in m)), *(F.col(f"w.t{k}") for k in m))) for m in chosen]
     return at.select(*keep, "pos", F.explode(F.array(*hashed)).alias("seed"))
 
 
@@ -42,20 +90,19 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST_OVERLAP) ->
     """
     hashes = F.transform("w", lambda x: F.xxhash64(x))
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") >= LEAST_TOKENS).distinct()
-    items = materialize(items.withColumn("h", hashes), "items")
+    longest = items.select(F.max(F.size("w"))).first()[0] or 0
+    family, hits = plan(max(longest, 1), least)
+    known = F.least(F.size("w"), F.lit(len(family)))
+    items = materialize(items.select("*", hashes.alias("h"), F.element_at(F.lit(family), known).alias("family"), F.element_at(F.lit(hits), known).alias("least_hits")), "items")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
-    hashed = docs.select("doc_id", hashes.alias("h"))
-    lengths = [r.n for r in items.select(F.least(F.size("h"), F.lit(SPAN)).alias("n")).distinct().collect()]  # at most 8 values
-    found = None
-    for n in sorted(lengths):
-        masks = MASKS if n == SPAN else ("1" * n,)
-        of = items.where(F.size("h") >= SPAN if n == SPAN else F.size("h") == n)
-        wanted = materialize(seeds(of, ["item_id"], masks).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
-        hits = seeds(hashed, ["doc_id"], masks).join(hinted(wanted), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start"))
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        found = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"))
-    found = materialize(found.distinct(), "hits")
+    families = sorted(r.family for r in items.select("family").distinct().collect()) or [0]
+    wanted = reduce(DataFrame.unionAll, (seeds(items.where(F.col("family") == i), ["item_id"], masks(FAMILIES[i])) for i in families))
+    wanted = materialize(wanted.where("seed is not null").withColumnRenamed("pos", "item_pos").distinct(), "seeds")
+    chosen = sorted({m for i in families for m in masks(FAMILIES[i])})
+    at = seeds(docs.select("doc_id", hashes.alias("h")), ["doc_id"], chosen).join(hinted(wanted), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start"))
+    found = at.groupBy("doc_id", "item_id", "start").agg(F.count("*").alias("hits"))
+    found = found.join(hinted(items.groupBy("item_id").agg(F.min("least_hits").alias("least_hits"))), "item_id").where("hits >= least_hits")
+    found = materialize(found.select("doc_id", "item_id", "start"), "hits")
     there = docs.join(hinted(materialize(found.select("doc_id").distinct(), "hit-ids")), "doc_id", "left_semi").select("doc_id", F.col("w").alias("dw"))
     both = found.join(hinted(items.select("item_id", "w")), "item_id").join(there.hint("merge"), "doc_id")
     first, skipped = F.greatest("start", F.lit(0)), F.greatest(-F.col("start"), F.lit(0))

@@ -60,3 +60,21 @@ def test_empty_tables(spark):
     assert decontaminate.overlaps(docs, items).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert decontaminate.overlaps(some, items).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Items of 5 to 20, 38 and 600 tokens, substituted anywhere down to 60 %, are found as by brute force."""
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("bcdfghjklm") + rng.choice("aeiou") + str(rng.randrange(900)) for _ in range(n)]
+    items, rows = {n: words(n) for n in (*range(5, 21), 38, 45, 600)}, []
+    for n, item in items.items():
+        for share in (0.6, 0.7, 0.8):
+            for _ in range(25 if n < 100 else 2):
+                keep = set(rng.sample(range(n), -int(-share * n // 1)))
+                rows.append((len(rows), " ".join(words(6) + [w if k in keep else "other" for k, w in enumerate(item)] + words(6))))
+        rows.append((len(rows), " ".join(["x", *item[1:-1], "y"])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), [(n, " ".join(w)) for n, w in items.items()]
+    want = brute(rows, bench)
+    assert len(want) >= len(rows) - 1 and found(decontaminate.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string"))) == want
+    least = brute(rows, bench, 0.3)
+    assert found(decontaminate.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string"), 0.3)) == least
