@@ -311,6 +311,10 @@ QUERIES = {
         lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", t.norm_text(F.col("text")).alias("normed")),
         "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS normed FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')",
     ),
+    "scl1_norm_text": (
+        lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", t.norm_text(F.col("text")).alias("normed")),
+        None,
+    ),
     "upd4_finalize_run": (
         lambda s, d: _finalized(s, d)[2],
         None,

@@ -1,10 +1,13 @@
 import datetime
 import hashlib
 import json
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from listingloom.functions import events as e
 from listingloom.functions import text as t
 from listingloom.operators import contract, resolve, updates
@@ -208,3 +211,10 @@ def test_matching_nothing(spark, empty):
     events = incoming.drop("n")
     aliases = spark.createDataFrame([], "event_id string, canonical_url string")
     assert {"alias": lambda: resolve.match_alias(incoming, aliases, events), "exact": lambda: resolve.match_exact(incoming, events), "occurrence": lambda: resolve.match_occurrence(incoming, events)}[empty]().count() == 0
+
+
+def test_norm_text_of_all_documents(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: r.normed for r in __spark_entry__.queries()["scl1_norm_text"](spark, small).collect()}
+    assert any(x and not x.isascii() for x in docs.values())
+    assert got == {k: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", x or "").lower()).strip() for k, x in docs.items()}
