@@ -218,3 +218,9 @@ def test_norm_text_of_all_documents(spark, small):
     got = {r.doc_id: r.normed for r in __spark_entry__.queries()["scl1_norm_text"](spark, small).collect()}
     assert any(x and not x.isascii() for x in docs.values())
     assert got == {k: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", x or "").lower()).strip() for k, x in docs.items()}
+
+
+def test_event_theme_has_the_twenty_rules(spark):
+    said = ["Barbell workout", "Photo walk", "Writing hour", "Karaoke", "Board game night", "Sunset hike", "Magic show", "Theatre", "Singles mixer", "Yoga", "Comedy dinner", "Gallery hop", "Nothing"]
+    got = values(spark, e.event_theme, *said)
+    assert len(e.SYMBOLS) == 20 and [x.rstrip("\ufe0f") for x in got] == list("🏋📸✍🎤🎲🚶🪄🎭🎉🧘🍽🎨✨")
