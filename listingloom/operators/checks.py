@@ -33,16 +33,40 @@ def profile_references(sources: DataFrame, profiles: DataFrame) -> DataFrame:
     return gone.unionByName(used)
 
 
-def check_catalog(sources: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(id, problem) of a catalog's sources (id, enabled, disabled_reason, adapter, profile)."""
+def check_catalog(sources: DataFrame, profiles: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
+    """(id, problem) of a catalog: sources (id, enabled, disabled_reason, adapter, profile), profiles (name), inbox (id, profile).
+
+    What a typed table can't show comes as flags, as `tables.read_catalog` gives them: bad_enabled, bad_adapter and has_cadence
+    of sources, has_cadence of the inbox, has_primary, has_required_fields, has_empty_signal and has_audit_cadence of
+    profiles. A rule whose flag is no column isn't checked. The id of a problem of the inbox as a whole is empty.
+    """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    said = lambda rows, problem: rows.select("id", F.lit(problem).alias("problem"))
+    named, names = sources.where(~blank("id")), profiles.select(F.col("name").alias("profile"))
     rules = [
         sources.where(blank("id")).select(F.lit("").alias("id"), F.lit("source without id").alias("problem")),
-        duplicate_ids(sources.where(~blank("id"))).select("id", F.lit("duplicate source id").alias("problem")),
-        sources.where(~F.coalesce("enabled", F.lit(True)) & blank("disabled_reason")).select("id", F.lit("disabled without reason").alias("problem")),
-        sources.where(F.col("adapter").isNotNull() & blank("adapter")).select("id", F.lit("invalid adapter").alias("problem")),
-        profile_references(sources, profiles).where("kind = 'dangling'").select("id", F.concat(F.lit("missing profile "), "profile").alias("problem")),
+        said(duplicate_ids(named), "duplicate source id"),
+        said(named.where(~F.coalesce("enabled", F.lit(True)) & blank("disabled_reason")), "disabled without reason"),
+        said(named.where((F.col("bad_adapter") if "bad_adapter" in sources.columns else F.lit(False)) | (F.col("adapter").isNotNull() & blank("adapter"))), "invalid adapter"),
+        named.join(names, "profile", "left_anti").select("id", F.concat(F.lit("missing profile "), F.coalesce(F.nullif("profile", F.lit("")), F.lit("<none>"))).alias("problem")),
     ]
+    if "bad_enabled" in sources.columns:
+        rules.append(said(named.where("bad_enabled"), "non-boolean enabled"))
+    if "has_cadence" in sources.columns:
+        rules.append(said(named.where("has_cadence"), "obsolete cadence"))
+    for flag, wrong, problem in (("has_primary", False, "profile without primary"), ("has_required_fields", False, "profile without required fields"), ("has_empty_signal", False, "profile without empty rule"), ("has_audit_cadence", True, "obsolete audit_cadence")):
+        if flag in profiles.columns:
+            rules.append(said(profiles.where(F.col(flag) == wrong).withColumnRenamed("name", "id"), problem))
+    if inbox is not None:
+        items = inbox.where(~blank("id"))
+        again = items.groupBy("id").agg(F.count("*").alias("n")).join(named.select("id", F.lit(True).alias("taken")).distinct(), "id", "left")
+        rules += [
+            inbox.select("profile").distinct().join(names, "profile", "left_anti").select(F.lit("").alias("id"), F.concat(F.lit("inbox with missing profile "), F.coalesce(F.nullif("profile", F.lit("")), F.lit("<none>"))).alias("problem")),
+            inbox.where(blank("id")).select(F.lit("").alias("id"), F.lit("inbox source without id").alias("problem")),
+            said(again.where("taken or n > 1"), "duplicate source id across catalog and inbox"),
+        ]
+        if "has_cadence" in inbox.columns:
+            rules.append(said(items.where("has_cadence"), "obsolete cadence"))
     return reduce(DataFrame.unionByName, rules)
 
 

@@ -105,6 +105,19 @@ _HEALTH = f"""{cte('catalog', 'inbox', 'runs', 'source_runs')}, health AS (SELEC
 _RETRY = "('empty_suspicious','parse_failed','validation_failed','fetch_failed')"
 
 
+#: A catalog in which each of the 15 rules is broken, as columns over the bindings catalog and inbox.
+_BROKEN = {
+    "sources": ("CASE WHEN priority = 3 AND geo LIKE 'A%' THEN '' WHEN priority = 3 AND geo LIKE 'I%' THEN 'inbox1' ELSE id END AS id", "enabled", "disabled_reason", "adapter", "CASE WHEN geo LIKE 'U%' THEN NULL ELSE profile END AS profile", "geo LIKE 'B%' AS bad_enabled", "geo LIKE 'C%' AS bad_adapter", "geo LIKE 'E%' AS has_cadence"),
+    "profiles": ("DISTINCT profile AS name", "profile <> 'page' AS has_primary", "profile <> 'feed' AS has_required_fields", "profile <> 'page' AS has_empty_signal", "profile = 'feed' AS has_audit_cadence"),
+    "inbox": ("CASE WHEN priority = 2 AND url IS NULL THEN '' WHEN parse_hint = 'note' AND url IS NOT NULL AND priority IS NULL THEN 'inbox4' ELSE id END AS id", "'gone' AS profile", "url IS NULL AS has_cadence"),
+}
+
+
+def _broken(s, d):
+    part = lambda name, frm, extra="": s.sql(f"SELECT {', '.join(_BROKEN[name])} FROM {{t}} {extra}", t=bound(s, d, frm))
+    return c.check_catalog(part("sources", "catalog"), part("profiles", "catalog", "WHERE profile <> 'gone'"), part("inbox", "inbox"))
+
+
 def _payload(s, d):
     manifest = bound(s, d, "catalog").select(F.col("id").alias("source_id"))
     rows = bound(s, d, "source_runs").where("run_id = '1995-06'").select("source_id", "state")
@@ -258,6 +271,17 @@ QUERIES = {
         SELECT id, 'duplicate source id' AS problem FROM x GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT id, 'disabled without reason' FROM x WHERE NOT enabled AND disabled_reason = ''
         UNION ALL SELECT id, 'invalid adapter' FROM x WHERE adapter = '' UNION ALL SELECT id, 'missing profile gone' FROM x WHERE profile = 'gone'""",
     ),
+    "val3_check_whole_catalog": (
+        _broken,
+        f"""{cte('catalog', 'inbox')}, x AS (SELECT {', '.join(_BROKEN['sources'])} FROM catalog), p AS (SELECT {', '.join(_BROKEN['profiles'])} FROM catalog WHERE profile <> 'gone'), i AS (SELECT {', '.join(_BROKEN['inbox'])} FROM inbox), y AS (SELECT * FROM x WHERE id <> '')
+        SELECT '' AS id, 'source without id' AS problem FROM x WHERE id = '' UNION ALL SELECT id, 'duplicate source id' FROM y GROUP BY 1 HAVING count(*) > 1
+        UNION ALL SELECT id, 'disabled without reason' FROM y WHERE NOT enabled AND disabled_reason = '' UNION ALL SELECT id, 'invalid adapter' FROM y WHERE bad_adapter OR adapter = ''
+        UNION ALL SELECT id, 'missing profile ' || coalesce(profile, '<none>') FROM y WHERE profile IS NULL OR profile = 'gone' UNION ALL SELECT id, 'non-boolean enabled' FROM y WHERE bad_enabled
+        UNION ALL SELECT id, 'obsolete cadence' FROM y WHERE has_cadence UNION ALL SELECT name, 'profile without primary' FROM p WHERE NOT has_primary UNION ALL SELECT name, 'profile without required fields' FROM p WHERE NOT has_required_fields
+        UNION ALL SELECT name, 'profile without empty rule' FROM p WHERE NOT has_empty_signal UNION ALL SELECT name, 'obsolete audit_cadence' FROM p WHERE has_audit_cadence
+        UNION ALL SELECT DISTINCT '', 'inbox with missing profile gone' FROM i UNION ALL SELECT '', 'inbox source without id' FROM i WHERE id = ''
+        UNION ALL SELECT id, 'duplicate source id across catalog and inbox' FROM i WHERE id <> '' GROUP BY 1 HAVING count(*) > 1 OR id IN (SELECT id FROM x) UNION ALL SELECT id, 'obsolete cadence' FROM i WHERE id <> '' AND has_cadence""",
+    ),
     "val4_check_payload": (
         _payload,
         f"""{cte('catalog', 'source_runs', 'event_store')}, x AS (SELECT source_id, state FROM source_runs WHERE run_id = '1995-06')

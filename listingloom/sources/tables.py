@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CATALOG = """retrieval_profiles MAP<STRING, STRUCT<primary: STRUCT<method: STRING, recipe: STRING>, required_fields: ARRAY<STRING>, empty_signal: STRING>>,
-sources ARRAY<STRUCT<id: STRING, title: STRING, url: STRING, priority: INT, geo: STRING, parse_hint: STRING, retrieval_profile: STRING, enabled: BOOLEAN, disabled_reason: STRING, adapter: STRING>>,
-inbox_sources STRUCT<priority: INT, retrieval_profile: STRING, query_template: STRING, items: ARRAY<STRUCT<id: STRING, title: STRING, url: STRING, sender_hint: STRING, note: STRING, priority: INT>>>"""
+SOURCE = "id STRING, title STRING, url STRING, priority INT, geo STRING, parse_hint STRING, retrieval_profile STRING, enabled BOOLEAN, disabled_reason STRING, adapter STRING"
+PROFILE = "primary STRUCT<method: STRING, recipe: STRING>, required_fields ARRAY<STRING>, empty_signal STRING"
+INBOX = "priority INT, retrieval_profile STRING, query_template STRING, items ARRAY<STRING>"
+ITEM = "id STRING, title STRING, url STRING, sender_hint STRING, note STRING, priority INT"
 
 
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sources, profiles and inbox items (with the defaults they inherit) of a catalog file."""
-    whole = spark.read.option("multiLine", True).schema(CATALOG).json(path)
-    sources = whole.select(F.explode("sources").alias("s")).select("s.*").withColumn("enabled", F.coalesce("enabled", F.lit(True)))
-    profiles = whole.select(F.explode("retrieval_profiles").alias("name", "p")).select("name", "p.primary.method", "p.primary.recipe", "p.required_fields", "p.empty_signal")
-    inbox = whole.select("inbox_sources.retrieval_profile", F.col("inbox_sources.priority").alias("default"), F.explode("inbox_sources.items").alias("i"))
-    return sources, profiles, inbox.select("i.id", "i.title", F.coalesce("i.url", F.lit("")).alias("url"), F.coalesce("i.priority", "default", F.lit(3)).alias("priority"), F.col("retrieval_profile").alias("profile"), F.col("i.note").alias("parse_hint"))
+    """Sources, profiles and inbox items (with the defaults they inherit) of a catalog file, with the flags of check_catalog."""
+    whole = spark.read.text(path, wholetext=True)
+    part = lambda name, kind: F.from_json(F.get_json_object("value", f"$.{name}"), kind)
+    kind = lambda name: F.schema_of_variant(F.variant_get(F.parse_json("raw"), f"$.{name}", "variant"))
+    has = lambda name: F.coalesce(F.array_contains(F.json_object_keys("raw"), name), F.lit(False)).alias(f"has_{name}")
+    filled = lambda name: (~F.coalesce(F.get_json_object("raw", f"$.{name}"), F.lit("")).isin("", "{}", "[]", "null", "false", "0")).alias(f"has_{name}")
+    other = lambda name, wanted: F.coalesce(kind(name) != wanted, F.lit(False)).alias(f"bad_{name}")
+    sources = whole.select(F.explode(part("sources", "array<string>")).alias("raw")).select(F.from_json("raw", SOURCE).alias("s"), other("enabled", "BOOLEAN"), other("adapter", "STRING"), has("cadence"))
+    sources = sources.select("s.*", "bad_enabled", "bad_adapter", "has_cadence").withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+    profiles = whole.select(F.explode(part("retrieval_profiles", "map<string,string>")).alias("name", "raw"))
+    profiles = profiles.select("name", F.from_json("raw", PROFILE).alias("p"), filled("primary"), filled("required_fields"), has("empty_signal"), has("audit_cadence"))
+    profiles = profiles.select("name", "p.primary.method", "p.primary.recipe", "p.required_fields", "p.empty_signal", "has_primary", "has_required_fields", "has_empty_signal", "has_audit_cadence")
+    inbox = whole.select(part("inbox_sources", INBOX).alias("b")).select("b.retrieval_profile", F.col("b.priority").alias("default"), F.explode("b.items").alias("raw"))
+    inbox = inbox.select("retrieval_profile", "default", F.from_json("raw", ITEM).alias("i"), has("cadence"))
+    return sources, profiles, inbox.select("i.id", "i.title", F.coalesce("i.url", F.lit("")).alias("url"), F.coalesce("i.priority", "default", F.lit(3)).alias("priority"), F.col("retrieval_profile").alias("profile"), F.col("i.note").alias("parse_hint"), "has_cadence")
 
 
 RESULT = "source STRUCT<id: STRING, state: STRING, method: STRING, recipe_version: STRING, detail: STRING>, events ARRAY<STRING>, rejections ARRAY<STRUCT<reason: STRING, raw: STRING>>"

@@ -224,3 +224,16 @@ def test_event_theme_has_the_twenty_rules(spark):
     said = ["Barbell workout", "Photo walk", "Writing hour", "Karaoke", "Board game night", "Sunset hike", "Magic show", "Theatre", "Singles mixer", "Yoga", "Comedy dinner", "Gallery hop", "Nothing"]
     got = values(spark, e.event_theme, *said)
     assert len(e.SYMBOLS) == 20 and [x.rstrip("\ufe0f") for x in got] == list("🏋📸✍🎤🎲🚶🪄🎭🎉🧘🍽🎨✨")
+
+
+def test_each_rule_of_a_catalog_file(spark, tmp_path):
+    ok = {"primary": {"method": "http"}, "required_fields": ["title"], "empty_signal": None}
+    sources = [{"title": "no id"}, {"id": "a", "retrieval_profile": "ok"}, {"id": "a", "retrieval_profile": "ok"}, {"id": "b", "enabled": "true", "retrieval_profile": "ok"}, {"id": "c", "enabled": False, "retrieval_profile": "ok"}, {"id": "d", "cadence": None, "retrieval_profile": "ok"}, {"id": "e", "adapter": 5, "retrieval_profile": "ok"}, {"id": "f"}]
+    catalog = {"retrieval_profiles": {"ok": ok, "bad": {"audit_cadence": 1, "primary": {}, "required_fields": []}}, "sources": sources, "inbox_sources": {"items": [{"title": "x"}, {"id": "a"}, {"id": "i", "cadence": "daily"}]}}
+    (tmp_path / "catalog.json").write_text(json.dumps(catalog, indent=1))
+    got = sorted((r.id, r.problem) for r in check_catalog(*(x.withColumnRenamed("retrieval_profile", "profile") for x in tables.read_catalog(spark, f"{tmp_path}/catalog.json"))).collect())
+    assert got == sorted([
+        ("", "source without id"), ("a", "duplicate source id"), ("b", "non-boolean enabled"), ("c", "disabled without reason"), ("d", "obsolete cadence"), ("e", "invalid adapter"), ("f", "missing profile <none>"),
+        ("bad", "profile without primary"), ("bad", "profile without required fields"), ("bad", "profile without empty rule"), ("bad", "obsolete audit_cadence"),
+        ("", "inbox with missing profile <none>"), ("", "inbox source without id"), ("a", "duplicate source id across catalog and inbox"), ("i", "obsolete cadence"),
+    ])
