@@ -1,8 +1,9 @@
 """Toxicity by compression distance: windows of a text are compressed with a dictionary of toxic and one of ordinary text.
 
-Both dictionaries are zstandard-trained content of equal size. Because a toxic document is mostly ordinary prose, the toxic
-one is trained on the words of toxic documents that hold a letter 5-gram significantly more frequent there (log-likelihood
-ratio over documents), the ordinary one on words of ordinary documents; they share the bulk of ordinary windows, so a
+Only the part that both dictionaries share is zstandard-trained, on ordinary windows. Because a toxic document is mostly
+ordinary prose, a dictionary trained on its windows tells little (README has the figures); the toxic side is instead a
+list of at most WORD_BYTES of words of toxic documents that hold a letter 5-gram significantly more frequent there (log-likelihood
+ratio over documents), the ordinary side one of frequent words of ordinary documents. A
 window is shorter under the toxic dictionary only for toxic wording. A logistic model, fitted on labelled documents that no
 dictionary has seen, turns the windows' savings into a calibrated score.
 """

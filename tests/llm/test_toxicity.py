@@ -42,3 +42,12 @@ def test_odd_rows(spark, sf001):
     assert toxicity.score(empty, model).count() == 0
     nothing = toxicity.train(*toxicity.labelled_sample(empty, spark.createDataFrame([], "doc_id long, toxic int")))
     assert 0 <= toxicity.score(docs, nothing).agg({"score": "max"}).first()[0] < 0.7
+
+
+def test_auc_keeps_the_first_bar(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = labels.where("doc_id is not null").where(toxicity.held_out(labels.doc_id)).distinct()
+    scored = toxicity.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), toxicity.train(*toxicity.labelled_sample(docs, labels)))
+    rows = scored.join(held, "doc_id").collect()
+    assert auc([r.toxic for r in rows], [r.score for r in rows]) > 0.88
