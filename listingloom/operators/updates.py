@@ -104,23 +104,41 @@ def record_discoveries(discoveries: DataFrame, rows: DataFrame) -> DataFrame:
     return discoveries.unionByName(numbered.select(*discoveries.columns))
 
 
-def invalidate_events(events: DataFrame, aliases: DataFrame, discoveries: DataFrame, ids: DataFrame, source_id: str, reason: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def invalidate_events(events: DataFrame, aliases: DataFrame, discoveries: DataFrame, ids: DataFrame, source_id: str, reason: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Repair: a source's events deleted with their aliases, their discoveries rejected, the touched source runs recounted.
 
-    Returns events, aliases, discoveries, and (run_id, source_id, reason, n) of the touched runs.
+    Returns events, aliases, discoveries, (run_id, source_id, reason, n) of the touched runs, the touched runs' new columns
+    of source_runs, and (id, problem) of ids that aren't the source's. If there is one of these, nothing is changed.
     """
-    own = events.where(F.col("source_id") == source_id).join(ids, "id", "left_semi").select(F.col("id").alias("event_id"))
+    listed = ids.select("id").distinct()
+    own = events.where(F.col("source_id") == source_id).join(listed, "id", "left_semi").select(F.col("id").alias("event_id"))
+    foreign = listed.join(own, F.col("id").eqNullSafe(F.col("event_id")), "left_anti")
+    own = own.join(F.broadcast(foreign.limit(1)), F.lit(True), "left_anti")
     hit = discoveries.join(own.withColumn("hit", F.lit(True)), "event_id", "left")
     changed = hit.withColumn("outcome", F.when(F.col("hit"), "rejected").otherwise(F.col("outcome"))).withColumn("reason", F.when(F.col("hit"), reason).otherwise(F.col("reason")))
+    changed = changed.withColumn("event_id", F.when(F.col("hit").isNull(), F.col("event_id")))
     touched = changed.where("hit").select("run_id", "source_id").distinct()
     return (
         events.join(own.withColumnRenamed("event_id", "id"), "id", "left_anti"),
         aliases.join(own, "event_id", "left_anti"),
         changed.select(*discoveries.columns),
         rejection_counts(changed).join(touched, ["run_id", "source_id"], "left_semi"),
+        _recounted(changed.join(touched, ["run_id", "source_id"], "left_semi"), reason),
+        foreign.select("id", F.lit("not an event of the source").alias("problem")),
     )
 
 
+def _recounted(discoveries: DataFrame, reason: str) -> DataFrame:
+    """Counts of each run and source after a repair; what the repair rejected had been parsed."""
+    n = lambda *outcomes: F.count_if(F.col("outcome").isin(*outcomes))
+    qualified = n("new", "updated", "unchanged", "duplicate")
+    repaired = F.count_if((F.col("outcome") == "rejected") & (F.col("reason") == reason))
+    return discoveries.groupBy("run_id", "source_id").agg(
+        F.lit("validation_failed").alias("state"), F.count("*").alias("found_count"), (qualified + repaired).alias("parsed_count"), qualified.alias("qualified_count"),
+        *(n(o).alias(f"{o}_count") for o in ("rejected", "new", "updated", "unchanged", "duplicate")), F.lit(reason).alias("error"),
+    )
+
+
 def drop_aliases(aliases: DataFrame, source_id: str, day: str) -> DataFrame:
     return aliases.where(~((F.col("source_id") == source_id) & (F.col("first_seen") == day)))
 

@@ -134,10 +134,16 @@ def _ranks(s, d):
     return ranked.select("id", "rank", "fit_note", "ranked_on").withColumn("problem", F.lit(None).cast("string")).unionByName(problems.select("id", F.lit(None).cast("string").alias("rank"), F.lit(None).cast("string").alias("fit_note"), F.lit(None).cast("string").alias("ranked_on"), "problem"))
 
 
-def _invalidate(s, d):
+def _invalidated(s, d, *more):
     events = bound(s, d, "event_store").select(F.concat(F.lit("e"), F.substring("id", 2, 9)).alias("id"), "url", F.lit("click").alias("source_id"), "first_seen", "last_seen", "status")
     ids = events.where("status = 'cancelled'").select("id")
-    kept, aliases, rows, counts = u.invalidate_events(events, u.backfill_aliases(events), bound(s, d, "discoveries"), ids, "click", "repair")
+    for i in more:
+        ids = ids.unionAll(s.range(1).select(F.lit(i).alias("id")))
+    return u.invalidate_events(events, u.backfill_aliases(events), bound(s, d, "discoveries"), ids, "click", "repair")
+
+
+def _invalidate(s, d):
+    kept, aliases, rows, counts, _, _ = _invalidated(s, d)
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(kept, "events").unionAll(count(aliases, "aliases")).unionAll(count(rows.where("reason = 'repair'"), "rejected")).unionAll(counts.select(F.concat_ws(" ", "run_id", "source_id", "reason"), "n"))
 
@@ -228,6 +234,18 @@ QUERIES = {
         UNION ALL SELECT 'rejected', count(*) FROM dd WHERE reason = 'repair'
         UNION ALL SELECT run_id || ' ' || source_id || ' ' || coalesce(reason, 'rejected'), count(*) FROM dd WHERE outcome = 'rejected' AND (run_id, source_id) IN (SELECT (run_id, source_id) FROM dd WHERE hit) GROUP BY 1""",
     ),
+    "upd9_invalidated_runs": (
+        lambda s, d: _invalidated(s, d)[4],
+        f"""{cte('event_store', 'discoveries')}, gone AS (SELECT 'e' || substr(id, 2) AS id FROM event_store WHERE status = 'cancelled'),
+        dd AS (SELECT run_id, source_id, CASE WHEN event_id IN (FROM gone) THEN 'rejected' ELSE outcome END AS outcome, event_id IN (FROM gone) AS hit FROM discoveries)
+        SELECT run_id, source_id, 'validation_failed' AS state, count(*) AS found_count, count(*) FILTER (outcome <> 'rejected' OR hit) AS parsed_count, count(*) FILTER (outcome <> 'rejected') AS qualified_count, count(*) FILTER (outcome = 'rejected') AS rejected_count,
+        count(*) FILTER (outcome = 'new') AS new_count, count(*) FILTER (outcome = 'updated') AS updated_count, count(*) FILTER (outcome = 'unchanged') AS unchanged_count, count(*) FILTER (outcome = 'duplicate') AS duplicate_count, 'repair' AS error
+        FROM dd GROUP BY 1, 2 HAVING bool_or(hit)""",
+    ),
+    "upd9_foreign_ids": (
+        lambda s, d: _invalidated(s, d, "e-1", "other")[5],
+        "SELECT unnest(['e-1', 'other']) AS id, 'not an event of the source' AS problem",
+    ),
     "upd10_drop_aliases": (
         lambda s, d: u.drop_aliases(_aliases(s, d), "building", "1995-03-01").groupBy("source_id", "first_seen").agg(F.count("*").alias("n")),
         f"{cte('event_store')}, {_BACKFILL} SELECT source_id, first_seen, count(*) AS n FROM aliases WHERE NOT (source_id = 'building' AND first_seen = '1995-03-01') GROUP BY 1, 2",

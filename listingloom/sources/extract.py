@@ -267,14 +267,15 @@ def _ddl(schema: str) -> str:
     return ",".join(out)
 
 
-def page_set_contract(payloads: DataFrame, total: str, number: str, items: str, most: int = 100) -> DataFrame:
+def page_set_contract(payloads: DataFrame, total: str, number: str, items: str, most: int = 100, cursor: str | None = None) -> DataFrame:
     """(source_id, problem) of feeds whose pages don't agree: totals that change, pages missing or out of place, sums that
-    differ, too many pages, cursors that repeat. total, number and items are JSON paths (items: the list)."""
-    rows = payloads.select("source_id", "page_no", F.get_json_object("body", total).cast("long").alias("total"), F.get_json_object("body", number).cast("long").alias("number"), F.coalesce(F.size(F.from_json(F.get_json_object("body", items), "array<string>")), F.lit(0)).alias("n"))
-    per = rows.groupBy("source_id").agg(F.count_distinct("total").alias("totals"), F.max("total").alias("total"), F.sum(F.greatest("n", F.lit(0))).alias("items"), F.count("*").alias("pages"), F.count_distinct("page_no").alias("numbers"), count_if(F.col("number") != F.col("page_no")).alias("misplaced"))
+    differ, too many pages, cursors that repeat. total, number, items and
+    cursor are JSON paths (items: the list; cursor: None for feeds without one; pages without a cursor repeat none)."""
+    rows = payloads.select("source_id", "page_no", F.get_json_object("body", total).cast("long").alias("total"), F.get_json_object("body", number).cast("long").alias("number"), F.coalesce(F.size(F.from_json(F.get_json_object("body", items), "array<string>")), F.lit(0)).alias("n"), (F.lit(None).cast("string") if cursor is None else F.nullif(F.get_json_object("body", cursor), F.lit(""))).alias("cursor"))
+    per = rows.groupBy("source_id").agg(F.count_distinct("total").alias("totals"), F.max("total").alias("total"), F.sum(F.greatest("n", F.lit(0))).alias("items"), F.count("*").alias("pages"), F.count_distinct("page_no").alias("numbers"), count_if(F.col("number") != F.col("page_no")).alias("misplaced"), F.count("cursor").alias("given"), F.count_distinct("cursor").alias("cursors"))
     rules = F.filter(F.array(
         F.when(F.col("totals") > 1, "total changes"), F.when(F.col("misplaced") > 0, "page number differs"), F.when(F.col("numbers") < F.col("pages"), "page repeats"),
-        F.when(F.col("items") != F.col("total"), "items differ from total"), F.when(F.col("pages") > most, "too many pages"),
+        F.when(F.col("items") != F.col("total"), "items differ from total"), F.when(F.col("pages") > most, "too many pages"), F.when(F.col("cursors") < F.col("given"), "cursor repeats"),
     ), lambda p: p.isNotNull())
     return per.select("source_id", F.explode(rules).alias("problem"))
 

@@ -237,3 +237,23 @@ def test_each_rule_of_a_catalog_file(spark, tmp_path):
         ("bad", "profile without primary"), ("bad", "profile without required fields"), ("bad", "profile without empty rule"), ("bad", "obsolete audit_cadence"),
         ("", "inbox with missing profile <none>"), ("", "inbox source without id"), ("a", "duplicate source id across catalog and inbox"), ("i", "obsolete cadence"),
     ])
+
+
+def test_invalidate_events_rejects_foreign_ids_and_recounts(spark):
+    events = spark.createDataFrame([("a", "s"), ("b", "s"), ("x", "t")], "id string, source_id string")
+    aliases = spark.createDataFrame([("a", "u"), ("b", "v")], "event_id string, url string")
+    found = spark.createDataFrame([("r", "s", "a", "new", None), ("r", "s", "b", "updated", None), ("r", "s", None, "rejected", "old"), ("q", "s", "b", "new", None)], "run_id string, source_id string, event_id string, outcome string, reason string")
+    ids = lambda *k: spark.createDataFrame([(i,) for i in k], "id string")
+    kept, names, rows, _, runs, problems = updates.invalidate_events(events, aliases, found, ids("a"), "s", "repair")
+    assert kept.count() == 2 and names.count() == 1 and problems.count() == 0
+    assert [(r.outcome, r.event_id) for r in rows.where("reason = 'repair'").collect()] == [("rejected", None)] and rows.count() == 4
+    assert [tuple(r) for r in runs.collect()] == [("r", "s", "validation_failed", 3, 2, 1, 2, 0, 1, 0, 0, "repair")]
+    kept, names, rows, _, runs, problems = updates.invalidate_events(events, aliases, found, ids("a", "x"), "s", "repair")
+    assert [r.id for r in problems.collect()] == ["x"] and (kept.count(), names.count(), runs.count()) == (3, 2, 0) and rows.where("reason = 'repair'").count() == 0
+
+
+def test_page_set_contract_reads_cursors(spark):
+    body = lambda c: json.dumps({"total": 2, "page": 0, "items": [1], "next": c})
+    pages = spark.createDataFrame([(s, 0, body(c)) for s, c in (("a", "x"), ("a", "x"), ("b", "x"), ("b", None), ("c", "x"), ("c", "y"))], "source_id string, page_no int, body string")
+    got = extract.page_set_contract(pages, "$.total", "$.page", "$.items", cursor="$.next").where("problem = 'cursor repeats'").collect()
+    assert [r.source_id for r in got] == ["a"]
