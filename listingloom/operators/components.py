@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from listingloom.session import materialize
+from listingloom.session import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least.hint("merge"), F.col("u") == F.col("k"))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.*").where("u > v").distinct(), "edges")
+        before, edges = edges, materialize(small.select("e.*").where("u > v").distinct(), "edges")
+        discard(before)
         ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
         if not open_.limit(1).count():

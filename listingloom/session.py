@@ -1,22 +1,28 @@
-"""Session helpers: where intermediate tables go, and how a join is told its strategy."""
+"""Session helpers: where intermediate tables go, how they are let go again, and how a join is told its strategy."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
-#: Rows of a key-only side up to which it is broadcast; beyond that the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Size of a table up to which it is broadcast, as estimated from its rows; beyond that the join shuffles.
+BROADCAST_BYTES = 64 << 20
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        _own.append(_own[0] if _own else "file://" + tempfile.mkdtemp(prefix="listingloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="listingloom-"))
         found = _own[0]
     return found.rstrip("/")
 
@@ -25,10 +31,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, sizes are known, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hinted(side: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast a key table whose counted rows are under BROADCAST_ROWS, else ask for a sort-merge join."""
-    rows = side.count() if rows is None else rows
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side.hint("merge")
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for df in tables:
+        files = df.inputFiles()[:1]
+        for path in [p for p in _written if any(p.rsplit("/", 1)[-1] in f for f in files)]:
+            _delete(df.sparkSession, path)
+            _written.remove(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete everything that materialize() wrote in this process; call it once results have been written or read."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in memory: 8 for a number, the length of a text or binary, and so on inside arrays."""
+
+    def size(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + size(x, kind.elementType)), F.lit(0)) + 16
+            return 8 * F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) + 16
+        if isinstance(kind, T.StructType):
+            return reduce(lambda a, b: a + b, (size(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return F.lit(8)
+
+    return reduce(lambda a, b: a + b, (size(F.col(f.name), f.dataType) for f in schema.fields), F.lit(16)).cast("long")
+
+
+def hinted(side: DataFrame) -> DataFrame:
+    """Broadcast a table whose rows, measured, stay under BROADCAST_BYTES, else ask for a sort-merge join."""
+    measured = side.agg(F.sum(row_bytes(side.schema))).first()[0] or 0
+    return F.broadcast(side) if measured <= BROADCAST_BYTES else side.hint("merge")
