@@ -21,15 +21,13 @@ def test_automaton_knows_all_substrings_and_no_others():
 
 
 def brute_phrases(text, sample):
-    """Greedy longest matches, begun anew at every window."""
-    count = 0
-    for w in range(0, len(text), language.WINDOW):
-        part, i = text[w : w + language.WINDOW], 0
-        while i < len(part):
-            n = 1
-            while i + n < len(part) and part[i : i + n + 1] in sample:
-                n += 1
-            count, i = count + 1, i + n
+    """Greedy longest matches over the whole text."""
+    count = i = 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        count, i = count + 1, i + n
     return count
 
 
@@ -37,13 +35,13 @@ def test_phrases_match_brute_force():
     rng = random.Random(3)
     sample = {"aa": ["".join(rng.choice("abcd ") for _ in range(300))], "bb": ["".join(rng.choice("cdef ") for _ in range(300))]}
     model = language.compile_model(sample)
-    texts = ["".join(rng.choice("abcdefg ") for _ in range(rng.choice([1, 5, 80, 700]))) for _ in range(60)]
+    texts = ["".join(rng.choice("abcdefg ") for _ in range(rng.choice([1, 5, 80, 511, 512, 513, 700, 1024, 3000]))) for _ in range(60)] + ["ab" * 1500, "a" * 2000, "abcd" * 128, None, ""]
     counts, _ = language.phrases(texts, model)
     clean = lambda t: "".join(chr(65 + s) for s in language.symbols(t, model["letters"]))
     for k, name in enumerate(model["names"]):
         known = clean(f" {sample[name][0]} ")
         # g is in no sample: a symbol that no text of the model holds is a phrase of its own
-        assert [int(c) for c in counts[:, k]] == [brute_phrases(clean(t), known) for t in texts]
+        assert [int(c) for c in counts[:, k]] == [brute_phrases(clean(t), known) if t else 0 for t in texts]
 
 
 def test_held_out_accuracy(spark, sf001):
@@ -65,3 +63,12 @@ def test_odd_rows(spark, sf001):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.labelled_sample(empty) == {} and language.identify(empty, {}).count() == 0
     assert language.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).first().lang_pred == "und"
+
+
+def test_sample_is_whole_texts_within_bounds(spark):
+    rows = [(i, "word " * (20 + i % 7), "aa") for i in range(400)] + [(1000 + i, "long " * 5000, "bb") for i in range(3)] + [(2000 + i, f"short text {i}", f"l{i:03}") for i in range(220)]
+    sample = language.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {t for _, t, _ in rows}
+    assert len(sample) == language.LANGUAGES and "aa" in sample and all(t in texts for own in sample.values() for t in own)
+    assert sum(map(len, sample["aa"])) <= language.ALL_CHARS // len(sample)
+    assert language.labelled_sample(spark.createDataFrame(rows[400:403], "doc_id long, text string, lang string"))["bb"] == ["long " * 5000]
