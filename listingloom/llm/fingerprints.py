@@ -1,22 +1,25 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and blocks of a few words.
 
-A section ends with a blank line, a paragraph with a line feed, a block after at least 40 characters at the end of a word;
-joined, the blocks are the text again, so equal roots mean equal texts. The fingerprint is the tree written out: the root,
-then each section with its paragraphs and their blocks. Two fingerprints are compared from the root down: equal branches
-are skipped, differing ones name the paragraphs that were edited, and the share of equal blocks is the likeness.
+A section ends with a blank line, a paragraph with a line feed, a block where a hash of four neighbouring characters says so:
+block ends depend on the text around them alone, so an edit changes the blocks that it touches and no others. Joined, the
+blocks are the text again, so equal roots mean equal texts. The fingerprint is the tree written out: the root, then each
+section with its paragraphs and their blocks. Two fingerprints are compared from the root down: branches that both have are
+counted whole and not entered, differing ones name the paragraphs that were edited, and the share of equal blocks is the
+likeness.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_BLOCK = re.compile(r"(?s).{1,40}\S{0,40}\s?")
+#: Characters of a block, on average.
+BLOCK = 32
 #: Hex digits written for a section, a paragraph and a block; the root has 32.
 NODE, LEAF = 8, 6
 
@@ -27,21 +30,47 @@ def _digest(data: str) -> str:
     return hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+def _cuts(text: str) -> list[int]:
+    """Where blocks end inside lines, ascending: behind the second of four characters of one line whose hash says so."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < 4:
+        return []
+    own = codes.astype(np.uint64)
+    mixed = np.zeros(len(own) - 3, np.uint64)
+    for k in range(4):
+        mixed = (mixed ^ own[k : len(own) - 3 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    ends = mixed % np.uint64(BLOCK) == 0
+    feeds = codes == 10
+    for k in range(4):
+        ends &= ~feeds[k : len(own) - 3 + k]
+    return (np.flatnonzero(ends) + 2).tolist()
+
+
 def tree(text: str | None, known: dict[str, tuple[str, list[str]]] | None = None) -> Tree:
     """(root, sections); a section is (digest, paragraphs), a paragraph (digest, blocks). known: paragraphs made before."""
     known = {} if known is None else known
+    text = text or ""
     sections: list[tuple[str, list[tuple[str, list[str]]]]] = []
     own: list[tuple[str, list[str]]] = []
+    cuts = _cuts(text)
+    at = start = 0
 
     def close() -> None:
         sections.append((_digest("s" + "".join(p[0] for p in own)), list(own)))
         own.clear()
 
-    for line in (text or "").split("\n"):
+    for line in text.split("\n"):
+        end = start + len(line)
+        first = at
+        while at < len(cuts) and cuts[at] < end:
+            at += 1
         if line not in known:
-            blocks = [_digest("b" + b) for b in _BLOCK.findall(line)]
+            edges = [start, *cuts[first:at], end]
+            blocks = [_digest("b" + text[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)] if line else []
             known[line] = (_digest("p" + "".join(blocks)), blocks)
         own.append(known[line])
+        start = end + 1
         if not line.strip():
             close()
     if own:
@@ -64,18 +93,39 @@ def read(fingerprint: str) -> Tree:
     return root, out
 
 
-def blocks(found: Tree) -> Counter:
-    return Counter(b[:LEAF] for _, own in found[1] for _, leaves in own for b in leaves)
-
-
-def likeness(a: Tree, b: Tree, x: Counter | None = None, y: Counter | None = None) -> float:
-    """1 for equal roots, else twice the blocks in common over all blocks (0 when neither has any)."""
+def _split(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Branches of both lists by their digests as written: those that both have, the rest of a, the rest of b."""
+    there = Counter(x[0][:NODE] for x in b)
+    same, left = [], []
+    for x in a:
+        if there[x[0][:NODE]] > 0:
+            there[x[0][:NODE]] -= 1
+            same.append(x)
+        else:
+            left.append(x)
+    right = []
+    for x in reversed(b):
+        if there[x[0][:NODE]] > 0:
+            there[x[0][:NODE]] -= 1
+            right.append(x)
+    return same, left, right[::-1]
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """1 for equal roots, else twice the blocks in common over all blocks (0 when neither has any).
+
+    Sections that both trees have are common whole; of the others' paragraphs those that both have; blocks are compared only
+    within the paragraphs left over.
+    """
     if a[0] == b[0]:
         return 1.0
-    x, y = blocks(a) if x is None else x, blocks(b) if y is None else y
-    both = sum(min(n, y[k]) for k, n in x.items() if k in y) if len(x) <= len(y) else sum(min(n, x[k]) for k, n in y.items() if k in x)
-    total = x.total() + y.total()
-    return 2 * both / total if total else 0.0
+    same, left, right = _split(a[1], b[1])
+    common = sum(len(leaves) for _, own in same for _, leaves in own)
+    same, ours, theirs = _split([p for _, own in left for p in own], [p for _, own in right for p in own])
+    common += sum(len(leaves) for _, leaves in same)
+    x, y = (Counter(leaf[:LEAF] for _, leaves in own for leaf in leaves) for own in (ours, theirs))
+    total = 2 * common + x.total() + y.total()
+    return 2 * (common + sum(min(n, y[k]) for k, n in x.items() if k in y)) / total if total else 0.0
 
 
 def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -116,13 +166,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = text or ""
         known: dict = {} if before is None or before[0] != bucket else before[5]
         made = tree(text, known)
-        counts = blocks(made)
         if before is not None and before[0] == bucket and not before[1]:
-            _, _, old_id, old_text, old_tree, _, old_counts, old_written = before
+            _, _, old_id, old_text, old_tree, _, old_written = before
             changed = edited(old_text, text)
             changed_tree = tree(changed, known)
             sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            row = (old_id, len(old_text), sha, old_written, write(changed_tree), likeness(old_tree, changed_tree, old_counts), likeness(old_tree, made, old_counts, counts))
+            row = (old_id, len(old_text), sha, old_written, write(changed_tree), likeness(old_tree, changed_tree), likeness(old_tree, made))
             for column, x in zip(out, row, strict=True):
                 column.append(x)
             size += len(row[3])
@@ -130,32 +179,52 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _OUT)
                 out, size = [[] for _ in kinds], 0
         lines = {line: known[line] for line in text.split("\n")}
-        before = (bucket, guest, doc_id, text, made, lines, counts, write(made))
+        before = (bucket, guest, doc_id, text, made, lines, write(made))
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _OUT)
 
 
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are less than value, by halving steps."""
+    table = F.lit(cuts).cast("array<bigint>")
+    steps = F.lit([1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(n + step > len(cuts), n).when(F.element_at(table, F.least(n + step, F.lit(len(cuts)))) < value, n + step).otherwise(n))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, with the fingerprints of its text and of the text edited with the next document.
 
     The next document is the one with the next smaller doc_id, after the smallest the largest; rows that repeat a doc_id
-    follow by text, rows without one come after all others, by text too. Null texts are empty. In a table of one row the
-    next document is the row itself.
+    follow by a hash of their text, rows without one come after all others, by the hash too. Null texts are empty. In a table
+    of one row the next document is the row itself; an empty table gives no rows. Texts are read whole, very long ones too.
+
+    Texts are shuffled once, into buckets of neighbouring ids. An id that fills a bucket by itself, and the rows without one,
+    are dealt over several by the hash. The first row of each bucket is sent to the bucket before it as well.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keys = rows.select("doc_id", F.xxhash64("text").alias("hash"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / (4 * parts) for i in range(1, 4 * parts)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] or []))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0)) if cuts else F.lit(0))
-    placed = rows.withColumn("bucket", bucket)
-    tops = sorted((r.bucket, r.top) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())  # a row per bucket
-    above = [(b, top, tops[(i + 1) % len(tops)][0]) for i, (b, top) in enumerate(tops)]
-    guests = F.broadcast(spark.createDataFrame(above, "own int, top long, above int"))
-    sent = placed.join(guests, F.col("bucket") == F.col("own"))
-    is_top = F.col("doc_id").eqNullSafe(F.col("top"))
+    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * parts).alias("at"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    hot = Counter(found["at"] or [])
+    many = {i: min(2 * n, 4 * parts) for i, n in hot.items() if n > 1}  # ids that fill a bucket, and over how many they are dealt
+    cuts = sorted({*hot, *(i - 1 for i in many if i > -(1 << 63))})
+    deal = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("doc_id")], F.lit(1)) if many else F.lit(1)
+    deal = F.when(F.col("doc_id").isNull(), max(1, 8 * parts * found["nulls"] // max(found["n"], 1))).otherwise(deal)
+    # Buckets are numbered in the order of documents: ids descending, none last, hashes ascending.
+    group = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _below(cuts, F.col("doc_id")) if cuts else F.lit(0))
+    within = F.floor((F.shiftright("hash", 32) + (1 << 31)) * deal / (1 << 32)).cast("long")
+    bucket = (group.cast("long") * (1 << 24) + within).alias("bucket")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("back"), "hash")).alias("first")
+    tops = sorted((r.bucket, r.first.back, r.first.hash) for r in keys.groupBy(bucket).agg(first).collect()) if found["n"] else []  # a row per bucket
+    above = [(b, None if back is None else ~back, h, tops[i - 1][0]) for i, (b, back, h) in enumerate(tops)]
+    guests = F.broadcast(spark.createDataFrame(above, "own long, top long, top_hash long, above long"))
+    placed = rows.withColumn("hash", F.xxhash64("text"))
+    sent = placed.select("*", bucket).join(guests, F.col("bucket") == F.col("own"))
+    is_top = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("hash") == F.col("top_hash"))
     home, away = F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("above").alias("bucket"), F.lit(1).alias("guest"))
-    sent = sent.select("doc_id", "text", F.explode(F.when(is_top, F.array(home, away)).otherwise(F.array(home))).alias("to")).select("to.bucket", "to.guest", "doc_id", "text")
-    ordered = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    sent = sent.select("doc_id", "text", "hash", F.explode(F.when(is_top, F.array(home, away)).otherwise(F.array(home))).alias("to")).select("to.bucket", "to.guest", "doc_id", "text", "hash")
+    ordered = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "hash").drop("hash")
     return ordered.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

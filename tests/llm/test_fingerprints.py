@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from listingloom.llm import fingerprints
 
@@ -53,3 +54,34 @@ def test_trees_locate_edits_and_read_back():
     ra, rb = fingerprints.read(fingerprints.write(a)), fingerprints.read(fingerprints.write(b))
     assert fingerprints.edits(ra, rb) == [(1, 2)]
     assert 0.9 < fingerprints.likeness(a, b) == fingerprints.likeness(ra, rb) < 1
+
+
+def leaves(found):
+    return Counter(b[: fingerprints.LEAF] for _, own in found[1] for _, blocks in own for b in blocks)
+
+
+def test_likeness_equals_the_share_of_all_blocks(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprints.fingerprint(docs).collect()}
+    for k, (doc_id, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        own = fingerprints.tree(text)
+        for near, other in zip(got[doc_id], (fingerprints.edited(text, following), following), strict=True):
+            x, y = leaves(own), leaves(fingerprints.tree(other))
+            assert near == (1.0 if text == other else 2 * (x & y).total() / (x.total() + y.total()) if x or y else 0.0)
+
+
+def test_block_ends_depend_on_the_text_around_them():
+    text = " ".join(f"word{i * 7919 % 1000}" for i in range(400))
+    assert fingerprints.likeness(fingerprints.tree(text), fingerprints.tree("# " + text)) > 0.95
+    chinese = "".join(chr(0x4E00 + i * i % 5000) for i in range(3000))
+    assert fingerprints.likeness(fingerprints.tree(chinese), fingerprints.tree(chinese[1:])) > 0.95
+
+
+def test_ids_that_repeat_and_rows_without_one(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i}") for i in range(20, 60)] + [(7, None)]
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    written = Counter(fingerprints.write(fingerprints.tree(t)) for _, t in rows)
+    assert Counter(r.fingerprint for r in got) == written
