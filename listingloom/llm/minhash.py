@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from listingloom.llm.held import held, tidied
 from listingloom.llm.shingles import shingle_sets
+from listingloom.operators.components import components
 from listingloom.session import hinted, materialize
 
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 PIVOTS = 3
 UNIVERSE_BITS = 22
+#: A key with more rows than HOT_ROWS and a HOT_KEYS-th of all is joined by broadcast. Of more than HOT_SHINGLE rows with a
+#: shingle, those of different components are brought together bit by bit of the component's hash.
+HOT_ROWS, HOT_KEYS, HOT_SHINGLE = 64, 20_000, 256
 #: Pairs whose estimate from 128 coordinates is lower aren't verified; at a true 0.75 that is 6.5 standard deviations off.
 LEAST_ESTIMATE = 0.5
 
@@ -125,24 +129,13 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(near.mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges but the roots, root the smallest node reachable.
-
-    Alternating large-star and small-star steps, until every node points at one that points nowhere.
-    """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), F.col("u") == F.col("k")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(least.hint("merge"), F.col("u") == F.col("k"))
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.*").where("u > v").distinct(), "edges")
-        ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
-        open_ = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
-        if not open_.limit(1).count():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+def _with(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of key, n (rows of the key) and more. Keys of so many rows that one task would feel them are
+    joined by broadcast: they are HOT_KEYS at most."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > F.lit(total // HOT_KEYS + HOT_ROWS)
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot).hint("merge"), key, how)
+    return rest.unionByName(rows.join(F.broadcast(table.where(hot)), key))
 
 
 @tidied
@@ -159,24 +152,36 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of members (rep, root) of different components that the prefix filter can't rule out.
 
-    With shingles ordered from the rarest, similar sets share one among their first n - ceil(0.75 n) + 1; from the places
-    of the first shared one follows how many can be shared at most. Shingles of a single component are left out first, so
-    what all copies of a text have in common joins nothing.
+    With shingles ordered from the rarest, similar sets share one among the first n - ceil(0.75 n) + 1 of the larger and the
+    first n - ceil(6 n / 7) + 1 of the smaller set; from the places of the first shared one follows how many can be shared
+    at most. Shingles of a single component are left out, so what all copies of a text have in common joins nothing. The
+    rows of a hot shingle are parted by the bits of their component's hash: those of one component never meet, and two of
+    different ones (xxhash64 keeps longs apart) meet at the first bit in which these differ.
     """
     ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(hinted(ids), "doc_id", "left_semi")
-    rows = materialize(texts.mapInArrow(_shingle_rows, "rep long, n long, shingle long"), "shingles")
-    known = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rows = materialize(texts.mapInArrow(_shingle_rows, "rep long, n long, shingle long").withColumnRenamed("n", "size"), "shingles")
+    often = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "frequencies")
+    known = _with(rows, often, "shingle", "left").withColumn("df", F.coalesce("n", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    prefix = known.withColumn("place", place).where("df > 1 and 4 * place <= 4 * n - 3 * n + 4")
-    prefix = materialize(prefix.join(members.select("rep", "root").distinct().hint("merge"), "rep").select("shingle", "rep", "root", "n", "place"), "prefixes")
-    mixed = prefix.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
-    prefix = prefix.join(mixed.hint("merge"), "shingle")
-    one, other = (prefix.select("shingle", *(F.col(c).alias(c + side) for c in ("rep", "root", "n", "place"))) for side in "ab")
+    prefix = known.withColumn("place", place).where("df > 1 and 4 * place <= size + 4")
+    prefix = materialize(prefix.join(members.select("rep", "root").distinct().hint("merge"), "rep").select("shingle", "rep", "root", "size", "place"), "prefixes")
+    mixed = prefix.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r < s").select("shingle", "n")
+    prefix = _with(prefix, materialize(mixed, "mixed-shingles"), "shingle").withColumn("part", F.xxhash64("root"))
+    bits = F.array(*(F.struct(F.lit(k).alias("bit"), F.col("part").bitwiseAND((1 << k) - 1).alias("low"), F.shiftright("part", k).bitwiseAND(1).alias("side")) for k in range(64)))
+    whole = F.array(F.struct(F.lit(-1).alias("bit"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("side")))
+    dealt = prefix.select("shingle", "rep", "root", "size", "place", F.explode(F.when(F.col("n") > HOT_SHINGLE, bits).otherwise(whole)).alias("b")).select("shingle", "b.*", "rep", "root", "size", "place")
+    larger = dealt.select("shingle", "bit", "low", *(F.col(c).alias(f"{c}_a") for c in ("side", "rep", "root", "size", "place")))
+    smaller = dealt.where("7 * place <= size + 7").select("shingle", "bit", "low", *(F.col(c).alias(f"{c}_b") for c in ("side", "rep", "root", "size", "place")))
+    fit = "4 * size_b >= 3 * size_a and (size_a > size_b or (size_a = size_b and rep_a > rep_b))"
     # Shared at most: this shingle and all after it; needed: 3/7 of both sizes together.
-    able = (F.col("roota") < F.col("rootb")) & F.expr("7 * (1 + least(na - placea, nb - placeb)) >= 3 * (na + nb) and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-    found = one.join(other.hint("merge"), (one.shingle == other.shingle) & able)
-    return found.select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct()
+    able = "7 * (1 + least(size_a - place_a, size_b - place_b)) >= 3 * (size_a + size_b)"
+    sided = larger.where("side_a is not null"), smaller.where("side_b is not null")
+    found = larger.where("side_a is null").join(smaller.where("side_b is null").hint("merge"), ["shingle", "bit", "low"]).where(f"root_a <> root_b and {fit} and {able}")
+    for one in (0, 1):  # each side of a bit meets the other side only
+        a, b = sided[0].where(f"side_a = {one}"), sided[1].where(f"side_b = {1 - one}")
+        found = found.unionAll(a.join(b.hint("merge"), ["shingle", "bit", "low"]).where(f"{fit} and {able}"))
+    return found.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -186,23 +191,25 @@ def _pivots(members: DataFrame) -> DataFrame:
     """
     central = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     ranked = members.select("key", "rep").join(central.hint("merge"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)))
-    best = ranked.groupBy("key", "part").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("m"))
-    return best.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["rep"]).alias("pivots"))
+    best = ranked.groupBy("key", "part").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("m"), F.count("*").alias("n"))
+    return best.groupBy("key").agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list("m")), lambda m: m["rep"]).alias("pivots"))
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their component, of the buckets that hold more than one component."""
     placed = members.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
     placed = placed.withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    return materialize(placed.join(mixed.hint("merge"), "key"), "mixed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r < s").select("key", "n")
+    return materialize(_with(placed, materialize(mixed, "mixed-bands"), "key"), "mixed")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Null and blank texts have no shingles: they are linked with nothing and kept. Rows that repeat a doc_id are one
-    document. Rows without a doc_id get their class's component; they are kept only if no row of it has an id.
+    document. Rows without a doc_id get their class's component; they are kept only if no row of it has an id. Texts are
+    read whole; an empty table gives no rows. A pair is looked at if a band of 4 coordinates agrees (at a similarity of 0.75
+    all 32 differ for 5 pairs in a million) or a path of such pairs leads to it, and 64 of the 128 coordinates agree.
     """
     sets = materialize(digests(docs), "shingle-digests")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -210,15 +217,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS)) for b in range(BANDS)))
     bands = classes.select("rep", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(shared.hint("merge"), "key"), "members")
-    pivots = _pivots(members)
-    members = materialize(members.select("key", "rep").join(pivots.hint("merge"), "key"), "pivoted")
+    members = materialize(_with(bands, materialize(shared, "shared-bands"), "key"), "members")
+    members = materialize(_with(members.select("key", "rep"), materialize(_pivots(members), "pivots"), "key").drop("n"), "pivoted")
     pairs = members.select(F.col("rep").alias("x"), F.explode("pivots").alias("y")).where("x != y")
     tested = materialize(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pivot-pairs")
     links = _links(tested, classes, docs)
-    members = _mixed(members, _components(links))
+    members = _mixed(members, components(links))
     rest = _prefix_pairs(members, docs).join(tested.hint("merge"), ["a", "b"], "left_anti")
-    roots = _components(links.unionAll(_links(rest, classes, docs)))
+    roots = components(links.unionAll(_links(rest, classes, docs)))
     roots = classes.select("low", "high", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("low", "high", F.coalesce("root", "rep").alias("root"))
     found = sets.join(roots.hint("merge"), ["low", "high"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))

@@ -48,6 +48,24 @@ def test_matches_brute_force_on_documents(spark, sf001):
     assert result(minhash.near_duplicates(docs)) == brute(rows)
 
 
+def test_hot_shingles_lose_no_link(spark, monkeypatch):
+    """Many short documents share a passage, some are similar, and their components are parted bit by bit."""
+    monkeypatch.setattr(minhash, "HOT_SHINGLE", 3)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 2)
+    monkeypatch.setattr(minhash, "HOT_KEYS", 10)
+    monkeypatch.setattr(minhash, "PIVOTS", 1)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, rows = [word() for _ in range(30)], []
+    for g in range(60):
+        tail = [word() for _ in range(rng.randrange(2, 14))]
+        for _ in range(rng.randrange(1, 4)):
+            own = list(tail)
+            own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(passage + own)))
+    assert result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_chains_groups_and_odd_texts(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
