@@ -3,7 +3,8 @@
 Spaced masks choose tokens of a short window; the rest may differ. Seeds of benchmark items and of documents are joined by
 hash; each hit names a diagonal (document position minus item position). The masks lose nothing: a passage that keeps the
 least overlap has, wherever its tokens are substituted, a number of hits on its diagonal that is known for each item length
-(`least_hits`). Diagonals with so many are verified token by token. Items under 5 tokens aren't searched.
+(`least_hits`). Diagonals with so many are verified token by token. Items of any length are searched; the shortest ones,
+for which a mask of two tokens could miss one, token by token.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from listingloom.session import hinted, materialize
 
 #: (weight, span): all masks of so many tokens within the span. An item takes the first family that can't miss it.
 FAMILIES = ((3, 4), (3, 5), (3, 7), (2, 3), (2, 5), (1, 1))
-LEAST_TOKENS = 5
 #: Share of an item's tokens that must stand on one diagonal of a document.
 LEAST_OVERLAP = 0.6
 #: Longer items are taken as pieces of half this to this many tokens, one of which keeps the overlap.
@@ -86,10 +86,13 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST_OVERLAP) ->
     """(doc_id, item_id, matched, item_tokens, overlap, start) of each document that holds an item, at its best diagonal.
 
     Rows without a doc_id or an item_id can't be named and are not searched; null texts have no tokens. Repeated rows
-    give one result. start is the document's token at which the item begins (negative: it begins before the text).
+    give one result; an item_id with several texts is each of them. start is the document's token at which the item begins
+    (negative: it begins before the text); of diagonals that match equally the first. Items without tokens match nothing,
+    empty tables give no rows. Texts are searched whole; the hits of a very long one are at most its tokens times the
+    tokens of the item with the same seed, counted before they are shuffled.
     """
     hashes = F.transform("w", lambda x: F.xxhash64(x))
-    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") >= LEAST_TOKENS).distinct()
+    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0).distinct()
     longest = items.select(F.max(F.size("w"))).first()[0] or 0
     family, hits = plan(max(longest, 1), least)
     known = F.least(F.size("w"), F.lit(len(family)))
@@ -114,5 +117,17 @@ def overlaps(docs: DataFrame, items: DataFrame, least: float = LEAST_OVERLAP) ->
     return best.select("doc_id", "item_id", "b.matched", "b.item_tokens", (F.col("b.matched") / F.col("b.item_tokens")).alias("overlap"), (-F.col("b.back")).alias("start"))
 
 
+#: The same by brute force: every diagonal of a document and an item that share a token at it.
+ORACLE = r"""
+WITH d AS (SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark WHERE item_id IS NOT NULL),
+dt AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM d),
+it AS (SELECT item_id, len(w) AS n, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM i),
+h AS (SELECT doc_id, item_id, n, dt.pos - it.pos AS start, count(*) AS matched FROM dt JOIN it USING (token) GROUP BY ALL HAVING count(*) >= 0.6 * n)
+SELECT doc_id, item_id, CAST(matched AS INT) AS matched, CAST(n AS INT) AS item_tokens, matched / n AS overlap, CAST(start AS INT) AS start
+FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) = 1
+"""
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_normaliser": warc.ORACLE}
+    return {"op2_warc_normaliser": warc.ORACLE, "op7_spaced_seed_decontamination": decontaminate.ORACLE}
