@@ -5,8 +5,10 @@ shorter prefixes: the token must be one the model can make, and must not merge w
 remembered is the longest suffix that some piece continues, with the last token and the relative count at each place in it
 where a piece may still begin. That is a finite set of states; they are made when first met, each transition with the
 number of tokens it adds (or takes back, when letters merge), and kept in a table that numpy walks for many text chunks in
-step. No piece holds a word start after another letter, so the map of a chunk (state before to state after) is constant
-from its first word start on: all chunks run from there at once, and only the letters before wait for the chunk in front.
+step. Texts are cut into chunks, at word starts where there are any. The map of a chunk (state before to state after and
+tokens) is constant if it opens with a word start, as no piece holds one after another letter; else it is found for each
+state that some chunk before it can end in. The maps are then composed by a parallel prefix scan: in each round every chunk
+state takes over the tokens of the one it points to and points twice as far.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ SPACE = "▁"
 #: Letters with a column of their own (at first, at most), and entries of the table; one that has grown full is begun anew.
 COLUMNS, MOST_COLUMNS, ENTRIES = 128, 256, 1 << 25
 _BITS, _ZERO = 5, 16
+#: After so many rounds, states that are at most so many are tried in all chunks of their texts at once.
+EACH_ROUNDS, FEW_STATES = 3, 64
 _PAD = 0
 
 
 class Transducer:
     """Lazily built: step(state, letter) gives the next state and the change of the token count."""
 
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
+    def __init__(self, scores: dict[str, float], library=None):
+        self.scores, self.library = scores, library
         self.prefixes = {p[:i] for p in scores for i in range(1, len(p))}
         self.words_apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)
         self._apart: dict[tuple[str, str], bool] = {}
@@ -133,20 +137,22 @@ class Transducer:
             out = self.columns[codes]
         return out
 
-    def walk(self, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Run each column of grid (letters by chunks) from its state: the states after, and the tokens added."""
+    def walk(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Run chunks (flat[first : first + size], the longest in front) from their states: the states after, and the tokens added."""
         total = np.zeros(len(state), np.int64)
         state = state.copy()
-        for letters in grid:
-            at = state + letters
+        steps = int(size[0]) if len(size) else 0
+        running = len(size) - np.searchsorted(size[::-1], np.arange(steps), "right")
+        for step, n in enumerate(running.tolist()):
+            at = state[:n] + flat[first[:n] + step]
             entry = self.table[at]
-            if len(entry) and entry.min() < 0:
+            if entry.min() < 0:
                 for k in np.unique(at[entry < 0]).tolist():
                     ahead, added = self.step(k // self.width, self.letters[k % self.width])
                     self.table[k] = (ahead * self.width) << _BITS | (added + _ZERO)
                 entry = self.table[at]
-            state = entry >> _BITS
-            total += (entry & (2 * _ZERO - 1)) - _ZERO
+            state[:n] = entry >> _BITS
+            total[:n] += (entry & (2 * _ZERO - 1)) - _ZERO
         return state, total
 
     def count_slowly(self, text: str) -> int:
@@ -157,7 +163,18 @@ class Transducer:
         return total
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of each text: a space is put in front, and an empty text has none."""
+        """Tokens of each text: a space is put in front, and an empty text has none.
+
+        A text that the transducer can't take apart is counted by the library.
+        """
+        try:
+            return self._counts(texts)
+        except ValueError:
+            if len(texts) == 1:
+                return np.array([len(self.library.encode(texts[0]))], np.int64)
+            return np.concatenate([self.counts([t]) for t in texts])
+
+    def _counts(self, texts: list[str | None]) -> np.ndarray:
         if len(self.letters) == self.width < MOST_COLUMNS:
             self.width *= 2
             self.clear()
@@ -171,46 +188,67 @@ class Transducer:
                 slow[i], letters = t, letters[:0]
             own.append(letters)
         sizes = np.array([len(x) for x in own])
-        rows = -(-sizes // CHUNK)
-        first = np.concatenate([[0], np.cumsum(rows)])
-        out = np.zeros(len(texts), np.int64)
-        if first[-1]:
-            flat = np.zeros(first[-1] * CHUNK, np.uint8)
-            flat[np.arange(sizes.sum()) + np.repeat(first[:-1] * CHUNK - (np.cumsum(sizes) - sizes), sizes)] = np.concatenate(own)
-            doc = np.repeat(np.arange(len(texts)), rows)
-            begins = np.zeros(first[-1], bool)
-            begins[first[:-1][rows > 0]] = True
-            out += np.bincount(doc, weights=self._scan(flat, begins), minlength=len(texts)).astype(np.int64)
+        out = self._scan(np.concatenate([*own, np.zeros(0, np.uint8)]).astype(np.int32), sizes)
         for i, t in slow.items():
             out[i] = self.count_slowly(t)
         return out
 
-    def _scan(self, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Tokens that each chunk adds. begins: chunks that open a text."""
+    def _scan(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of each text; flat: the texts' letters one after another."""
+        begin = np.cumsum(sizes) - sizes
+        cells = -(-sizes // CHUNK)
+        first = np.repeat(begin - (np.cumsum(cells) - cells) * CHUNK, cells) + np.arange(cells.sum()) * CHUNK
+        if not len(first):
+            return np.zeros(len(sizes), np.int64)
         space = self.columns[ord(SPACE)]
         word = (flat == space) & (np.concatenate([[_PAD], flat[:-1]]) != space) if self.words_apart else np.zeros(len(flat), bool)
-        grid = flat.reshape(-1, CHUNK)
-        word = word.reshape(-1, CHUNK)
-        head = np.where(word.any(axis=1), word.argmax(axis=1), CHUNK)
-        head[begins] = 0
-        rest = np.where(np.arange(CHUNK) < head[:, None], _PAD, grid)
-        start = self.root * self.width
-        after, total = self.walk(np.ascontiguousarray(rest.T).astype(np.int32), np.full(len(grid), start, np.int32))
-        known = head < CHUNK
-        wait = np.flatnonzero(head > 0)
-        while len(wait):
-            ready = known[wait - 1]
-            for most in (32, CHUNK):
-                now = wait[ready & (head[wait] <= most) & (head[wait] > (0 if most == 32 else 32))]
-                if len(now):
-                    letters = np.where(np.arange(most) < head[now][:, None], grid[now, :most], _PAD)
-                    ends, added = self.walk(np.ascontiguousarray(letters.T).astype(np.int32), after[now - 1])
-                    total[now] += added
-                    whole = head[now] == CHUNK
-                    after[now[whole]] = ends[whole]
-            known[wait[ready]] = True
-            wait = wait[~ready]
-        return total
+        # A cell's chunk begins at its first word start, or where the cell begins if it has none; a text's first chunk with the text.
+        starts = np.concatenate([np.flatnonzero(word), [len(flat)]])
+        at = starts[np.searchsorted(starts, first)]
+        opens = np.zeros(len(first), bool)
+        opens[(np.cumsum(cells) - cells)[cells > 0]] = True
+        end = np.repeat(begin + sizes, cells)
+        apart = at < np.minimum(first + CHUNK, end)
+        first = np.where(apart & ~opens, at, first)
+        fixed = apart | opens
+        size = np.where(np.concatenate([opens[1:], [True]]), end, np.concatenate([first[1:], [0]])) - first
+        root = self.root * self.width
+        # Each row is a chunk with a state it is entered in; rows are added until every state that a chunk ends in has one behind it.
+        chunk, entered = np.arange(len(first)), np.full(len(first), root)
+        after, tokens = self._run(flat, first, size, chunk, entered)
+        known = (chunk << 32) | entered
+        new, text, rounds = chunk, np.repeat(np.arange(len(sizes)), cells), 0
+        while len(new):
+            ahead = chunk[new] + 1
+            wanted = np.unique(((ahead << 32) | after[new])[(ahead < len(first)) & ~fixed[np.minimum(ahead, len(first) - 1)]])
+            rounds += 1
+            states = np.unique(wanted & 0xFFFFFFFF)
+            if rounds > EACH_ROUNDS and 0 < len(states) <= FEW_STATES:  # letters that repeat: few states go round
+                rest = np.flatnonzero(np.isin(text, text[wanted >> 32]) & ~fixed)
+                wanted = np.unique((rest[:, None] << 32) | states[None, :])
+            wanted = wanted[~np.isin(wanted, known)]
+            new = len(chunk) + np.arange(len(wanted))
+            chunk, entered = np.concatenate([chunk, wanted >> 32]), np.concatenate([entered, wanted & 0xFFFFFFFF])
+            ends, added = self._run(flat, first, size, wanted >> 32, wanted & 0xFFFFFFFF)
+            after, tokens, known = np.concatenate([after, ends]), np.concatenate([tokens, added]), np.concatenate([known, wanted])
+        order = np.argsort(known)
+        ahead = chunk + 1
+        ends_text = np.concatenate([opens, [True]])[ahead]
+        inside = np.minimum(ahead, len(first) - 1)
+        to = order[np.searchsorted(known[order], (inside << 32) | np.where(fixed[inside], root, after)) % len(order)]
+        to = np.where(ends_text, len(chunk), to)
+        total, to = np.append(tokens, 0), np.append(to, len(chunk))
+        for _ in range(int(cells.max()).bit_length()):
+            total, to = total + total[to], to[to]
+        out = np.zeros(len(sizes), np.int64)
+        out[cells > 0] = total[np.flatnonzero(opens)]
+        return out
+
+    def _run(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray, chunk: np.ndarray, entered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(-size[chunk], kind="stable")
+        after, tokens = np.zeros(len(chunk), np.int64), np.zeros(len(chunk), np.int64)
+        after[order], tokens[order] = self.walk(flat, first[chunk][order], size[chunk][order], entered[order].astype(np.int32))
+        return after, tokens
 
 
 def load(path: str) -> Transducer:
@@ -220,7 +258,7 @@ def load(path: str) -> Transducer:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        return Transducer({model.id_to_piece(i): model.get_score(i) for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))})
+        return Transducer({model.id_to_piece(i): model.get_score(i) for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}, model)
 
     return held("token_counts", path, build)
 
@@ -228,7 +266,8 @@ def load(path: str) -> Transducer:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
-    Null texts count as empty, with no bytes and no tokens; repeated rows and null ids are counted each.
+    Null texts count as empty, with no bytes and no tokens; repeated rows and null ids are counted each. Texts are read
+    whole, very long ones in time in proportion to their length. An empty table gives no rows.
     """
 
     @tidied
