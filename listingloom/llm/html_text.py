@@ -8,8 +8,8 @@ with menus, banners, notices, adverts, side bars, forms, comments and footers ar
 
 from __future__ import annotations
 
+import bisect
 import html
-import math
 import random
 import re
 from collections.abc import Iterator
@@ -18,91 +18,166 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|textarea|iframe|object|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"(?>[^'\">]+|\"[^\"]*\"|'[^']*')*+>")
+_MARKS = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no text of the page, with the pattern of their end.
+RAW = {t: re.compile(f"</{t}\\s*>", re.IGNORECASE) for t in "script style template textarea iframe object svg math".split()}
 _CLOSED_BY_OWN_KIND = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Tags without an end that are looked for one by one; then the ends of all tags of the page are found in one pass.
+FAILURES = 8
 DIMENSIONS = 1 << 13
 Block = tuple[str, str, int]
 
 
-def page_blocks(page: str | None) -> list[Block]:
-    """(ancestors, text, characters inside links) of each block with text, in page order.
+class Node:
+    """An open block element: its tag and class words, and which of them none of its ancestors has."""
+
+    __slots__ = ("parent", "words", "fresh", "links", "base")
+
+    def __init__(self, parent: "Node | None", words: tuple[str, ...], fresh: tuple[str, ...], links: int):
+        self.parent, self.words, self.fresh, self.links, self.base = parent, words, fresh, links, None
+
+    def path(self) -> str:
+        words, node = [], self
+        while node is not None:
+            words.append(" ".join(node.words))
+            node = node.parent
+        return " ".join(reversed(words))
+
+
+class _Ends:
+    """Where the tag whose attributes begin at a place ends (behind its '>'), or -1; in time in proportion to the page."""
 
-    ancestors is a line of tags and class, id and role words, outermost first. Character references are decoded, white
-    space is collapsed; scripts, styles, comments and markup are left out.
+    def __init__(self, page: str):
+        self.page, self.last, self.failures, self.at = page, page.rfind(">"), 0, None
+
+    def __call__(self, place: int) -> int:
+        if self.at is None:
+            found = _ATTRIBUTES.match(self.page, place)
+            if found or self.failures < FAILURES:
+                self.failures += found is None
+                return found.end() if found else -1
+            self._all()
+        return self.ends[bisect.bisect_left(self.at, place)]
+
+    def _all(self) -> None:
+        """From the last quote or '>' to the first: a '>' ends the tag, a quote leads to what follows the next one of its kind."""
+        marks = [(m.start(), m[0]) for m in _MARKS.finditer(self.page)]
+        self.at, self.ends = [i for i, _ in marks], [-1] * (len(marks) + 1)
+        after = {'"': len(marks), "'": len(marks)}
+        for k in range(len(marks) - 1, -1, -1):
+            place, mark = marks[k]
+            if mark == ">":
+                self.ends[k] = place + 1
+            else:
+                self.ends[k] = self.ends[min(after[mark] + 1, len(marks))]
+                after[mark] = k
+
+
+def read_blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
+    """(element, text, characters inside links) of each block with text, in page order, read in one pass.
+
+    Character references are decoded, white space is collapsed; scripts, styles, comments and markup are left out. A '<'
+    that opens no whole tag is text.
     """
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    page = page or ""
+    out: list[tuple[Node | None, str, int]] = []
+    stack: list[Node] = []
+    open_: dict[str, int] = {}
+    seen: dict[str, bool] = {}
     parts: list[str] = []
-    linked = links = 0
+    linked = links = place = 0
+    ends = _Ends(page)
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((" ".join(path for _, path in stack if path), text, min(linked, len(text))))
+                out.append((stack[-1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def pop(n: int) -> None:
+    def pop() -> str:
         nonlocal links
-        links -= sum(1 for t, _ in stack[n:] if t == "a")
-        del stack[n:]
-
-    for m in _TOKEN.finditer(page or ""):
-        text = m["text"]
-        if text is not None:
-            parts.append(text)
-            if links:
-                linked += len(text)
+        node = stack.pop()
+        links = node.links
+        open_[node.words[0]] -= 1
+        for w in node.fresh:
+            del seen[w]
+        return node.words[0]
+
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if links:
+            linked += len(text)
+
+    while place < len(page):
+        start = page.find("<", place)
+        if start != place:
+            add(page[place : start if start >= 0 else len(page)])
+        if start < 0:
+            break
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            place = end + 3 if end >= 0 else len(page)
             continue
-        tag = m["tag"]
-        if tag is None:
+        m = _TAG.match(page, start) if start < ends.last else None
+        behind = ends(m.end()) if m else -1
+        if behind < 0:
+            if start < ends.last and page[start + 1] in "!?/":
+                place = page.find(">", start) + 1
+            else:
+                add("<")
+                place = start + 1
+            continue
+        place, ending, tag = behind, m[1], m[2].lower()
+        if tag in RAW and not ending:
+            end = RAW[tag].search(page, place)
+            place = end.end() if end else len(page)
             continue
-        tag = tag.lower()
-        inline = tag in INLINE
         if tag == "br":
             parts.append(" ")
             continue
-        if not inline:
-            close()
-        if tag in VOID:
+        if tag in INLINE:
+            if tag == "a":
+                floor = stack[-1].links if stack else 0
+                links = max(links - 1, floor) if ending else links + (page[behind - 2] != "/")
             continue
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if inline and stack[i][0] not in INLINE:
-                    break
+        close()
+        if tag in VOID:
             continue
-        if not inline:
-            kinds = _CLOSED_BY_OWN_KIND.get(tag, ("p",) if tag in _ENDS_P else ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in kinds:
-                    pop(i)
-                    if tag != "tr":
-                        break
-                elif stack[i][0] not in INLINE and not (tag in _ENDS_P and stack[i][0] == "p"):
-                    break
-        if m["attrs"].endswith("/") and inline:
+        if ending:
+            if open_.get(tag):
+                while pop() != tag:
+                    pass
             continue
-        names = " ".join(x for g in _NAMES.findall(m["attrs"]) for x in re.findall("[a-z]+", "".join(g).lower())) if m["attrs"] and not inline else ""
-        stack.append((tag, "" if inline else f"{tag} {' '.join('.' + n for n in names.split())}".strip()))
-        if tag == "a":
-            links += 1
+        kinds = _CLOSED_BY_OWN_KIND.get(tag, ("p",) if tag in _ENDS_P else ())
+        while stack and stack[-1].words[0] in kinds:
+            pop()
+            if tag != "tr":
+                break
+        attributes = page[m.end() : behind - 1]
+        names = [f".{x}" for g in _NAMES.findall(attributes) for x in re.findall("[a-z]+", "".join(g).lower())] if attributes else []
+        fresh = tuple(w for w in dict.fromkeys([tag, *names]) if w not in seen) if names or tag not in seen else ()
+        seen.update(dict.fromkeys(fresh, True))
+        open_[tag] = open_.get(tag, 0) + 1
+        stack.append(Node(stack[-1] if stack else None, (tag, *names), fresh, links))
     close()
     return out
 
 
+def page_blocks(page: str | None) -> list[Block]:
+    """The blocks with their ancestors as a line of tags and class, id and role words, outermost first."""
+    return [(node.path() if node else "", text, linked) for node, text, linked in read_blocks(page)]
+
+
 def _slot(feature: str) -> int:
     h = 2166136261
     for b in feature.encode():
@@ -118,10 +193,20 @@ def path_features(path: str) -> list[int]:
     return [_slot(f"in {t}") for t in sorted(set(own))] + [_slot(f"at {t}") for t in own[last:]] + [_slot(f"two {' '.join(tags[-2:])}")]
 
 
-def text_features(text: str, linked: int, place: int, count: int) -> list[str]:
+def text_facts(text: str, linked: int, place: int, count: int) -> tuple:
+    """What is looked at in a block's text: length, share of links, end, place in the page, marks, stops."""
     n = len(text)
     share = 0 if not linked else 1 if 2 * linked < n else 2 if linked < 0.9 * n else 3
-    return [f"length {min(int(math.log2(n + 1)), 10)}", f"links {share}", f"end {'.' if text[-1] in '.!?…' else 'x'}", f"long {n > 80} links {share}", f"first {place < 2}", f"last {count - place <= 2}", f"mark {'©' in text}", f"stops {min(text.count('. ') + text.count(', '), 4)}"]
+    return min((n + 1).bit_length() - 1, 10), share, text[-1] in ".!?…", n > 80, place < 2, count - place <= 2, "©" in text, min(text.count(". ") + text.count(", "), 4)
+
+
+def fact_features(facts: tuple) -> list[str]:
+    length, share, ended, long, first, last, mark, stops = facts
+    return [f"length {length}", f"links {share}", f"end {'.' if ended else 'x'}", f"long {long} links {share}", f"first {first}", f"last {last}", f"mark {mark}", f"stops {stops}"]
+
+
+def text_features(text: str, linked: int, place: int, count: int) -> list[str]:
+    return fact_features(text_facts(text, linked, place, count))
 
 
 def _words(rng: random.Random, n: int) -> str:
@@ -157,7 +242,7 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[list[Block], l
         if kind == "form":
             return rng.choice(["<form>", '<form class="search">', '<form class="login">']) + f"<label>{text(1, 3)}</label><input name=q><p>{text(4, 20)}</p><select><option>{text(1, 2)}<option>{text(1, 2)}</select><button>{text(1, 2)}</button></form>"
         if kind == "share":
-            return named("div", "share", "social", "meta", "byline", "author", "pagination", "tools") + rng.choice([links(3), f"<p>{text(2, 9)}</p>", text(2, 8)]) + "</div>"
+            return named("div", "share", "sharing", "meta", "byline", "author", "pagination", "tools") + rng.choice([links(3), f"<p>{text(2, 9)}</p>", text(2, 8)]) + "</div>"
         if kind == "comments":
             tag = rng.choice([named("div", "comments", "comment", "discussion", "replies", "responses", "thread"), '<section id="comments">', '<section class="comments">', '<ol class="commentlist">'])
             one = rng.choice(['<div class="comment"><p>{}</p></div>', '<li class="comment"><p>{}</p></li>', "<p>{}</p>", '<article class="comment"><p>{}</p></article>', '<div class="reply">{}</div>'])
@@ -255,24 +340,46 @@ class Extractor:
 
     def __init__(self, model: dict):
         self.weights, self.moves = model["weights"], model["moves"].tolist()
-        self.paths: dict[str, float] = {}
         self.features: dict[str, float] = {}
+        self.innermost: dict[tuple, float] = {}
+        self.facts: dict[tuple, float] = {}
 
     def path(self, path: str) -> float:
-        if path not in self.paths:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            self.paths[path] = float(self.weights[path_features(path)].sum())
-        return self.paths[path]
+        return float(self.weights[path_features(path)].sum())
+
+    def score(self, node: Node | None) -> float:
+        """The same for an element: what its ancestors give is kept with them."""
+        if node is None:
+            return self.path("")
+        chain = []
+        above = node
+        while above is not None and above.base is None:
+            chain.append(above)
+            above = above.parent
+        for own in reversed(chain):
+            own.base = (own.parent.base if own.parent else 0.0) + sum(self.feature(f"in {w}") for w in own.fresh)
+        key = (node.parent.words[0] if node.parent else "", node.words)
+        if key not in self.innermost:
+            if len(self.innermost) > 200_000:
+                self.innermost.clear()
+            self.innermost[key] = sum(self.feature(f"at {w}") for w in node.words) + self.feature(f"two {key[0]} {node.words[0]}" if key[0] else f"two {node.words[0]}")
+        return node.base + self.innermost[key]
+
+    def text(self, facts: tuple) -> float:
+        if facts not in self.facts:
+            self.facts[facts] = sum(map(self.feature, fact_features(facts)))
+        return self.facts[facts]
 
     def feature(self, feature: str) -> float:
         if feature not in self.features:
+            if len(self.features) > 200_000:
+                self.features.clear()
             self.features[feature] = float(self.weights[_slot(feature)])
         return self.features[feature]
 
     def main_text(self, page: str | None) -> str:
-        blocks = page_blocks(page)
-        unary = [self.path(p) + sum(map(self.feature, text_features(t, a, i, len(blocks)))) for i, (p, t, a) in enumerate(blocks)]
+        blocks = read_blocks(page)
+        unary = [self.score(node) + self.text(text_facts(t, a, i, len(blocks))) for i, (node, t, a) in enumerate(blocks)]
         return " ".join(t for (_, t, _), label in zip(blocks, viterbi(unary, self.moves), strict=True) if label)
 
 
@@ -280,7 +387,8 @@ def extract(pages: DataFrame, model: dict) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars.
 
     A null or empty html, and a page without main text, give the empty text. Repeated rows are read each; ids and urls
-    pass as they are. White space is what Python's str.split() takes for it.
+    pass as they are. White space is what Python's str.split() takes for it. Pages are read whole, in one pass whatever
+    their markup. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
