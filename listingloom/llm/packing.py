@@ -75,12 +75,14 @@ class Words:
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k] for k in plain)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(plain):
-                raise ValueError("a word was taken apart")
-            at, own = self._append(ids), n + np.array(plain)
-            self.size[own] = np.diff(stops, prepend=0)
-            self.first[own] = at + stops - self.size[own]
-        odd = [k for k, w in enumerate(words) if not _PLAIN(w)]
+            if len(stops) == len(plain):
+                at, own = self._append(ids), n + np.array(plain)
+                self.size[own] = np.diff(stops, prepend=0)
+                self.first[own] = at + stops - self.size[own]
+            else:  # the tokenizer takes one of them apart: each is encoded alone
+                plain = []
+        there = set(plain)
+        odd = [k for k in range(len(words)) if k not in there]
         for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
             self.first[n + k], self.size[n + k] = self._append(np.array(e.ids, np.uint32)), len(e.ids)
         return np.arange(n, n + len(words), dtype=np.int32)
@@ -269,7 +271,7 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id are packed each on its own, rows without one too.
-    An empty table gives no rows.
+    An empty table gives no rows. Very long texts are cut into pieces, none is cut short.
     """
     rows = materialize(pieces(docs, path, limit), "pieces")
     tally = rows.groupBy("task", "length").agg(F.count("*").alias("n"))
