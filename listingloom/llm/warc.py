@@ -1,7 +1,7 @@
 """WARC archives: written as one gzip stream each, then normalised to a member per record with an offset index.
 
 An archive is a row (name, content); tables of archives are written and read by Spark, so a lost task leaves nothing half
-done. export() copies the rows to .warc.gz files and their index to .cdx files where files are wanted.
+done. export() copies the rows to .warc.gz files and their index to .index.jsonl files where files are wanted.
 """
 
 from __future__ import annotations
@@ -147,7 +147,9 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
     Of equal payloads of LEAST_PAYLOAD bytes or more, the record with the smallest page_id is the response. Rows that
     repeat that page_id are responses too; rows without one are revisits if any row with an id has their payload. A null
-    html is an empty payload, a null url an empty one.
+    html is an empty payload, a null url an empty one. Payloads are written whole, very long ones too; an empty table gives
+    no archives. The first pages of repeated payloads are broadcast while they are under BROADCAST_BYTES; beyond that pages
+    are shuffled once by their digest.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
@@ -179,7 +181,7 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
             for name, content, index in zip(*(batch.column(c) for c in ("name", "content", "index")), strict=True):
                 data = content.as_py()
                 lines = "".join(json.dumps(e) + "\n" for e in index.as_py()).encode()
-                for suffix, body in ((".warc.gz", data), (".cdx", lines)):
+                for suffix, body in ((".warc.gz", data), (".index.jsonl", lines)):
                     part = f"{base}/{name}{suffix}.{TaskContext.get().taskAttemptId()}"
                     with system.open_output_stream(part, compression=None) as f:
                         f.write(body)
