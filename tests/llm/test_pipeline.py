@@ -10,7 +10,7 @@ COLUMNS = list(corpus_pipeline.COLUMNS)
 
 
 def test_stages_match_brute_force(spark, sf001, tmp_path):
-    docs = spark.read.parquet(f"{sf001}/documents.parquet").limit(300)
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
     item = spark.read.parquet(f"{sf001}/benchmark.parquet").first().text
     planted = [(10_001, None, None, None, None), (10_002, "12 34 %%", None, "x", 8), (10_003, f"Start {item} end of it", "en", "x", 1), (10_004, f"start {item} end of it", "en", "x", 1)]
     docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
@@ -56,3 +56,22 @@ def test_stages_take_empty_tables_and_extra_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         some = stage(spark, some, str(tmp_path))
     assert {r.doc_id for r in some.collect()} == {1, None}
+
+
+def test_decisions_are_made_row_by_row(spark, sf001, tmp_path):
+    """Texts that share a doc_id, and rows without one, are judged each on its own."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf001}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    item = spark.read.parquet(f"{sf001}/benchmark.parquet").first().text
+    plain = ["a quiet morning by the river with tea", "seven boats left the harbour before noon today", "letters about the garden and its old wall", "they counted every lamp along the station road"]
+    copy = " ".join(f"word{i}" for i in range(40))
+    rows = [(7, plain[0]), (7, "12 34"), (None, "56 %%"), (None, plain[1]), (7, f"Now {item} it ends"), (None, f"then {item} it ends there"), (8, copy), (None, copy), (9, copy + " end"), (3, copy), (7, plain[2]), (7, plain[2]), (None, plain[3]), (None, plain[3])]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    after = lambda name, df: sorted(((r.doc_id, r.text) for r in steps[name](spark, df, str(tmp_path)).collect()), key=str)
+    assert after("language", docs) == sorted([r for r in rows if re.search(r"[^\W\d_]", r[1])], key=str)
+    assert after("near_dedup", docs) == sorted([r for r in dict.fromkeys(rows) if copy not in r[1] and not r[1].startswith("then")] + [(3, copy)], key=str)
+    assert after("decontamination", docs) == sorted([r for r in rows if item not in r[1]], key=str)
+    calm = toxicity.train(*toxicity.labelled_sample(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    assert after("toxicity", docs) == sorted([r for r in rows if toxicity.probability(r[1], calm) < toxicity.THRESHOLD], key=str)
