@@ -14,33 +14,38 @@ from listingloom.session import hinted, materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """The rows of docs whose doc_id isn't among rejected; rows without a doc_id stay."""
-    ids = materialize(rejected.where("doc_id is not null").select(F.col("doc_id").alias("rejected_id")).distinct(), name)
-    return docs.select(*COLUMNS).join(hinted(ids), F.col("doc_id") == F.col("rejected_id"), "left_anti")
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of their own for the rows, written so that it stays the same."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), name)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that could be told (no letters, null) go."""
-    found = language.identify(docs, language.labelled_sample(docs))
-    return _without(docs, found.where(F.col("lang_pred") == language.UNKNOWN), "no-language")
+    """Rows without a language that could be told (no letters, null) go."""
+    return language.with_language(docs.select(*COLUMNS), language.labelled_sample(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Rows predicted toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(*toxicity.labelled_sample(docs, labels))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"), "toxic")
+    return toxicity.without_toxic(docs.select(*COLUMNS), toxicity.train(*toxicity.labelled_sample(docs, labels)))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return _without(docs, minhash.near_duplicates(docs).where(~F.col("kept")), "copies")
+    """One row of each group of near copies stays, the one with the smallest doc_id (rows without one come last)."""
+    keyed = _keyed(docs, "rows-to-compare")
+    found = minhash.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    ranked = found.join(keyed.select("row_key", "doc_id").hint("merge"), "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    kept = materialize(ranked.groupBy("component_id").agg(first).select("first.row_key"), "kept-rows")
+    return keyed.join(hinted(kept), "row_key", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    """Rows that hold a benchmark item go."""
+    keyed = _keyed(docs, "rows-to-search")
+    found = decontaminate.overlaps(keyed.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = materialize(found.select(F.col("doc_id").alias("row_key")).distinct(), "leaks")
+    return keyed.join(hinted(leaks), "row_key", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    Language and toxicity decide row by row; copies and benchmark passages are named by a number given to each row, so rows
+    that repeat a doc_id or have none are treated like any other. Of rows that repeat exactly one stays. An empty table gives
+    no rows. cleanup() of listingloom.session deletes what the stages wrote once the result has been written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
