@@ -26,8 +26,8 @@ COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 PIVOTS = 3
 UNIVERSE_BITS = 22
-#: A key with more rows than HOT_ROWS and a HOT_KEYS-th of all is joined by broadcast. Of more than HOT_SHINGLE rows with a
-#: shingle, those of different components are brought together bit by bit of the component's hash.
+#: A key with more rows than HOT_ROWS and a HOT_KEYS-th of all is joined by broadcast. A component with more than HOT_SHINGLE
+#: rows of a shingle meets the others of that shingle, and never itself.
 HOT_ROWS, HOT_KEYS, HOT_SHINGLE = 64, 20_000, 256
 #: Pairs whose estimate from 128 coordinates is lower aren't verified; at a true 0.75 that is 6.5 standard deviations off.
 LEAST_ESTIMATE = 0.5
@@ -155,8 +155,8 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     With shingles ordered from the rarest, similar sets share one among the first n - ceil(0.75 n) + 1 of the larger and the
     first n - ceil(6 n / 7) + 1 of the smaller set; from the places of the first shared one follows how many can be shared
     at most. Shingles of a single component are left out, so what all copies of a text have in common joins nothing. The
-    rows of a hot shingle are parted by the bits of their component's hash: those of one component never meet, and two of
-    different ones (xxhash64 keeps longs apart) meet at the first bit in which these differ.
+    rows that a component has of a shingle are kept apart from the others' if they are many: they are joined with the rows
+    of other components only, so the pairs within a large group of copies are never made.
     """
     ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(hinted(ids), "doc_id", "left_semi")
@@ -167,20 +167,24 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     prefix = known.withColumn("place", place).where("df > 1 and 4 * place <= size + 4")
     prefix = materialize(prefix.join(members.select("rep", "root").distinct().hint("merge"), "rep").select("shingle", "rep", "root", "size", "place"), "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r < s").select("shingle", "n")
-    prefix = _with(prefix, materialize(mixed, "mixed-shingles"), "shingle").withColumn("part", F.xxhash64("root"))
-    bits = F.array(*(F.struct(F.lit(k).alias("bit"), F.col("part").bitwiseAND((1 << k) - 1).alias("low"), F.shiftright("part", k).bitwiseAND(1).alias("side")) for k in range(64)))
-    whole = F.array(F.struct(F.lit(-1).alias("bit"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("side")))
-    dealt = prefix.select("shingle", "rep", "root", "size", "place", F.explode(F.when(F.col("n") > HOT_SHINGLE, bits).otherwise(whole)).alias("b")).select("shingle", "b.*", "rep", "root", "size", "place")
-    larger = dealt.select("shingle", "bit", "low", *(F.col(c).alias(f"{c}_a") for c in ("side", "rep", "root", "size", "place")))
-    smaller = dealt.where("7 * place <= size + 7").select("shingle", "bit", "low", *(F.col(c).alias(f"{c}_b") for c in ("side", "rep", "root", "size", "place")))
-    fit = "4 * size_b >= 3 * size_a and (size_a > size_b or (size_a = size_b and rep_a > rep_b))"
-    # Shared at most: this shingle and all after it; needed: 3/7 of both sizes together.
+    prefix = materialize(_with(prefix, materialize(mixed, "mixed-shingles"), "shingle").drop("n"), "mixed-prefixes")
+    large = materialize(prefix.groupBy("shingle", "root").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHINGLE).select("shingle", "root"), "large-groups")
+    group = hinted(large)
+    few, many = prefix.join(group, ["shingle", "root"], "left_anti"), prefix.join(group, ["shingle", "root"], "left_semi")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows if name == "a" else rows.where("7 * place <= size + 7")
+        return rows.select("shingle", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "root", "size", "place")))
+
+    # Shared at most: this shingle and all after it; needed: 3/7 of both sizes together. a is the larger set.
+    fit = "root_a <> root_b and 4 * size_b >= 3 * size_a and (size_a > size_b or (size_a = size_b and rep_a > rep_b))"
     able = "7 * (1 + least(size_a - place_a, size_b - place_b)) >= 3 * (size_a + size_b)"
-    sided = larger.where("side_a is not null"), smaller.where("side_b is not null")
-    found = larger.where("side_a is null").join(smaller.where("side_b is null").hint("merge"), ["shingle", "bit", "low"]).where(f"root_a <> root_b and {fit} and {able}")
-    for one in (0, 1):  # each side of a bit meets the other side only
-        a, b = sided[0].where(f"side_a = {one}"), sided[1].where(f"side_b = {1 - one}")
-        found = found.unionAll(a.join(b.hint("merge"), ["shingle", "bit", "low"]).where(f"{fit} and {able}"))
+    found = side(few, "a").join(side(few, "b").hint("merge"), "shingle").where(f"{fit} and {able}")
+    for a, b in ((few, many), (many, few)):
+        found = found.unionByName(side(a, "a").join(side(b, "b").hint("merge"), "shingle").where(f"{fit} and {able}"))
+    both = large.withColumnRenamed("root", "root_a").join(large.withColumnRenamed("root", "root_b").hint("merge"), "shingle").where("root_a <> root_b")
+    paired = side(many, "a").join(both.hint("merge"), ["shingle", "root_a"])
+    found = found.unionByName(paired.join(side(many, "b").hint("merge"), ["shingle", "root_b"]).where(f"{fit} and {able}"))
     return found.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
 
 
