@@ -43,7 +43,7 @@ QUERIES = {
     ),
     "view2_needs_rank": (
         lambda s, d: v.needs_rank(_store(s, d), AS_OF, 200, host="building").select(*_SHOWN),
-        f"{_E} SELECT id, title, start, rank, source_id FROM event_store WHERE status <> 'cancelled' AND rank IS NULL AND substr(start, 1, 10) BETWEEN '{AS_OF}' AND CAST(CAST(DATE '{AS_OF}' + INTERVAL 200 DAY AS DATE) AS STRING) AND (lower(host) LIKE '%building%' OR source_id = 'building')",
+        f"{_E} SELECT id, title, start, rank, source_id FROM event_store WHERE status <> 'cancelled' AND substr(start, 1, 10) BETWEEN '{AS_OF}' AND CAST(CAST(DATE '{AS_OF}' + INTERVAL 200 DAY AS DATE) AS STRING) AND (lower(host) LIKE '%building%' OR source_id = 'building')",
     ),
     "view3_list_events": (
         lambda s, d: v.list_events(_store(s, d), AS_OF, q="urgent night%part 3", period="past", sort="place", descending=True).select(*_SHOWN),

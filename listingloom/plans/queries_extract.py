@@ -102,7 +102,18 @@ def _cards(s, d):
     return part.select(F.col("p_partkey").alias("film_id"), F.col("p_name").alias("title"), shows.alias("showtimes"))
 
 
+def _utc_feed(s, d):
+    """The sessions with their starts written in UTC, some of them of the next day there."""
+    body = F.regexp_replace("body", r'"startsAt":"2026-08-(\d\d)T(\d\d):30:00-04:00"', r'"startsAt":"2026-08-$1T$2:30:00.000Z"')
+    return x.feed_events(payloads(s, d, "sessions").withColumn("body", body), "sessions", "America/New_York")
+
+
 QUERIES = {f"ext_feed_{family}": _feed(family) for family in _FAMILIES} | {
+    "ext16_utc_starts": (
+        lambda s, d: _utc_feed(s, d).select("source_id", "page_no", "event_id", "start", F.substring("start", 1, 10).alias("day")),
+        f"""WITH w AS (SELECT {_KEY}, CAST(p_partkey AS STRING) AS event_id, make_timestamp(2026, 8, CAST(p_partkey % 28 + 1 AS BIGINT), CAST(p_size % 24 AS BIGINT), 30, 0) - INTERVAL 4 HOUR AS local_at FROM part)
+        SELECT source_id, page_no, event_id, strftime(local_at, '%Y-%m-%dT%H:%M:%S-04:00') AS start, strftime(local_at, '%Y-%m-%d') AS day FROM w""",
+    ),
     "ext1_page_jsonld": (
         lambda s, d: x.page_jsonld(ld_pages(s, d)).select("page_id", "pos"),
         "SELECT p_partkey AS page_id, CAST(2 AS INT) AS pos FROM part",

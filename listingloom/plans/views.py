@@ -35,10 +35,10 @@ def upcoming(events: DataFrame, as_of: str, days: int, floor: str | None = None,
 
 
 def needs_rank(events: DataFrame, as_of: str, days: int | None = None, force: bool = False, host: str | None = None) -> DataFrame:
-    """The ranking queue: not cancelled, undated or from as_of on, unranked unless forced, by start."""
+    """The ranking queue: not cancelled, undated or from as_of on, unranked unless forced or of one host, by start."""
     undated = F.coalesce("start", F.lit("")) == ""
     rows = events.where((F.col("status") != "cancelled") & (undated | (day() >= as_of)))
-    rows = rows if force else rows.where(F.col("rank").isNull())
+    rows = rows if force or host else rows.where(F.col("rank").isNull())
     if days is not None:
         rows = rows.where(undated | (day() <= F.date_add(F.lit(as_of).cast("date"), days).cast("string")))
     if host:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listingloom.functions import text as t
+from listingloom.functions.events import to_local_iso
 from listingloom.operators.accounting import count_if
 
 # --- Pages ------------------------------------------------------------------------------------------------------------
@@ -216,7 +217,7 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
             "event_id": "e._id", "title": "e.title", "start": "e.startTime", "end": "cast(null as string)", "url": "''",
             "host": "array_join(transform(e.hosts, h -> trim(concat_ws(' ', h.firstName, h.lastName))), ', ')", "venue": "split_part(e.locationString, ',', 1)", "address": "e.locationString",
             "price": "''", "is_free": "cast(null as boolean)", "capacity_flag": "case when e.rsvpCounts is not null then concat_ws('; ', concat(e.rsvpCounts.confirmed, ' confirmed'), concat(e.rsvpCounts.maybe, ' maybe'), concat(e.rsvpCounts.waitlist, ' waitlist')) end",
-            "reason": "case when coalesce(e.cancelled, false) or coalesce(e.deleted, false) then 'cancelled_or_deleted' when e.city._id <> get_json_object(body, '$.city._id') then 'outside_configured_city' end",
+            "reason": "case when coalesce(e.cancelled, false) or coalesce(e.deleted, false) then 'cancelled_or_deleted' when not (e.city._id <=> get_json_object(body, '$.city._id')) then 'outside_configured_city' end",
         },
     ),
     "posts": (
@@ -250,12 +251,23 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
 }
 
 
-def feed_events(payloads: DataFrame, family: str) -> DataFrame:
-    """Raw rows of a provider family's payloads (source_id, page_no, body), in place order (page_no, pos)."""
+def feed_events(payloads: DataFrame, family: str, zone: str | None = None) -> DataFrame:
+    """Raw rows of a provider family's payloads (source_id, page_no, body), in place order (page_no, pos).
+
+    With a zone, starts and ends are given as ISO text with the zone's offset (a date with a 12-hour clock included); what
+    can't be read stays as the provider wrote it. Without one all stay so.
+    """
     where, schema, fields = FEEDS[family]
     entries = F.from_json(F.get_json_object("body", f"$.{where}"), f"array<struct<{_ddl(schema)}>>")
     rows = payloads.select("source_id", "page_no", "body", F.posexplode(entries).alias("pos", "e"))
-    return rows.select("source_id", "page_no", "pos", *(F.expr(sql).alias(name) for name, sql in fields.items()))
+    rows = rows.select("source_id", "page_no", "pos", *(F.expr(sql).alias(name) for name, sql in fields.items()))
+    return rows.withColumns({c: local_start(F.col(c), zone) for c in ("start", "end")}) if zone else rows
+
+
+def local_start(value: Column, zone: str) -> Column:
+    """A provider's time as local ISO text, or as it is where it can't be read."""
+    clock = F.concat(F.substring(value, 1, 10), F.lit("T"), t.clock12(F.substring(value, 12, 20)), F.lit(":00"))
+    return F.coalesce(to_local_iso(value, zone), to_local_iso(clock, zone), value)
 
 
 def _ddl(schema: str) -> str:
@@ -338,15 +350,21 @@ def card_showtimes(cards: DataFrame) -> DataFrame:
 def marker_groups(lines: DataFrame) -> DataFrame:
     """Records from lines (section, pos, line): a time opens one, a ticket line closes it, starred notes follow it.
 
-    Gives section, record, time, title, ticket, notes, reason.
+    A ticket line without a time before it in its group is a record of its own, missing_explicit_time; a time without ticket
+    or title is unresolved; other lines are nothing. Gives section, record, time, title, ticket, note, reason.
     """
     line = F.trim("line")
     kind = F.when(line.rlike(r"(?i)^\d{1,2}(:\d\d)?\s*[ap]\.?m\.?$"), "time").when(line.rlike(r"(?i)tickets?$"), "ticket").when(line.startswith("*"), "note").when(line == "", "blank").otherwise("title")
     order = Window.partitionBy("section").orderBy("pos")
-    marked = lines.withColumn("kind", kind).where("kind <> 'blank'").withColumn("record", F.sum(F.when(F.col("kind") == "time", 1).otherwise(0)).over(order))
+    marked = lines.withColumn("kind", kind).where("kind <> 'blank'")
+    before = F.last(F.when(F.col("kind") != "note", F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("kind") == "time") | ((F.col("kind") != "note") & F.coalesce(before == "ticket", F.lit(True)))
+    marked = marked.withColumn("opens", opens).withColumn("group", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order))
     text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", line.alias("v"))))), lambda x: x["v"]), " / ")
-    out = marked.groupBy("section", "record").agg(*(text(k).alias(k) for k in ("time", "title", "ticket", "note")))
-    return out.withColumn("reason", F.when(F.col("time") == "", "missing_explicit_time").when(F.col("ticket") == "", "unresolved"))
+    out = marked.groupBy("section", "group").agg(*(text(k).alias(k) for k in ("time", "title", "ticket", "note"))).where("time <> '' or ticket <> ''")
+    out = out.withColumn("reason", F.when(F.col("time") == "", "missing_explicit_time").when((F.col("ticket") == "") | (F.col("title") == ""), "unresolved"))
+    record = F.row_number().over(Window.partitionBy("section").orderBy("group")).cast("long")
+    return out.select("section", record.alias("record"), "time", "title", "ticket", "note", "reason")
 
 
 _DATE = r"(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}"

@@ -76,7 +76,8 @@ def test_money_ages_states(spark):
 def test_texts(spark):
     assert values(spark, t.clean_html, "<p>a &amp; b</p>\n<br>c", "x") == ["a & b c", "x"]
     assert values(spark, t.redact_contacts, "mail A.b@c.org or (212) 555-1234 now", "12345678901234") == ["mail [email removed] or [phone removed] now", "12345678901234"]
-    assert values(spark, e.preview_title, "\n\n Event: Run Club | Site\nmore", "") == ["Run Club", ""]
+    assert values(spark, t.redact_contacts, "2125551234 josé@x.org +1 212-555-1234") == ["2125551234 [email removed] [phone removed]"]
+    assert values(spark, e.preview_title, "\n\n Run Club · Luma\nmore", "Viewcy | Salon", "Jazz | Blues Night", "") == ["Run Club", "Salon", "Jazz | Blues Night", ""]
     assert values(spark, lambda a: e.section_between(a, "About", ("Tickets", "Where")), "x\nAbout\n one\n\ntwo\nTickets\n$5", "none") == ["one\ntwo", ""]
     assert values(spark, lambda a: e.theme(a, e.THEMES, "other"), "Wine tasting", "Pétanque at dusk", "Nothing", "Concert film") == ["drink", "sport", "other", "film"]
     assert values(spark, lambda a: extract.labelled_field(a, "Place", ("Date", "For a fee")), "Date: May 1 Place: Hall, 5 Main St For a fee: $5", "x") == ["Hall, 5 Main St", ""]
@@ -93,7 +94,12 @@ def test_text_occurrences(spark):
 def test_marker_groups(spark):
     lines = ["7:30 PM", "First Film", "Second Film", "Hall – Tickets", "*with intro", "", "Stray – Tickets", "9 PM", "Late Film"]
     rows = extract.marker_groups(spark.createDataFrame([("d1", i, x) for i, x in enumerate(lines)], "section string, pos int, line string")).orderBy("record").collect()
-    assert [(r.record, r.title, r.reason) for r in rows] == [(1, "First Film / Second Film", None), (2, "Late Film", "unresolved")]
+    assert [(r.record, r.title, r.ticket, r.reason) for r in rows] == [(1, "First Film / Second Film", "Hall – Tickets", None), (2, "", "Stray – Tickets", "missing_explicit_time"), (3, "Late Film", "", "unresolved")]
+    lines = ["7:30 PM", "A", "Hall - Tickets", "Stray film", "Barn - Tickets", "closing words"]
+    rows = extract.marker_groups(spark.createDataFrame([("d1", i, x) for i, x in enumerate(lines)], "section string, pos int, line string")).orderBy("record").collect()
+    assert [(r.record, r.title, r.ticket, r.reason) for r in rows] == [(1, "A", "Hall - Tickets", None), (2, "Stray film", "Barn - Tickets", "missing_explicit_time")]
+    lines = ["7:30 PM", "First Film", "Second Film", "Hall – Tickets", "*with intro"]
+    rows = extract.marker_groups(spark.createDataFrame([("d1", i, x) for i, x in enumerate(lines)], "section string, pos int, line string")).collect()
     assert rows[0].note == "*with intro"
 
 
@@ -257,3 +263,27 @@ def test_page_set_contract_reads_cursors(spark):
     pages = spark.createDataFrame([(s, 0, body(c)) for s, c in (("a", "x"), ("a", "x"), ("b", "x"), ("b", None), ("c", "x"), ("c", "y"))], "source_id string, page_no int, body string")
     got = extract.page_set_contract(pages, "$.total", "$.page", "$.items", cursor="$.next").where("problem = 'cursor repeats'").collect()
     assert [r.source_id for r in got] == ["a"]
+
+
+def test_ages_of_titles(spark):
+    rows = spark.createDataFrame([("Come along", "Singles 25-35"), ("Ages 30-40 Date & Time Ages 50-60", "x"), ("Date & time All ages", "21+ night"), ("All ages", "Aug 21-23")], "text string, title string")
+    got = [tuple(r.a) for r in rows.select(t.age_range(F.col("text"), F.col("title")).alias("a")).collect()]
+    assert got == [(25, 35, "25-35"), (30, 40, "30-40"), (21, None, "21+"), (None, None, "All ages")]
+
+
+def test_feed_times_become_local(spark):
+    from listingloom.sources import extract
+
+    assert values(spark, lambda c: extract.local_start(c, "America/New_York"), "2026-08-20T22:00:00.000Z", "2026-08-20 6:30 PM", "2026-08-20T18:30:00-04:00", "soon") == ["2026-08-20T18:00:00-04:00", "2026-08-20T18:30:00-04:00", "2026-08-20T18:30:00-04:00", "soon"]
+
+
+def test_canonical_urls_by_an_independent_reader(spark):
+    from urllib.parse import parse_qsl, urlencode, urlsplit
+
+    def one(u):
+        parts = urlsplit(u if "://" in u else "//" + u)
+        pairs = sorted((k.lower(), v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in t.TRACKING_KEYS)
+        return (parts.netloc.lower().removeprefix("www.") + parts.path.rstrip("/") + ("?" + urlencode(pairs) if pairs else "")).lower()
+
+    urls = ["https://www.V.org/a%20b/?q=caf%C3%A9+bar&B=1*2~3&utm_x=1", "v.org?x=%zz&y", "http://v.org/x?a=b=c&&a=A#frag?no", "https://v.org/é?é=ü&fbclid=1", "v.org/p?one=two?three", "https://v.org//", "//v.org/a?b=%2B+%26"]
+    assert values(spark, t.canon_url, *urls) == [one(u) for u in urls]
