@@ -35,9 +35,9 @@ def finalized_counts(discoveries: DataFrame, planned: DataFrame | None = None) -
 
 
 def rejection_counts(discoveries: DataFrame) -> DataFrame:
-    """A row for each run, source and reason of its rejected discoveries; no reason counts as 'rejected'."""
+    """A row for each run, source and reason of its rejected discoveries; no or a blank reason counts as 'rejected'."""
     rejected = discoveries.where("outcome = 'rejected'")
-    return rejected.groupBy("run_id", "source_id", F.coalesce("reason", F.lit("rejected")).alias("reason")).agg(F.count("*").alias("n"))
+    return rejected.groupBy("run_id", "source_id", F.coalesce(F.nullif("reason", F.lit("")), F.lit("rejected")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def rejection_histogram(discoveries: DataFrame) -> DataFrame:

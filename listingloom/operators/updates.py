@@ -91,17 +91,24 @@ def upsert_source_runs(source_runs: DataFrame, rows: DataFrame) -> DataFrame:
     return replace_rows(source_runs, rows, ["run_id", "source_id"])
 
 
-def record_discoveries(discoveries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows appended with ids that go on from the largest, by source and position.
+def numbered(before: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with a discovery_id each, going on from the largest of before, by keys and, within them, by order.
 
-    Ranks are taken within each source and shifted by the sources before it, so no task sees all rows.
+    Ranks are taken within each key and shifted by the keys before it, so no task sees all rows; only the sizes of the keys
+    (a row for each source and run) are summed up in one.
     """
-    sizes = rows.groupBy("source_id").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1))).select("source_id", F.coalesce("before", F.lit(0)).alias("before"))
-    last = discoveries.agg(F.coalesce(F.max("discovery_id"), F.lit(0)).alias("last"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("position")))
-    numbered = ranked.join(before, "source_id").join(F.broadcast(last)).withColumn("discovery_id", (F.col("last") + F.col("before") + F.col("k")).cast("long"))
-    return discoveries.unionByName(numbered.select(*discoveries.columns))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    shift = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    last = before.agg(F.coalesce(F.max("discovery_id"), F.lit(0)).alias("_last"))
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    every = ranked.join(shift.hint("merge"), keys).join(F.broadcast(last), F.lit(True))
+    return every.withColumn("discovery_id", (F.col("_last") + F.col("_before") + F.col("_k")).cast("long")).drop("_last", "_before", "_k")
+
+
+def record_discoveries(discoveries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows appended with ids that go on from the largest, by source ('unknown' where it is null) and position."""
+    rows = rows.withColumn("source_id", F.coalesce("source_id", F.lit("unknown")))
+    return discoveries.unionByName(numbered(discoveries, rows, ["source_id"], ["position"]).select(*discoveries.columns))
 
 
 def invalidate_events(events: DataFrame, aliases: DataFrame, discoveries: DataFrame, ids: DataFrame, source_id: str, reason: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:

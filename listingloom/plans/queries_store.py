@@ -408,8 +408,9 @@ QUERIES = {
         "SELECT p_partkey, left(sha256(p_name || '|' || p_brand), 20) AS made FROM part",
     ),
     "scl33_source_row": (
-        lambda s, d: e.source_row(bound(s, d, "source_runs").select("run_id", "source_id", F.to_json(F.struct(F.regexp_replace("state", "empty_verified", "empty").alias("state"), F.col("found_count").alias("found"), F.col("parsed_count").cast("string").alias("parsed_count"), F.lit(True).alias("new"))).alias("body"))),
-        f"{cte('source_runs')} SELECT run_id, source_id, state, found_count, parsed_count, CAST(0 AS BIGINT) AS rejected_count, CAST(1 AS BIGINT) AS new_count, '' AS detail FROM source_runs",
+        lambda s, d: e.source_row(bound(s, d, "source_runs").select("run_id", "source_id", F.to_json(F.struct(F.regexp_replace("state", "empty_verified", "empty").alias("state"), F.col("found_count").alias("found"), F.col("parsed_count").cast("string").alias("parsed_count"), F.lit(True).alias("new"), F.col("rejected_count").alias("events_kept"), F.col("new_count").alias("updated"), F.lit("7").alias("unchanged_count"), F.lit(2.5).alias("duplicates"))).alias("body"))),
+        f"""{cte('source_runs')} SELECT run_id, source_id, state, found_count, parsed_count, rejected_count AS qualified_count, CAST(0 AS BIGINT) AS rejected_count, CAST(1 AS BIGINT) AS new_count, new_count AS updated_count,
+        CAST(7 AS BIGINT) AS unchanged_count, CAST(0 AS BIGINT) AS duplicate_count, '' AS detail FROM source_runs""",
     ),
     "src4_decode_responses": (
         lambda s, d: tables.decode_responses(s.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("html").cast("binary").alias("body"), F.lit("text/html").alias("content_type"))).select("page_id", F.length("text").alias("n"), "content_hash"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from listingloom.functions.events import source_row
+
 SOURCE = "id STRING, title STRING, url STRING, priority INT, geo STRING, parse_hint STRING, retrieval_profile STRING, enabled BOOLEAN, disabled_reason STRING, adapter STRING"
 PROFILE = "primary STRUCT<method: STRING, recipe: STRING>, required_fields ARRAY<STRING>, empty_signal STRING"
 INBOX = "priority INT, retrieval_profile STRING, query_template STRING, items ARRAY<STRING>"
@@ -28,22 +32,42 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return sources, profiles, inbox.select("i.id", "i.title", F.coalesce("i.url", F.lit("")).alias("url"), F.coalesce("i.priority", "default", F.lit(3)).alias("priority"), F.col("retrieval_profile").alias("profile"), F.col("i.note").alias("parse_hint"), "has_cadence")
 
 
-RESULT = "source STRUCT<id: STRING, state: STRING, method: STRING, recipe_version: STRING, detail: STRING>, events ARRAY<STRING>, rejections ARRAY<STRUCT<reason: STRING, raw: STRING>>"
+RESULT = "source STRUCT<id: STRING, state: STRING, method: STRING, recipe_version: STRING, detail: STRING, artifacts: ARRAY<STRING>>, events ARRAY<STRING>, rejections ARRAY<STRUCT<reason: STRING, source_id: STRING, raw: STRING>>"
 
 
 def read_source_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Source rows, events (source_id, position, raw) and rejections of result files, lists in their order."""
+    """Source rows, events (source_id, position, raw) and rejections of result files, lists in their order.
+
+    Members that are no objects keep their text in raw; `stage_results` reports them.
+    """
     whole = spark.read.option("multiLine", True).schema(RESULT).json(path)
     events = whole.select(F.col("source.id").alias("source_id"), F.posexplode("events").alias("position", "raw"))
     rejections = whole.select(F.col("source.id").alias("source_id"), F.posexplode("rejections").alias("position", "r")).select("source_id", "position", "r.reason", "r.raw")
     return whole.select("source.*"), events, rejections
 
 
-def read_crawl_payload(spark: SparkSession, path: str) -> DataFrame:
-    """(position, raw) of the events of older files: an object with events, or a bare list."""
+class Payload(NamedTuple):
+    """An older file's run (one row), what it planned, its sources, events and rejections; empty tables where it is a bare list."""
+
+    run: DataFrame
+    manifest: DataFrame
+    sources: DataFrame
+    events: DataFrame
+    rejections: DataFrame
+
+
+def read_crawl_payload(spark: SparkSession, path: str) -> Payload:
+    """An older file: an object with run, sources, events and rejections, or a bare list of events."""
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    listed = F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.get_json_object("v", "$.events"))
-    return whole.select(F.posexplode(F.from_json(listed, "array<string>")).alias("position", "raw"))
+    part = lambda name: F.from_json(F.get_json_object("v", f"$.{name}"), "array<string>")
+    listed = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(part("events"))
+    said = lambda column, *names: F.coalesce(*(F.nullif(F.get_json_object(column, f"$.{n}"), F.lit("")) for n in names))
+    run = whole.select(*(said("v", f"run.{n}").alias(a) for n, a in (("id", "run_id"), ("seen_date", "seen_date"), ("started_at", "started_at"), ("finished_at", "finished_at"))))
+    manifest = whole.select(F.explode(part("run.manifest_source_ids")).alias("source_id"))
+    sources = source_row(whole.select(F.explode(part("sources")).alias("body")).withColumn("source_id", F.coalesce(said("body", "source_id", "id"), F.lit("unknown"))))
+    rejected = whole.select(F.posexplode(part("rejections")).alias("position", "r"))
+    rejected = rejected.select("position", said("r", "reason").alias("reason"), said("r", "source_id").alias("source_id"), F.coalesce(said("r", "raw", "event"), "r").alias("raw"))
+    return Payload(run, manifest, sources, whole.select(F.posexplode(listed).alias("position", "raw")), rejected)
 
 
 def decode_responses(responses: DataFrame) -> DataFrame:

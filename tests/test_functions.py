@@ -145,7 +145,7 @@ def test_catalog_files_and_staging(spark, tmp_path):
     assert sorted((r.source_id, r.audit, r.detail) for r in plan) == [("a", True, "retry after parse_failed"), ("i", False, "mail connector unavailable")]
     for body, want in (('[{"title": "x"}]', 1), ('{"run": {}, "events": [{"title": "x"}, {}]}', 2)):
         (tmp_path / "payload.json").write_text(body)
-        assert tables.read_crawl_payload(spark, f"{tmp_path}/payload.json").count() == want
+        assert tables.read_crawl_payload(spark, f"{tmp_path}/payload.json").events.count() == want
     staged = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "run_id string, source_id string, n int")
     tables.write_staged(staged, f"{tmp_path}/staged")
     tables.write_staged(spark.createDataFrame([("r", "a", 9)], "run_id string, source_id string, n int"), f"{tmp_path}/staged")
