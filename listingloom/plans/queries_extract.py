@@ -21,7 +21,7 @@ _FAMILIES = {
         f"CAST(p_partkey AS STRING) AS event_id, p_name AS title, {_START} AS start, p_type AS venue, p_size % 7 = 0 AS is_free, CAST(p_size AS STRING) || ' capacity' AS capacity_flag, CASE WHEN p_size % 5 = 0 THEN 'cancelled' END AS reason",
     ),
     "search": (
-        f"named_struct('sourceId', 'm' || p_partkey, 'title', p_name, 'startDate', {_START}, 'url', p_type, 'subtype', if(p_size % 3 = 0, array('Free', 'Talk'), array('Talk')), 'museumLocation', named_struct('name', p_brand))",
+        f"named_struct('sourceId', 'm' || p_partkey, 'type', if(p_size % 13 = 0, 'page', 'event'), 'title', p_name, 'startDate', {_START}, 'url', p_type, 'subtype', if(p_size % 3 = 0, array('Free', 'Talk'), array('Talk')), 'museumLocation', named_struct('name', p_brand))",
         "named_struct('metadata', named_struct('total', total, 'pageNumber', page_no), 'data', items)",
         f"'m' || CAST(p_partkey AS STRING) AS event_id, p_name AS title, {_START} AS start, p_brand AS venue, CASE WHEN p_size % 3 = 0 THEN true END AS is_free, CAST(NULL AS STRING) AS capacity_flag, CAST(NULL AS STRING) AS reason",
     ),
@@ -41,9 +41,9 @@ _FAMILIES = {
         f"'p' || CAST(p_partkey AS STRING) AS event_id, p_name AS title, {_START} AS start, '' AS venue, CAST(NULL AS BOOLEAN) AS is_free, CAST(NULL AS STRING) AS capacity_flag, CASE WHEN p_size % 10 = 0 THEN 'not_an_event' END AS reason",
     ),
     "list": (
-        "named_struct('id', int(p_partkey), 'title', p_name, 'event_date', '2026-08-20', 'event_time', '6:30 PM', 'venue', p_type, 'borough', p_brand, 'cost_type', if(p_size % 2 = 0, 'free', 'paid'), 'rsvp_url', 'r', 'is_active', p_size % 12 <> 0)",
+        "named_struct('id', int(p_partkey), 'title', if(p_partkey % 3 = 0, '', p_name), 'event_name', p_name, 'event_date', if(p_partkey % 2 = 0, '2026-08-20', ''), 'date', '2026-08-20', 'time', '6:30 PM', 'venue', p_type, 'borough', p_brand, 'price_range', if(p_size % 2 = 0, 'Free', '$5'), 'rsvp_link', if(p_size % 11 = 0, '', 'r'), 'is_active', p_size % 12 <> 0)",
         "named_struct('events', items, 'pagination', named_struct('page', page_no, 'total', total))",
-        "CAST(p_partkey AS STRING) AS event_id, p_name AS title, '2026-08-20 6:30 PM' AS start, p_type AS venue, p_size % 2 = 0 AS is_free, CAST(NULL AS STRING) AS capacity_flag, CASE WHEN p_size % 12 = 0 THEN 'inactive' END AS reason",
+        "CAST(p_partkey AS STRING) AS event_id, p_name AS title, '2026-08-20 6:30 PM' AS start, p_type AS venue, p_size % 2 = 0 AS is_free, CAST(NULL AS STRING) AS capacity_flag, CASE WHEN p_size % 12 = 0 THEN 'inactive' WHEN p_size % 11 = 0 THEN 'event_parse_failed' END AS reason",
     ),
     "discovery": (
         f"named_struct('api_id', 'x', 'event', named_struct('api_id', 'd' || p_partkey, 'name', p_name, 'start_at', {_START}, 'geo_address_info', named_struct('city', if(p_size % 4 = 0, 'Boston', 'Brooklyn'), 'address', p_type)), 'calendar', named_struct('name', p_brand), 'hosts', array(), 'ticket_info', named_struct('is_free', p_size % 6 = 0, 'is_sold_out', p_size % 11 = 0))",
@@ -67,7 +67,7 @@ def payloads(spark, folder, family):
 
 
 def _feed(family):
-    sql = f"SELECT {_KEY}, {_FAMILIES[family][2]} FROM part"
+    sql = f"SELECT {_KEY}, {_FAMILIES[family][2]} FROM part{' WHERE p_size % 13 <> 0' if family == 'search' else ''}"
     return (lambda s, d: x.feed_events(payloads(s, d, family), family).select(*_RAW)), sql
 
 
@@ -114,6 +114,24 @@ QUERIES = {f"ext_feed_{family}": _feed(family) for family in _FAMILIES} | {
         f"""WITH w AS (SELECT {_KEY}, CAST(p_partkey AS STRING) AS event_id, make_timestamp(2026, 8, CAST(p_partkey % 28 + 1 AS BIGINT), CAST(p_size % 24 AS BIGINT), 30, 0) - INTERVAL 4 HOUR AS local_at FROM part)
         SELECT source_id, page_no, event_id, strftime(local_at, '%Y-%m-%dT%H:%M:%S-04:00') AS start, strftime(local_at, '%Y-%m-%d') AS day FROM w""",
     ),
+    "ext12_subtype_filter": (
+        lambda s, d: x.feed_events(payloads(s, d, "search"), "search", subtype="Free").select("source_id", "event_id", "title", "price"),
+        "SELECT p_brand AS source_id, 'm' || CAST(p_partkey AS STRING) AS event_id, p_name AS title, 'Free' AS price FROM part WHERE p_size % 3 = 0 AND p_size % 13 <> 0",
+    ),
+    "ext15_evidence_hash": (
+        lambda s, d: x.feed_events(payloads(s, d, "posts"), "posts").select("source_id", "event_id", "url", "content_hash"),
+        f"""SELECT p_brand AS source_id, 'p' || CAST(p_partkey AS STRING) AS event_id, 'https://l.example.com/' || CAST(p_partkey AS STRING) AS url,
+        sha256('{{"address":"' || p_type || '","content":"' || p_name || '\\nmore","end_time":"","entity_id":"p' || p_partkey || '","entity_type":"' || CASE WHEN p_size % 10 = 0 THEN 'NOTE' ELSE 'EVENT' END
+        || '","entity_url":"","link_title":"","link_url":"mailto:x","post_id":"x","start_time":"' || {_START} || '"}}') AS content_hash FROM part""",
+    ),
+    "ext16_host_match": (
+        lambda s, d: x.feed_events(payloads(s, d, "sessions").withColumn("body", F.regexp_replace("body", '"freeEvent":true', '"freeEvent":"yes"')), "sessions", host_id=7).select("source_id", "event_id", "reason"),
+        "SELECT p_brand AS source_id, CAST(p_partkey AS STRING) AS event_id, 'event_parse_failed' AS reason FROM part",
+    ),
+    "ext16_host_of_size": (
+        lambda s, d: x.feed_events(payloads(s, d, "sessions"), "sessions", host_id=5).select("source_id", "event_id", "reason"),
+        "SELECT p_brand AS source_id, CAST(p_partkey AS STRING) AS event_id, CASE WHEN p_size = 5 THEN 'cancelled' ELSE 'event_parse_failed' END AS reason FROM part",
+    ),
     "ext1_page_jsonld": (
         lambda s, d: x.page_jsonld(ld_pages(s, d)).select("page_id", "pos"),
         "SELECT p_partkey AS page_id, CAST(2 AS INT) AS pos FROM part",
@@ -123,7 +141,7 @@ QUERIES = {f"ext_feed_{family}": _feed(family) for family in _FAMILIES} | {
         "SELECT p_partkey AS page_id, 'https://parts.example.com/e/' || CAST(p_partkey AS STRING) AS url FROM part",
     ),
     "ext3_page_text": (
-        lambda s, d: x.page_contents(s.read.parquet(f"{d}/pages.parquet")).select("page_id", F.length("text").alias("n"), F.size("links").alias("links")),
+        lambda s, d: x.page_contents(s.read.parquet(f"{d}/pages.parquet")).select("page_id", "text", F.size("links").alias("links")),
         None,
     ),
     "ext4_page_links": (
@@ -233,9 +251,13 @@ QUERIES = {f"ext_feed_{family}": _feed(family) for family in _FAMILIES} | {
         lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.labelled_field(F.concat(F.lit("Date: today Place: "), "p_name", F.lit(", "), "p_brand", F.lit(" For a fee: $5")), "Place", ("For a fee",)).alias("place")),
         "SELECT p_partkey, p_name || ', ' || p_brand AS place FROM part",
     ),
+    "ext30_split_place": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.split_place(F.expr("case p_partkey % 3 when 0 then concat(p_name, ', ', p_brand, ' , , ', p_type) when 1 then p_name else '' end")).alias("p")).select("p_partkey", "p.venue", "p.address"),
+        "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE p_name END AS venue, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ', ' || p_type ELSE '' END AS address FROM part",
+    ),
     "ext31_near_date_hint": (
-        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr("concat('2026-01-05 ', p_name, if(p_size % 2 = 0, ' 2026-02-06 ', ' '))").alias("before")).select("p_partkey", x.near_date_hint(F.concat("before", F.lit("LINK 2026-03-07")), F.length("before") + 1).alias("hint")),
-        "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '2026-02-06' ELSE '2026-01-05' END AS hint FROM part",
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr("if(p_partkey % 5 = 0, p_name, concat('Jan 5, 2026 ', p_name, element_at(array(' Friday, February 6th 7:30 PM ', ' 2/7/2026 8 PM ', ' March 8 ', ' 2026-04-09 ', ' December 10 at '), int(p_size % 5 + 1))))").alias("before")).select("p_partkey", x.near_date_hint(F.concat("before", F.lit("LINK 2026-03-07")), F.length("before") + 1, "2026-01-15").alias("hint")),
+        "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '2026-03-07' ELSE ['2026-02-06', '2026-02-07', '2026-03-08', '2026-01-05', '2025-12-10'][p_size % 5 + 1] END AS hint FROM part",
     ),
     "ext32_explicit_empty": (
         lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", x.explicit_empty(F.when(F.col("event_type") == "view", "Sorry, no upcoming events").otherwise(F.col("event_type"))).alias("empty")),

@@ -224,10 +224,12 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
         "posts",
         "id string, content string, entity struct<id:string,type:string,url:string,startTime:string,endTime:string,address:string>, links array<struct<link:string,title:string>>",
         {
-            "event_id": "e.entity.id", "title": "split_part(trim(e.content), '\\n', 1)", "start": "e.entity.startTime", "end": "e.entity.endTime",
-            "url": "coalesce(case when e.entity.url rlike '^https?://[^/]+' then e.entity.url end, filter(transform(e.links, l -> l.link), l -> l rlike '^https?://[^/]+')[0], '')",
+            "event_id": "coalesce(nullif(e.entity.id, ''), e.id)",
+            "title": "coalesce(nullif(trim(regexp_replace(split_part(trim(get(e.links, 0).title), '\\n', 1), ' · Luma$|^Viewcy [|] ', '')), ''), split_part(trim(e.content), '\\n', 1))", "start": "e.entity.startTime", "end": "e.entity.endTime",
+            "url": "coalesce(case when e.entity.url rlike '^https?://[^/]+' then e.entity.url end, get(filter(transform(e.links, l -> l.link), l -> l rlike '^https?://[^/]+'), 0), '')",
             "host": "''", "venue": "''", "address": "e.entity.address", "price": "''", "is_free": "cast(null as boolean)", "capacity_flag": "cast(null as string)",
-            "reason": "case when e.entity.type <> 'EVENT' then 'not_an_event' when e.entity.endTime < e.entity.startTime then 'end_before_start' end",
+            "reason": "case when e.entity.type <> 'EVENT' then 'not_an_event' when try_to_timestamp(e.entity.endTime) < try_to_timestamp(e.entity.startTime) then 'end_before_start' end",
+            "content_hash": "sha2(to_json(named_struct('address', coalesce(e.entity.address, ''), 'content', coalesce(e.content, ''), 'end_time', coalesce(e.entity.endTime, ''), 'entity_id', coalesce(e.entity.id, ''), 'entity_type', coalesce(e.entity.type, ''), 'entity_url', coalesce(e.entity.url, ''), 'link_title', coalesce(get(e.links, 0).title, ''), 'link_url', coalesce(get(e.links, 0).link, ''), 'post_id', coalesce(e.id, ''), 'start_time', coalesce(e.entity.startTime, ''))), 256)",
         },
     ),
     "sessions": (
@@ -237,30 +239,40 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
             "event_id": "cast(e.id as string)", "title": "e.sessionName", "start": "e.startsAt", "end": "e.endsAt", "url": "e.link", "host": "coalesce(e.teacher, '')", "venue": "e.location", "address": "''",
             "price": "case when e.freeEvent then 'Free' when e.fixedTicketPrice = floor(e.fixedTicketPrice) then concat('$', cast(e.fixedTicketPrice as bigint)) when e.fixedTicketPrice is not null then format_string('$%.2f', e.fixedTicketPrice) else '' end",
             "is_free": "e.freeEvent", "capacity_flag": "nullif(concat_ws('; ', concat(e.capacity, ' capacity'), concat(e.ticketsSold, ' sold'), concat(e.remainingSpots, ' remaining')), '')",
-            "reason": "case when coalesce(e.isCancelled, false) then 'cancelled' end",
+            "reason": "case when e.id is null or coalesce(trim(e.sessionName), '') = '' or coalesce(trim(e.link), '') = '' or coalesce(e.startsAt, '') = '' or e.freeEvent is null then 'event_parse_failed' when coalesce(e.isCancelled, false) then 'cancelled' end",
         },
     ),
     "list": (
         "events",
-        "id int, title string, description string, event_date string, event_time string, venue string, neighborhood string, borough string, cost_type string, rsvp_url string, is_active boolean",
+        "id int, title string, event_name string, description string, event_date string, date string, event_time string, time string, venue string, neighborhood string, borough string, cost_type string, price_range string, rsvp_url string, rsvp_link string, is_active boolean",
         {
-            "event_id": "cast(e.id as string)", "title": "e.title", "start": "concat(e.event_date, ' ', e.event_time)", "end": "cast(null as string)", "url": "e.rsvp_url", "host": "''", "venue": "e.venue", "address": "coalesce(e.neighborhood, e.borough, '')",
-            "price": "case lower(e.cost_type) when 'free' then 'Free' else '' end", "is_free": "case lower(e.cost_type) when 'free' then true when 'paid' then false end", "capacity_flag": "cast(null as string)", "reason": "case when not coalesce(e.is_active, true) then 'inactive' end",
+            "event_id": "cast(e.id as string)", "title": "coalesce(nullif(trim(e.title), ''), trim(e.event_name))",
+            "start": "concat(coalesce(nullif(e.event_date, ''), e.date), ' ', coalesce(nullif(e.event_time, ''), e.time))", "end": "cast(null as string)",
+            "url": "coalesce(nullif(e.rsvp_url, ''), e.rsvp_link)", "host": "''", "venue": "e.venue", "address": "concat_ws(', ', nullif(e.venue, ''), nullif(e.neighborhood, ''), nullif(e.borough, ''))",
+            "price": "coalesce(nullif(e.cost_type, ''), e.price_range, '')", "is_free": "case when lower(coalesce(nullif(e.cost_type, ''), e.price_range)) = 'free' then true when coalesce(nullif(e.cost_type, ''), e.price_range, '') <> '' then false end", "capacity_flag": "cast(null as string)",
+            "reason": "case when not coalesce(e.is_active, true) then 'inactive' when e.id is null or coalesce(nullif(trim(e.title), ''), trim(e.event_name), '') = '' or coalesce(nullif(e.event_date, ''), e.date, '') = '' or coalesce(nullif(e.event_time, ''), e.time, '') = '' or coalesce(nullif(e.rsvp_url, ''), e.rsvp_link, '') = '' then 'event_parse_failed' end",
         },
     ),
 }
 
 
-def feed_events(payloads: DataFrame, family: str, zone: str | None = None) -> DataFrame:
+def feed_events(payloads: DataFrame, family: str, zone: str | None = None, host_id: int | None = None, subtype: str | None = None) -> DataFrame:
     """Raw rows of a provider family's payloads (source_id, page_no, body), in place order (page_no, pos).
 
     With a zone, starts and ends are given as ISO text with the zone's offset (a date with a 12-hour clock included); what
-    can't be read stays as the provider wrote it. Without one all stay so.
+    can't be read stays as the provider wrote it. Without one all stay so. Sessions of another host than host_id are
+    event_parse_failed; of the search family, entries that are no events, or lack the subtype where one is asked for, are left out.
     """
     where, schema, fields = FEEDS[family]
     entries = F.from_json(F.get_json_object("body", f"$.{where}"), f"array<struct<{_ddl(schema)}>>")
     rows = payloads.select("source_id", "page_no", "body", F.posexplode(entries).alias("pos", "e"))
-    rows = rows.select("source_id", "page_no", "pos", *(F.expr(sql).alias(name) for name, sql in fields.items()))
+    if family == "search":
+        rows = rows.where(F.col("e.type") == "event")
+        rows = rows if subtype is None else rows.where(F.array_contains("e.subtype", subtype))
+    made = {name: F.expr(sql) for name, sql in fields.items()}
+    if family == "sessions" and host_id is not None:
+        made["reason"] = F.when(~F.col("e.hostId").eqNullSafe(host_id), "event_parse_failed").otherwise(made["reason"])
+    rows = rows.select("source_id", "page_no", "pos", *(c.alias(name) for name, c in made.items()))
     return rows.withColumns({c: local_start(F.col(c), zone) for c in ("start", "end")}) if zone else rows
 
 
@@ -410,11 +422,36 @@ def weekly_occurrences(evidence: DataFrame, patterns: list[str], weekday: str, c
     return rows.select("source_id", F.concat(F.col("d").cast("string"), F.lit(f"T{clock}:00")).alias("start"), F.substring(F.sha2(F.concat_ws("|", "source_id", "d"), 256), 1, 20).alias("event_id"))
 
 
-def near_date_hint(text: Column, at: Column) -> Column:
-    """The last ISO date within 350 characters before a place, else the first within 700 around it."""
-    before = F.regexp_extract_all(F.substring(text, F.greatest(at - 350, F.lit(1)), F.least(at - 1, F.lit(350))), F.lit(r"\d{4}-\d\d-\d\d"), F.lit(0))
-    around = F.regexp_extract(F.substring(text, F.greatest(at - 700, F.lit(1)), F.lit(1400)), r"\d{4}-\d\d-\d\d", 0)
-    return F.coalesce(F.try_element_at(before, F.lit(-1)), F.nullif(around, F.lit("")))
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_CLOCK = r"\s+\d{1,2}(?::\d\d)?\s*[AP]M"
+_WORDS = rf"(?i)\b((?:{'|'.join(f'{m[:3]}(?:{m[3:]})?' for m in _MONTHS)})\.?)\s+(\d{{1,2}})(?:st|nd|rd|th)?,?(?:\s+(20\d\d))?"
+_NUMBERS = r"(?i)\b(\d{1,2})/(\d{1,2})/(20\d\d)"
+_PLAIN = r"\b(20\d\d-\d\d-\d\d)\b"
+
+
+def near_date_hint(text: Column, at: Column, seen: str) -> Column:
+    """The last date within 350 characters before a place, else the first within 700 around it, as ISO text.
+
+    Dates in words with a clock come before numbers with a clock, dates in words, and ISO dates; a year that isn't given is
+    the one that puts the month within six months of the day `seen`.
+    """
+    before = F.substring(text, F.greatest(at - 350, F.lit(1)), F.least(at - 1, F.lit(350)))
+    around = F.substring(text, F.greatest(at - 700, F.lit(1)), F.lit(1400))
+    shapes = (_WORDS + _CLOCK, _NUMBERS + _CLOCK, _WORDS + r"\b", _PLAIN)
+    last = [F.try_element_at(F.regexp_extract_all(before, F.lit(p), F.lit(0)), F.lit(-1)) for p in shapes]
+    found = F.coalesce(*last, *(F.nullif(F.regexp_extract(around, p, 0), F.lit("")) for p in shapes))
+    part = lambda p, i: F.nullif(F.regexp_extract(found, p, i), F.lit(""))
+    names = F.array(*(F.lit(m[:3].lower()) for m in _MONTHS))
+    month = F.array_position(names, F.lower(F.substring(part(_WORDS, 1), 1, 3))).cast("int")
+    year = F.coalesce(part(_WORDS, 3), t.infer_year(month, F.lit(seen).cast("date")).cast("string"))
+    iso = lambda *xs: F.concat_ws("-", xs[0], *(F.lpad(x.cast("string"), 2, "0") for x in xs[1:])).try_cast("date").cast("string")
+    return F.when(part(_WORDS, 1).isNotNull(), iso(year, month, part(_WORDS, 2))).when(part(_NUMBERS, 1).isNotNull(), iso(part(_NUMBERS, 3), part(_NUMBERS, 1), part(_NUMBERS, 2))).otherwise(part(_PLAIN, 1).try_cast("date").cast("string"))
+
+
+def split_place(place: Column) -> Column:
+    """struct(venue, address) of 'venue, street, city'; pieces without text don't count."""
+    parts = F.filter(F.transform(F.split(place, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("venue"), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), ", ").alias("address"))
 
 
 def labelled_field(text: Column, label: str, others: tuple[str, ...] = ()) -> Column:
