@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingloom.llm import chat, decontaminate, fingerprints, html_text, language, minhash, packing, token_counts, toxicity, warc
+from listingloom.llm import chat, decontaminate, fingerprints, html_text, language, minhash, packing, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_transducer_token_counts": token_counts.op8,
         "op9_crf_html_extraction": html_text.op9,
         "op10_pattern_packing": packing.op10,
+        "op11_embedding_whitening": whitening.op11,
     }
 
 
