@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingloom.llm import chat, decontaminate, fingerprints, html_text, language, minhash, packing, token_counts, toxicity, warc, whitening
+from listingloom.llm import chat, codes, decontaminate, fingerprints, html_text, language, minhash, packing, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_crf_html_extraction": html_text.op9,
         "op10_pattern_packing": packing.op10,
         "op11_embedding_whitening": whitening.op11,
+        "op12_vector_codes": codes.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_normaliser": warc.ORACLE, "op7_spaced_seed_decontamination": decontaminate.ORACLE}
+    return {"op2_warc_normaliser": warc.ORACLE, "op7_spaced_seed_decontamination": decontaminate.ORACLE, "op12_vector_codes": codes.ORACLE}
