@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingloom.llm import chat, codes, decontaminate, fingerprints, html_text, language, minhash, packing, token_counts, toxicity, warc, whitening
+from listingloom.llm import chat, codes, decontaminate, fingerprints, html_text, language, minhash, mixing, packing, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_pattern_packing": packing.op10,
         "op11_embedding_whitening": whitening.op11,
         "op12_vector_codes": codes.op12,
+        "op13_source_mixing": mixing.op13,
     }
 
 
