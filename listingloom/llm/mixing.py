@@ -25,7 +25,7 @@ WEIGHTS, MOST_TIMES, BLOCK, SHARD, SEED = (5, 2, 1), 3, 512, 1024, 20
 MOST_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one group of the prefix sum, and groups that one window takes in order.
-_GROUP, _FAN = 4096, 1024
+_GROUP, _FAN = 256, 1024
 #: Marbles that numpy draws from at once; more are split by exact shares first.
 _MARBLES = 500_000_000
 
