@@ -6,21 +6,24 @@ ever meet are put into one component, components are replayed in order of discov
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
-from datetime import datetime
-from itertools import groupby
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime, timedelta
+from functools import lru_cache
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listingloom.functions import text as t
+from listingloom.operators.alike import alike, grams, prefix, score
 from listingloom.operators.components import components
 from listingloom.session import materialize
 
+# Fixed values of the matching rules: minutes between starts, and the ratios that count as alike or as a conflict.
 NEAR_MINUTES = 30.0
 TITLE, ADDRESS, VENUE, HOST, CONFLICT = 0.88, 0.92, 0.90, 0.92, 0.70
 #: Fields that a later sighting may overwrite, and those that the same source may also clear.
@@ -29,17 +32,19 @@ CLEARABLE = ("is_free", "capacity_flag", "age_min", "age_max")
 FIELDS = ("id", "url", "title", "host", "start", "source_id", "description", "first_seen", "last_seen", *VOLATILE)
 
 
-def sightings(rows: DataFrame, key: str) -> DataFrame:
-    """(key, canonical_url) of each row's own and signup URL, where they name one event."""
+def sightings(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, canonical_url) of each row's own and signup URL, where they name one event."""
     urls = F.array_distinct(F.array(t.canon_url(F.col("url")), t.canon_url(F.col("signup_url"))))
-    return rows.select(key, F.explode(urls).alias("canonical_url")).where(t.is_event_url(F.col("canonical_url")))
+    return rows.select(*keys, F.explode(urls).alias("canonical_url")).where(t.is_event_url(F.col("canonical_url")))
 
 
 def match_alias(incoming: DataFrame, aliases: DataFrame, events: DataFrame) -> DataFrame:
     """(n, event_id): the only event of the same local day under one of a row's URLs, or the only one near in time."""
-    mine = sightings(incoming, "n").join(incoming.select("n", F.col("start").alias("my_start"), t.local_day(F.col("start")).alias("day")), "n")
-    stored = aliases.select("event_id", "canonical_url").join(events.select(F.col("id").alias("event_id"), "start", F.substring("start", 1, 10).alias("day")), "event_id")
-    found = mine.join(stored, ["canonical_url", "day"]).select("n", "event_id", (t.minutes_apart(F.col("my_start"), F.col("start")) <= NEAR_MINUTES).alias("near")).distinct()
+    start = t.iso_start(F.col("start"))
+    mine = materialize(sightings(incoming.withColumn("my_start", start).where("my_start is not null"), "n", "my_start"), "sightings").withColumn("day", F.substring("my_start", 1, 10))
+    dated = events.select(F.col("id").alias("event_id"), start.alias("start"), F.substring("start", 1, 10).alias("day"))
+    stored = aliases.select("event_id", "canonical_url").join(dated.hint("merge"), "event_id")
+    found = mine.hint("merge").join(stored, ["canonical_url", "day"]).select("n", "event_id", (t.minutes_apart(F.col("my_start"), F.col("start")) <= NEAR_MINUTES).alias("near")).distinct()
     tally = found.groupBy("n").agg(F.count("*").alias("all"), F.min("event_id").alias("one"), F.count_if("near").alias("close"), F.min(F.when(F.col("near"), F.col("event_id"))).alias("closest"))
     return tally.select("n", F.when(F.col("all") == 1, F.col("one")).when(F.col("close") == 1, F.col("closest")).alias("event_id")).where("event_id is not null")
 
@@ -49,23 +54,45 @@ def match_exact(incoming: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _normed(rows: DataFrame, side: str, key: str, norm) -> DataFrame:
+    """Key, start in ISO form, and normalised names of one side."""
     names = ("title", "host", "venue", "address", "neighborhood")
-    return rows.select(F.col(key).alias(f"{side}_key"), t.local_day(F.col("start")).alias("day"), F.col("start").alias(f"{side}_start"), *(norm(F.col(c)).alias(f"{side}_{c}") for c in names)).where("day is not null")
+    return rows.select(F.col(key).alias(f"{side}_key"), t.iso_start(F.col("start")).alias(f"{side}_start"), F.substring("start", 1, 10).alias("stored_day"), *(norm(F.col(c)).alias(f"{side}_{c}") for c in names)).where(f"{side}_start is not null")
+
+
+def _slot(start: str, wall: bool) -> Column:
+    when = t.wall_time(F.col(start)).cast("timestamp") if wall else t.instant(F.col(start))
+    return F.floor(F.unix_seconds(when) / (60 * NEAR_MINUTES))
+
+
+def incoming_blocks(start: str) -> Column:
+    """The blocks in which a row with a start (ISO form) looks for stored rows: its day with its half hour and both next to
+    it. Starts that both have an offset meet by instant, others by wall time."""
+    offset, day = t.has_offset(F.col(start)), F.substring(start, 1, 10)
+    block = lambda kind, slot: F.array(*(F.concat_ws("|", F.lit(kind), day, (slot + k).cast("string")) for k in (-1, 0, 1)))
+    return F.when(offset, F.concat(block("both", _slot(start, False)), block("mine", _slot(start, True)))).otherwise(block("none", _slot(start, True)))
+
+
+def stored_blocks(start: str, day: Column) -> Column:
+    """The blocks in which a row with a start is found, under the day that its stored text begins with."""
+    offset = t.has_offset(F.col(start))
+    block = lambda kind, slot: F.concat_ws("|", F.lit(kind), day, slot.cast("string"))
+    wall = _slot(start, True)
+    return F.when(offset, F.array(block("both", _slot(start, False)), block("none", wall))).otherwise(F.array(block("mine", wall), block("none", wall)))
 
 
 def score_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, norm=t.norm_text, distinct: bool = False) -> DataFrame:
     """(l_key, r_key) of rows that look like one occurrence: same day, near in time, like titles, and a like place or host.
 
-    Rows meet in half-hour slots of a day, each left row in its own and both next ones, so the join is on equal keys.
+    Rows meet in blocks of half an hour, and in a block only those whose titles share a rare enough bigram (`alike`); each
+    pair of titles is scored once, however many rows have them.
     """
-    slot = lambda c: F.floor(F.unix_seconds(t.wall_time(F.col(c)).cast("timestamp")) / (60 * NEAR_MINUTES))
-    a = _normed(left, "l", left_key, norm).withColumn("slot", F.explode(F.array(*(slot("l_start") + k for k in (-1, 0, 1)))))
-    b = _normed(right, "r", right_key, norm).withColumn("slot", slot("r_start"))
-    pairs = a.hint("merge").join(b, ["day", "slot"]).where(t.minutes_apart(F.col("l_start"), F.col("r_start")) <= NEAR_MINUTES)
+    a = materialize(_normed(left, "l", left_key, norm).withColumn("block", F.explode(incoming_blocks("l_start"))), "left")
+    b = materialize(_normed(right, "r", right_key, norm).withColumn("block", F.explode(stored_blocks("r_start", F.col("stored_day")))).drop("stored_day"), "right")
+    titles = materialize(alike(a.withColumnRenamed("l_title", "title"), b.withColumnRenamed("r_title", "title"), TITLE), "alike").withColumnRenamed("score", "title_score")
+    pairs = a.join(titles.hint("merge"), ["block", "l_title"]).join(b.hint("merge"), ["block", "r_title"]).where(t.minutes_apart(F.col("l_start"), F.col("r_start")) <= NEAR_MINUTES)
     if distinct:
         pairs = pairs.where("l_key < r_key")
     like = lambda c, least=0.0: t.text_similarity(F.col(f"l_{c}"), F.col(f"r_{c}"), least)
-    pairs = pairs.withColumn("title_score", like("title", TITLE)).where(F.col("title_score") >= TITLE)
     pairs = pairs.withColumn("venue_score", like("venue", CONFLICT)).withColumn("address_score", like("address", CONFLICT)).withColumn("host_score", like("host", HOST))
     known = F.least(*(F.length(f"{s}_{c}") for s in "lr" for c in ("venue", "address"))) > 0
     conflict = known & (F.col("venue_score") < CONFLICT) & (F.col("address_score") < CONFLICT)
@@ -96,20 +123,7 @@ def _norm(s: str | None) -> str:
     return re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", s or "").lower()).strip()
 
 
-def _like(a: str | None, b: str | None) -> float:
-    a, b = _norm(a), _norm(b)
-    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-
-
-def _time(s: str | None) -> datetime | None:
-    try:
-        return datetime.fromisoformat((s or "").strip().replace("Z", "+00:00"))
-    except ValueError:
-        return None
-
-
-def _near(a: str, b: str) -> bool:
-    x, y = _time(a), _time(b)
+def _near(x: datetime | None, y: datetime | None) -> bool:
     if x is None or y is None:
         return False
     if x.utcoffset() is None or y.utcoffset() is None:
@@ -117,52 +131,178 @@ def _near(a: str, b: str) -> bool:
     return abs((x - y).total_seconds()) <= 60 * NEAR_MINUTES
 
 
-def same_occurrence(new: dict, old: dict) -> bool:
-    if not _near(new["start"], old["start"]) or (title := _like(new["title"], old["title"])) < TITLE:
+@lru_cache(maxsize=1 << 16)
+def _ratio(a: str, b: str, least: float) -> float:
+    return score(a, b, least)
+
+
+def same_occurrence(new: dict[str, str], old: dict[str, str]) -> bool:
+    """Whether two rows near in time, given by their normalised names, are one occurrence."""
+    title = _ratio(new["title"], old["title"], TITLE)
+    if title < TITLE:
         return False
-    address, venue = _like(new["address"], old["address"]), _like(new["venue"], old["venue"])
-    if all(_norm(e[c]) for e in (new, old) for c in ("venue", "address")) and venue < CONFLICT and address < CONFLICT:
+    address, venue = (_ratio(new[c], old[c], CONFLICT) for c in ("address", "venue"))
+    if all(e[c] for e in (new, old) for c in ("venue", "address")) and venue < CONFLICT and address < CONFLICT:
         return False
-    area = _norm(new["neighborhood"])
-    return address >= ADDRESS or venue >= VENUE or _like(new["host"], old["host"]) >= HOST or (title == 1.0 and area != "" and area == _norm(old["neighborhood"]))
+    same_area = title == 1.0 and new["neighborhood"] != "" and new["neighborhood"] == old["neighborhood"]
+    return address >= ADDRESS or venue >= VENUE or same_area or _ratio(new["host"], old["host"], HOST) >= HOST
 
 
-class Replay:
-    """The store as one component sees it, changed row by row."""
+class _Texts:
+    """Events by a text of theirs, and by the texts that are like another: an index of the bigrams that such texts share."""
+
+    def __init__(self, least: float, ranks: dict[str, int]):
+        self.least, self.ranks = least, ranks
+        self.by_gram: dict[str, set[str]] = defaultdict(set)
+        self.by_text: dict[str, set[str]] = defaultdict(set)
+
+    def put(self, event: str, text: str) -> None:
+        if text:
+            if text not in self.by_text:
+                for g in prefix(text, self.ranks, self.least):
+                    self.by_gram[g].add(text)
+            self.by_text[text].add(event)
 
-    def __init__(self, events: list[dict], aliases: list[dict]):
-        self.events = {e["id"]: e for e in events}
+    def drop(self, event: str, text: str) -> None:
+        if text:
+            self.by_text[text].discard(event)
+
+    def like(self, text: str) -> list[set[str]]:
+        """The events of each text whose ratio, with this one first, reaches the bound."""
+        near = {x for g in prefix(text, self.ranks, self.least) for x in self.by_gram.get(g, ())}
+        return [self.by_text[x] for x in near if self.by_text[x] and _ratio(text, x, self.least) >= self.least]
+
+
+class _Block:
+    """Stored events of one half hour (see stored_blocks), found by their names."""
+
+    def __init__(self, ranks: dict[str, int]):
+        self.texts = {c: _Texts(least, ranks) for c, least in (("title", TITLE), ("venue", VENUE), ("address", ADDRESS), ("host", HOST))}
+        self.areas: dict[str, set[str]] = defaultdict(set)
+
+    def put(self, event: str, names: dict[str, str]) -> None:
+        for c, index in self.texts.items():
+            index.put(event, names[c])
+        self.areas[names["neighborhood"]].add(event)
+
+    def drop(self, event: str, names: dict[str, str]) -> None:
+        for c, index in self.texts.items():
+            index.drop(event, names[c])
+        self.areas[names["neighborhood"]].discard(event)
+
+    def candidates(self, new: dict[str, str]) -> Iterable[str]:
+        """A set of events that holds all that are the same occurrence, some of them perhaps twice: those with a like title,
+        or those with a like place, host or area, whichever are fewer."""
+        titles = self.texts["title"].like(new["title"])
+        places = [events for c in ("venue", "address", "host") for events in self.texts[c].like(new[c])] if titles else []
+        if titles and new["neighborhood"]:
+            places.append(self.areas.get(new["neighborhood"], set()))
+        return chain.from_iterable(min(titles, places, key=lambda sets: sum(map(len, sets))))
+
+
+def _slots(moment: datetime) -> tuple[int, int | None]:
+    """The half hours of the wall time and, with an offset, of the instant."""
+    wall = moment.replace(tzinfo=None) - datetime(1970, 1, 1)
+    half = timedelta(minutes=NEAR_MINUTES)
+    return wall // half, None if moment.utcoffset() is None else (wall - moment.utcoffset()) // half
+
+
+class Replay:
+    """The store as one component sees it, changed row by row and indexed by URL and by half hour."""
+
+    def __init__(self, events: list[dict], aliases: list[dict], staged: list[dict]):
+        texts = {_norm(e[c]) for e in (*events, *staged) for c in ("title", "venue", "address", "host")}
+        self.ranks = Counter(g for text in texts for g in grams(text))
+        self.events: dict[str, dict] = {}
+        self.names: dict[str, dict[str, str]] = {}
+        self.times: dict[str, datetime | None] = {}
+        self.blocks: dict[tuple, _Block] = {}
+        self.by_url: dict[tuple, set[str]] = defaultdict(set)
         self.aliases = {(a["event_id"], a["canonical_url"]): a for a in aliases}
+        for e in events:
+            self._index(e)
+        for event, url in self.aliases:
+            self._index_url(event, url)
         self.touched: set[str] = set()
         self.seen: set[str] = set()
 
+    def _index(self, e: dict) -> None:
+        i, names = e["id"], {c: _norm(e[c]) for c in ("title", "host", "venue", "address", "neighborhood")}
+        self.events[i] = e
+        if self.names.get(i) == names:
+            return
+        if i not in self.times:
+            self.times[i] = t.read_time(e["start"])
+        if self.times[i] is not None:
+            for key in self._stored(e["start"][:10], self.times[i]):
+                block = self.blocks.setdefault(key, _Block(self.ranks))
+                if i in self.names:
+                    block.drop(i, self.names[i])
+                block.put(i, names)
+        self.names[i] = names
+
+    def _index_url(self, event: str, url: str) -> None:
+        """Under its URL and day, and under those and its half hours."""
+        if event in self.events:
+            day, moment = self.events[event]["start"][:10], self.times[event]
+            for key in ((), *(self._stored(day, moment) if moment is not None else ())):
+                self.by_url[url, day, *key].add(event)
+
+    @staticmethod
+    def _stored(day: str, moment: datetime) -> list[tuple]:
+        wall, instant = _slots(moment)
+        return [("none", day, wall), ("mine", day, wall) if instant is None else ("both", day, instant)]
+
+    @staticmethod
+    def _incoming(day: str, moment: datetime) -> list[tuple]:
+        wall, instant = _slots(moment)
+        kinds = [("none", wall)] if instant is None else [("both", instant), ("mine", wall)]
+        return [(kind, day, slot + k) for kind, slot in kinds for k in (-1, 0, 1)]
+
     def find(self, new: dict) -> dict | None:
-        moment = _time(new["start"])
-        if moment is not None:
-            day = moment.date().isoformat()
-            own = {new[c] for c in ("canon_url", "canon_signup") if new[c]}
-            found = [self.events[i] for i in sorted({i for i, url in self.aliases if url in own}) if i in self.events and self.events[i]["start"][:10] == day]
-            if len(found) != 1:
-                found = [e for e in found if _near(new["start"], e["start"])]
-            if len(found) == 1:
-                return found[0]
+        """The one event under a row's URLs on its day (or the one near in time), else that of its id, else the one that
+        looks like its occurrence."""
+        moment = t.read_time(new["start"])
+        if moment is None:
+            return self.events.get(new["id"])
+        day = moment.date().isoformat()
+        own = {new[c] for c in ("canon_url", "canon_signup") if new[c]}
+        known = [self.by_url.get((url, day), ()) for url in own]
+        found = set().union(*known) if all(len(ids) < 2 for ids in known) else set()
+        if len(found) != 1:
+            found = self._near(moment, (i for url in own for key in self._incoming(day, moment) for i in self.by_url.get((url, day, *key), ())))
+        if len(found) == 1:
+            return self.events[found.pop()]
         if new["id"] in self.events:
             return self.events[new["id"]]
-        found = [e for e in self.events.values() if e["start"][:10] == day and same_occurrence(new, e)] if moment is not None else []
-        return found[0] if len(found) == 1 else None
+        names = {c: _norm(new[c]) for c in ("title", "host", "venue", "address", "neighborhood")}
+        listed = (i for key in self._incoming(day, moment) if key in self.blocks for i in self.blocks[key].candidates(names))
+        found = self._near(moment, listed, lambda i: same_occurrence(names, self.names[i]))
+        return self.events[found.pop()] if len(found) == 1 else None
+
+    def _near(self, moment: datetime, listed: Iterable[str], holds: Callable[[str], bool] = lambda i: True) -> set[str]:
+        """The events of a list that are near in time and for which a rule holds; two of them are enough to know."""
+        found: set[str] = set()
+        for i in listed:
+            if i not in found and _near(moment, self.times[i]) and holds(i):
+                found.add(i)
+                if len(found) == 2:
+                    break
+        return found
 
     def sight(self, event_id: str, canonical: str | None, url: str, source: str, first: str, last: str) -> bool:
         if not canonical:
             return False
         old = self.aliases.get((event_id, canonical))
         if old is None:
+            self._index_url(event_id, canonical)
             self.aliases[event_id, canonical] = {"event_id": event_id, "canonical_url": canonical, "url": url, "source_id": source or "", "first_seen": first, "last_seen": last}
             return True
         old.update(url=url or old["url"], source_id=old["source_id"] or source or "", first_seen=min(old["first_seen"], first), last_seen=max(old["last_seen"], last))
         return False
 
     def _store(self, e: dict) -> None:
-        self.events[e["id"]] = e
+        self._index(e)
         self.touched.add(e["id"])
         for c, url in (("canon_url", "url"), ("canon_signup", "signup_url")):
             self.sight(e["id"], e[c], e[url], e["source_id"], e["first_seen"], e["last_seen"])
@@ -208,8 +348,9 @@ def _replayed(seen: str):
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
         bodies = [(k, n, json.loads(b)) for _, k, n, b in rows]
-        store = Replay([b for k, _, b in bodies if k == "event"], [b for k, _, b in bodies if k == "alias"])
-        for n, new in sorted(((n, b) for k, n, b in bodies if k == "staged"), key=lambda x: x[0]):
+        staged = sorted(((n, b) for k, n, b in bodies if k == "staged"), key=lambda x: x[0])
+        store = Replay([b for k, _, b in bodies if k == "event"], [b for k, _, b in bodies if k == "alias"], [b for _, b in staged])
+        for n, new in staged:
             yield "outcome", n, *store.take(new, seen), ""
         for i in sorted(store.touched):
             yield "event", 0, i, "", json.dumps(store.events[i], ensure_ascii=False)
@@ -239,34 +380,42 @@ def prepared(rows: DataFrame) -> DataFrame:
     have = {c: F.col(c) if c in rows.columns else F.lit(None) for c in FIELDS}
     texts = [c for c in FIELDS if c not in ("is_free", "age_min", "age_max")]
     out = rows.select(*(c for c in ("n", "raw_keys") if c in rows.columns), *(F.coalesce(have[c].cast("string"), F.lit("")).alias(c) if c not in ("end", "capacity_flag") else have[c].cast("string").alias(c) for c in texts), have["is_free"].cast("boolean").alias("is_free"), have["age_min"].cast("int").alias("age_min"), have["age_max"].cast("int").alias("age_max"))
-    named = lambda c: F.when(t.is_event_url(t.canon_url(F.col(c))), t.canon_url(F.col(c)))
-    return out.withColumn("canon_url", named("url")).withColumn("canon_signup", named("signup_url"))
+    out = out.withColumns({"canon_url": t.canon_url(F.col("url")), "canon_signup": t.canon_url(F.col("signup_url"))})
+    return out.withColumns({c: F.when(t.is_event_url(F.col(c)), F.col(c)) for c in ("canon_url", "canon_signup")})
 
 
 def _edges(staged: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs of node names that may meet: one URL and day, one id, or titles alike at nearly one time."""
-    both = staged.select("n", *FIELDS, "canon_url", "canon_signup", F.concat(F.lit("s"), F.col("n")).alias("node")).unionByName(events.select(F.lit(None).cast("long").alias("n"), *FIELDS, "canon_url", "canon_signup", F.concat(F.lit("e"), F.col("id")).alias("node")))
-    day = F.coalesce(t.local_day(F.col("start")), F.substring("start", 1, 10))
-    urls = both.select("node", F.explode(F.array_distinct(F.filter(F.array("canon_url", "canon_signup"), lambda u: u.isNotNull()))).alias("url"), day.alias("day"))
-    urls = urls.unionAll(aliases.join(events.select(F.col("id").alias("event_id"), day.alias("day")), "event_id").select(F.concat(F.lit("e"), F.col("event_id")), "canonical_url", "day"))
-    keyed = urls.select("node", F.concat_ws("|", F.lit("u"), "url", "day").alias("key")).unionAll(both.select("node", F.concat(F.lit("i"), F.col("id"))))
-    # A node is tied to its key, not to the other nodes of the key: one edge a row, however many share it.
-    ties = keyed.select(F.col("node").alias("a"), F.concat(F.lit("~"), F.col("key")).alias("b"))
-    rows = both.select("node", "start", t.local_day(F.col("start")).alias("day"), t.norm_text(F.col("title")).alias("title"), F.floor(F.unix_seconds(t.wall_time(F.col("start")).cast("timestamp")) / (60 * NEAR_MINUTES)).alias("slot")).where("day is not null")
-    left = rows.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))).toDF("a", "a_start", "day", "a_title", "slot")
-    pairs = left.hint("merge").join(rows.toDF("b", "b_start", "day", "b_title", "slot"), ["day", "slot"]).where("a < b and (a like 's%' or b like 's%')")
-    pairs = pairs.where(t.minutes_apart(F.col("a_start"), F.col("b_start")) <= NEAR_MINUTES)
-    like = F.greatest(t.text_similarity(F.col("a_title"), F.col("b_title"), TITLE), t.text_similarity(F.col("b_title"), F.col("a_title"), TITLE))
-    return ties.unionAll(pairs.where(like >= TITLE).select("a", "b"))
+    """Pairs of node names that may meet: one URL and day, one id, or titles alike at nearly one time.
+
+    A node is tied to what it shares with others, not to them: a URL and day, an id, or a block and title in which stored
+    rows are found and which an incoming row looks for. So there are a few edges a row, however many rows share it. A staged
+    row is incoming first and stored later, under the day that it was read as and the day that its text begins with.
+    """
+    both = staged.select(*FIELDS, "canon_url", "canon_signup", F.concat(F.lit("s"), F.col("n")).alias("node")).unionByName(events.select(*FIELDS, "canon_url", "canon_signup", F.concat(F.lit("e"), F.col("id")).alias("node")))
+    rows = materialize(both.select("node", "id", "canon_url", "canon_signup", t.iso_start(F.col("start")).alias("start"), F.substring("start", 1, 10).alias("stored_day"), t.norm_text(F.col("title")).alias("title")), "nodes")
+    days = F.array_distinct(F.filter(F.array(F.substring("start", 1, 10), F.col("stored_day")), lambda d: d.isNotNull()))
+    urls = rows.select("node", F.explode(F.array_distinct(F.filter(F.array("canon_url", "canon_signup"), lambda u: u.isNotNull()))).alias("url"), days.alias("days"))
+    known = aliases.select(F.concat(F.lit("e"), F.col("event_id")).alias("node"), F.col("canonical_url").alias("url")).join(rows.select("node", days.alias("days")).hint("merge"), "node")
+    urls = urls.unionByName(known.select("node", "url", "days")).select("node", "url", F.explode("days").alias("day"))
+    keyed = urls.select("node", F.concat_ws("|", F.lit("u"), "url", "day").alias("key")).unionAll(rows.select("node", F.concat(F.lit("i"), F.col("id"))))
+    dated = rows.where("start is not null and title <> ''")
+    incoming = materialize(dated.where("node like 's%'").select("node", "title", F.explode(incoming_blocks("start")).alias("block")), "incoming-blocks")
+    stored = materialize(dated.select("node", "title", F.explode(stored_blocks("start", F.col("stored_day"))).alias("block")), "stored-blocks")
+    titles = materialize(alike(incoming, stored, TITLE), "alike")
+    place = F.concat_ws("|", F.lit("t"), "block", "r_title").alias("key")
+    looks = incoming.withColumnRenamed("title", "l_title").join(titles.hint("merge"), ["block", "l_title"]).select("node", place)
+    lies = stored.withColumnRenamed("title", "r_title").join(titles.select("block", "r_title").distinct().hint("merge"), ["block", "r_title"]).select("node", place)
+    return keyed.unionAll(looks).unionAll(lies).select(F.col("node").alias("a"), F.concat(F.lit("~"), F.col("key")).alias("b"))
 
 
 def finalize(staged: DataFrame, events: DataFrame, aliases: DataFrame, seen: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The new event and alias tables, and (n, event_id, outcome) of every staged row.
 
-    staged has n (the order of discovery, unique), raw_keys (the keys its source gave) and FIELDS; events FIELDS; aliases
+    Starts of staged rows are put into ISO form first, those that can't be read stay as they are. staged has n (the order of discovery, unique), raw_keys (the keys its source gave) and FIELDS; events FIELDS; aliases
     event_id, canonical_url, url, source_id, first_seen, last_seen. whole: replay everything as one component (for tests).
     """
-    staged, events = materialize(prepared(staged), "staged"), materialize(prepared(events), "stored")
+    staged, events = prepared(staged).withColumn("start", F.coalesce(t.iso_start(F.col("start")), "start")), prepared(events)
+    staged, events = materialize(staged, "staged"), materialize(events, "stored")
     nodes = components(_edges(staged, events, aliases)) if not whole else None
 
     def body(rows: DataFrame, kind: str, node: Column, n: Column) -> DataFrame:

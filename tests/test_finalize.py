@@ -1,23 +1,32 @@
 import random
+import time
 
 import pytest
 
 from listingloom.operators import resolve
+from tests import naive
 
 FIELDS = "n long, id string, url string, signup_url string, title string, host string, start string, venue string, neighborhood string, address string, price string, is_free boolean, description string, source_id string, status string, raw_keys array<string>"
+SEEN = "2026-08-01"
+
+
+def start(rng, day, hour, minute):
+    """One moment in one of the forms that a start may have."""
+    offset = rng.choice(["-04:00", "-04:00", "", "+02:00", "-0400", "Z"])
+    return rng.choice([f"2026-08-{day:02d}T{hour}:{minute:02d}:00", f"2026-08-{day:02d} {hour}:{minute:02d}", f"202608{day:02d}T{hour}{minute:02d}00", f" 2026-08-{day:02d}T{hour}:{minute:02d}:00.5"]) + offset
 
 
 def make(rng, n, staged):
-    titles = ["Night Market", "Night Markets", "Jazz Brunch", "Jazz Brunches!", "Film Club part 2", "Pétanque Night"]
+    titles = ["Night Market", "Night Markets", "Jazz Brunch", "Jazz Brunches!", "Film Club part 2", "Pétanque Night", "Petanque Night", ""]
     rows = []
     for k in range(n):
         place = rng.randrange(4)
-        day, hour, minute = rng.randrange(1, 3), rng.choice([19, 20]), rng.choice([0, 10, 25, 40])
+        day, hour, minute = rng.randrange(1, 3), rng.choice([19, 20, 23]), rng.choice([0, 10, 25, 40])
         rows.append((
             k, f"{'n' if staged else 'e'}{rng.randrange(9) if staged and rng.random() < 0.2 else k}",
             rng.choice(["", "https://www.a.org/calendar", f"https://a.org/event-{rng.randrange(6)}?utm_x=1"]),
             rng.choice(["", "", f"https://t.io/x?id={rng.randrange(5)}"]), rng.choice(titles), rng.choice(["Anna", "Ben", ""]),
-            "" if staged and rng.random() < 0.06 else rng.choice(["bad", ""]) if staged and rng.random() < 0.04 else f"2026-08-0{day}T{hour}:{minute:02d}:00" + rng.choice(["-04:00", "-04:00", "", "+02:00"]),
+            "" if staged and rng.random() < 0.06 else rng.choice(["bad", ""]) if staged and rng.random() < 0.04 else start(rng, day, hour, minute),
             rng.choice(["", f"Hall {place}"]), rng.choice(["", "Harlem"]), rng.choice(["", f"{place}{place} Main Street"]),
             rng.choice(["", "$5"]), rng.choice([None, True, False]), rng.choice(["", "x", "longer text"]), rng.choice(["s1", "s2"]), "active", rng.choice([[], ["is_free", "age_min"]]),
         ))
@@ -29,13 +38,58 @@ def result(tables):
     return tuple(sorted((tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())) for df in (events, aliases, outcomes))
 
 
+def said(events, aliases, outcomes):
+    plain = lambda rows: sorted(tuple(str(r[c]) for c in sorted(r)) for r in rows)
+    return plain(events), plain(aliases), plain([{"n": n, "event_id": e, "outcome": o} for n, e, o in outcomes])
+
+
 @pytest.mark.parametrize("seed", range(2))
-def test_components_give_what_the_whole_replay_gives(spark, seed):
+def test_components_give_what_the_sequential_replay_gives(spark, seed):
     rng = random.Random(seed)
-    staged = spark.createDataFrame(make(rng, 40, True), FIELDS)
-    events = spark.createDataFrame(make(rng, 15, False), FIELDS).drop("n", "raw_keys").selectExpr("*", "'2026-07-01' as first_seen", "'2026-07-01' as last_seen")
+    staged = spark.createDataFrame(make(rng, 70, True), FIELDS).selectExpr("*", f"'{SEEN}' as first_seen", f"'{SEEN}' as last_seen")
+    events = spark.createDataFrame(make(rng, 25, False), FIELDS).drop("n", "raw_keys").selectExpr("*", "'2026-07-01' as first_seen", "'2026-07-01' as last_seen")
     aliases = resolve.prepared(events).where("canon_url is not null").selectExpr("id as event_id", "canon_url as canonical_url", "url", "source_id", "'2026-07-01' as first_seen", "'2026-07-01' as last_seen")
-    staged = staged.selectExpr("*", "'2026-08-01' as first_seen", "'2026-08-01' as last_seen")
-    apart = result(resolve.finalize(staged, events, aliases, "2026-08-01"))
-    assert apart == result(resolve.finalize(staged, events, aliases, "2026-08-01", whole=True))
-    assert len(apart[2]) == 40
+    apart = result(resolve.finalize(staged, events, aliases, SEEN))
+    assert apart == result(resolve.finalize(staged, events, aliases, SEEN, whole=True))
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    wanted = said(*naive.replay(rows(resolve.prepared(staged)), rows(resolve.prepared(events)), rows(aliases), SEEN))
+    assert apart[2] == wanted[2]
+    assert apart[1] == wanted[1]
+    assert apart[0] == wanted[0]
+
+
+def bodies(n, of):
+    blank = {"url": "", "signup_url": "", "canon_url": None, "canon_signup": None, "host": "", "venue": "", "address": "", "neighborhood": "", "price": "", "is_free": None, "capacity_flag": None, "end": None, "status": "active", "age_min": None, "age_max": None, "description": "", "source_id": "s", "first_seen": SEEN, "last_seen": SEEN, "raw_keys": []}
+    return [{**blank, "n": k, "id": f"n{k}", **of(k)} for k in range(n)]
+
+
+WORDS = [a + b + c for a in ("har", "mor", "lin", "sa", "te", "vo", "qui") for b in ("bor", "ning", "den", "lo", "ka", "pi") for c in ("", "s", "rette", "ville")]
+
+
+def words(k):
+    rng = random.Random(k)
+    return " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 6)))
+
+
+CASES = {
+    # one page of a day, many times: rows of one half hour merge
+    "one url": lambda k: {"url": "u", "canon_url": "a.org/event-1", "title": f"show {k}", "start": f"2026-08-01T{k % 24:02d}:{k % 60:02d}:00"},
+    # a page of events that each have a page of their own too
+    "two urls": lambda k: {"url": "u", "canon_url": "a.org/event-1", "signup_url": "v", "canon_signup": f"b.org/event-{k // 2}", "title": words(k // 2), "start": f"2026-08-01T{k % 24:02d}:{k % 60:02d}:00"},
+    "a month": lambda k: {"title": words(k // 3), "venue": f"hall {k % 11}", "start": f"2026-08-{k // 3 % 30 + 1:02d}T{k // 90 % 24:02d}:{k // 9 % 2 * 30:02d}:00"},
+    "one title": lambda k: {"title": "night market", "venue": f"hall {k % 97}", "host": f"host number {k % 89}", "start": f"2026-08-01T19:{k % 60:02d}:00"},
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_large_components_take_less_than_quadratic_time(case):
+    spent = []
+    for n in (400, 50_000):
+        staged = bodies(n, CASES[case])
+        began = time.process_time()
+        store = resolve.Replay([], [], staged)
+        got = [(b["n"], *store.take(b, SEEN)) for b in staged]
+        spent.append(time.process_time() - began)
+        if n == 400:
+            assert got == naive.replay(bodies(n, CASES[case]), [], [], SEEN)[2]
+    assert spent[1] < 60  # all with all would be 2.5 billion comparisons
