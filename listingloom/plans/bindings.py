@@ -103,7 +103,20 @@ SELECT o_orderkey AS n, CASE WHEN o_orderkey % 10 = 0 THEN 'o' || CAST(o_orderke
 FROM {orders}
 """
 
-ALL = {"discoveries": DISCOVERIES, "source_runs": SOURCE_RUNS, "runs": RUNS, "event_store": EVENT_STORE, "catalog": CATALOG, "inbox": INBOX, "sightings": SIGHTINGS, "incoming": INCOMING}
+#: Shows in groups g of four variants v whose likeness is known (see queries_resolve).
+SHOWS = """
+SELECT n, g, v, 'Show ' || md5(CAST(g AS STRING)) || CASE v WHEN 1 THEN ' ab' WHEN 2 THEN ' again tonight' ELSE '' END AS title,
+       CAST(CAST(DATE '2026-01-01' + CAST(g % 300 AS INT) AS DATE) AS STRING) || 'T' || CAST(10 + g % 10 AS STRING) || ':'
+         || lpad(CAST(v * 10 + CASE WHEN v = 3 AND g % 3 = 0 THEN 1 ELSE 0 END AS STRING), 2, '0') || ':00' || CASE WHEN g % 2 = 0 THEN '-04:00' ELSE '' END AS start,
+       'Host ' || CAST(g % 7 AS STRING) AS host, '' AS neighborhood,
+       CASE WHEN v = 3 AND g % 2 = 1 THEN 'Room ' || md5('w' || CAST(g AS STRING)) ELSE 'Hall ' || md5('v' || CAST(g AS STRING)) END AS venue,
+       CASE WHEN v = 3 AND g % 5 = 0 THEN '' WHEN v = 3 AND g % 2 = 1 THEN md5('b' || CAST(g AS STRING)) ELSE md5('a' || CAST(g AS STRING)) END AS address,
+       CASE WHEN v IN (0, 3) AND g % 4 = 1 THEN 'https://www.shows.example.com/show-' || CAST(g AS STRING) || '/?utm_source=x' ELSE '' END AS url,
+       '' AS signup_url, 'shows' AS source_id
+FROM (SELECT o_orderkey AS n, CAST(floor(o_orderkey / 4) AS BIGINT) AS g, o_orderkey % 4 AS v FROM {orders}) o
+"""
+
+ALL = {"shows": SHOWS, "discoveries": DISCOVERIES, "source_runs": SOURCE_RUNS, "runs": RUNS, "event_store": EVENT_STORE, "catalog": CATALOG, "inbox": INBOX, "sightings": SIGHTINGS, "incoming": INCOMING}
 
 
 def bound(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -276,8 +276,8 @@ QUERIES = {
         SELECT id AS source_id, 'missing' AS problem FROM catalog WHERE id NOT IN (FROM x) UNION ALL SELECT source_id, 'extra' FROM x WHERE source_id NOT IN (SELECT id FROM catalog)""",
     ),
     "set3_duplicate_ids": (
-        lambda s, d: c.duplicate_ids(bound(s, d, "sightings"), "event_id"),
-        f"{cte('sightings')} SELECT event_id, count(*) AS n FROM sightings GROUP BY 1 HAVING count(*) > 1",
+        lambda s, d: c.duplicate_ids(bound(s, d, "discoveries"), "event_id"),
+        f"{cte('discoveries')} SELECT event_id, count(*) AS n FROM discoveries GROUP BY 1 HAVING count(*) > 1",
     ),
     "set4_ordered_distinct": (
         lambda s, d: c.ordered_distinct(bound(s, d, "discoveries"), "event_id", "discovery_id"),
