@@ -1,5 +1,7 @@
 import re
+from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from listingloom.llm import html_text
@@ -33,6 +35,52 @@ def test_pages_give_their_article(spark, sf001, model):
     assert same >= 0.98 * len(rows)
 
 
+class Article(HTMLParser):
+    """What lies in a page's article, by the library's own reader of HTML."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.texts = False, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.texts.append(data)
+
+
+CONTAINERS = ["<article>", "<div>", '<div class="post">', "<section>", "<main>", '<div class="entry-content">', "", '<div class="row"><div class="col-md-8">', "<div><div><div>", '<div class="zxq">', '<div id="page">', "<table><tr><td>"]
+
+
+@pytest.mark.parametrize("container", CONTAINERS)
+def test_articles_are_found_whatever_they_stand_in(sf001, model, container):
+    rows = duckdb.sql(f"SELECT html FROM '{sf001}/pages.parquet'").fetchall()
+    own, equal = html_text.Extractor(model), 0
+    for (page,) in rows:
+        wanted = " ".join(" ".join(Article(page).texts).split())
+        closing = "".join(f"</{t}>" for t in reversed(re.findall("<([a-z]+)", container)))
+        got = own.main_text(page.replace("<article>", container).replace("</article>", closing))
+        equal += got == wanted
+        assert got or not wanted
+    assert equal >= 0.96 * len(rows)
+
+
+def test_small_pages(model):
+    own = html_text.Extractor(model)
+    page = "<nav><a href=/>Home</a> <a href=/a>About</a></nav>{}<h1>The title</h1><p>First paragraph of some text, with words.</p><p>Second one follows here. It has two sentences.</p><p>Third one, the last of them.</p>{}<footer>Copyright 2020</footer>"
+    for container in ("", "<div>", '<div class="post">', '<div class="row"><div class="col">'):
+        closing = "".join(f"</{t}>" for t in reversed(re.findall("<([a-z]+)", container)))
+        assert own.main_text(page.format(container, closing)) == "The title First paragraph of some text, with words. Second one follows here. It has two sentences. Third one, the last of them."
+    assert own.main_text("<p>Hello world this is a page.</p>") == "Hello world this is a page."
+    assert own.main_text("plain text only") == "plain text only"
+
+
 def test_viterbi_finds_the_best_labelling():
     import itertools
     import random
