@@ -84,9 +84,9 @@ QUERIES = {
         FROM days LEFT JOIN e ON e.date = CAST(d AS STRING) GROUP BY d""",
     ),
     "view6_filter_sources": (
-        lambda s, d: v.filter_sources(v.catalog_with_health(_sources(s, d), _health(s, d)), "an", "issues").select("id", "title", "state"),
+        lambda s, d: v.filter_sources(v.catalog_with_health(_sources(s, d), _health(s, d)), "supp", "issues").select("id", "title", "state"),
         f"""{_SOURCES}, {_HEALTH.removeprefix('WITH ')} SELECT id, title, state FROM sources LEFT JOIN health ON source_id = id
-        WHERE state IN {_PROBLEMS} AND lower(concat_ws(' ', id, title, url, geo, profile)) LIKE '%an%'""",
+        WHERE state IN {_PROBLEMS} AND lower(concat_ws(' ', id, title, url, geo, profile)) LIKE '%supp%'""",
     ),
     "view10_dashboard_counts": (
         lambda s, d: v.dashboard_counts(_store(s, d), bound(s, d, "runs"), bound(s, d, "catalog"), bound(s, d, "inbox"), AS_OF),
