@@ -1,15 +1,16 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and blocks of a few words.
 
-A section ends with a blank line, a paragraph with a line feed, a block where a hash of four neighbouring characters says so:
-block ends depend on the text around them alone, so an edit changes the blocks that it touches and no others. Joined, the
-blocks are the text again, so equal roots mean equal texts. The fingerprint is the tree written out: the root, then each
-section with its paragraphs and their blocks. Two fingerprints are compared from the root down: branches that both have are
-counted whole and not entered, differing ones name the paragraphs that were edited, and the share of equal blocks is the
-likeness.
+A section ends with a blank line, a paragraph with a line feed, a block where a hash of four neighbouring characters says so,
+or after 64 characters without such a place: block ends depend on the text around them, so an edit changes the blocks that it
+touches and at most those up to the next such place. Joined, the blocks are the text again, so equal roots mean equal texts.
+The fingerprint is the tree written out: the root, then each section with its paragraphs and their blocks. Two fingerprints
+are compared from the root down: branches that both have in the same order are counted whole and not entered, what lies
+between two of them is entered on both sides, and the share of paragraphs and blocks in common is the likeness.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Characters of a block, on average.
-BLOCK = 32
+#: Characters of a block, on average and at most.
+BLOCK, MOST = 32, 64
 #: Hex digits written for a section, a paragraph and a block; the root has 32.
 NODE, LEAF = 8, 6
 
@@ -67,6 +68,8 @@ def tree(text: str | None, known: dict[str, tuple[str, list[str]]] | None = None
             at += 1
         if line not in known:
             edges = [start, *cuts[first:at], end]
+            if len(line) > MOST:
+                edges = [k for i, j in zip(edges[:-1], edges[1:], strict=True) for k in range(i, j, MOST)] + [end]
             blocks = [_digest("b" + text[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)] if line else []
             known[line] = (_digest("p" + "".join(blocks)), blocks)
         own.append(known[line])
@@ -93,39 +96,65 @@ def read(fingerprint: str) -> Tree:
     return root, out
 
 
-def _split(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """Branches of both lists by their digests as written: those that both have, the rest of a, the rest of b."""
-    there = Counter(x[0][:NODE] for x in b)
-    same, left = [], []
-    for x in a:
-        if there[x[0][:NODE]] > 0:
-            there[x[0][:NODE]] -= 1
-            same.append(x)
-        else:
-            left.append(x)
-    right = []
-    for x in reversed(b):
-        if there[x[0][:NODE]] > 0:
-            there[x[0][:NODE]] -= 1
-            right.append(x)
-    return same, left, right[::-1]
+def _in_order(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal entries of both lists, rising in both: equal ends, and between them the longest rising run of those
+    that stand at the same place among their equals."""
+    n = min(len(a), len(b))
+    low = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - low) if a[-1 - k] != b[-1 - k]), n - low)
+    there: dict[str, list[int]] = {}
+    for j in range(len(b) - tail - 1, low - 1, -1):
+        there.setdefault(b[j], []).append(j)
+    met = [(i, there[a[i]].pop()) for i in range(low, len(a) - tail) if there.get(a[i])]
+    ends: list[int] = []  # of the best runs of each length, their last places in b
+    at: list[int] = []
+    before = [-1] * len(met)
+    for k, (_, j) in enumerate(met):
+        size = bisect.bisect_left(ends, j)
+        before[k] = at[size - 1] if size else -1
+        ends[size : size + 1], at[size : size + 1] = [j], [k]
+    middle, k = [], at[-1] if at else -1
+    while k >= 0:
+        middle.append(met[k])
+        k = before[k]
+    return [(k, k) for k in range(low)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def _size(branch) -> int:
+    """Paragraphs and blocks of a section, a paragraph or a block."""
+    if isinstance(branch, str):
+        return 1
+    digest, own = branch
+    return len(own) + 1 if not own or isinstance(own[0], str) else sum(len(blocks) + 1 for _, blocks in own)
+
+
+def _common(a: list, b: list) -> int:
+    """Paragraphs and blocks that two lists of sections, of paragraphs or of blocks have in common in the same order."""
+    if not a or not b:
+        return 0
+    leaf = isinstance(a[0], str)
+    names = [[x[:LEAF] if leaf else x[0][:NODE] for x in own] for own in (a, b)]
+    met = _in_order(*names)
+    if leaf:
+        return len(met)
+    total, i, j = 0, 0, 0
+    for x, y in [*met, (len(a), len(b))]:
+        if i < x and j < y:
+            total += _common([c for _, own in a[i:x] for c in own], [c for _, own in b[j:y] for c in own])
+        total += _size(a[x]) if x < len(a) else 0
+        i, j = x + 1, y + 1
+    return total
 
 
 def likeness(a: Tree, b: Tree) -> float:
-    """1 for equal roots, else twice the blocks in common over all blocks (0 when neither has any).
+    """1 for equal roots, else twice the paragraphs and blocks in common, in order, over all of them (0 when there are none).
 
-    Sections that both trees have are common whole; of the others' paragraphs those that both have; blocks are compared only
-    within the paragraphs left over.
+    Below 1 for texts that differ: their paragraphs do.
     """
     if a[0] == b[0]:
         return 1.0
-    same, left, right = _split(a[1], b[1])
-    common = sum(len(leaves) for _, own in same for _, leaves in own)
-    same, ours, theirs = _split([p for _, own in left for p in own], [p for _, own in right for p in own])
-    common += sum(len(leaves) for _, leaves in same)
-    x, y = (Counter(leaf[:LEAF] for _, leaves in own for leaf in leaves) for own in (ours, theirs))
-    total = 2 * common + x.total() + y.total()
-    return 2 * (common + sum(min(n, y[k]) for k, n in x.items() if k in y)) / total if total else 0.0
+    total = sum(_size(s) for own in (a[1], b[1]) for s in own)
+    return 2 * _common(a[1], b[1]) / total if total else 0.0
 
 
 def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:

@@ -56,20 +56,82 @@ def test_trees_locate_edits_and_read_back():
     assert 0.9 < fingerprints.likeness(a, b) == fingerprints.likeness(ra, rb) < 1
 
 
-def leaves(found):
-    return Counter(b[: fingerprints.LEAF] for _, own in found[1] for _, blocks in own for b in blocks)
-
-
-def test_likeness_equals_the_share_of_all_blocks(spark, sf001):
-    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
-    got = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprints.fingerprint(docs).collect()}
-    for k, (doc_id, text) in enumerate(rows):
+def digest(data):
+    return hashlib.blake2b(data.encode(), digest_size=16).hexdigest()
+
+
+def anew(text):
+    """The tree character by character."""
+    sections, own = [], []
+    for line in text.split("\n"):
+        blocks, block = [], ""
+        for k, c in enumerate(line):
+            block += c
+            h = 0
+            for x in line[k - 1 : k + 3] if k else "":
+                h = (h ^ ord(x)) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            # A block ends behind the second of four characters whose hash says so, or at 64 characters.
+            if 0 < k < len(line) - 2 and h % 32 == 0 or len(block) == 64 or k + 1 == len(line):
+                blocks.append(block)
+                block = ""
+        own.append((digest("p" + "".join(map(digest, ["b" + x for x in blocks]))), [digest("b" + x) for x in blocks]))
+        if not line.strip():
+            sections.append(own)
+            own = []
+    sections += [own] if own else []
+    sections = [(digest("s" + "".join(p for p, _ in own)), own) for own in sections]
+    return digest("d" + "".join(s for s, _ in sections)), sections
+
+
+def parts(found):
+    """Paragraphs and blocks in the order of the text."""
+    return [x for _, own in found[1] for p, blocks in own for x in (*blocks, p)]
+
+
+def longest(a, b):
+    """The length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+REPETITIVE = ["word " * 400, "ha" * 5000, "=-" * 3000, "I am sorry. " * 500, "0" * 10_000]
+
+
+def test_trees_equal_ones_made_character_by_character(spark, sf001):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf001}/documents.parquet").limit(300).collect()]
+    for text in [*texts, *REPETITIVE, "", "\n\n", "a\n \nb\n", "x" * 64, "x" * 65 + "\n" + "y" * 128]:
+        assert fingerprints.tree(text) == anew(text)
+
+
+def test_likeness_lies_under_the_longest_common_subsequence_and_near_it(spark, sf001):
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    loss = []
+    for k, (doc_id, text) in enumerate(rows[:150]):
         following = rows[(k + 1) % len(rows)][1]
-        own = fingerprints.tree(text)
         for near, other in zip(got[doc_id], (fingerprints.edited(text, following), following), strict=True):
-            x, y = leaves(own), leaves(fingerprints.tree(other))
-            assert near == (1.0 if text == other else 2 * (x & y).total() / (x.total() + y.total()) if x or y else 0.0)
+            x, y = parts(anew(text)), parts(anew(other))
+            if len(x) * len(y) < 200_000:
+                most = 2 * longest(x, y) / (len(x) + len(y))
+                assert near <= most + 1e-12
+                loss.append(most - near)
+            assert (near == 1.0) == (text == other)
+    assert len(loss) > 150 and sum(loss) / len(loss) < 0.01
+
+
+def test_repetitive_texts_and_order():
+    like = lambda a, b: fingerprints.likeness(fingerprints.tree(a), fingerprints.tree(b))
+    for text in REPETITIVE:
+        assert 0.9 < like(text, text + "!") < 1
+    assert like("a\nb\nc\nd", "d\nc\nb\na") < 0.6
+    assert like("one\ntwo\n\nthree\nfour", "three\nfour\n\none\ntwo") < 0.8
+    assert like("ab\n", "ab") < 1 and like("", "\n") < 1 and like("a", "b") == 0.0
 
 
 def test_block_ends_depend_on_the_text_around_them():
