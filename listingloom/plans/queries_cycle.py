@@ -133,6 +133,16 @@ def _swapped(s, d):
     return store.read_store(s, root)[1]["events"]
 
 
+def _updated(s, d):
+    """A store in buckets whose second version has the cancelled events changed and the postponed ones left out."""
+    root = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    rows = bound(s, d, "event_store").select("id", "title", "status")
+    first = store.write_store({"events": rows}, root, keys={"events": ["id"]})
+    held = store.read_store(s, root)[1]["events"]
+    store.update_store({"events": held.where("status = 'cancelled'").withColumn("status", F.lit("active"))}, root, first, gone={"events": held.where("status = 'postponed'")})
+    return store.read_store(s, root)[1]["events"]
+
+
 def _exported(s, d):
     path = f"{shared_dir(s)}/export-{uuid.uuid4().hex}"
     rows = bound(s, d, "event_store").select("id", "title", "rank", "is_free", "price")
@@ -197,6 +207,10 @@ QUERIES = {
         _swapped,
         f"{cte('event_store')} SELECT id, title, CASE WHEN status = 'cancelled' THEN 'active' ELSE status END AS status FROM event_store",
     ),
+    "snk2_update_store": (
+        _updated,
+        f"{cte('event_store')} SELECT id, title, CASE WHEN status = 'cancelled' THEN 'active' ELSE status END AS status FROM event_store WHERE status <> 'postponed'",
+    ),
     "snk3_export_json": (_exported, f"{cte('event_store')} SELECT id, title, rank, is_free, price FROM event_store"),
     "scl17_datetime_from_slug": (
         lambda s, d: _parts(s, d, e.datetime_from_slug(F.concat(F.lit("https://v.org/show-"), F.col("p_partkey") % 12 + 1, F.lit("-"), F.col("p_partkey") % 30 + 1, F.lit("-26-"), F.col("p_partkey") % 11 + 1, F.lit("05-"), _pick("a", "p"), F.lit("m"), _pick("", "/", "?x"))).alias("at")),

@@ -33,7 +33,7 @@ _FAMILIES = {
     "city": (
         f"named_struct('_id', 'c' || p_partkey, 'title', p_name, 'startTime', {_START}, 'locationString', p_type || ', ' || p_brand, 'city', named_struct('_id', if(p_size % 9 = 0, 'other', 'nyc')), 'cancelled', p_size % 8 = 0, 'hosts', array(named_struct('firstName', 'Al', 'lastName', 'Bo')), 'rsvpCounts', named_struct('confirmed', p_size, 'maybe', 0, 'waitlist', 1))",
         "named_struct('city', named_struct('_id', 'nyc', 'events', items), 'total', total, 'page', page_no)",
-        f"'c' || CAST(p_partkey AS STRING) AS event_id, p_name AS title, {_START} AS start, p_type AS venue, CAST(NULL AS BOOLEAN) AS is_free, CAST(p_size AS STRING) || ' confirmed; 0 maybe; 1 waitlist' AS capacity_flag, CASE WHEN p_size % 8 = 0 THEN 'cancelled_or_deleted' WHEN p_size % 9 = 0 THEN 'outside_configured_city' END AS reason",
+        f"'c' || CAST(p_partkey AS STRING) AS event_id, p_name AS title, {_START} AS start, p_type AS venue, true AS is_free, CAST(p_size AS STRING) || ' confirmed; 0 maybe; 1 waitlist' AS capacity_flag, CASE WHEN p_size % 9 = 0 THEN 'outside_configured_city' WHEN p_size % 8 = 0 THEN 'cancelled_or_deleted' END AS reason",
     ),
     "posts": (
         f"named_struct('id', 'x', 'content', p_name || '\\nmore', 'entity', named_struct('id', 'p' || p_partkey, 'type', if(p_size % 10 = 0, 'NOTE', 'EVENT'), 'startTime', {_START}, 'address', p_type), 'links', array(named_struct('link', 'mailto:x'), named_struct('link', 'https://l.example.com/' || p_partkey)))",
@@ -56,10 +56,14 @@ _RAW = ["source_id", "page_no", "event_id", "title", "start", "venue", "is_free"
 
 def payloads(spark, folder, family):
     """Pages of a feed, up to 40 entries each, made from part."""
-    entry, body, _ = _FAMILIES[family]
+    return feed_pages(spark, folder, *_FAMILIES[family][:2])
+
+
+def feed_pages(spark, folder, entry, body):
+    """Pages of entries (a struct in SQL) in bodies around `items`; a text @@x@@ stands for the bare JSON x."""
     part = spark.read.parquet(f"{folder}/part.parquet")
     rows = part.selectExpr(*(f"{c}" for c in _KEY.split(", CAST")[:1]), "CAST(floor(p_partkey / 40) AS BIGINT) AS page_no", "p_partkey", f"{entry} AS e")
-    pages = rows.groupBy("source_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json("e").alias("e")))), lambda r: r["e"]).alias("texts"))
+    pages = rows.groupBy("source_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.regexp_replace(F.to_json("e"), '"@@(.*?)@@"', "$1").alias("e")))), lambda r: r["e"]).alias("texts"))
     total = rows.groupBy("source_id").agg(F.count("*").alias("total"))
     text = F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]"))
     shell = pages.join(total, "source_id").withColumn("items", F.lit("@items@")).withColumn("shell", F.to_json(F.expr(body)))
@@ -92,6 +96,13 @@ def ld_pages(spark, folder):
     return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
+def _made_pages(s, d):
+    """Pages whose text and links are known: scripts, comments, quoted '>', references, an anchor without href, one left open."""
+    html = F.expr("""concat('<!DOCTYPE html><title>', p_name, '</title><script>if (a < b) "</p>" </script><style>p > a {}</style><!-- <p>no</p> --><div title="x > y">&Eacute; &amp;\n ', p_brand,
+     '</div><a name=top></a><A class=b HREF="/p?a=1&amp;b=', p_partkey, '">go  to<b>', p_type, '</b></A><a href="/open">', if(p_size % 3 = 0, '5 < 6', ''))""")
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
 def _events(s, d):
     return x.jsonld_events(x.typed_nodes(x.page_jsonld(ld_pages(s, d)), "Event"), F.lit("parts"))
 
@@ -144,6 +155,14 @@ QUERIES = {f"ext_feed_{family}": _feed(family) for family in _FAMILIES} | {
         lambda s, d: x.page_contents(s.read.parquet(f"{d}/pages.parquet")).select("page_id", "text", F.size("links").alias("links")),
         None,
     ),
+    "ext3_made_page_text": (
+        lambda s, d: x.page_contents(_made_pages(s, d)).select("page_id", "text"),
+        "SELECT p_partkey AS page_id, p_name || chr(10) || 'É & ' || p_brand || chr(10) || 'go to' || chr(10) || p_type || CASE WHEN p_size % 3 = 0 THEN chr(10) || '5' || chr(10) || '<' || chr(10) || '6' ELSE '' END AS text FROM part",
+    ),
+    "ext4_made_page_links": (
+        lambda s, d: x.page_contents(_made_pages(s, d)).select("page_id", F.posexplode("links").alias("pos", "link")).select("page_id", "pos", "link.href", "link.text"),
+        "SELECT p_partkey AS page_id, CAST(0 AS INT) AS pos, '/p?a=1&b=' || CAST(p_partkey AS STRING) AS href, 'go to ' || p_type AS text FROM part",
+    ),
     "ext4_page_links": (
         lambda s, d: x.page_contents(s.read.parquet(f"{d}/pages.parquet")).select("page_id", F.size("links").cast("long").alias("links")),
         "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=\"[^\"]+\"[^>]*>[^<]*</a>')) AS BIGINT) AS links FROM pages",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,43 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from listingloom.functions import text as t
 from listingloom.functions.events import to_local_iso
 from listingloom.operators.accounting import count_if
+from listingloom.sources.markup import read_page
+from listingloom.sources.raw_events import evidence_hash, strip
 
 # --- Pages ------------------------------------------------------------------------------------------------------------
 
 
-class _Reader(HTMLParser):
-    """Visible text by node, and anchors that are closed."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.links: list[tuple[str, str]] = []
-        self.hidden = 0
-        self.open: tuple[str, list[str]] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.hidden += 1
-        elif tag == "a":
-            href = dict(attrs).get("href")
-            self.open = (href, []) if href else None
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "a" and self.open is not None:
-            self.links.append((self.open[0], " ".join(" ".join(self.open[1]).split())))
-            self.open = None
-
-    def handle_data(self, data):
-        if self.hidden:
-            return
-        if text := " ".join(data.split()):
-            self.texts.append(text)
-        if self.open is not None:
-            self.open[1].append(data)
-
-
 def page_contents(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, text (visible nodes, one a line), links (href and text of each closed anchor)."""
     link = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))
@@ -58,11 +26,9 @@ def page_contents(pages: DataFrame, key: str = "page_id") -> DataFrame:
         for batch in batches:
             texts, links = [], []
             for html in batch.column(1).to_pylist():
-                reader = _Reader()
-                reader.feed(html or "")
-                reader.close()
-                texts.append("\n".join(reader.texts))
-                links.append([{"href": h, "text": x} for h, x in reader.links])
+                nodes, anchors = read_page(html)
+                texts.append("\n".join(nodes))
+                links.append([{"href": h, "text": x} for h, x in anchors])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(links, link)], [key, "text", "links"])
 
     rows = pages.select(F.col(key).cast("long").alias(key), F.col("html").cast("string").alias("html"))
@@ -216,8 +182,8 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
         {
             "event_id": "e._id", "title": "e.title", "start": "e.startTime", "end": "cast(null as string)", "url": "''",
             "host": "array_join(transform(e.hosts, h -> trim(concat_ws(' ', h.firstName, h.lastName))), ', ')", "venue": "split_part(e.locationString, ',', 1)", "address": "e.locationString",
-            "price": "''", "is_free": "cast(null as boolean)", "capacity_flag": "case when e.rsvpCounts is not null then concat_ws('; ', concat(e.rsvpCounts.confirmed, ' confirmed'), concat(e.rsvpCounts.maybe, ' maybe'), concat(e.rsvpCounts.waitlist, ' waitlist')) end",
-            "reason": "case when coalesce(e.cancelled, false) or coalesce(e.deleted, false) then 'cancelled_or_deleted' when not (e.city._id <=> get_json_object(body, '$.city._id')) then 'outside_configured_city' end",
+            "price": "'Free'", "is_free": "true", "capacity_flag": "case when e.rsvpCounts is not null then concat_ws('; ', concat(e.rsvpCounts.confirmed, ' confirmed'), concat(e.rsvpCounts.maybe, ' maybe'), concat(e.rsvpCounts.waitlist, ' waitlist')) end",
+            "reason": "case when not (e.city._id <=> get_json_object(body, '$.city._id')) then 'outside_configured_city' when coalesce(e.cancelled, false) or coalesce(e.deleted, false) then 'cancelled_or_deleted' end",
         },
     ),
     "posts": (
@@ -229,7 +195,6 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
             "url": "coalesce(case when e.entity.url rlike '^https?://[^/]+' then e.entity.url end, get(filter(transform(e.links, l -> l.link), l -> l rlike '^https?://[^/]+'), 0), '')",
             "host": "''", "venue": "''", "address": "e.entity.address", "price": "''", "is_free": "cast(null as boolean)", "capacity_flag": "cast(null as string)",
             "reason": "case when e.entity.type <> 'EVENT' then 'not_an_event' when try_to_timestamp(e.entity.endTime) < try_to_timestamp(e.entity.startTime) then 'end_before_start' end",
-            "content_hash": "sha2(to_json(named_struct('address', coalesce(e.entity.address, ''), 'content', coalesce(e.content, ''), 'end_time', coalesce(e.entity.endTime, ''), 'entity_id', coalesce(e.entity.id, ''), 'entity_type', coalesce(e.entity.type, ''), 'entity_url', coalesce(e.entity.url, ''), 'link_title', coalesce(get(e.links, 0).title, ''), 'link_url', coalesce(get(e.links, 0).link, ''), 'post_id', coalesce(e.id, ''), 'start_time', coalesce(e.entity.startTime, ''))), 256)",
         },
     ),
     "sessions": (
@@ -256,12 +221,14 @@ FEEDS: dict[str, tuple[str, str, dict[str, str]]] = {
 }
 
 
-def feed_events(payloads: DataFrame, family: str, zone: str | None = None, host_id: int | None = None, subtype: str | None = None) -> DataFrame:
+def feed_events(payloads: DataFrame, family: str, zone: str | None = None, host_id: int | None = None, subtype: str | None = None, event_page: str = "") -> DataFrame:
     """Raw rows of a provider family's payloads (source_id, page_no, body), in place order (page_no, pos).
 
     With a zone, starts and ends are given as ISO text with the zone's offset (a date with a 12-hour clock included); what
     can't be read stays as the provider wrote it. Without one all stay so. Sessions of another host than host_id are
     event_parse_failed; of the search family, entries that are no events, or lack the subtype where one is asked for, are left out.
+    Events of a city have their page under event_page, where that is given. `raw_events` gives the contract's fields, all of
+    them checked.
     """
     where, schema, fields = FEEDS[family]
     entries = F.from_json(F.get_json_object("body", f"$.{where}"), f"array<struct<{_ddl(schema)}>>")
@@ -270,6 +237,12 @@ def feed_events(payloads: DataFrame, family: str, zone: str | None = None, host_
         rows = rows.where(F.col("e.type") == "event")
         rows = rows if subtype is None else rows.where(F.array_contains("e.subtype", subtype))
     made = {name: F.expr(sql) for name, sql in fields.items()}
+    if family == "city" and event_page:
+        made["url"] = F.concat(F.lit(event_page), F.col("e._id"))
+    if family == "posts":
+        said = {"post_id": "e.id", "content": "e.content", "entity_id": "e.entity.id", "entity_type": "e.entity.type", "entity_url": "e.entity.url", "start_time": "e.entity.startTime", "end_time": "e.entity.endTime", "address": "e.entity.address", "link_url": "get(e.links, 0).link", "link_title": "get(e.links, 0).title"}
+        evidence = {k: strip(F.coalesce(F.expr(path), F.lit(""))) for k, path in said.items()}
+        made["content_hash"] = evidence_hash({**evidence, "content": t.redact_contacts(evidence["content"])})
     if family == "sessions" and host_id is not None:
         made["reason"] = F.when(~F.col("e.hostId").eqNullSafe(host_id), "event_parse_failed").otherwise(made["reason"])
     rows = rows.select("source_id", "page_no", "pos", *(c.alias(name) for name, c in made.items()))
