@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingloom.operators.contract import check_raw_events
-from listingloom.plans.queries_extract import _CENTS, _START, feed_pages
-from listingloom.sources.raw_events import Config, contract_json, raw_events
+from listingloom.plans.queries_extract import _CENTS, _START, feed_pages, ld_pages
+from listingloom.sources import extract as x
+from listingloom.sources.raw_events import Config, contract_json, jsonld_raw_events, raw_events
 
 _SHOWN = ("source_id", "source_event_id", "title", "start", "url", "signup_url", "host", "venue", "address", "price", "is_free", "description", "capacity_flag", "status", "reason")
 _BASE = "https://feeds.example.com/api/list"
@@ -99,4 +100,20 @@ def _query(family):
     return (lambda s, d: _checked(s, d, family)), sql
 
 
-QUERIES = {f"ext_contract_{family}": _query(family) for family in _FEEDS}
+def _of_pages(s, d):
+    """Event nodes of pages, checked against the contract."""
+    nodes = x.typed_nodes(x.page_jsonld(ld_pages(s, d)), "Event")
+    told = {"source_id": F.lit("pages"), "source_listing_url": F.lit(_BASE), "source_url": F.concat(F.lit("https://parts.example.com/list/"), "page_id"), "fetched_at": F.lit("2026-08-01T06:00:00+00:00"), "content_hash": F.sha2("node", 256)}
+    found = jsonld_raw_events(nodes.withColumns(told), Config("America/New_York", "pages-1"), "page_id")
+    found = check_raw_events(found.withColumn("raw", F.when(F.col("reason").isNull(), contract_json())))
+    return found.select("page_id", *_SHOWN[1:], F.when(F.col("reason").isNull(), F.size("problems")).alias("problems"))
+
+
+QUERIES = {
+    "ext_contract_jsonld": (
+        _of_pages,
+        f"""SELECT p_partkey AS page_id, 'https://parts.example.com/e/' || {_ID} AS source_event_id, CASE WHEN p_size % 10 = 0 THEN '' ELSE p_name END AS title, {_START} AS start, 'https://parts.example.com/e/' || {_ID} AS url,
+        'https://t.example.com/' || {_ID} AS signup_url, p_brand AS host, p_type AS venue, {_ID} || ' Street, New York 10001' AS address, '$12.50' AS price, false AS is_free, '' AS description, CAST(NULL AS VARCHAR) AS capacity_flag,
+        CASE WHEN p_size % 7 = 0 THEN 'cancelled' ELSE 'active' END AS status, CASE WHEN p_size % 10 = 0 THEN 'missing_title' END AS reason, CASE WHEN p_size % 10 <> 0 THEN 0 END AS problems FROM part""",
+    ),
+} | {f"ext_contract_{family}": _query(family) for family in _FEEDS}

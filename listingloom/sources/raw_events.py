@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -274,30 +275,68 @@ def raw_events(payloads: DataFrame, family: str, config: Config) -> DataFrame:
         rows = rows.where(F.col("_none") | keep)
     else:
         rows = rows.where(F.col("_none") | F.col("pos").isNotNull())
-    plain = {"neighborhood": F.lit(""), "venue": F.lit(""), "address": F.lit(""), "price": F.lit(""), "description": F.lit(""), "capacity_flag": F.lit(None).cast("string"), "status": F.lit("active"), "content_hash": F.col("_hash"), "extracted_json": F.to_json("e"), "parser_version": F.lit(config.parser_version)}
     early = F.when(F.col("_none"), "payload_parse_failed").when(~F.coalesce(F.schema_of_variant("e"), F.lit("VOID")).startswith("OBJECT"), "invalid_event" if family == "city" else FAILED)
     for condition, reason in first:
         early = early.when(F.coalesce(condition, F.lit(True)), reason)
-    bad = F.lit(False)
-    for condition in e.bad:
-        bad = bad | F.coalesce(condition, F.lit(True))
+    out = _checked(rows, ["page_no", "pos"], fields, early, e.bad, config, aware=family == "posts")
+    if family == "sessions":
+        out = out.withColumn("reason", F.coalesce("reason", F.when(F.col("status") == "cancelled", "cancelled")))
+    return out
+
+
+def _checked(rows: DataFrame, keys: list[str], fields: dict[str, Column], early: Column, faults: list[Column], config: Config, aware: bool = False) -> DataFrame:
+    """keys, the contract's fields and reason of entries e: what a family doesn't say gets its default, times become local, and
+    what is missing, can't be read or is of a wrong kind fails. aware: times must say their offset, an end lie behind its start."""
+    plain = {"neighborhood": F.lit(""), "venue": F.lit(""), "address": F.lit(""), "price": F.lit(""), "description": F.lit(""), "capacity_flag": F.lit(None).cast("string"), "status": F.lit("active"), "content_hash": F.col("_hash"), "extracted_json": F.to_json("e"), "parser_version": F.lit(config.parser_version)}
+    bad = reduce(lambda a, b: a | F.coalesce(b, F.lit(True)), faults, F.lit(False))
     made = {**plain, **fields}
     made.setdefault("signup_url", made["url"])
-    rows = rows.select("source_id", "page_no", "pos", "source_listing_url", "source_url", "fetched_at", *(c.alias(k) for k, c in made.items()), early.alias("_early"), bad.alias("_bad"))
+    rows = rows.select(*keys, "source_id", "source_listing_url", "source_url", "fetched_at", *(c.alias(k) for k, c in made.items()), early.alias("_early"), bad.alias("_bad"))
     rows = rows.withColumns({"_start": F.col("start"), "_end": F.col("end")})
     for name in ("start", "end"):
         rows = _localized(rows, name, config.zone)
-    missing = [F.coalesce(F.col(k), F.lit("")) == "" for k in ("source_event_id", "title", "start", "url", "status")]
-    for m in missing:
-        bad = m if m is missing[0] else bad | m
+    missing = reduce(lambda a, b: a | b, (F.coalesce(F.col(k), F.lit("")) == "" for k in ("source_event_id", "title", "start", "url", "status")))
     unread = (F.coalesce("_end", F.lit("")) != "") & F.col("end").isNull()
     naive = F.lit(False)
-    if family == "posts":  # its times must say their offset, and an end lies behind its start
+    if aware:
         naive = ~t.has_offset(t.iso_start(F.col("_start"))) | ((F.col("_end") != "") & ~t.has_offset(t.iso_start(F.col("_end")))) | (t.instant(F.col("end")) < t.instant(F.col("start")))
-    reason = F.coalesce(F.col("_early"), F.when(F.col("_bad") | bad | unread | F.coalesce(naive, F.lit(False)), FAILED))
-    if family == "sessions":
-        reason = F.coalesce(reason, F.when(F.col("status") == "cancelled", "cancelled"))
-    return rows.select("page_no", "pos", *FIELDS, reason.alias("reason"))
+    reason = F.coalesce(F.col("_early"), F.when(F.col("_bad") | missing | unread | F.coalesce(naive, F.lit(False)), FAILED))
+    return rows.select(*keys, *FIELDS, reason.alias("reason"))
+
+
+def jsonld_raw_events(nodes: DataFrame, config: Config, *keys: str) -> DataFrame:
+    """keys, the contract's fields and reason, for each Event node of a page.
+
+    nodes has node (JSON), the keys, source_id, source_listing_url, source_url, fetched_at, and content_hash of the page. A
+    node without a name gives missing_title, one without a start missing_start, one that can't be read event_parse_failed.
+    Offers may be one object or a list; an address text or object; the smallest price counts, sold out are events whose offers
+    all are.
+    """
+    e = Entry()
+    none = F.array().cast("array<variant>")
+    of = lambda x, k: F.try_variant_get(x, f"$.{k}", "string")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    offers = F.when(e.kind("offers") == "OBJECT", F.array(e.raw("offers", "variant"))).otherwise(F.filter(F.coalesce(e.raw("offers", "array<variant>"), none), lambda x: kind(x).startswith("OBJECT")))
+    amount = lambda x, k: F.when(kind(F.try_variant_get(x, f"$.{k}", "variant")) != "BOOLEAN", of(x, k).try_cast("double"))
+    price = F.array_min(F.transform(F.col("_offers"), lambda x: F.when(of(x, "price").isNotNull(), amount(x, "price")).otherwise(amount(x, "lowPrice"))))
+    stock = F.filter(F.transform(F.col("_offers"), lambda x: F.lower(F.coalesce(of(x, "availability"), F.lit("")))), lambda s: s != "")
+    sold = (F.size(stock) > 0) & F.forall(stock, lambda s: s.contains("soldout"))
+    where = "location.address"
+    place = F.concat_ws(", ", *(F.nullif(e.text(f"{where}.{k}"), F.lit("")) for k in ("addressLocality", "addressRegion")))
+    place = strip(F.concat_ws(" ", place, F.nullif(e.text(f"{where}.postalCode"), F.lit(""))))
+    parts = F.concat_ws(", ", *(F.nullif(x, F.lit("")) for x in (e.text(f"{where}.streetAddress"), place, e.text(f"{where}.addressCountry"))))
+    url, status = e.text("url", "@id"), F.lower(e.text("eventStatus"))
+    fields = {
+        "source_event_id": F.coalesce(F.nullif(e.text("@id", "url"), F.lit("")), F.col("source_url")), "title": e.text("name"), "start": e.text("startDate"), "end": e.text("endDate"),
+        "url": F.when(url == "", F.col("source_url")).otherwise(join_url(F.col("source_url"), url)), "signup_url": F.coalesce(F.get(F.filter(F.transform(F.col("_offers"), lambda x: of(x, "url")), lambda u: u != ""), F.lit(0)), F.lit("")),
+        "host": F.when(e.kind("organizer") == "OBJECT", e.text("organizer.name")).otherwise(""), "venue": F.when(e.kind("location") == "OBJECT", e.text("location.name")).otherwise(""),
+        "address": F.when(e.kind(where) == "STRING", e.text(where)).when(e.kind(where) == "OBJECT", parts).otherwise(""), "price": F.coalesce(t.format_price(price), F.lit("")), "is_free": F.coalesce(price == 0, F.lit(False)),
+        "description": e.text("description"), "capacity_flag": F.when(sold, "sold_out").when(F.exists(stock, lambda s: s.contains("limitedavailability")), "limited"),
+        "status": F.when(status.rlike("cancell?ed"), "cancelled").when(status.contains("postponed"), "postponed").otherwise("active"),
+    }
+    rows = nodes.withColumns({"e": F.try_parse_json("node"), "_hash": F.col("content_hash")}).withColumn("_offers", offers)
+    early = F.when(e.kind("name").isin("OBJECT", "ARRAY"), FAILED).when(e.text("name") == "", "missing_title").when(e.text("startDate") == "", "missing_start")
+    return _checked(rows, list(keys), fields, early, e.bad, config)
 
 
 def contract_json() -> Column:

@@ -73,3 +73,19 @@ def test_only_a_scheme_at_the_front_is_dropped(spark, url, canon):
 @pytest.mark.parametrize(("text", "iso"), [("2026-08-20", "2026-08-20T00:00:00"), ("20260820T183000-0400", "2026-08-20T18:30:00-04:00"), ("2026-08-20 18:30Z", "2026-08-20T18:30:00+00:00"), (" 2026-08-20T18:30:00.5 ", "2026-08-20T18:30:00.500000"), ("2026-W34-4", "2026-08-20T00:00:00"), ("2026-02-30", None), ("20 Aug", None), ("", None), ("2026-08-20T18:30+25:00", None)])
 def test_starts_in_every_iso_form(spark, text, iso):
     assert spark.createDataFrame([(text,)], "s string").select(t.iso_start(F.col("s")).alias("i")).first().i == iso
+
+
+def test_event_nodes_in_every_shape(spark):
+    full = {"name": "A", "startDate": "2026-08-02T19:00", "url": "/e/1", "location": {"name": "Hall", "address": {"streetAddress": "1 Main", "addressLocality": "NYC", "addressRegion": "NY", "postalCode": 10001, "addressCountry": "US"}}}
+    nodes = [
+        full | {"offers": {"price": "0"}}, full | {"offers": [{"price": None, "lowPrice": 20}, {"price": True}, "x", {"price": "12.5", "url": "https://t.org", "availability": "https://schema.org/SoldOut"}]},
+        full | {"offers": [{"availability": "SoldOut"}, {"availability": "x/LimitedAvailability"}], "location": {"address": " text "}, "organizer": [1], "eventStatus": "https://schema.org/EventPostponed"},
+        {"name": "", "startDate": "2026-08-02"}, {"name": "A"}, {"name": {"x": 1}, "startDate": "2026-08-02"}, {"name": "A", "startDate": "soon"}, {"name": "A", "startDate": "2026-08-02", "endDate": "later"},
+    ]
+    rows = [(k, json.dumps(n), "s", "https://l.org", "https://l.org/page", "2026-08-01T00:00:00Z", "h") for k, n in enumerate(nodes)]
+    df = spark.createDataFrame(rows, "k long, node string, source_id string, source_listing_url string, source_url string, fetched_at string, content_hash string")
+    got = r.jsonld_raw_events(df, CONFIG, "k").orderBy("k").collect()
+    assert [x.reason for x in got] == [None, None, None, "missing_title", "missing_start", r.FAILED, r.FAILED, r.FAILED]
+    assert [(x.price, x.is_free, x.capacity_flag, x.signup_url) for x in got[:3]] == [("$0", True, None, ""), ("$12.50", False, "sold_out", "https://t.org"), ("", False, "limited", "")]
+    assert [(x.address, x.venue, x.url, x.status) for x in got[1:3]] == [("1 Main, NYC, NY 10001, US", "Hall", "https://l.org/e/1", "active"), ("text", "", "https://l.org/e/1", "postponed")]
+    assert got[0].start == "2026-08-02T19:00:00-04:00" and json.loads(got[0].extracted_json) == nodes[0]
