@@ -7,21 +7,35 @@ from pyspark.sql import DataFrame, functions as F
 from listingloom.session import discard, materialize
 
 
+def _to_least(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (u, v) with m, the smallest neighbour of u.
+
+    A node of many rows would have them all in one task. Nodes with more than a quarter of a task's share of rows are at most
+    four for each task, so they are few whatever the table holds: their rows meet a broadcast table and aren't dealt out.
+    """
+    tally = materialize(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), "m", "n"), "neighbours")
+    share = (tally.agg(F.sum("n")).first()[0] or 0) // (4 * parts)
+    hubs = tally.where(F.col("n") > share).select("k", "m")
+    few = tally.where(F.col("n") <= share).select("k", "m")
+    met = F.col("u") == F.col("k")
+    others = rows.join(F.broadcast(hubs), met, "left_anti")
+    return rows.join(F.broadcast(hubs), met).unionByName(others.join(few.hint("merge"), met)).drop("k")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) but the roots, root the smallest node reachable.
 
     Alternating large-star and small-star steps, until every node points at one that points nowhere.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), F.col("u") == F.col("k")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(least.hint("merge"), F.col("u") == F.col("k"))
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _to_least(both, parts).withColumn("m", F.least("u", "m")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large, "large-star")
+        small = _to_least(large, parts).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         before, edges = edges, materialize(small.select("e.*").where("u > v").distinct(), "edges")
-        discard(before)
+        discard(before, large)
         ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
         if not open_.limit(1).count():

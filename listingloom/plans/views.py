@@ -85,11 +85,12 @@ def calendar_grid(events: DataFrame, month: str, as_of: str) -> DataFrame:
     days = days.select(F.col("date").cast("string").alias("date"), (F.trunc("date", "month") == F.col("first")).alias("in_month"))
     # Few days (at most 42): sent to the events, which are filtered to them before anything moves.
     shown = events.where("status = 'active'").select(day().alias("date"), "start", "title", "id").join(F.broadcast(days.select("date")), "date")
-    own = F.array_sort(F.collect_list(F.struct("start", nocase(F.col("title")).alias("k"), "id", "title")))
-    grouped = shown.groupBy("date").agg(own.alias("events"))
-    grid = days.join(grouped, "date", "left").withColumn("n", F.coalesce(F.size("events"), F.lit(0)))
-    grid = grid.withColumn("n", F.greatest("n", F.lit(0)))
-    titles = F.transform(F.slice(F.coalesce("events", F.array()), 1, 3), lambda e: e["title"])
+    counted = shown.groupBy("date").agg(F.count("*").alias("n"))
+    # Three of a day are kept before the rows are dealt out, so a day's list never grows with its events.
+    place = F.row_number().over(Window.partitionBy("date").orderBy("start", nocase(F.col("title")), "id"))
+    first = shown.withColumn("k", place).where("k <= 3").groupBy("date").agg(F.array_sort(F.collect_list(F.struct("k", "title"))).alias("first"))
+    grid = days.join(counted.join(first.hint("merge"), "date"), "date", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("int"))
+    titles = F.transform(F.coalesce("first", F.array().cast("array<struct<k:int,title:string>>")), lambda e: e["title"])
     return grid.select("date", "in_month", (F.col("date") < as_of).alias("past"), (F.col("date") == as_of).alias("today"), "n", titles.alias("shown"), F.greatest(F.col("n") - 3, F.lit(0)).alias("more")).orderBy("date")
 
 
