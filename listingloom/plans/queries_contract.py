@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from listingloom.operators.contract import check_raw_events
 from listingloom.plans.queries_extract import _CENTS, _START, feed_pages, ld_pages
 from listingloom.sources import extract as x
-from listingloom.sources.raw_events import Config, contract_json, jsonld_raw_events, raw_events
+from listingloom.sources.raw_events import Config, contract_json, jsonld_raw_events, localized, raw_events
 
 _SHOWN = ("source_id", "source_event_id", "title", "start", "url", "signup_url", "host", "venue", "address", "price", "is_free", "description", "capacity_flag", "status", "reason")
 _BASE = "https://feeds.example.com/api/list"
@@ -109,7 +109,20 @@ def _of_pages(s, d):
     return found.select("page_id", *_SHOWN[1:], F.when(F.col("reason").isNull(), F.size("problems")).alias("problems"))
 
 
+def _change_days(s, d):
+    """Every hour of the two days on which the zone's clock changes, as wall times and as instants."""
+    text = F.expr("CASE WHEN p_size % 2 = 0 THEN '2026-03-08T' ELSE '2026-11-01T' END || lpad(CAST(p_partkey % 24 AS STRING), 2, '0') || ':30:00' || CASE WHEN p_size % 3 = 0 THEN 'Z' ELSE '' END")
+    return localized(s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.alias("start")), "start", "America/New_York")
+
+
 QUERIES = {
+    "scl14_change_days": (
+        _change_days,
+        """WITH h AS (SELECT p_partkey, p_partkey % 24 AS h, p_size % 2 = 0 AS spring, p_size % 3 = 0 AS instant FROM part),
+        o AS (SELECT *, CASE WHEN spring THEN CASE WHEN h < CASE WHEN instant THEN 7 ELSE 3 END THEN 5 ELSE 4 END ELSE CASE WHEN h < CASE WHEN instant THEN 6 ELSE 2 END THEN 4 ELSE 5 END END AS off,
+          CASE WHEN spring THEN TIMESTAMP '2026-03-08 00:30:00' ELSE TIMESTAMP '2026-11-01 00:30:00' END + to_hours(CAST(h AS INT)) AS said FROM h)
+        SELECT p_partkey, strftime(CASE WHEN instant THEN said - to_hours(CAST(off AS INT)) ELSE said END, '%Y-%m-%dT%H:%M:%S') || '-0' || off || ':00' AS start FROM o""",
+    ),
     "ext_contract_jsonld": (
         _of_pages,
         f"""SELECT p_partkey AS page_id, 'https://parts.example.com/e/' || {_ID} AS source_event_id, CASE WHEN p_size % 10 = 0 THEN '' ELSE p_name END AS title, {_START} AS start, 'https://parts.example.com/e/' || {_ID} AS url,

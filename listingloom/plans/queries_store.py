@@ -148,7 +148,7 @@ def _invalidate(s, d):
     return count(kept, "events").unionAll(count(aliases, "aliases")).unionAll(count(rows.where("reason = 'repair'"), "rejected")).unionAll(counts.select(F.concat_ws(" ", "run_id", "source_id", "reason"), "n"))
 
 
-#: One text for each rule of events.SYMBOLS in turn, some of which later rules match too, and one for none.
+#: One text for each rule of events.THEME_RULES in turn, some of which later rules match too, and one for none.
 _THEME_TEXTS = ("Half Marathon", "barbell workout", "PHOTO walk", "salsa party", "poetry reading", "writing concert", "art film", "movie music", "open mic jazz", "DJ games", "trivia soccer", "pickleball yoga", "sound bath with wine", "beer dinner", "brunch walk", "evening stroll party", "magic comedy", "improv talk", "debate party", "happy hour", "nothing")
 _THEME_SYMBOLS = ("🏃", "🏋️", "📸", "💃", "📚", "✍️", "🎨", "🎬", "🎤", "🎵", "🎲", "⚽", "🧘", "🍷", "🍽️", "🚶", "🪄", "🎭", "💬", "🎉", "✨")
 
@@ -396,8 +396,8 @@ QUERIES = {
         "SELECT p_partkey, CASE WHEN p_size >= 18 THEN CAST(p_size AS INT) END AS low, CASE WHEN p_size >= 18 THEN CAST(p_size + 9 AS INT) END AS high FROM part",
     ),
     "scl29_theme": (
-        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.theme(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "wine").when(F.col("p_size") % 3 == 1, "jazz band")), e.THEMES, "other").alias("theme")),
-        "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'drink' WHEN 1 THEN 'music' ELSE 'other' END AS theme FROM part",
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.theme(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "wine").when(F.col("p_size") % 3 == 1, "jazz band")), e.THEME_RULES, "other").alias("theme")),
+        "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '🍷' WHEN 1 THEN '🎵' ELSE 'other' END AS theme FROM part",
     ),
     "scl29_event_theme": (
         lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", e.event_theme(F.col("p_name"), F.element_at(F.array(*map(F.lit, _THEME_TEXTS)), (F.col("p_partkey") % len(_THEME_TEXTS) + 1).cast("int"))).alias("theme")),

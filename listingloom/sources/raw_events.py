@@ -242,8 +242,12 @@ FAMILIES: dict[str, tuple[str, Callable[[Entry, Config], Made]]] = {
 }
 
 
-def _localized(rows: DataFrame, name: str, zone: str) -> DataFrame:
-    """A column of ISO texts as local texts with offset, in steps, so that each is worked out once; null if it can't be read."""
+def localized(rows: DataFrame, name: str, zone: str) -> DataFrame:
+    """A column of ISO texts as local texts with offset, in steps, so that each is worked out once; null if it can't be read.
+
+    A text without offset is wall time. Of an hour that comes twice it is the first; one that the clock jumps over keeps its
+    wall time with the offset before.
+    """
     w, m = f"_{name}_wall", f"_{name}_minutes"
     iso = t.iso_start(F.col(name))
     rows = rows.withColumn(name, iso)
@@ -294,7 +298,7 @@ def _checked(rows: DataFrame, keys: list[str], fields: dict[str, Column], early:
     rows = rows.select(*keys, "source_id", "source_listing_url", "source_url", "fetched_at", *(c.alias(k) for k, c in made.items()), early.alias("_early"), bad.alias("_bad"))
     rows = rows.withColumns({"_start": F.col("start"), "_end": F.col("end")})
     for name in ("start", "end"):
-        rows = _localized(rows, name, config.zone)
+        rows = localized(rows, name, config.zone)
     missing = reduce(lambda a, b: a | b, (F.coalesce(F.col(k), F.lit("")) == "" for k in ("source_event_id", "title", "start", "url", "status")))
     unread = (F.coalesce("_end", F.lit("")) != "") & F.col("end").isNull()
     naive = F.lit(False)

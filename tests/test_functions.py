@@ -79,7 +79,8 @@ def test_texts(spark):
     assert values(spark, t.redact_contacts, "2125551234 josé@x.org +1 212-555-1234") == ["2125551234 [email removed] [phone removed]"]
     assert values(spark, e.preview_title, "\n\n Run Club · Luma\nmore", "Viewcy | Salon", "Jazz | Blues Night", "") == ["Run Club", "Salon", "Jazz | Blues Night", ""]
     assert values(spark, lambda a: e.section_between(a, "About", ("Tickets", "Where")), "x\nAbout\n one\n\ntwo\nTickets\n$5", "none") == ["one\ntwo", ""]
-    assert values(spark, lambda a: e.theme(a, e.THEMES, "other"), "Wine tasting", "Pétanque at dusk", "Nothing", "Concert film") == ["drink", "sport", "other", "film"]
+    assert values(spark, lambda a: e.theme(a, e.THEME_RULES, "other"), "Wine tasting", "Pétanque at dusk", "Nothing", "Concert film") == ["🍷", "⚽", "other", "🎬"]
+    assert values(spark, lambda a: e.event_theme(a, more={"🎉": "salon"}), "Salon at noon", "Noon") == ["🎉", "✨"]
     assert values(spark, lambda a: extract.labelled_field(a, "Place", ("Date", "For a fee")), "Date: May 1 Place: Hall, 5 Main St For a fee: $5", "x") == ["Hall, 5 Main St", ""]
     assert values(spark, extract.explicit_empty, "There are no upcoming events.", "Upcoming events") == [True, False]
     assert values(spark, e.same_page, ("https://www.a.org/x/", "http://a.org/x"), ("https://a.org/x", "https://a.org/y"), ("bad", "bad")) == [True, False, False]
@@ -229,7 +230,7 @@ def test_norm_text_of_all_documents(spark, small):
 def test_event_theme_has_the_twenty_rules(spark):
     said = ["Barbell workout", "Photo walk", "Writing hour", "Karaoke", "Board game night", "Sunset hike", "Magic show", "Theatre", "Singles mixer", "Yoga", "Comedy dinner", "Gallery hop", "Nothing"]
     got = values(spark, e.event_theme, *said)
-    assert len(e.SYMBOLS) == 20 and [x.rstrip("\ufe0f") for x in got] == list("🏋📸✍🎤🎲🚶🪄🎭🎉🧘🍽🎨✨")
+    assert len(e.THEME_RULES) == 20 and [x.rstrip("\ufe0f") for x in got] == list("🏋📸✍🎤🎲🚶🪄🎭🎉🧘🍽🎨✨")
 
 
 def test_each_rule_of_a_catalog_file(spark, tmp_path):
