@@ -210,7 +210,7 @@ def _slots(moment: datetime) -> tuple[int, int | None]:
 class Replay:
     """The store as one component sees it, changed row by row and indexed by URL and by half hour."""
 
-    def __init__(self, events: list[dict], aliases: list[dict], staged: list[dict]):
+    def __init__(self, events: list[dict], aliases: list[dict], staged: Iterable[dict] = ()):
         texts = {_norm(e[c]) for e in (*events, *staged) for c in ("title", "venue", "address", "host")}
         self.ranks = Counter(g for text in texts for g in grams(text))
         self.events: dict[str, dict] = {}

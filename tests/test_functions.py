@@ -112,12 +112,12 @@ def test_weekly_occurrences(spark):
 
 def test_provider_payloads(spark):
     feed = {"entries": [{"api_id": "c", "event": {"api_id": "e1", "name": "A", "start_at": "2026-08-20T22:00:00Z", "geo_address_info": {"city": "Boston"}}, "hosts": [{"name": "X"}, {"name": "Y"}], "ticket_info": {"price": {"cents": 2500, "currency": "usd"}, "is_free": False, "is_near_capacity": True}}]}
-    city = {"city": {"_id": "nyc", "events": [{"_id": "r", "title": "Run", "startTime": "2026-08-15T06:45:00-04:00", "locationString": "Park, 5 Ave", "city": {"_id": "nyc"}, "rsvpCounts": {"confirmed": 4, "maybe": 3, "waitlist": 0}}, {"_id": "d", "title": "D", "deleted": True}]}}
+    city = {"city": {"_id": "nyc", "events": [{"_id": "r", "title": "Run", "startTime": "2026-08-15T06:45:00-04:00", "locationString": "Park, 5 Ave", "city": {"_id": "nyc"}, "rsvpCounts": {"confirmed": 4, "maybe": 3, "waitlist": 0}}, {"_id": "d", "title": "D", "deleted": True, "city": {"_id": "nyc"}}, {"_id": "o", "title": "O", "deleted": True}]}}
     bodies = spark.createDataFrame([("f", 1, json.dumps(feed)), ("c", 1, json.dumps(city))], "source_id string, page_no int, body string")
     one = extract.feed_events(bodies.where("source_id = 'f'"), "discovery").first()
     assert (one.price, one.capacity_flag, one.host, one.reason) == ("$25", "limited", "X, Y", "outside_city")
     two = extract.feed_events(bodies.where("source_id = 'c'"), "city").orderBy("pos").collect()
-    assert [(r.venue, r.capacity_flag, r.reason) for r in two] == [("Park", "4 confirmed; 3 maybe; 0 waitlist", None), (None, None, "cancelled_or_deleted")]
+    assert [(r.venue, r.capacity_flag, r.reason) for r in two] == [("Park", "4 confirmed; 3 maybe; 0 waitlist", None), (None, None, "cancelled_or_deleted"), (None, None, "outside_configured_city")]
 
 
 def test_page_contents(spark):
