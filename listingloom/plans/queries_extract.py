@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingloom.functions import text as t
+from listingloom.session import spread
 from listingloom.sources import extract as x
 
 FIRST, DAYS = "2026-08-10", 12
@@ -61,12 +62,12 @@ def payloads(spark, folder, family):
 
 def feed_pages(spark, folder, entry, body):
     """Pages of entries (a struct in SQL) in bodies around `items`; a text @@x@@ stands for the bare JSON x."""
-    part = spark.read.parquet(f"{folder}/part.parquet")
-    rows = part.selectExpr(*(f"{c}" for c in _KEY.split(", CAST")[:1]), "CAST(floor(p_partkey / 40) AS BIGINT) AS page_no", "p_partkey", f"{entry} AS e")
+    part = spark.read.parquet(f"{folder}/part.parquet").selectExpr("*", "p_brand AS source_id", "CAST(floor(p_partkey / 40) AS BIGINT) AS page_no")
+    rows = spread(part, "source_id", "page_no").selectExpr("source_id", "page_no", "p_partkey", f"{entry} AS e")
     pages = rows.groupBy("source_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.regexp_replace(F.to_json("e"), '"@@(.*?)@@"', "$1").alias("e")))), lambda r: r["e"]).alias("texts"))
     total = rows.groupBy("source_id").agg(F.count("*").alias("total"))
     text = F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]"))
-    shell = pages.join(total, "source_id").withColumn("items", F.lit("@items@")).withColumn("shell", F.to_json(F.expr(body)))
+    shell = pages.join(F.broadcast(total), "source_id").withColumn("items", F.lit("@items@")).withColumn("shell", F.to_json(F.expr(body)))
     return shell.select("source_id", "page_no", F.replace("shell", F.lit('"@items@"'), text).alias("body"))
 
 
@@ -84,7 +85,7 @@ _RAW_SQL = f"raw AS (SELECT {_KEY}, p_partkey, {_FAMILIES['sessions'][2]} FROM p
 
 def ld_pages(spark, folder):
     """A page with JSON-LD for each part: a graph with an Event and a ListItem, a broken block and an empty one."""
-    part = spark.read.parquet(f"{folder}/part.parquet")
+    part = spread(spark.read.parquet(f"{folder}/part.parquet"), "p_partkey")
     event = f"""named_struct('@type', if(p_size % 2 = 0, array('Thing', 'https://schema.org/Event'), array('Event')), 'name', if(p_size % 10 = 0, '', p_name), 'startDate', {_START}, 'url', 'https://parts.example.com/e/' || p_partkey,
      'eventStatus', if(p_size % 7 = 0, 'https://schema.org/EventCancelled', 'https://schema.org/EventScheduled'), 'organizer', named_struct('name', p_brand),
      'location', named_struct('name', p_type, 'address', named_struct('streetAddress', p_partkey || ' Street', 'addressLocality', 'New York', 'postalCode', '10001')),
