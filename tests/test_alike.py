@@ -60,3 +60,26 @@ def test_scored_pairs_equal_brute_force(spark):
     dicts = [dict(zip(names, r, strict=True)) for r in rows]
     wanted = {(a["n"], b["n"]) for a in dicts for b in dicts if b["start"][:10] == naive.time(a["start"]).date().isoformat() and naive.same(a, b)}
     assert got == wanted and len(wanted) > 100
+
+
+def test_a_dense_block_of_digests_gives_few_candidates():
+    """Titles with one beginning and hex digits: each shares bigrams with every other, so an index of bigrams gives all pairs."""
+    rng = random.Random(4)
+    left = [f"show {rng.getrandbits(128):032x}" for _ in range(1500)]
+    right = [*(s[:k] + s[k + 1 :] + " ab" for k, s in enumerate(x[:40] for x in left[:30])), *left[30:]]
+    found = list(alike.candidates(left, right, 0.88))
+    assert len(found) == len(set(found)) < 5 * len(left)
+    wanted = {(x, y) for x in left[:60] for y in right[:60] if difflib.SequenceMatcher(None, x, y).ratio() >= 0.88}
+    assert wanted <= set(found) and len(wanted) >= 60
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab 1", min_size=1, max_size=25), min_size=9, max_size=14, unique=True), st.sampled_from([0.7, 0.88, 0.92]), st.randoms(use_true_random=False))
+def test_pieces_miss_no_pair(left, least, rng):
+    right = list(dict.fromkeys(typo(rng, typo(rng, x)) or "a" for x in left))
+    few, alike.FEW = alike.FEW, 0
+    try:
+        found = list(alike.candidates(left, right, least))
+    finally:
+        alike.FEW = few
+    assert {(x, y) for x in left for y in right if difflib.SequenceMatcher(None, x, y).ratio() >= least} <= set(found)
