@@ -108,7 +108,7 @@ def run_problems(runs: DataFrame, source_runs: DataFrame, discoveries: DataFrame
 
 def _merged(fresh: DataFrame, events: DataFrame, aliases: DataFrame, seen: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New events and aliases, and the fresh discoveries with what became of the staged ones, in order of their numbers."""
-    staged = fresh.where("outcome = 'staged'").select(F.col("discovery_id").alias("n"), F.nullif("source_id", F.lit("unknown")).alias("found_by"), *normalised("raw", seen))
+    staged = normalised(fresh.where("outcome = 'staged'"), "raw", seen, F.col("discovery_id").alias("n"), F.nullif("source_id", F.lit("unknown")).alias("found_by"))
     staged = materialize(staged.withColumn("source_id", F.coalesce(F.nullif("source_id", F.lit("")), "found_by", F.lit(""))).drop("found_by"), "incoming")
     new, urls, outcomes = finalize(staged, events, aliases, seen)
     # Columns that no merge touches: those of the store, and for new events those of the row that made them.

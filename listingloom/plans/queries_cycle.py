@@ -72,6 +72,10 @@ def _payload(s, d):
     return cycle.merge_payload("r2", "2026-08-01", told, events, rejections, _run(s, "completed"), s.createDataFrame([], _SOURCE_RUNS), s.createDataFrame([], _LEDGER), _orders(s, d, _STORED), s.createDataFrame([], _ALIASES))
 
 
+def _payload_runs(closed):
+    return closed.runs.select("run_id", "seen_date", "state").join(closed.totals.select("store").hint("broadcast"), F.lit(True))
+
+
 def _source_rows(closed):
     reasons = F.array_join(F.transform(F.array_sort(F.map_entries("rejection_counts")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
     return closed.source_runs.select("run_id", "source_id", "state", *_COUNTS, reasons.alias("reasons"))
@@ -186,7 +190,7 @@ QUERIES = {
     ),
     "upd5_payload_source_runs": (lambda s, d: _source_rows(_payload(s, d)), _rows_sql("r2", _DERIVED, _OF)),
     "upd5_payload_runs": (
-        lambda s, d: _payload(s, d).runs.select("run_id", "seen_date", "state").join(_payload(s, d).totals.select("store").hint("broadcast"), F.lit(True)),
+        lambda s, d: _payload_runs(_payload(s, d)),
         f"{_told_sql()}, t1 AS (SELECT count(*) FILTER (outcome = 'new') + (SELECT count(*) FROM st) AS store FROM told) SELECT run_id, '2026-08-01' AS seen_date, 'completed' AS state, store FROM t1, (SELECT unnest(['r1', 'r2']) AS run_id)",
     ),
     "upd6_staged_source_runs": (

@@ -371,7 +371,7 @@ QUERIES = {
         None,
     ),
     "scl10_normalise": (
-        lambda s, d: bound(s, d, "event_store").select(F.to_json(F.struct("id", F.concat(F.lit(" "), "url").alias("url"), "title", F.col("start").alias("start_datetime"), F.col("venue").alias("venue_name"), F.col("rank"), F.col("is_free"), F.lit("21").alias("explicit_age_min"), F.lit(True).alias("explicit_age_max"))).alias("raw")).select(*e.normalised("raw", "2026-08-01")).select("id", "url", "title", "start", "venue", "rank", "is_free", "age_min", "age_max", "status", "first_seen"),
+        lambda s, d: e.normalised(bound(s, d, "event_store").select(F.to_json(F.struct("id", F.concat(F.lit(" "), "url").alias("url"), "title", F.col("start").alias("start_datetime"), F.col("venue").alias("venue_name"), F.col("rank"), F.col("is_free"), F.lit("21").alias("explicit_age_min"), F.lit(True).alias("explicit_age_max"))).alias("raw")), "raw", "2026-08-01").select("id", "url", "title", "start", "venue", "rank", "is_free", "age_min", "age_max", "status", "first_seen"),
         f"""{cte('event_store')} SELECT id, url, title, start, venue, rank, is_free, CAST(21 AS INT) AS age_min, CAST(NULL AS INT) AS age_max, 'active' AS status, '2026-08-01' AS first_seen FROM event_store""",
     ),
     "scl2_series_key": (

@@ -89,3 +89,15 @@ def test_the_second_of_two_writers_from_one_version_fails(spark, tmp_path):
     number, held = store.read_store(spark, root)
     assert number == 2 and held["events"].count() == 2 and sorted(held) == ["aliases", "events"]
     assert store.read_store(spark, root, 1)[1]["events"].count() == 1
+
+
+def test_a_key_is_made_without_reading_the_json_again(spark):
+    """The key names most fields many times; in one expression that made a plan of a hundred thousand characters."""
+    from listingloom.functions.events import normalised
+
+    raw = ['{"url": " https://a.org/jazz-night ", "title": "A", "start_datetime": "2026-08-01T20:44:00", "explicit_age_min": "21"}', '{"title": "B", "venue_name": "Hall", "dedup_key": "k"}', '{"id": "x", "neighborhood": "Area"}', None]
+    rows = normalised(spark.createDataFrame(list(enumerate(raw)), "n int, raw string"), "raw", "2026-08-01", "n")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") < 60
+    a, b, c, d = rows.orderBy("n").collect()
+    assert (a.dedup_key, a.url, a.age_min, a.raw_keys) == ("u:a.org/jazz-night|2026-08-01T20:30:00", "https://a.org/jazz-night", 21, ["url", "title", "start_datetime", "age_min"])
+    assert (b.dedup_key, b.venue, c.id, c.dedup_key, d.status) == ("k", "Hall", "x", "v:area|nodate|", "active") and len({a.id, b.id, c.id, d.id}) == 4
