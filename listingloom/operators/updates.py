@@ -9,8 +9,8 @@ from listingloom.operators.accounting import rejection_counts
 
 
 def with_canonical(rows: DataFrame) -> DataFrame:
-    """rows with canonical_url of url; exploded from an array of one, so that a filter on it doesn't repeat its making."""
-    return rows.select("*", F.explode(F.array(t.canon_url(F.col("url")))).alias("canonical_url"))
+    """rows with canonical_url of url."""
+    return t.settled(rows, canonical_url=t.canon_url(F.col("url")))
 
 
 def upsert_events(store: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def merge_fields(pairs: DataFrame) -> DataFrame:
         return F.coalesce(n(c), F.lit(False)) if kind == "boolean" else F.coalesce(n(c) != F.lit("" if kind == "string" else 0), F.lit(False))
 
     out, changes = {}, []
-    named_old, named_new = (t.is_event_url(t.canon_url(f("url"))) for f in (o, n))
+    pairs = t.settled(pairs, _was=t.canon_url(o("url")), _is=t.canon_url(n("url")))
+    named_old, named_new = (t.is_event_url(F.col(c)) for c in ("_was", "_is"))
     for c in fields:
         if c in VOLATILE:
             clears = F.array_contains(n("raw_keys"), c) & o("source_id").eqNullSafe(n("source_id")) if c in CLEARABLE else F.lit(False)
