@@ -175,22 +175,67 @@ def candidates(left: list[str], right: list[str], least: float) -> Iterator[tupl
                 yield left[a.places[pair // b.n]], right[b.places[pair % b.n]]
 
 
+class _Recurring:
+    """Pairs of titles that come in several blocks, each scored once a task: such a title knows which others it is like.
+
+    A title is known from its second block on. At most MOST of a side are; pairs with others are looked at block by block.
+    """
+
+    MOST, SEEN = 1024, 1 << 18
+
+    def __init__(self, least: float):
+        self.least = least
+        self.seen: tuple[set[str], set[str]] = (set(), set())
+        self.near: dict[str, dict[str, float]] = {}
+        self.right: set[str] = set()
+
+    def _score(self, left: list[str], right: list[str]) -> Iterator[tuple[str, str, float]]:
+        for x, y in candidates(left, right, self.least):
+            if (ratio := score(x, y, self.least)) >= self.least:
+                yield x, y, ratio
+
+    def _known(self, texts: list[str], side: int, known: dict[str, dict[str, float]] | set[str]) -> list[str]:
+        seen = self.seen[side]
+        new = [x for x in texts if x in seen and x not in known][: self.MOST - len(known)]
+        seen.update(texts)
+        if len(seen) > self.SEEN:
+            seen.clear()
+        return new
+
+    def pairs(self, left: list[str], right: list[str]) -> Iterator[tuple[str, str, float]]:
+        """Each pair of a block's titles whose ratio reaches the bound, with it."""
+        mine, theirs = self._known(left, 0, self.near), self._known(right, 1, self.right)
+        scored = list(self._score(list(self.near), theirs)) if theirs else []
+        self.right.update(theirs)
+        scored += self._score(mine, list(self.right)) if mine else []
+        self.near.update((x, {}) for x in mine)
+        for x, y, ratio in scored:
+            self.near[x][y] = ratio
+        here, old, new = set(right), [x for x in left if x in self.near], [x for x in left if x not in self.near]
+        for x in old:
+            for y, ratio in self.near[x].items():
+                if y in here:
+                    yield x, y, ratio
+        yield from self._score(new, right)
+        yield from self._score(old, [y for y in right if y not in self.right])
+
+
 def _scored(least: float):
     """Rows come ordered by group, with whose titles they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out: list[tuple] = []
+        recurring = _Recurring(least)
         for (block, _, _), own in groupby(rows, key=lambda r: r[:3]):
             sides: tuple[list[str], list[str]] = ([], [])
             for *_, right, title in own:
                 sides[right].append(title)
-            for x, y in candidates(*sides, least):
-                if (ratio := score(x, y, least)) >= least:
-                    out.append((block, x, y, ratio))
-                    if len(out) >= 5000:
-                        yield _batch(out)
-                        out = []
+            for found in recurring.pairs(*sides):
+                out.append((block, *found))
+                if len(out) >= 5000:
+                    yield _batch(out)
+                    out = []
         yield _batch(out)
 
     return run

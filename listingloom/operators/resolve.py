@@ -12,16 +12,19 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import chain, groupby
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listingloom.functions import text as t
 from listingloom.operators.alike import alike, grams, prefix, score
 from listingloom.operators.components import components
-from listingloom.session import materialize
+from listingloom.session import materialize, spread
 
 # Fixed values of the matching rules: minutes between starts, and the ratios that count as alike or as a conflict.
 NEAR_MINUTES = 30.0
@@ -34,14 +37,17 @@ FIELDS = ("id", "url", "title", "host", "start", "source_id", "description", "fi
 
 def sightings(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, canonical_url) of each row's own and signup URL, where they name one event."""
-    urls = F.array_distinct(F.array(t.canon_url(F.col("url")), t.canon_url(F.col("signup_url"))))
-    return rows.select(*keys, F.explode(urls).alias("canonical_url")).where(t.is_event_url(F.col("canonical_url")))
+    made = rows.select(*keys, t.canon_url(F.col("url")).alias("_own"), t.canon_url(F.col("signup_url")).alias("_signup"))
+    urls = F.when(F.col("_own") == F.col("_signup"), F.array("_own")).otherwise(F.array("_own", "_signup"))
+    # An outer explode: Spark would filter on the size of an inner one's array and work the URLs out twice.
+    return made.select(*keys, F.explode_outer(urls).alias("canonical_url")).where(t.is_event_url(F.col("canonical_url")))
 
 
 def match_alias(incoming: DataFrame, aliases: DataFrame, events: DataFrame) -> DataFrame:
     """(n, event_id): the only event of the same local day under one of a row's URLs, or the only one near in time."""
     start = t.iso_start(F.col("start"))
-    mine = materialize(sightings(incoming.withColumn("my_start", start).where("my_start is not null"), "n", "my_start"), "sightings").withColumn("day", F.substring("my_start", 1, 10))
+    read = t.settled(spread(incoming.select("n", "url", "signup_url", "start"), "n"), my_start=start).where("my_start is not null")
+    mine = materialize(sightings(read, "n", "my_start"), "sightings").withColumn("day", F.substring("my_start", 1, 10))
     dated = events.select(F.col("id").alias("event_id"), start.alias("start"), F.substring("start", 1, 10).alias("day"))
     stored = aliases.select("event_id", "canonical_url").join(dated.hint("merge"), "event_id")
     found = mine.hint("merge").join(stored, ["canonical_url", "day"]).select("n", "event_id", (t.minutes_apart(F.col("my_start"), F.col("start")) <= NEAR_MINUTES).alias("near")).distinct()
@@ -54,9 +60,12 @@ def match_exact(incoming: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _normed(rows: DataFrame, side: str, key: str, norm) -> DataFrame:
-    """Key, start in ISO form, and normalised names of one side."""
+    """Key, start in ISO form, and normalised names of one side; what joins and filters read of a start, as numbers."""
     names = ("title", "host", "venue", "address", "neighborhood")
-    return rows.select(F.col(key).alias(f"{side}_key"), t.iso_start(F.col("start")).alias(f"{side}_start"), F.substring("start", 1, 10).alias("stored_day"), *(norm(F.col(c)).alias(f"{side}_{c}") for c in names)).where(f"{side}_start is not null")
+    s = f"{side}_"
+    read = t.settled(spread(rows.select(key, "start", *names), key), **{s + "start": t.iso_start(F.col("start"))}).where(f"{s}start is not null")
+    when = {s + "aware": t.has_offset(F.col(s + "start")), s + "at": F.unix_micros(t.instant(F.col(s + "start"))), s + "wall": F.unix_micros(t.wall_time(F.col(s + "start")).cast("timestamp"))}
+    return read.select(F.col(key).alias(s + "key"), s + "start", F.substring("start", 1, 10).alias("stored_day"), *(norm(F.col(c)).alias(s + c) for c in names), *(c.alias(k) for k, c in when.items()))
 
 
 def _slot(start: str, wall: bool) -> Column:
@@ -80,25 +89,45 @@ def stored_blocks(start: str, day: Column) -> Column:
     return F.when(offset, F.array(block("both", _slot(start, False)), block("none", wall))).otherwise(F.array(block("mine", wall), block("none", wall)))
 
 
+def _in_blocks(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by block, without the kinds of block that only one side has; of these there are three at most."""
+    sides = [rows.select("*", F.explode_outer("_blocks").alias("block")).drop("_blocks") for rows in (incoming, stored)]
+    kinds = [{k for (k,) in rows.select(F.substring("block", 1, 4)).distinct().collect()} for rows in sides]
+    return tuple(rows.where(F.substring("block", 1, 4).isin(*(kinds[0] & kinds[1]))) for rows in sides)
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("venue", "address", "host")]))
+def _places(lv: pd.Series, rv: pd.Series, la: pd.Series, ra: pd.Series, lh: pd.Series, rh: pd.Series, area: pd.Series) -> pd.DataFrame:
+    """The likeness of venue, address and host of rows of one occurrence, nulls for others."""
+    none, out = (None, None, None), []
+    for v, w, a, b, h, g, same in zip(lv, rv, la, ra, lh, rh, area, strict=True):
+        venue = _full(v, w, CONFLICT)
+        # An address or a host counts from its bound on only, so where that is ruled out there is no need to know how far it is.
+        held = venue >= VENUE or same or _ratio(a, b, ADDRESS) >= ADDRESS or _ratio(h, g, HOST) >= HOST
+        if held and v and w and a and b and venue < CONFLICT:
+            held = _ratio(a, b, CONFLICT) >= CONFLICT
+        out.append((venue, _full(a, b, CONFLICT), _full(h, g, HOST)) if held else none)
+    return pd.DataFrame(out, columns=["venue", "address", "host"], dtype=float)
+
+
 def score_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, norm=t.norm_text, distinct: bool = False) -> DataFrame:
     """(l_key, r_key) of rows that look like one occurrence: same day, near in time, like titles, and a like place or host.
 
-    Rows meet in blocks of half an hour, and in a block only those whose titles share a rare enough bigram (`alike`); each
-    pair of titles is scored once, however many rows have them.
+    Rows meet in blocks of half an hour, and in a block only those whose titles are alike (`alike`); each pair of titles is
+    scored once, however many rows have them, and places and hosts of pairs near in time in one go.
     """
-    a = materialize(_normed(left, "l", left_key, norm).withColumn("block", F.explode(incoming_blocks("l_start"))), "left")
-    b = materialize(_normed(right, "r", right_key, norm).withColumn("block", F.explode(stored_blocks("r_start", F.col("stored_day")))).drop("stored_day"), "right")
+    a = materialize(_normed(left, "l", left_key, norm).withColumn("_blocks", incoming_blocks("l_start")).drop("stored_day"), "left")
+    b = materialize(_normed(right, "r", right_key, norm).withColumn("_blocks", stored_blocks("r_start", F.col("stored_day"))).drop("stored_day"), "right")
+    a, b = _in_blocks(a, b)
     titles = materialize(alike(a.withColumnRenamed("l_title", "title"), b.withColumnRenamed("r_title", "title"), TITLE), "alike").withColumnRenamed("score", "title_score")
-    pairs = a.join(titles.hint("merge"), ["block", "l_title"]).join(b.hint("merge"), ["block", "r_title"]).where(t.minutes_apart(F.col("l_start"), F.col("r_start")) <= NEAR_MINUTES)
+    apart = F.when(F.col("l_aware") & F.col("r_aware"), F.abs(F.col("l_at") - F.col("r_at"))).otherwise(F.abs(F.col("l_wall") - F.col("r_wall"))) / 60e6
+    pairs = a.join(titles.hint("merge"), ["block", "l_title"]).join(b.hint("merge"), ["block", "r_title"]).where(apart <= NEAR_MINUTES)
     if distinct:
         pairs = pairs.where("l_key < r_key")
-    like = lambda c, least=0.0: t.text_similarity(F.col(f"l_{c}"), F.col(f"r_{c}"), least)
-    pairs = pairs.withColumn("venue_score", like("venue", CONFLICT)).withColumn("address_score", like("address", CONFLICT)).withColumn("host_score", like("host", HOST))
-    known = F.least(*(F.length(f"{s}_{c}") for s in "lr" for c in ("venue", "address"))) > 0
-    conflict = known & (F.col("venue_score") < CONFLICT) & (F.col("address_score") < CONFLICT)
     same_area = (F.col("title_score") == 1.0) & (F.col("l_neighborhood") != "") & (F.col("l_neighborhood") == F.col("r_neighborhood"))
-    held = (F.col("address_score") >= ADDRESS) | (F.col("venue_score") >= VENUE) | (F.col("host_score") >= HOST) | same_area
-    return pairs.where(held & ~conflict).select("l_key", "r_key", "title_score", "venue_score", "address_score", "host_score")
+    scored = _places(*(F.col(f"{s}_{c}") for c in ("venue", "address", "host") for s in "lr"), same_area)
+    pairs = pairs.select("l_key", "r_key", "title_score", scored.alias("_like")).where("_like.venue is not null")
+    return pairs.select("l_key", "r_key", "title_score", *(F.col(f"_like.{c}").alias(f"{c}_score") for c in ("venue", "address", "host")))
 
 
 def match_occurrence(incoming: DataFrame, events: DataFrame, norm=t.norm_text) -> DataFrame:
@@ -136,6 +165,14 @@ def _ratio(a: str, b: str, least: float) -> float:
     return score(a, b, least)
 
 
+@lru_cache(maxsize=1 << 16)
+def _full(a: str, b: str, least: float) -> float:
+    """The ratio, below the bound too unless the lengths rule it out (as text_similarity)."""
+    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return 0.0
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
 def same_occurrence(new: dict[str, str], old: dict[str, str]) -> bool:
     """Whether two rows near in time, given by their normalised names, are one occurrence."""
     title = _ratio(new["title"], old["title"], TITLE)
@@ -399,8 +436,9 @@ def _edges(staged: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFram
     urls = urls.unionByName(known.select("node", "url", "days")).select("node", "url", F.explode("days").alias("day"))
     keyed = urls.select("node", F.concat_ws("|", F.lit("u"), "url", "day").alias("key")).unionAll(rows.select("node", F.concat(F.lit("i"), F.col("id"))))
     dated = rows.where("start is not null and title <> ''")
-    incoming = materialize(dated.where("node like 's%'").select("node", "title", F.explode(incoming_blocks("start")).alias("block")), "incoming-blocks")
-    stored = materialize(dated.select("node", "title", F.explode(stored_blocks("start", F.col("stored_day"))).alias("block")), "stored-blocks")
+    incoming = materialize(dated.where("node like 's%'").select("node", "title", incoming_blocks("start").alias("_blocks")), "incoming-blocks")
+    stored = materialize(dated.select("node", "title", stored_blocks("start", F.col("stored_day")).alias("_blocks")), "stored-blocks")
+    incoming, stored = _in_blocks(incoming, stored)
     titles = materialize(alike(incoming, stored, TITLE), "alike")
     place = F.concat_ws("|", F.lit("t"), "block", "r_title").alias("key")
     looks = incoming.withColumnRenamed("title", "l_title").join(titles.hint("merge"), ["block", "l_title"]).select("node", place)
