@@ -93,3 +93,22 @@ def test_large_components_take_less_than_quadratic_time(case):
         if n == 400:
             assert got == naive.replay(bodies(n, CASES[case]), [], [], SEEN)[2]
     assert spent[1] < 60  # all with all would be 2.5 billion comparisons
+
+
+def shown(n, title, start):
+    row = dict.fromkeys(resolve.FIELDS, "") | {"id": f"e{n}", "title": title, "start": start, "venue": "Hall", "canon_url": None, "canon_signup": None}
+    return row | {"is_free": None, "age_min": None, "age_max": None}
+
+
+def test_few_texts_are_compared_without_an_index_and_many_by_one(monkeypatch):
+    """The bigrams of a small component were counted and indexed for nothing; a large one needs them."""
+    titles = [f"Night {chr(97 + k)}{chr(97 + k)} Market" for k in range(24)]
+    for n in (3, 24):
+        counted = []
+        monkeypatch.setattr(resolve, "grams", lambda text: counted.append(text) or text)
+        monkeypatch.setattr(resolve, "prefix", lambda text, ranks, least: counted.append(text) or [*ranks][:0] + ["all"])
+        store = resolve.Replay([shown(k, title, "2026-08-01T19:00:00") for k, title in enumerate(titles[:n])], [])
+        for k, title in enumerate(titles[:n]):
+            new = shown(100 + k, title + "s", "2026-08-01T19:10:00") | {"n": k, "raw_keys": []}
+            assert store.find(new)["id"] == f"e{k}"
+        assert bool(counted) == (n > resolve._Texts.FEW)
