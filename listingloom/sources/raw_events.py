@@ -83,17 +83,37 @@ def evidence_hash(evidence: dict[str, Column]) -> Column:
 
 
 class Entry:
-    """Typed readers of a VARIANT column."""
+    """Typed readers of a VARIANT column.
+
+    What is read more than once, or is long to read, is a column that settle() makes; it must come before whatever uses it. As
+    one expression a family's readers are more code than a method may have, and Spark then runs the stage without compiling it.
+    """
+
+    #: How many columns are made in one step.
+    STEP = 8
 
     def __init__(self, name: str = "e"):
         self.name = name
         self.bad: list[Column] = []
+        self.read: dict[str, tuple[str, Column]] = {}
+
+    def once(self, what: str, made: Callable[[], Column]) -> Column:
+        if what not in self.read:
+            self.read[what] = (f"_read{len(self.read)}", made())
+        return F.col(self.read[what][0])
+
+    def settle(self, rows: DataFrame) -> DataFrame:
+        """rows with the columns of all readers asked for until now."""
+        columns = list(self.read.values())
+        for k in range(0, len(columns), self.STEP):
+            rows = t.settled(rows, **dict(columns[k : k + self.STEP]))
+        return rows
 
     def raw(self, path: str, kind: str) -> Column:
         return F.try_variant_get(self.name, f"$.{path}", kind)
 
     def kind(self, path: str) -> Column:
-        return F.coalesce(F.regexp_extract(F.schema_of_variant(self.raw(path, "variant")), "^([A-Z]+)", 1), F.lit("VOID"))
+        return self.once(f"kind {path}", lambda: F.coalesce(F.regexp_extract(F.schema_of_variant(self.raw(path, "variant")), "^([A-Z]+)", 1), F.lit("VOID")))
 
     def expect(self, path: str, *kinds: str) -> None:
         """The entry fails where a value is there and of another kind."""
@@ -101,6 +121,10 @@ class Entry:
 
     def text(self, *paths: str) -> Column:
         """The first of the paths with a text or number that isn't blank, trimmed; else empty."""
+        return self.once(f"text {' '.join(paths)}", lambda: self.plain(*paths))
+
+    def plain(self, *paths: str) -> Column:
+        """text() as an expression, for a column that once() makes of it."""
         return F.coalesce(*(F.nullif(strip(self.raw(p, "string")), F.lit("")) for p in paths), F.lit(""))
 
     def true(self, path: str) -> Column:
@@ -109,7 +133,7 @@ class Entry:
     def names(self, path: str, *keys: str) -> Column:
         """The named texts of a list's objects, by comma."""
         one = lambda x: strip(F.concat_ws(" ", *(F.nullif(strip(F.try_variant_get(x, f"$.{k}", "string")), F.lit("")) for k in keys)))
-        return F.array_join(F.filter(F.transform(F.coalesce(self.raw(path, "array<variant>"), F.array().cast("array<variant>")), one), lambda s: s != ""), ", ")
+        return self.once(f"names {path} {' '.join(keys)}", lambda: F.array_join(F.filter(F.transform(F.coalesce(self.raw(path, "array<variant>"), F.array().cast("array<variant>")), one), lambda s: s != ""), ", "))
 
     def objects(self, path: str) -> None:
         """The entry fails where a list is there that is none, or holds anything but objects."""
@@ -189,7 +213,7 @@ def _city(e: Entry, c: Config) -> Made:
 
 def _posts(e: Entry, c: Config) -> Made:
     e.bad += [e.kind("entity") != "OBJECT", e.text("entity.type") != "EVENT", e.text("id") == ""]
-    content = t.redact_contacts(e.text("content"))
+    content = e.once("content", lambda: t.redact_contacts(e.plain("content")))
     link, title = e.text("links[0].link"), e.text("links[0].title")
     shown = F.when(title.endswith(" · Luma"), strip(F.regexp_replace(title, " · Luma$", ""))).when(title.startswith("Viewcy | "), strip(F.regexp_replace(title, r"^Viewcy \| ", ""))).otherwise(title)
     line = F.coalesce(F.get(F.filter(F.transform(F.split(content, r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ]"), strip), lambda s: s != ""), F.lit(0)), F.lit(""))
@@ -220,7 +244,7 @@ def _sessions(e: Entry, c: Config) -> Made:
 
 
 def _list(e: Entry, c: Config) -> Made:
-    clock = t.clock12(F.upper(tidy(e.text("event_time", "time"))))
+    clock = t.clock12(e.once("clock", lambda: F.upper(tidy(e.plain("event_time", "time")))))
     day = F.substring(e.text("event_date", "date"), 1, 10)
     cost, link = e.text("cost_type", "price_range"), e.text("rsvp_url", "rsvp_link")
     venue, area, borough = e.text("venue"), e.text("neighborhood"), e.text("borough")
@@ -274,11 +298,12 @@ def raw_events(payloads: DataFrame, family: str, config: Config) -> DataFrame:
     fields, first = read(e, config)
     entries = F.try_variant_get(F.try_parse_json("body"), f"$.{where}", "array<variant>")
     rows = payloads.select("source_id", "page_no", "source_listing_url", "source_url", "fetched_at", F.sha2("body", 256).alias("_hash"), entries.isNull().alias("_none"), F.posexplode_outer(entries).alias("pos", "e"))
+    keep = None
     if family == "search":
         keep = (e.text("type") == "event") & (F.lit(True) if config.subtype is None else F.coalesce(F.array_contains(e.raw("subtype", "array<string>"), config.subtype), F.lit(False)))
+    rows = e.settle(rows.where(F.col("_none") | F.col("pos").isNotNull()))
+    if keep is not None:
         rows = rows.where(F.col("_none") | keep)
-    else:
-        rows = rows.where(F.col("_none") | F.col("pos").isNotNull())
     early = F.when(F.col("_none"), "payload_parse_failed").when(~F.coalesce(F.schema_of_variant("e"), F.lit("VOID")).startswith("OBJECT"), "invalid_event" if family == "city" else FAILED)
     for condition, reason in first:
         early = early.when(F.coalesce(condition, F.lit(True)), reason)
@@ -294,8 +319,10 @@ def _checked(rows: DataFrame, keys: list[str], fields: dict[str, Column], early:
     plain = {"neighborhood": F.lit(""), "venue": F.lit(""), "address": F.lit(""), "price": F.lit(""), "description": F.lit(""), "capacity_flag": F.lit(None).cast("string"), "status": F.lit("active"), "content_hash": F.col("_hash"), "extracted_json": F.to_json("e"), "parser_version": F.lit(config.parser_version)}
     bad = reduce(lambda a, b: a | F.coalesce(b, F.lit(True)), faults, F.lit(False))
     made = {**plain, **fields}
-    made.setdefault("signup_url", made["url"])
-    rows = rows.select(*keys, "source_id", "source_listing_url", "source_url", "fetched_at", *(c.alias(k) for k, c in made.items()), early.alias("_early"), bad.alias("_bad"))
+    url = made.pop("url")
+    made.setdefault("signup_url", F.col("url"))
+    rows = t.settled(rows, url=url, _early=early, _bad=bad)
+    rows = rows.select(*keys, "source_id", "source_listing_url", "source_url", "fetched_at", "url", *(c.alias(k) for k, c in made.items()), "_early", "_bad")
     rows = rows.withColumns({"_start": F.col("start"), "_end": F.col("end")})
     for name in ("start", "end"):
         rows = localized(rows, name, config.zone)
@@ -322,8 +349,10 @@ def jsonld_raw_events(nodes: DataFrame, config: Config, *keys: str) -> DataFrame
     kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
     offers = F.when(e.kind("offers") == "OBJECT", F.array(e.raw("offers", "variant"))).otherwise(F.filter(F.coalesce(e.raw("offers", "array<variant>"), none), lambda x: kind(x).startswith("OBJECT")))
     amount = lambda x, k: F.when(kind(F.try_variant_get(x, f"$.{k}", "variant")) != "BOOLEAN", of(x, k).try_cast("double"))
-    price = F.array_min(F.transform(F.col("_offers"), lambda x: F.when(of(x, "price").isNotNull(), amount(x, "price")).otherwise(amount(x, "lowPrice"))))
-    stock = F.filter(F.transform(F.col("_offers"), lambda x: F.lower(F.coalesce(of(x, "availability"), F.lit("")))), lambda s: s != "")
+    price = F.col("_price")
+    least = F.array_min(F.transform(F.col("_offers"), lambda x: F.when(of(x, "price").isNotNull(), amount(x, "price")).otherwise(amount(x, "lowPrice"))))
+    stock = F.col("_stock")
+    said = F.filter(F.transform(F.col("_offers"), lambda x: F.lower(F.coalesce(of(x, "availability"), F.lit("")))), lambda s: s != "")
     sold = (F.size(stock) > 0) & F.forall(stock, lambda s: s.contains("soldout"))
     where = "location.address"
     place = F.concat_ws(", ", *(F.nullif(e.text(f"{where}.{k}"), F.lit("")) for k in ("addressLocality", "addressRegion")))
@@ -338,8 +367,9 @@ def jsonld_raw_events(nodes: DataFrame, config: Config, *keys: str) -> DataFrame
         "description": e.text("description"), "capacity_flag": F.when(sold, "sold_out").when(F.exists(stock, lambda s: s.contains("limitedavailability")), "limited"),
         "status": F.when(status.rlike("cancell?ed"), "cancelled").when(status.contains("postponed"), "postponed").otherwise("active"),
     }
-    rows = nodes.withColumns({"e": F.try_parse_json("node"), "_hash": F.col("content_hash")}).withColumn("_offers", offers)
     early = F.when(e.kind("name").isin("OBJECT", "ARRAY"), FAILED).when(e.text("name") == "", "missing_title").when(e.text("startDate") == "", "missing_start")
+    rows = e.settle(nodes.withColumns({"e": F.try_parse_json("node"), "_hash": F.col("content_hash")}))
+    rows = t.settled(t.settled(rows, _offers=offers), _price=least, _stock=said)
     return _checked(rows, list(keys), fields, early, e.bad, config)
 
 

@@ -89,3 +89,13 @@ def test_event_nodes_in_every_shape(spark):
     assert [(x.price, x.is_free, x.capacity_flag, x.signup_url) for x in got[:3]] == [("$0", True, None, ""), ("$12.50", False, "sold_out", "https://t.org"), ("", False, "limited", "")]
     assert [(x.address, x.venue, x.url, x.status) for x in got[1:3]] == [("1 Main, NYC, NY 10001, US", "Hall", "https://l.org/e/1", "active"), ("text", "", "https://l.org/e/1", "postponed")]
     assert got[0].start == "2026-08-02T19:00:00-04:00" and json.loads(got[0].extracted_json) == nodes[0]
+
+
+@pytest.mark.parametrize("family", ["list", "discovery"])
+def test_the_readers_of_a_family_compile(spark, capsys, family):
+    """As one expression they were more code than a method may have (64 KB), and their stage ran without being compiled."""
+    text = F.col("id").cast("string")
+    payloads = spark.range(1).select(F.col("id").alias("page_no"), *(text.alias(c) for c in ("source_id", "body", "source_listing_url", "source_url", "fetched_at")))
+    r.raw_events(payloads, family, CONFIG).explain("codegen")
+    shown = capsys.readouterr().out
+    assert "maxMethodCodeSize:" in shown and "maxMethodCodeSize:-1" not in shown
