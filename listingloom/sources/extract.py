@@ -18,12 +18,22 @@ from listingloom.sources.raw_events import evidence_hash, strip
 # --- Pages ------------------------------------------------------------------------------------------------------------
 
 
+#: Of how many pages the texts and links are in a task's memory at once.
+PAGES_AT_ONCE = 64
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, few at a time."""
+    for batch in batches:
+        yield from (batch.slice(k, PAGES_AT_ONCE) for k in range(0, batch.num_rows, PAGES_AT_ONCE))
+
+
 def page_contents(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, text (visible nodes, one a line), links (href and text of each closed anchor)."""
     link = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, links = [], []
             for html in batch.column(1).to_pylist():
                 nodes, anchors = read_page(html)

@@ -2,9 +2,11 @@ import random
 import time
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 
 from listingloom.sources.markup import read_page
+from listingloom.sources import extract
 
 
 class Reader(HTMLParser):
@@ -64,3 +66,11 @@ def test_odd_pages():
     assert read_page("<a href=x>never closed") == (["never closed"], [])
     assert read_page("<script>never closed <p>x") == ([], [])
     assert read_page("1 <2> < 3") == (["1", "<", "2>", "<", "3"], [])
+
+
+def test_pages_of_a_batch_are_read_few_at_a_time():
+    """The texts and links of a whole batch, ten thousand pages, were in memory at once."""
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "html": [f"<p>{k}</p>" for k in range(1000)]})
+    read = list(extract.pieces(iter([batch])))
+    assert max(x.num_rows for x in read) == extract.PAGES_AT_ONCE
+    assert [k for x in read for k in x.column(0).to_pylist()] == list(range(1000))
