@@ -105,12 +105,14 @@ def jsonld_address(node: str) -> Column:
 def jsonld_events(nodes: DataFrame, source_id: Column) -> DataFrame:
     """Raw event rows of Event nodes, with reason where a name or start is missing."""
     n = "node"
-    price = least_price(F.col(n))
+    kept, price = [c for c in nodes.columns if c != n], F.col("_price")
+    # What is asked for more than once is read once a node.
+    nodes = t.settled(nodes, _price=least_price(F.col(n)), _name=_at(n, "$.name"), _start=_at(n, "$.startDate"))
     return nodes.select(
-        *(c for c in nodes.columns if c != n),
+        *kept,
         source_id.alias("source_id"),
-        F.coalesce(_at(n, "$.name"), F.lit("")).alias("title"),
-        F.coalesce(_at(n, "$.startDate"), F.lit("")).alias("start"),
+        F.coalesce("_name", F.lit("")).alias("title"),
+        F.coalesce("_start", F.lit("")).alias("start"),
         _at(n, "$.endDate").alias("end"),
         F.coalesce(_at(n, "$.url", "$.@id"), F.lit("")).alias("url"),
         F.coalesce(_at(n, "$.offers.url", "$.offers[0].url"), F.lit("")).alias("signup_url"),
@@ -121,7 +123,7 @@ def jsonld_events(nodes: DataFrame, source_id: Column) -> DataFrame:
         (price == 0).alias("is_free"),
         F.when(F.coalesce(_at(n, "$.offers.availability", "$.offers[0].availability"), F.lit("")).endswith("SoldOut"), "sold_out").alias("capacity_flag"),
         t.event_status(F.regexp_extract(F.coalesce(_at(n, "$.eventStatus"), F.lit("")), "([A-Za-z]*)$", 1)).alias("status"),
-        F.when(_at(n, "$.name").isNull(), "missing_title").when(_at(n, "$.startDate").isNull(), "missing_start").alias("reason"),
+        F.when(F.col("_name").isNull(), "missing_title").when(F.col("_start").isNull(), "missing_start").alias("reason"),
     )
 
 
