@@ -8,6 +8,8 @@ in or stands behind. As d characters can't spoil d + 1 pieces, there is a first
 are counted; it is whole, with exactly i before it, so it stands in the other text shifted by i - 2k places, for k of them in
 its own. Any cuts will do; they are made where the block's titles differ.
 
+A pair is only scored when a longest common subsequence, found by words of bits, leaves so many matches possible.
+
 Bigrams (for a replay): of the bigrams of either, a mark before the first character included, at least 3m - a - b are bigrams
 of the other: a character that doesn't match breaks two of its own text and one of the other. Equal bigrams of a text are
 numbered, so a text is a set. Two sets that share k members share one among the first (size - k + 1) of each, whatever the
@@ -48,14 +50,22 @@ def grams(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1 << 14)
-def profile(text: str) -> tuple[frozenset[str], frozenset[str]]:
-    """A text's characters and bigrams, each numbered among its equals."""
-    seen: Counter = Counter()
-    letters = set()
-    for a in text:
-        seen[a] += 1
-        letters.add(f"{a}{seen[a]}")
-    return frozenset(letters), frozenset(grams(text))
+def _places(text: str) -> dict[str, int]:
+    """The places of each character of a text, as bits."""
+    out: dict[str, int] = {}
+    for k, x in enumerate(text):
+        out[x] = out.get(x, 0) | 1 << k
+    return out
+
+
+def in_common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a row of the usual table at a time as the bits of one number."""
+    places, whole = _places(a), (1 << len(a)) - 1
+    row = whole
+    for x in b:
+        if met := row & places.get(x, 0):
+            row = ((row + met) | (row - met)) & whole
+    return len(a) - row.bit_count()
 
 
 def shared(a: int, b: int, least: float) -> int | None:
@@ -77,14 +87,11 @@ def prefix(text: str, ranks: dict[str, int], least: float) -> list[str]:
 
 
 def score(a: str, b: str, least: float) -> float:
-    """The ratio, or 0 where the length, or what characters and bigrams are shared, rules the bound out."""
+    """The ratio, or 0 where the length, or what the texts have in common in order, rules the bound out."""
     if a == b:
         return 1.0 if a else 0.0
-    needed = shared(len(a), len(b), least) if a and b else None
-    if needed is None:
-        return 0.0
-    (letters, pairs), (others, theirs) = profile(a), profile(b)
-    if 2 * len(letters & others) < least * (len(a) + len(b)) - _SLACK or len(pairs & theirs) < needed:
+    needed = math.ceil(least * (len(a) + len(b)) / 2 - _SLACK)
+    if needed > min(len(a), len(b)) or not a or not b or in_common(a, b) < needed:
         return 0.0
     return difflib.SequenceMatcher(None, a, b).ratio()
 
@@ -246,20 +253,71 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], ["block", "l_title", "r_title", "score"])
 
 
+def _tied(least: float):
+    """Rows come ordered by group, with whose titles they are and their keys; pairs of keys that tie all keys of like titles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: tuple[list[str], list[int], list[int]] = ([], [], [])
+        recurring = _Recurring(least)
+        for (block, _, _), own in groupby(rows, key=lambda r: r[:3]):
+            sides: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+            for *_, right, title, key in own:
+                sides[right].setdefault(title, []).append(key)
+            up: dict[int, int] = {}
+
+            def top(k: int, up: dict[int, int] = up) -> int:
+                while (above := up.get(k, k)) != k:
+                    up[k] = up.get(above, above)
+                    k = above
+                return k
+
+            for x, y, _ in recurring.pairs(list(sides[0]), list(sides[1])):
+                first = top(sides[1][y][0])
+                for k in sides[0][x]:
+                    if (k := top(k)) != first:
+                        up[k] = first
+            for k in up:
+                for column, value in zip(out, (block, k, top(k)), strict=True):
+                    column.append(value)
+            if len(out[0]) >= 5000:
+                yield _ties(out)
+                out = ([], [], [])
+        yield _ties(out)
+
+    return run
+
+
+def _ties(out: tuple[list[str], list[int], list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["block", "a", "b"])
+
+
+def ties(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(block, a, b): pairs of keys by which, in each block, the keys of alike titles hang together; no more than there are keys.
+
+    left has block, title and key, right too, where a title has one key in a block.
+    """
+    return _dealt(left, right, "key").mapInArrow(_tied(least), "block string, a long, b long")
+
+
 def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(block, l_title, r_title, score) of the pairs of normalised titles of one block whose ratio reaches the bound.
 
     left and right have block and title; each pair of titles comes once a block. A block of more than GROUP titles of a side
     is dealt over groups by the titles' hashes, every part of one side with every part of the other.
     """
+    return _dealt(left, right).mapInArrow(_scored(least), "block string, l_title string, r_title string, score double")
+
+
+def _dealt(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """(block, l, r, right, title, more) of both sides' titles, a group (block, l, r) in one task and its rows together."""
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = [materialize(rows.where("title <> ''").select("block", "title").distinct(), "titles") for rows in (left, right)]
+    sides = [materialize(rows.where("title <> ''").select("block", "title", *more).distinct(), "titles") for rows in (left, right)]
     large = [rows.groupBy("block").agg(F.ceil(F.count("*") / GROUP).cast("int").alias(f"parts{k}")).where(f"parts{k} > 1") for k, rows in enumerate(sides)]
     dealt = hinted(materialize(large[0].join(large[1], "block", "full"), "large-blocks"))
     grouped = []
     for k, rows in enumerate(sides):
         mine, all_ = F.pmod(F.xxhash64("title"), F.coalesce(f"parts{k}", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce(f"parts{1 - k}", F.lit(1)) - 1))
-        rows = rows.join(dealt, "block", "left").select("block", mine.alias("mine"), all_.alias("other"), F.lit(k).alias("right"), "title")
-        grouped.append(rows.select("block", F.col(("mine", "other")[k]).alias("l"), F.col(("other", "mine")[k]).alias("r"), "right", "title"))
-    rows = grouped[0].unionAll(grouped[1]).repartition(parts, "block", "l", "r").sortWithinPartitions("block", "l", "r")
-    return rows.mapInArrow(_scored(least), "block string, l_title string, r_title string, score double")
+        rows = rows.join(dealt, "block", "left").select("block", mine.alias("mine"), all_.alias("other"), F.lit(k).alias("right"), "title", *more)
+        grouped.append(rows.select("block", F.col(("mine", "other")[k]).alias("l"), F.col(("other", "mine")[k]).alias("r"), "right", "title", *more))
+    return grouped[0].unionAll(grouped[1]).repartition(parts, "block", "l", "r").sortWithinPartitions("block", "l", "r")

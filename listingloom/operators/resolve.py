@@ -6,11 +6,10 @@ ever meet are put into one component, components are replayed in order of discov
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 from functools import cached_property, lru_cache
@@ -22,9 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listingloom.functions import text as t
-from listingloom.operators.alike import alike, grams, prefix, score
-from listingloom.operators.components import components
-from listingloom.session import materialize, spread
+from listingloom.operators.alike import alike, grams, prefix, score, ties
+from listingloom.operators.components import components, contracted
+from listingloom.session import discard_since, hinted, materialize, spread, written
 
 # Fixed values of the matching rules: minutes between starts, and the ratios that count as alike or as a conflict.
 NEAR_MINUTES = 30.0
@@ -73,20 +72,29 @@ def _slot(start: str, wall: bool) -> Column:
     return F.floor(F.unix_seconds(when) / (60 * NEAR_MINUTES))
 
 
-def incoming_blocks(start: str) -> Column:
+def _timed(start: str) -> tuple[Column, Column, Column]:
+    """Whether a start has an offset, and the half hours of its instant and of its wall time."""
+    return t.has_offset(F.col(start)), _slot(start, False), _slot(start, True)
+
+
+def incoming_blocks(start: str, timed: tuple[Column, Column, Column] | None = None) -> Column:
     """The blocks in which a row with a start (ISO form) looks for stored rows: its day with its half hour and both next to
-    it. Starts that both have an offset meet by instant, others by wall time."""
-    offset, day = t.has_offset(F.col(start)), F.substring(start, 1, 10)
+    it. Starts that both have an offset meet by instant, others by wall time. timed: columns that hold what `_timed` gives."""
+    (offset, instant, wall), day = timed or _timed(start), F.substring(start, 1, 10)
     block = lambda kind, slot: F.array(*(F.concat_ws("|", F.lit(kind), day, (slot + k).cast("string")) for k in (-1, 0, 1)))
-    return F.when(offset, F.concat(block("both", _slot(start, False)), block("mine", _slot(start, True)))).otherwise(block("none", _slot(start, True)))
+    return F.when(offset, F.concat(block("both", instant), block("mine", wall))).otherwise(block("none", wall))
 
 
-def stored_blocks(start: str, day: Column) -> Column:
+def stored_blocks(start: str, day: Column, timed: tuple[Column, Column, Column] | None = None) -> Column:
     """The blocks in which a row with a start is found, under the day that its stored text begins with."""
-    offset = t.has_offset(F.col(start))
+    offset, instant, wall = timed or _timed(start)
     block = lambda kind, slot: F.concat_ws("|", F.lit(kind), day, slot.cast("string"))
-    wall = _slot(start, True)
-    return F.when(offset, F.array(block("both", _slot(start, False)), block("none", wall))).otherwise(F.array(block("mine", wall), block("none", wall)))
+    return F.when(offset, F.array(block("both", instant), block("none", wall))).otherwise(F.array(block("mine", wall), block("none", wall)))
+
+
+def _held(side: str) -> tuple[Column, Column, Column]:
+    """What `_timed` gives, of the numbers that `_normed` has."""
+    return F.col(side + "aware"), *(F.floor(F.col(side + c) / (60e6 * NEAR_MINUTES)) for c in ("at", "wall"))
 
 
 def _in_blocks(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,8 +124,8 @@ def score_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     Rows meet in blocks of half an hour, and in a block only those whose titles are alike (`alike`); each pair of titles is
     scored once, however many rows have them, and places and hosts of pairs near in time in one go.
     """
-    a = materialize(_normed(left, "l", left_key, norm).withColumn("_blocks", incoming_blocks("l_start")).drop("stored_day"), "left")
-    b = materialize(_normed(right, "r", right_key, norm).withColumn("_blocks", stored_blocks("r_start", F.col("stored_day"))).drop("stored_day"), "right")
+    a = materialize(_normed(left, "l", left_key, norm).withColumn("_blocks", incoming_blocks("l_start", _held("l_"))).drop("stored_day"), "left")
+    b = materialize(_normed(right, "r", right_key, norm).withColumn("_blocks", stored_blocks("r_start", F.col("stored_day"), _held("r_"))).drop("stored_day"), "right")
     a, b = _in_blocks(a, b)
     titles = materialize(alike(a.withColumnRenamed("l_title", "title"), b.withColumnRenamed("r_title", "title"), TITLE), "alike").withColumnRenamed("score", "title_score")
     apart = F.when(F.col("l_aware") & F.col("r_aware"), F.abs(F.col("l_at") - F.col("r_at"))).otherwise(F.abs(F.col("l_wall") - F.col("r_wall"))) / 60e6
@@ -153,12 +161,19 @@ def _norm(s: str | None) -> str:
     return re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", s or "").lower()).strip()
 
 
-def _near(x: datetime | None, y: datetime | None) -> bool:
-    if x is None or y is None:
-        return False
-    if x.utcoffset() is None or y.utcoffset() is None:
-        x, y = x.replace(tzinfo=None), y.replace(tzinfo=None)
-    return abs((x - y).total_seconds()) <= 60 * NEAR_MINUTES
+_HALF, _EPOCH = timedelta(minutes=NEAR_MINUTES), datetime(1970, 1, 1)
+#: The wall time and, with an offset, the instant.
+_Moment = tuple[timedelta, timedelta | None]
+
+
+def _moment(x: datetime) -> _Moment:
+    wall = x.replace(tzinfo=None) - _EPOCH
+    return wall, None if x.utcoffset() is None else wall - x.utcoffset()
+
+
+def _near(x: _Moment, y: _Moment) -> bool:
+    apart = x[0] - y[0] if x[1] is None or y[1] is None else x[1] - y[1]
+    return -_HALF <= apart <= _HALF
 
 
 @lru_cache(maxsize=1 << 16)
@@ -174,16 +189,24 @@ def _full(a: str, b: str, least: float) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(maxsize=1 << 18)
+def _title(a: str, b: str) -> float:
+    """The ratio of two titles, which recur more than other names and so are kept apart from them."""
+    return score(a, b, TITLE)
+
+
 def same_occurrence(new: dict[str, str], old: dict[str, str]) -> bool:
     """Whether two rows near in time, given by their normalised names, are one occurrence."""
-    title = _ratio(new["title"], old["title"], TITLE)
+    title = _title(new["title"], old["title"])
     if title < TITLE:
         return False
-    address, venue = (_ratio(new[c], old[c], CONFLICT) for c in ("address", "venue"))
-    if all(e[c] for e in (new, old) for c in ("venue", "address")) and venue < CONFLICT and address < CONFLICT:
-        return False
     same_area = title == 1.0 and new["neighborhood"] != "" and new["neighborhood"] == old["neighborhood"]
-    return address >= ADDRESS or venue >= VENUE or same_area or _ratio(new["host"], old["host"], HOST) >= HOST
+    # Which of these holds is asked first, as it rarely does; their bounds rule most pairs out.
+    address = _ratio(new["address"], old["address"], ADDRESS) >= ADDRESS
+    if not (address or same_area or _ratio(new["venue"], old["venue"], VENUE) >= VENUE or _ratio(new["host"], old["host"], HOST) >= HOST):
+        return False
+    told = all(e[c] for e in (new, old) for c in ("venue", "address"))
+    return address or not told or any(_ratio(new[c], old[c], CONFLICT) >= CONFLICT for c in ("venue", "address"))
 
 
 class _Texts:
@@ -210,8 +233,10 @@ class _Texts:
         if text:
             self.by_text[text].discard(event)
 
-    def like(self, text: str) -> list[set[str]]:
-        """The events of each text whose ratio, with this one first, reaches the bound."""
+    def like(self, text: str, known: Iterable[str] | None = None) -> list[set[str]]:
+        """The events of each text whose ratio, with this one first, reaches the bound; known: texts that do, with all that are here."""
+        if known is not None:
+            return [self.by_text[x] for x in known if x in self.by_text and self.by_text[x]]
         near: Iterable[str] = list(self.by_text) if text else ()
         if len(self.by_text) > self.FEW:
             for x in self.waiting:
@@ -226,7 +251,7 @@ class _Block:
     """Stored events of one half hour (see stored_blocks), found by their names."""
 
     #: As many events with like titles are looked at without asking for their places.
-    FEW = 8
+    FEW = 256
 
     def __init__(self, ranks: Callable[[], dict[str, int]]):
         self.texts = {c: _Texts(least, ranks) for c, least in (("title", TITLE), ("venue", VENUE), ("address", ADDRESS), ("host", HOST))}
@@ -242,10 +267,18 @@ class _Block:
             index.drop(event, names[c])
         self.areas[names["neighborhood"]].discard(event)
 
-    def candidates(self, new: dict[str, str]) -> Iterable[str]:
+    def likeliest(self, new: dict[str, str], known: Iterable[str] | None) -> Iterator[str]:
+        """Of the events with a like title those of the same venue, host, address or area."""
+        places = [self.texts[c].by_text.get(new[c]) for c in ("venue", "host", "address") if new[c]]
+        if new["neighborhood"]:
+            places.append(self.areas.get(new["neighborhood"]))
+        titles = self.texts["title"].like(new["title"], known) if any(places) else []
+        return (event for here in places if here for events in titles for event in events & here)
+
+    def candidates(self, new: dict[str, str], known: Iterable[str] | None) -> Iterable[str]:
         """A set of events that holds all that are the same occurrence, some of them perhaps twice: those with a like title,
         or those with a like place, host or area, whichever are fewer."""
-        titles = self.texts["title"].like(new["title"])
+        titles = self.texts["title"].like(new["title"], known)
         if sum(map(len, titles)) <= self.FEW:
             return chain.from_iterable(titles)
         places = [events for c in ("venue", "address", "host") for events in self.texts[c].like(new[c])]
@@ -254,22 +287,29 @@ class _Block:
         return chain.from_iterable(min(titles, places, key=lambda sets: sum(map(len, sets))))
 
 
-def _slots(moment: datetime) -> tuple[int, int | None]:
+def _slots(moment: _Moment) -> tuple[int, int | None]:
     """The half hours of the wall time and, with an offset, of the instant."""
-    wall = moment.replace(tzinfo=None) - datetime(1970, 1, 1)
-    half = timedelta(minutes=NEAR_MINUTES)
-    return wall // half, None if moment.utcoffset() is None else (wall - moment.utcoffset()) // half
+    return moment[0] // _HALF, None if moment[1] is None else moment[1] // _HALF
 
 
 class Replay:
     """The store as one component sees it, changed row by row and indexed by URL and by half hour."""
 
-    def __init__(self, events: list[dict], aliases: list[dict], staged: Iterable[dict] = ()):
-        self.texts = {_norm(e[c]) for e in (*events, *staged) for c in ("title", "venue", "address", "host")}
+    #: Up to so many titles that recur are compared with each other once, not in each half hour.
+    TITLES = 256
+
+    def __init__(self, events: list[dict], aliases: list[dict], staged: Sequence[dict] = ()):
+        self.rows = (*events, *staged)
+        self.titles = {_norm(e["title"]) for e in self.rows}
+        self.recurring = len(self.titles) <= min(self.TITLES, len(self.rows) // 4)
+        self.like_titles: dict[str, list[str]] = {}
         self.events: dict[str, dict] = {}
         self.names: dict[str, dict[str, str]] = {}
-        self.times: dict[str, datetime | None] = {}
+        self.times: dict[str, _Moment | None] = {}
         self.blocks: dict[tuple, _Block] = {}
+        # The kinds of block that the staged rows look into; of rows that aren't known yet, all.
+        offsets = {start.utcoffset() is not None for e in staged if (start := t.read_time(e["start"])) is not None}
+        self.kinds = {kind for offset in offsets for kind in (("both", "mine") if offset else ("none",))} if staged else {"both", "mine", "none"}
         self.by_url: dict[tuple, set[str]] = defaultdict(set)
         self.aliases = {(a["event_id"], a["canonical_url"]): a for a in aliases}
         for e in events:
@@ -277,12 +317,22 @@ class Replay:
         for event, url in self.aliases:
             self._index_url(event, url)
         self.touched: set[str] = set()
+        self.sighted: set[tuple[str, str]] = set()
         self.seen: set[str] = set()
 
     @cached_property
     def ranks(self) -> dict[str, int]:
         """How many of the component's texts have each bigram."""
-        return Counter(g for text in self.texts for g in grams(text))
+        texts = {_norm(e[c]) for e in self.rows for c in ("title", "venue", "address", "host")}
+        return Counter(g for text in texts for g in grams(text))
+
+    def _titles_like(self, title: str) -> list[str] | None:
+        """The component's titles that are like one, where its titles recur."""
+        if not self.recurring:
+            return None
+        if title not in self.like_titles:
+            self.like_titles[title] = [x for x in self.titles if _title(title, x) >= TITLE]
+        return self.like_titles[title]
 
     def _index(self, e: dict) -> None:
         i, names = e["id"], {c: _norm(e[c]) for c in ("title", "host", "venue", "address", "neighborhood")}
@@ -290,7 +340,10 @@ class Replay:
         if self.names.get(i) == names:
             return
         if i not in self.times:
-            self.times[i] = t.read_time(e["start"])
+            start = t.read_time(e["start"])
+            self.times[i] = None if start is None else _moment(start)
+        if names["title"] not in self.titles:
+            self.recurring = False
         if self.times[i] is not None:
             for key in self._stored(e["start"][:10], self.times[i]):
                 block = self.blocks.setdefault(key, _Block(lambda: self.ranks))
@@ -306,13 +359,13 @@ class Replay:
             for key in ((), *(self._stored(day, moment) if moment is not None else ())):
                 self.by_url[url, day, *key].add(event)
 
-    @staticmethod
-    def _stored(day: str, moment: datetime) -> list[tuple]:
+    def _stored(self, day: str, moment: _Moment) -> list[tuple]:
         wall, instant = _slots(moment)
-        return [("none", day, wall), ("mine", day, wall) if instant is None else ("both", day, instant)]
+        own = ("none", day, wall), ("mine", day, wall) if instant is None else ("both", day, instant)
+        return [key for key in own if key[0] in self.kinds]
 
     @staticmethod
-    def _incoming(day: str, moment: datetime) -> list[tuple]:
+    def _incoming(day: str, moment: _Moment) -> list[tuple]:
         wall, instant = _slots(moment)
         kinds = [("none", wall)] if instant is None else [("both", instant), ("mine", wall)]
         return [(kind, day, slot + k) for kind, slot in kinds for k in (-1, 0, 1)]
@@ -320,10 +373,10 @@ class Replay:
     def find(self, new: dict) -> dict | None:
         """The one event under a row's URLs on its day (or the one near in time), else that of its id, else the one that
         looks like its occurrence."""
-        moment = t.read_time(new["start"])
-        if moment is None:
+        start = t.read_time(new["start"])
+        if start is None:
             return self.events.get(new["id"])
-        day = moment.date().isoformat()
+        day, moment = start.date().isoformat(), _moment(start)
         own = {new[c] for c in ("canon_url", "canon_signup") if new[c]}
         known = [self.by_url.get((url, day), ()) for url in own]
         found = set().union(*known) if all(len(ids) < 2 for ids in known) else set()
@@ -334,23 +387,28 @@ class Replay:
         if new["id"] in self.events:
             return self.events[new["id"]]
         names = {c: _norm(new[c]) for c in ("title", "host", "venue", "address", "neighborhood")}
-        listed = (i for key in self._incoming(day, moment) if key in self.blocks for i in self.blocks[key].candidates(names))
+        known, blocks = self._titles_like(names["title"]), [self.blocks[key] for key in self._incoming(day, moment) if key in self.blocks]
+        listed = (i for listing in (_Block.likeliest, _Block.candidates) for block in blocks for i in listing(block, names, known))
         found = self._near(moment, listed, lambda i: same_occurrence(names, self.names[i]))
         return self.events[found.pop()] if len(found) == 1 else None
 
-    def _near(self, moment: datetime, listed: Iterable[str], holds: Callable[[str], bool] = lambda i: True) -> set[str]:
+    def _near(self, moment: _Moment, listed: Iterable[str], holds: Callable[[str], bool] = lambda i: True) -> set[str]:
         """The events of a list that are near in time and for which a rule holds; two of them are enough to know."""
         found: set[str] = set()
+        seen: set[str] = set()
         for i in listed:
-            if i not in found and _near(moment, self.times[i]) and holds(i):
-                found.add(i)
-                if len(found) == 2:
-                    break
+            if i not in seen:
+                seen.add(i)
+                if (when := self.times[i]) is not None and _near(moment, when) and holds(i):
+                    found.add(i)
+                    if len(found) == 2:
+                        break
         return found
 
     def sight(self, event_id: str, canonical: str | None, url: str, source: str, first: str, last: str) -> bool:
         if not canonical:
             return False
+        self.sighted.add((event_id, canonical))
         old = self.aliases.get((event_id, canonical))
         if old is None:
             self._index_url(event_id, canonical)
@@ -398,41 +456,60 @@ class Replay:
         return event, outcome
 
 
-_RESULT = "kind string, n long, event_id string, outcome string, body string"
+#: Kinds of rows that go into a replay and come out of it.
+_EVENT, _ALIAS, _STAGED, _OUTCOME = range(4)
+#: What an alias's columns are called among an event's.
+_ALIASED = {"event_id": "id", "canonical_url": "canon_url", "url": "url", "source_id": "source_id", "first_seen": "first_seen", "last_seen": "last_seen"}
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
-def _replayed(seen: str):
-    """Rows come ordered by root; each component is replayed in memory."""
+def _replayed(seen: str, fields: list[str], kinds: list[pa.DataType]):
+    """Rows (root, kind, n, raw_keys, fields) come ordered by root; each component is replayed in memory.
+
+    Out come outcomes, and the events and aliases that were touched: (kind, n, outcome, fields), of an outcome only the id.
+    """
+    at = {c: fields.index(c) for c in _ALIASED.values()}
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
-        bodies = [(k, n, json.loads(b)) for _, k, n, b in rows]
-        staged = sorted(((n, b) for k, n, b in bodies if k == "staged"), key=lambda x: x[0])
-        store = Replay([b for k, _, b in bodies if k == "event"], [b for k, _, b in bodies if k == "alias"], [b for _, b in staged])
-        for n, new in staged:
-            yield "outcome", n, *store.take(new, seen), ""
-        for i in sorted(store.touched):
-            yield "event", 0, i, "", json.dumps(store.events[i], ensure_ascii=False)
-        for (i, _), a in store.aliases.items():
-            yield "alias", 0, i, "", json.dumps(a, ensure_ascii=False)
+        events, aliases, staged = [], [], []
+        for _, kind, n, raw_keys, *values in rows:
+            if kind == _ALIAS:
+                aliases.append({a: values[at[c]] for a, c in _ALIASED.items()})
+            elif kind == _EVENT:
+                events.append(dict(zip(fields, values, strict=True)))
+            else:
+                staged.append(dict(zip(fields, values, strict=True), n=n, raw_keys=raw_keys))
+        staged.sort(key=lambda b: b["n"])
+        store = Replay(events, aliases, staged)
+        blank, place = [None] * len(fields), at["id"]
+        for new in staged:
+            event, outcome = store.take(new, seen)
+            yield _OUTCOME, new["n"], outcome, *blank[:place], event, *blank[place + 1 :]
+        for i in store.touched:
+            yield _EVENT, 0, None, *(store.events[i][c] for c in fields)
+        for key in store.sighted:
+            row = {c: store.aliases[key][a] for a, c in _ALIASED.items()}
+            yield _ALIAS, 0, None, *(row.get(c) for c in fields)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 3)
+        types = (pa.int8(), pa.int64(), pa.string(), *kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "n", "outcome", *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         out: list[tuple] = []
         for _, own in groupby(rows, key=lambda r: r[0]):
-            out += one(list(own))
-            if len(out) > 5000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
+            for row in one(list(own)):
+                out.append(row)
+                if len(out) >= 5000:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["kind", "n", "event_id", "outcome", "body"])
-
-
 def prepared(rows: DataFrame) -> DataFrame:
     """FIELDS (missing ones null) with canonical URLs, null where they don't name one event."""
     have = {c: F.col(c) if c in rows.columns else F.lit(None) for c in FIELDS}
@@ -443,29 +520,50 @@ def prepared(rows: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(t.is_event_url(F.col(c)), F.col(c)) for c in ("canon_url", "canon_signup")})
 
 
+def _node(id_: str) -> Column:
+    """What stands for all rows of an id: an even number. Two ids that share one are replayed together, which changes nothing."""
+    return F.shiftleft(F.xxhash64(id_), 1)
+
+
+def _key(kind: str, *of: str | Column) -> Column:
+    """What stands for something that rows of one day share: an odd number."""
+    return F.shiftleft(F.xxhash64(F.lit(kind), *of), 1).bitwiseOR(F.lit(1))
+
+
+def _day(block: str) -> Column:
+    return F.split_part(F.col(block), F.lit("|"), F.lit(2))
+
+
 def _edges(staged: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs of node names that may meet: one URL and day, one id, or titles alike at nearly one time.
+    """Pairs of nodes that hang together as rows may meet: by one URL and day, one id, or titles alike at nearly one time.
 
-    A node is tied to what it shares with others, not to them: a URL and day, an id, or a block and title in which stored
-    rows are found and which an incoming row looks for. So there are a few edges a row, however many rows share it. A staged
-    row is incoming first and stored later, under the day that it was read as and the day that its text begins with.
+    A row's node is its id's. It is tied to what it shares with others, not to them: a URL and day, or a title in a block in
+    which it is found. Such places hang together where a staged row of one would look at the other. So there are a few edges a
+    row, however many rows share something. A staged row is incoming first and stored later, under the day that it was read as.
     """
-    both = staged.select(*FIELDS, "canon_url", "canon_signup", F.concat(F.lit("s"), F.col("n")).alias("node")).unionByName(events.select(*FIELDS, "canon_url", "canon_signup", F.concat(F.lit("e"), F.col("id")).alias("node")))
-    rows = materialize(both.select("node", "id", "canon_url", "canon_signup", t.iso_start(F.col("start")).alias("start"), F.substring("start", 1, 10).alias("stored_day"), t.norm_text(F.col("title")).alias("title")), "nodes")
+    before, columns = written(), ("id", "canon_url", "canon_signup", "start", "title")
+    both = staged.select(*columns, F.lit(True).alias("comes")).unionByName(events.select(*columns, F.lit(False).alias("comes")))
+    read = t.settled(both.select(_node("id").alias("node"), "comes", "canon_url", "canon_signup", "start", "title"), at=t.iso_start(F.col("start")))
+    read = read.select("node", "comes", "canon_url", "canon_signup", F.col("at").alias("start"), F.substring("start", 1, 10).alias("stored_day"), t.norm_text(F.col("title")).alias("title"))
+    rows = materialize(read.select("*", *(c.alias(k) for k, c in zip(("aware", "instant", "wall"), _timed("start"), strict=True))), "nodes")
+    timed = (F.col("aware"), F.col("instant"), F.col("wall"))
     days = F.array_distinct(F.filter(F.array(F.substring("start", 1, 10), F.col("stored_day")), lambda d: d.isNotNull()))
     urls = rows.select("node", F.explode(F.array_distinct(F.filter(F.array("canon_url", "canon_signup"), lambda u: u.isNotNull()))).alias("url"), days.alias("days"))
-    known = aliases.select(F.concat(F.lit("e"), F.col("event_id")).alias("node"), F.col("canonical_url").alias("url")).join(rows.select("node", days.alias("days")).hint("merge"), "node")
+    known = aliases.select(_node("event_id").alias("node"), F.col("canonical_url").alias("url")).join(rows.where("not comes").select("node", days.alias("days")).hint("merge"), "node")
     urls = urls.unionByName(known.select("node", "url", "days")).select("node", "url", F.explode("days").alias("day"))
-    keyed = urls.select("node", F.concat_ws("|", F.lit("u"), "url", "day").alias("key")).unionAll(rows.select("node", F.concat(F.lit("i"), F.col("id"))))
+    keyed = urls.select(F.col("node").alias("a"), _key("url", "url", "day").alias("b"), "day")
     dated = rows.where("start is not null and title <> ''")
-    incoming = materialize(dated.where("node like 's%'").select("node", "title", incoming_blocks("start").alias("_blocks")), "incoming-blocks")
-    stored = materialize(dated.select("node", "title", stored_blocks("start", F.col("stored_day")).alias("_blocks")), "stored-blocks")
-    incoming, stored = _in_blocks(incoming, stored)
-    titles = materialize(alike(incoming, stored, TITLE), "alike")
-    place = F.concat_ws("|", F.lit("t"), "block", "r_title").alias("key")
-    looks = incoming.withColumnRenamed("title", "l_title").join(titles.hint("merge"), ["block", "l_title"]).select("node", place)
-    lies = stored.withColumnRenamed("title", "r_title").join(titles.select("block", "r_title").distinct().hint("merge"), ["block", "r_title"]).select("node", place)
-    return keyed.unionAll(looks).unionAll(lies).select(F.col("node").alias("a"), F.concat(F.lit("~"), F.col("key")).alias("b"))
+    met = dated.agg(*(F.coalesce(F.max(F.expr(x)), F.lit(False)) for x in ("comes and aware", "comes and not aware", "not aware"))).first()
+    kinds = [k for k, looked in (("both", met[0]), ("mine", met[0] and met[2]), ("none", met[1])) if looked]
+    lie, in_kinds = stored_blocks("start", F.col("stored_day"), timed), F.substring("block", 1, 4).isin(*kinds)
+    found = dated.select("node", "title", F.explode_outer(lie).alias("block")).where(in_kinds)
+    looks = dated.where("comes").select("title", _key("title", F.when(F.col("aware"), lie[0]).otherwise(lie[1]), F.col("title")).alias("key"), F.explode_outer(incoming_blocks("start", timed)).alias("block")).where(in_kinds)
+    lies = found.select("node", "block", "title", _key("title", "block", "title").alias("key"))
+    tied = ties(looks, lies.select("block", "title", "key"), TITLE).select("a", "b", _day("block").alias("day"))
+    edges = keyed.unionAll(lies.select("node", "key", _day("block"))).unionAll(tied)
+    made = materialize(contracted(edges.select("a", "b", F.hash("day").alias("day")), "day"), "contracted")
+    discard_since(before, made)
+    return made
 
 
 def finalize(staged: DataFrame, events: DataFrame, aliases: DataFrame, seen: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -475,27 +573,39 @@ def finalize(staged: DataFrame, events: DataFrame, aliases: DataFrame, seen: str
     event_id, canonical_url, url, source_id, first_seen, last_seen. whole: replay everything as one component (for tests).
     """
     staged, events = prepared(staged).withColumn("start", F.coalesce(t.iso_start(F.col("start")), "start")), prepared(events)
-    staged, events = materialize(staged, "staged"), materialize(events, "stored")
-    nodes = components(_edges(staged, events, aliases)) if not whole else None
+    return replayed(materialize(staged, "staged"), materialize(events, "stored"), aliases, seen, whole)
 
-    def body(rows: DataFrame, kind: str, node: Column, n: Column) -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), n.alias("n"), node.alias("node"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
 
-    zero = F.lit(0).cast("long")
-    rows = body(staged, "staged", F.concat(F.lit("s"), F.col("n")), F.col("n")).unionAll(body(events, "event", F.concat(F.lit("e"), F.col("id")), zero)).unionAll(body(aliases, "alias", F.concat(F.lit("e"), F.col("event_id")), zero))
+def replayed(staged: DataFrame, events: DataFrame, aliases: DataFrame, seen: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """finalize() for tables that are prepared and written; staged may have more columns."""
+    events = events.drop("n", "raw_keys")
+    fields, zero = events.columns, F.lit(0).cast("long")
+
+    def part(rows: DataFrame, kind: int, n: Column, have: dict[str, str]) -> DataFrame:
+        raw_keys = F.col("raw_keys") if "raw_keys" in rows.columns else F.lit(None).cast("array<string>")
+        own = [(F.col(have[f.name]) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]
+        return rows.select(F.lit(kind).cast("byte").alias("kind"), n.alias("n"), raw_keys.alias("raw_keys"), *own)
+
+    same = {c: c for c in fields}
+    rows = part(staged, _STAGED, F.col("n"), same).unionAll(part(events, _EVENT, zero, same)).unionAll(part(aliases, _ALIAS, zero, {c: a for a, c in _ALIASED.items()}))
+    parts = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before = written()
     if whole:
-        grouped = rows.withColumn("root", F.lit(""))
+        grouped = rows.withColumn("root", zero)
     else:
-        grouped = rows.join(nodes.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        nodes = components(_edges(staged, events, aliases))
+        own = staged.select(_node("id").alias("node")).distinct()
         # Components without a staged row pass by: their events and aliases stay as they are.
-        busy = grouped.where("kind = 'staged'").select("root").distinct()
-        grouped = grouped.join(busy.hint("merge"), "root", "left_semi")
-    parts = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grouped.select("root", "kind", "n", "body").repartition(parts, "root").sortWithinPartitions("root")
-    result = materialize(dealt.mapInArrow(_replayed(seen), _RESULT), "replayed")
-    event_type, alias_type = events.schema, aliases.select("event_id", "canonical_url", "url", "source_id", "first_seen", "last_seen").schema
-    changed = result.where("kind = 'event'").select(F.from_json("body", event_type).alias("e")).select("e.*")
+        busy = materialize(own.join(nodes.hint("merge"), "node", "left").select(F.coalesce("root", "node").alias("root")).distinct(), "busy")
+        live = materialize(nodes.join(busy.hint("merge"), "root", "left_semi").select("node", "root").unionAll(busy.select(F.col("root").alias("node"), "root")), "live")
+        discard_since(before, live)
+        grouped = rows.withColumn("node", _node("id")).join(hinted(live), "node")
+    dealt = grouped.select("root", "kind", "n", "raw_keys", *fields).repartition(parts, "root").sortWithinPartitions("root")
+    schema = "kind byte, n long, outcome string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    result = materialize(dealt.mapInArrow(_replayed(seen, fields, [_ARROW[f.dataType.simpleString()] for f in events.schema]), schema), "replayed")
+    discard_since(before, result)
+    changed = result.where(F.col("kind") == _EVENT).select(*fields)
     kept = events.join(changed.select("id").hint("merge"), "id", "left_anti").select(*changed.columns)
-    fresh = result.where("kind = 'alias'").select(F.from_json("body", alias_type).alias("a")).select("a.*")
+    fresh = result.where(F.col("kind") == _ALIAS).select(*(F.col(c).alias(a) for a, c in _ALIASED.items()))
     stale = aliases.join(fresh.select("event_id", "canonical_url").hint("merge"), ["event_id", "canonical_url"], "left_anti").select(*fresh.columns)
-    return kept.unionByName(changed), stale.unionByName(fresh), result.where("kind = 'outcome'").select("n", "event_id", "outcome")
+    return kept.unionByName(changed), stale.unionByName(fresh), result.where(F.col("kind") == _OUTCOME).select("n", F.col("id").alias("event_id"), "outcome")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 #: Size of a table up to which it is broadcast, as estimated from its rows; beyond that the join shuffles.
 BROADCAST_BYTES = 64 << 20
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _written: list[str] = []
 
@@ -30,10 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, sizes are known, lost executors cost nothing.
 
-    by: columns by which the files are kept apart.
+    by: columns by which the files are kept apart. What the write shuffled is deleted with its end, not when the driver's
+    garbage is next collected.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    path, conf = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_CLEANED, "false")
+    conf.set(_CLEANED, "true")
+    try:
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANED, before)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,6 +64,19 @@ def discard(*tables: DataFrame) -> None:
             _written.remove(path)
 
 
+def written() -> int:
+    """How many tables there are by now, for discard_since()."""
+    return len(_written)
+
+
+def discard_since(before: int, *kept: DataFrame) -> None:
+    """Delete the tables materialized since written() told their number, but those that are kept."""
+    files = [f for df in kept for f in df.inputFiles()[:1]]
+    for path in [p for p in _written[before:] if not any(p.rsplit("/", 1)[-1] in f for f in files)]:
+        _delete(kept[0].sparkSession, path)
+        _written.remove(path)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete everything that materialize() wrote in this process; call it once results have been written or read."""
     while _written:

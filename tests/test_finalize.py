@@ -112,3 +112,36 @@ def test_few_texts_are_compared_without_an_index_and_many_by_one(monkeypatch):
             new = shown(100 + k, title + "s", "2026-08-01T19:10:00") | {"n": k, "raw_keys": []}
             assert store.find(new)["id"] == f"e{k}"
         assert bool(counted) == (n > resolve._Texts.FEW)
+
+
+def test_a_dense_half_hour_is_matched_with_few_ratios(monkeypatch):
+    """Copies of a few titles at one time: the second of two like events ends a row's search, so hundreds of others aren't scored."""
+    from listingloom.operators import alike
+
+    def of(k):
+        copy, show = divmod(k, 20)
+        return {"title": f"low night part {show % 5}", "venue": "" if show % 9 == 0 else f"land {show} hall", "host": f"customer {100003 * show + 15 * copy:09d}", "start": "2026-08-01T19:10:00-04:00"}
+
+    scored = []
+    real = alike.difflib.SequenceMatcher
+    monkeypatch.setattr(alike.difflib, "SequenceMatcher", lambda *a: scored.append(a) or real(*a))
+    resolve._ratio.cache_clear()
+    staged = bodies(4000, of)
+    store = resolve.Replay([], [], staged)
+    got = [(b["n"], *store.take(b, SEEN)) for b in staged]
+    assert len(scored) < 10 * len(staged)
+    few = bodies(300, of)
+    assert naive.replay([dict(b) for b in few], [], [], SEEN)[2] == got[:300]
+
+
+def test_finalize_keeps_few_tables_and_ties_rows_by_numbers(spark, tmp_path, monkeypatch):
+    """What only led to the components was kept to the end, and nodes were texts."""
+    from listingloom import session
+
+    monkeypatch.setattr(session, "_written", [])
+    rng = random.Random(5)
+    staged = spark.createDataFrame(make(rng, 40, True), FIELDS).selectExpr("*", f"'{SEEN}' as first_seen", f"'{SEEN}' as last_seen")
+    events = spark.createDataFrame(make(rng, 15, False), FIELDS).drop("n", "raw_keys").selectExpr("*", "'2026-07-01' as first_seen", "'2026-07-01' as last_seen")
+    aliases = spark.createDataFrame([], "event_id string, canonical_url string, url string, source_id string, first_seen string, last_seen string")
+    resolve.finalize(staged, events, aliases, SEEN)
+    assert {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in session._written} <= {"staged", "stored", "replayed"}
