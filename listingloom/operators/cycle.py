@@ -16,9 +16,9 @@ from listingloom.functions import text as t
 from listingloom.functions.events import normalised
 from listingloom.operators.accounting import final_state, finalized_counts, rejection_counts, rejection_histogram, staged_counts
 from listingloom.operators.checks import check_payload, check_staging
-from listingloom.operators.resolve import FIELDS, finalize
+from listingloom.operators.resolve import FIELDS, prepared, replayed
 from listingloom.operators.updates import numbered, replace_rows
-from listingloom.session import hinted, materialize
+from listingloom.session import hinted, materialize, spread
 
 KEYS = ["run_id", "source_id"]
 COUNTERS = ("found", "parsed", "qualified", "rejected", "new", "updated", "unchanged", "duplicate")
@@ -107,17 +107,30 @@ def run_problems(runs: DataFrame, source_runs: DataFrame, discoveries: DataFrame
 
 
 def _merged(fresh: DataFrame, events: DataFrame, aliases: DataFrame, seen: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New events and aliases, and the fresh discoveries with what became of the staged ones, in order of their numbers."""
-    staged = normalised(fresh.where("outcome = 'staged'"), "raw", seen, F.col("discovery_id").alias("n"), F.nullif("source_id", F.lit("unknown")).alias("found_by"))
-    staged = materialize(staged.withColumn("source_id", F.coalesce(F.nullif("source_id", F.lit("")), "found_by", F.lit(""))).drop("found_by"), "incoming")
-    new, urls, outcomes = finalize(staged, events, aliases, seen)
+    """New events and aliases, and the fresh discoveries, without their JSON, with what became of the staged ones."""
+    found = spread(fresh.where("outcome = 'staged'").select("discovery_id", "source_id", "raw"), "discovery_id")
+    staged = normalised(found, "raw", seen, F.col("discovery_id").alias("n"), F.nullif("source_id", F.lit("unknown")).alias("found_by"))
+    staged = staged.withColumn("source_id", F.coalesce(F.nullif("source_id", F.lit("")), "found_by", F.lit(""))).drop("found_by")
     # Columns that no merge touches: those of the store, and for new events those of the row that made them.
     others = [c for c in events.columns if c not in FIELDS]
-    made = staged.join(outcomes.where("outcome = 'new'").select("n", "event_id").hint("merge"), "n").where("id = event_id")
-    known = events.select("id", *others).unionByName(_shaped(made, events.select("id", *others)))
-    store = _shaped(new.select(*FIELDS).join(known.hint("merge"), "id", "left"), events) if others else _shaped(new, events)
+    own = [c for c in others if c in staged.columns]
+    staged = materialize(prepared(staged, *own, dealt=True).withColumn("start", F.coalesce(t.iso_start(F.col("start")), "start")), "staged")
+    stored = materialize(prepared(events), "stored")
+    new, urls, outcomes = replayed(staged, stored, aliases, seen)
     told = outcomes.select(F.col("n").alias("discovery_id"), "event_id", "outcome", F.when(F.col("outcome") == "rejected", "missing_start").alias("reason"))
-    return store, urls, materialize(_set(fresh, told, ["discovery_id"]), "merged")
+    marked = materialize(_set(fresh.drop("raw"), told, ["discovery_id"]), "merged")
+    store = _shaped(new, events)
+    if others:
+        made = staged.join(outcomes.where("outcome = 'new'").select("n", "event_id").hint("merge"), "n").where("id = event_id")
+        known = events.select("id", *others).unionByName(_shaped(made, events.select("id", *others)))
+        store = _shaped(new.select(*FIELDS).join(known.hint("merge"), "id", "left"), events)
+    return store, urls, marked
+
+
+def _whole(marked: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Marked discoveries with all columns of the fresh ones, the JSON joined back."""
+    rest = fresh.select("discovery_id", *(c for c in fresh.columns if c not in marked.columns))
+    return marked.join(rest.hint("merge"), "discovery_id", "left").select(*fresh.columns)
 
 
 def _counted(marked: DataFrame, planned: DataFrame) -> DataFrame:
@@ -157,7 +170,7 @@ def finalize_run(run_id: str, runs: DataFrame, source_runs: DataFrame, discoveri
     store, urls, marked = _merged(mine(discoveries), events, aliases, seen)
     others = discoveries.where(~F.coalesce(F.col("run_id") == run_id, F.lit(False)))
     counted = _set(source_runs, _counted(marked, mine(source_runs)), KEYS)
-    return Closed(store, urls, others.unionByName(marked), counted, _completed(runs, run_id, finished_at), problems, _totals(marked, store))
+    return Closed(store, urls, others.unionByName(_whole(marked, mine(discoveries))), counted, _completed(runs, run_id, finished_at), problems, _totals(marked, store))
 
 
 def merge_payload(
@@ -174,7 +187,7 @@ def merge_payload(
     told = _said("raw", "source_id")
     of_events = events.select("position", "raw", told.alias("source_id"))
     of_rejections = rejections.select("position", "raw", "reason", F.coalesce(F.nullif("source_id", F.lit("")), told).alias("source_id"))
-    rows = materialize(_candidates(of_events, of_rejections), "payload")
+    rows = _candidates(of_events, of_rejections)
     planned = manifest if manifest is not None else sources.limit(0)
     problems = check_payload(planned, sources, rows) if manifest is not None else planned.select("source_id", F.lit("").alias("problem"))
     problems = materialize(problems.select(F.lit(run_id).alias("run_id"), "source_id", "problem"), "payload_problems")
@@ -184,11 +197,12 @@ def merge_payload(
     last = discoveries.agg(F.coalesce(F.max("discovery_id"), F.lit(0)).alias("last")).join(F.broadcast(of_events.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("size"))), F.lit(True))
     fresh = rows.join(F.broadcast(last), F.lit(True)).withColumn("discovery_id", F.col("last") + 1 + F.col("position") + F.when(F.col("part") == 1, F.col("size")).otherwise(0))
     fresh = fresh.withColumn("run_id", F.lit(run_id)).withColumn("source_id", F.coalesce("source_id", F.lit("unknown")))
-    new, urls, marked = _merged(materialize(_shaped(fresh, discoveries), "discovered"), store, aliases, seen)
+    fresh = materialize(_shaped(fresh, discoveries), "discovered")
+    new, urls, marked = _merged(fresh, store, aliases, seen)
     derived = marked.select("source_id").distinct().join(sources.select("source_id").hint("merge"), "source_id", "left_anti").withColumn("state", F.lit("ok"))
     given = sources.withColumn("run_id", F.lit(run_id)).unionByName(derived.withColumn("run_id", F.lit(run_id)), allowMissingColumns=True)
     counted = _shaped(_counted(marked, given).join(given.drop("state", "rejection_counts", *(f"{n}_count" for n in COUNTERS)).hint("merge"), KEYS), source_runs)
     own = runs.where(F.col("run_id") == run_id)
     made = own.agg(F.count("*").alias("k")).where("k = 0").select(F.lit(run_id).alias("run_id"), F.lit(seen).alias("seen_date"), F.lit(started_at).alias("started_at"), F.lit("running").alias("state"))
     every = runs.unionByName(_shaped(made, runs))
-    return Closed(new, urls, discoveries.unionByName(marked), replace_rows(source_runs, counted, KEYS), _completed(every, run_id, finished_at), problems, _totals(marked, new))
+    return Closed(new, urls, discoveries.unionByName(_whole(marked, fresh)), replace_rows(source_runs, counted, KEYS), _completed(every, run_id, finished_at), problems, _totals(marked, new))

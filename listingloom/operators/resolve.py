@@ -510,13 +510,14 @@ def _replayed(seen: str, fields: list[str], kinds: list[pa.DataType]):
     return run
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """FIELDS (missing ones null) with canonical URLs, null where they don't name one event."""
+def prepared(rows: DataFrame, *more: str, dealt: bool = False) -> DataFrame:
+    """FIELDS (missing ones null) with canonical URLs, null where they don't name one event; more: other columns that stay;
+    dealt: the rows come from a shuffle."""
     have = {c: F.col(c) if c in rows.columns else F.lit(None) for c in FIELDS}
     texts = [c for c in FIELDS if c not in ("is_free", "age_min", "age_max")]
-    out = rows.select(*(c for c in ("n", "raw_keys") if c in rows.columns), *(F.coalesce(have[c].cast("string"), F.lit("")).alias(c) if c not in ("end", "capacity_flag") else have[c].cast("string").alias(c) for c in texts), have["is_free"].cast("boolean").alias("is_free"), have["age_min"].cast("int").alias("age_min"), have["age_max"].cast("int").alias("age_max"))
+    out = rows.select(*(c for c in ("n", "raw_keys") if c in rows.columns), *(F.coalesce(have[c].cast("string"), F.lit("")).alias(c) if c not in ("end", "capacity_flag") else have[c].cast("string").alias(c) for c in texts), have["is_free"].cast("boolean").alias("is_free"), have["age_min"].cast("int").alias("age_min"), have["age_max"].cast("int").alias("age_max"), *more)
     # Both are worked out once a row, on many tasks however few files the rows come from.
-    out = t.settled(spread(out, "id"), canon_url=t.canon_url(F.col("url")), canon_signup=t.canon_url(F.col("signup_url")))
+    out = t.settled(out if dealt else spread(out, "id"), canon_url=t.canon_url(F.col("url")), canon_signup=t.canon_url(F.col("signup_url")))
     return out.withColumns({c: F.when(t.is_event_url(F.col(c)), F.col(c)) for c in ("canon_url", "canon_signup")})
 
 

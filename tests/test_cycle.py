@@ -101,3 +101,20 @@ def test_a_key_is_made_without_reading_the_json_again(spark):
     a, b, c, d = rows.orderBy("n").collect()
     assert (a.dedup_key, a.url, a.age_min, a.raw_keys) == ("u:a.org/jazz-night|2026-08-01T20:30:00", "https://a.org/jazz-night", 21, ["url", "title", "start_datetime", "age_min"])
     assert (b.dedup_key, b.venue, c.id, c.dedup_key, d.status) == ("k", "Hall", "x", "v:area|nodate|", "active") and len({a.id, b.id, c.id, d.id}) == 4
+
+
+def test_a_run_is_merged_without_carrying_its_json_along(spark, tmp_path, monkeypatch):
+    """The JSON of all discoveries was written three times, and each table that a step had written stayed to the end."""
+    from listingloom import session
+
+    monkeypatch.setattr(session, "_written", [])
+    (tmp_path / "list.json").write_text(json.dumps([{"title": f"Show {k // 2}", "start": "2026-08-02T20:00:00-04:00", "rank": "high", "source_id": "a"} for k in range(6)]))
+    p = tables.read_crawl_payload(spark, f"{tmp_path}/list.json")
+    ledger, source_runs, runs, events, aliases = empty(spark)
+    events = events.selectExpr("*", "cast(null as string) as rank")
+    done = cycle.merge_payload("r", "2026-08-01", p.sources, p.events, p.rejections, runs, source_runs, ledger, events, aliases)
+    kinds = {path.rsplit("/", 1)[-1].rsplit("-", 1)[0]: path for path in session._written}
+    assert set(kinds) <= {"payload_problems", "discovered", "staged", "stored", "replayed", "merged"}
+    assert {name for name, path in kinds.items() if "raw" in spark.read.parquet(path).columns} == {"discovered"}
+    assert sorted((r.discovery_id, r.outcome, json.loads(r.raw)["title"]) for r in done.discoveries.collect()) == [(k + 1, "duplicate" if k % 2 else "new", f"Show {k // 2}") for k in range(6)]
+    assert {(r.title, r.rank) for r in done.events.collect()} == {(f"Show {k}", "high") for k in range(3)}
