@@ -227,6 +227,9 @@ class _Recurring:
         yield from self._score(old, [y for y in right if y not in self.right])
 
 
+Recurring = _Recurring
+
+
 def _scored(least: float):
     """Rows come ordered by group, with whose titles they are."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listingloom.functions import text as t
-from listingloom.operators.alike import alike, grams, prefix, score, ties
+from listingloom.operators.alike import Recurring, alike, grams, prefix, score, ties
 from listingloom.operators.components import components, contracted
 from listingloom.session import discard_since, hinted, materialize, spread, written
 
@@ -138,10 +138,73 @@ def score_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return pairs.select("l_key", "r_key", "title_score", *(F.col(f"_like.{c}").alias(f"{c}_score") for c in ("venue", "address", "host")))
 
 
+#: How many rows of either side a group has at most when occurrences are looked for; larger blocks are dealt over several groups.
+_ROWS = 16384
+_NAMES = ("title", "host", "venue", "address", "neighborhood")
+
+
+def _two_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, l, r, right, key, names, aware, at, wall) come ordered by group; of each incoming row's stored ones two are told at most."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    recurring, out = Recurring(TITLE), ([], [])
+    for _, group in groupby(rows, key=lambda r: r[:3]):
+        sides: tuple[list[tuple], list[tuple]] = ([], [])
+        for r in group:
+            sides[r[3]].append(r[4:])
+        known: dict[str, list[str]] = defaultdict(list)
+        for x, y, _ in recurring.pairs(*(list(dict.fromkeys(r[1] for r in side)) for side in sides)) if all(sides) else ():
+            known[x].append(y)
+        wanted = set(chain.from_iterable(known.values()))
+        stored = [(r[0], dict(zip(_NAMES, r[1:6], strict=True)), r[6:]) for r in sides[1] if r[1] in wanted]
+        block = _Block(lambda: Counter(g for _, names, _ in stored for c in ("title", "venue", "address", "host") for g in grams(names[c])))  # noqa: B023
+        for k, (_, names, _) in enumerate(stored):
+            block.put(k, names)
+        for key, *values, aware, at, wall in (r for r in sides[0] if r[1] in known):
+            new, found = dict(zip(_NAMES, values, strict=True)), set()
+            for k in chain(block.likeliest(new, known[new["title"]]), block.candidates(new, known[new["title"]])):
+                other, names, (other_aware, other_at, other_wall) = stored[k]
+                if other not in found and abs(at - other_at if aware and other_aware else wall - other_wall) <= 60e6 * NEAR_MINUTES and same_occurrence(new, names):
+                    found.add(other)
+                    if len(found) == 2:
+                        break
+            out[0].extend([key] * len(found))
+            out[1].extend(found)
+        if len(out[0]) >= 5000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["l_key", "r_key"])
+            out = ([], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["l_key", "r_key"])
+
+
 def match_occurrence(incoming: DataFrame, events: DataFrame, norm=t.norm_text) -> DataFrame:
-    """(n, event_id) where exactly one stored event looks like the row's occurrence."""
-    found = score_pairs(incoming, events, "n", "id", norm).select("l_key", "r_key").distinct()
-    return found.groupBy("l_key").agg(F.count("*").alias("k"), F.min("r_key").alias("event_id")).where("k = 1").select(F.col("l_key").alias("n"), "event_id")
+    """(n, event_id) where exactly one stored event looks like the row's occurrence.
+
+    An incoming row is looked up once, in its own half hour, to which the stored rows of both next to it come too; there its
+    search ends with the second that it finds. So the work of a row hardly grows with the rows of its half hour.
+    """
+    before = written()
+    a, b = _normed(incoming, "l", "n", norm).where("l_title <> ''"), _normed(events, "r", "id", norm).where("r_title <> ''")
+    (l_aware, l_at, l_wall), (r_aware, r_at, r_wall) = _held("l_"), _held("r_")
+    block = lambda kind, day, slot: F.concat_ws("|", F.lit(kind), day, slot.cast("string"))
+    own, day = F.substring("l_start", 1, 10), F.col("stored_day")
+    looks = F.when(l_aware, F.array(block("both", own, l_at), block("mine", own, l_wall))).otherwise(F.array(block("none", own, l_wall)))
+    lies = lambda kind, slot: F.array(*(block(kind, day, slot + k) for k in (-1, 0, 1)))
+    found = F.concat(F.when(r_aware, lies("both", r_at)).otherwise(lies("mine", r_wall)), lies("none", r_wall))
+    sides = _in_blocks(*(materialize(rows.withColumn("_blocks", at).drop("stored_day"), name) for rows, at, name in ((a, looks, "left"), (b, found, "right"))))
+    large = [rows.groupBy("block").agg(F.ceil(F.count("*") / _ROWS).cast("int").alias(f"parts{k}")).where(f"parts{k} > 1") for k, rows in enumerate(sides)]
+    dealt = hinted(materialize(large[0].join(large[1], "block", "full"), "large-blocks"))
+    grouped = []
+    for k, (s, rows) in enumerate(zip("lr", sides, strict=True)):
+        mine = F.pmod(F.xxhash64(f"{s}_key"), F.coalesce(f"parts{k}", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"parts{1 - k}", F.lit(1)) - 1))
+        values = [F.col(f"{s}_{c}").alias(c) for c in (*_NAMES, "aware", "at", "wall")]
+        rows = rows.join(dealt, "block", "left").select("block", mine.alias("mine"), every.alias("other"), F.lit(k).alias("right"), F.col(f"{s}_key").cast("string").alias("key"), *values)
+        grouped.append(rows.select("block", F.col(("mine", "other")[k]).alias("l"), F.col(("other", "mine")[k]).alias("r"), "right", "key", *(c for c in (*_NAMES, "aware", "at", "wall"))))
+    parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = grouped[0].unionAll(grouped[1]).repartition(parts, "block", "l", "r").sortWithinPartitions("block", "l", "r").mapInArrow(_two_found, "l_key string, r_key string")
+    tally = pairs.groupBy("l_key").agg(F.min("r_key").alias("one"), F.max("r_key").alias("other")).where("one = other")
+    done = materialize(tally.select(F.col("l_key").cast(incoming.schema["n"].dataType).alias("n"), F.col("one").cast(events.schema["id"].dataType).alias("event_id")), "occurrences")
+    discard_since(before, done)
+    return done
 
 
 def resolve(incoming: DataFrame, aliases: DataFrame, events: DataFrame, norm=t.norm_text) -> DataFrame:

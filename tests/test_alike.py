@@ -83,3 +83,28 @@ def test_pieces_miss_no_pair(left, least, rng):
     finally:
         alike.FEW = few
     assert {(x, y) for x in left for y in right if difflib.SequenceMatcher(None, x, y).ratio() >= least} <= set(found)
+
+
+def test_an_occurrence_among_many_like_ones_is_known_after_two(spark, monkeypatch):
+    """Every pair of like titles near in time was scored to learn whether a row has one match; rows and groups of any size agree with brute force."""
+    from tests import naive
+    from tests.test_finalize import FIELDS, make
+
+    rng = random.Random(11)
+    rows = [r for r in make(rng, 150, False) if naive.time(r[6])]
+    df = spark.createDataFrame(rows, FIELDS)
+    names = [f.split(" ")[0] for f in FIELDS.split(", ")]
+    dicts = [dict(zip(names, r, strict=True)) for r in rows]
+    met = {a["n"]: {b["id"] for b in dicts if b["start"][:10] == naive.time(a["start"]).date().isoformat() and naive.same(a, b)} for a in dicts}
+    wanted = {n: next(iter(ids)) for n, ids in met.items() if len(ids) == 1}
+    assert {r.n: r.event_id for r in resolve.match_occurrence(df, df).collect()} == wanted and len(wanted) > 10
+    monkeypatch.setattr(resolve, "_ROWS", 3)
+    assert {r.n: r.event_id for r in resolve.match_occurrence(df, df).collect()} == wanted
+    scored = []
+    monkeypatch.setattr(resolve, "same_occurrence", lambda new, old: scored.append(1) or True)
+    dense = [("b", 0, 0, side, f"{side}{k}", "jazz night", "", "hall", "", "", True, 0, 0) for side in (0, 1) for k in range(500)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*dense, strict=True)], [f"c{k}" for k in range(13)])
+    told = [r for out in resolve._two_found(iter([batch])) for r in out.to_pylist()]
+    assert len(told) == 1000 == len(scored)
